@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
+from cadenza.llm.language_id import op4_language_id
 from cadenza.llm.packing import op6_best_fit_packing
+from cadenza.llm.quality import op9_quality_classifier
+from cadenza.llm.secret_scan import op7_secret_scan
+from cadenza.llm.simhash import op8_simhash_near_dedup
 from cadenza.llm.token_files import op10_token_id_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL}
