@@ -13,8 +13,10 @@ from cadenza.llm.quality import op9_quality_classifier
 from cadenza.llm.secret_scan import op7_secret_scan
 from cadenza.llm.simhash import op8_simhash_near_dedup
 from cadenza.llm.token_files import op10_token_id_output
+from cadenza.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -24,4 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
+    "op2_benchmark_decontamination": OP2_SQL,
+}
