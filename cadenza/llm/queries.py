@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from cadenza.llm.language_id import op4_language_id
+from cadenza.llm.license_scan import OP3_SQL, op3_license_scan
 from cadenza.llm.packing import op6_best_fit_packing
 from cadenza.llm.quality import op9_quality_classifier
 from cadenza.llm.secret_scan import op7_secret_scan
 from cadenza.llm.simhash import op8_simhash_near_dedup
+from cadenza.llm.substring_dedup import op5_substring_dedup
 from cadenza.llm.token_files import op10_token_id_output
 from cadenza.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -29,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
     "op2_benchmark_decontamination": OP2_SQL,
+    "op3_license_scan": OP3_SQL,
 }
