@@ -49,14 +49,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
+    """(doc_id, text_hash, fp): fp holds the fingerprint's bits as a signed long."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint((t or "").encode(), shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint((t or "").encode(), shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, fp long")
+    rows = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sketch, "doc_id long, text_hash long, fp long")
 
 
 def syndrome(v: np.ndarray) -> np.ndarray:
@@ -242,25 +243,34 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """Per document: doc_id, fingerprint and component_id, the smallest doc_id reachable over links."""
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int) -> DataFrame:
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = connected(links(nodes.select("fp"), threshold))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """Per document: doc_id, fingerprint and component_id, the smallest doc_id reachable over links."""
+    found = _components(docs, id_col, text_col, shingle, threshold)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
     """The documents with one of each component kept, that of the smallest id; all columns kept.
 
-    Of rows that repeat an id the first by hash of the text stays. Rows without an id stay.
+    Rows that repeat an id and a text count once. Rows that repeat an id with another text of the
+    same component stay together. Rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, threshold)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = _components(docs, id_col, text_col, shingle, threshold).filter("doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    left = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left_anti")
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        named = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+        left = named.union(left.filter(F.col(id_col).isNull()))
+    return left
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
