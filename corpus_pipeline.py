@@ -1,14 +1,65 @@
-"""A pipeline over documents; each stage is written and read again by the next."""
+"""A pipeline over documents: quality, near copies, benchmark passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.llm.common import materialize
+from cadenza.llm.decontaminate import remove_contaminated
+from cadenza.llm.language_id import remainder
+from cadenza.llm.packing import pack
+from cadenza.llm.quality import keep_quality, learn_quality
+from cadenza.llm.secret_scan import redact_secrets
+from cadenza.llm.simhash import keep_first
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good; learned from the labels op9 learns from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 3) != 1)
+    return keep_quality(docs, learn_quality(docs, labels))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by SimHash over five-word shingles."""
+    return keep_first(docs, shingle=5, threshold=2)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark and n_chars counted anew."""
+    return redact_secrets(docs, length_col="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands in the packed sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+
+#: Classifier, decoding and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages one after the other over the documents table."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each stage's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = materialize(docs, f"stage-{name}")
     return docs
