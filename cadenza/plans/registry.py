@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from cadenza.plans import entities, events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **entities.QUERIES}
+ORACLE_SQL: dict[str, str] = {**events.SQL, **entities.SQL}
