@@ -14,7 +14,7 @@ from cadenza.plans.events import day, table
 #: Bands of quantities (fixed values).
 BANDS = [(1, 10, "few"), (11, 25, "some"), (26, 40, "many"), (41, 50, "most")]
 #: Words whose parts are looked for in part names (fixed values).
-WORD_SETS = [("a", "a"), ("part 1", "b"), ("part 2 3", "c")]
+WORD_SETS = [("small", "a"), ("red widget", "b"), ("gear hot", "c")]
 
 
 def search_all_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +204,7 @@ SQL = {
     "range_lookup": "SELECT CASE WHEN l_quantity BETWEEN 1 AND 10 THEN 'few' WHEN l_quantity BETWEEN 11 AND 25 THEN 'some' WHEN l_quantity BETWEEN 26 AND 40 THEN 'many' WHEN l_quantity BETWEEN 41 AND 50 THEN 'most' END AS label, count(*) AS n FROM lineitem GROUP BY 1",
     "label_argmax": """SELECT o_orderkey, arg_max(tier, rank) AS tier FROM orders JOIN (VALUES (DATE '1997-01-10', 1, 'label'), (DATE '1997-01-12', 3, 'gold'), (DATE '1997-03-01', 2, 'elite'), (DATE '1997-03-02', 4, 'platinum')) f(d, rank, tier)
         ON abs(CAST(o_orderdate AS DATE) - d) <= 2 GROUP BY 1""",
-    "token_subset": "SELECT p_partkey, label FROM part JOIN (VALUES ('a', 'a'), ('part 1', 'b'), ('part 2 3', 'c')) s(words, label) ON list_has_all(string_split(lower(p_name), ' '), string_split(words, ' '))",
+    "token_subset": "SELECT p_partkey, label FROM part JOIN (VALUES ('small', 'a'), ('red widget', 'b'), ('gear hot', 'c')) s(words, label) ON list_has_all(string_split(lower(p_name), ' '), string_split(words, ' '))",
     "strip_shared": """WITH l AS (SELECT doc_id, 1 AS i, source AS n, lang AS p FROM documents UNION ALL SELECT doc_id, 2, 'own' || doc_id % 400, 'own' || doc_id % 400 FROM documents),
         u AS (SELECT n, p, count(DISTINCT doc_id) >= 10 AS shared FROM l GROUP BY 1, 2), m AS (SELECT l.*, shared, count(*) FILTER (NOT shared) OVER (PARTITION BY doc_id) AS free FROM l JOIN u USING (n, p))
         SELECT CAST(doc_id AS VARCHAR) AS id, string_agg(n, ',' ORDER BY i) AS kept FROM m WHERE NOT shared OR (free = 0 AND i = 2) GROUP BY 1""",
