@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -28,11 +29,15 @@ class Encoder:
     encoded whole. Beyond `keep` pieces, only those of the last call stay in memory.
     """
 
-    def __init__(self, path: str | None = None, keep: int = 400_000):
+    def __init__(self, path: str | None = None, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        # A word alone goes to the model as it is: the byte-level step leaves it in one part.
+        self.by_word = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and spec.get("normalizer") is None and spec.get("post_processor") is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.known: dict[str, bytes] = {}
@@ -45,6 +50,17 @@ class Encoder:
             and (text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not _RARE_SPACE.search(text))
         )
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        out = []
+        for w in words:
+            if w.isascii():
+                w = BYTE_NAMES[32] + w[1:] if w[0] == " " else w
+            else:
+                w = w.encode().decode("latin-1").translate(BYTE_NAMES)
+            out.append(array("I", [t.id for t in tokenize(w)]).tobytes())
+        return out
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -60,11 +76,15 @@ class Encoder:
                 here.update(pieces[i])
         known = self.known
         new = list(here - known.keys())
+        if self.by_word:
+            words = [x for x in new if x.removeprefix(" ").isalpha()]
+            known.update(zip(words, self._word_ids(words), strict=True))
+            new = [x for x in new if x not in known]
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             known.update(zip(part, self._ids(part), strict=True))
         known[""] = b""
-        out = [b"".join([known[x] for x in pieces[i]]) if i in pieces else b"" for i in range(len(texts))]
+        out = [b"".join(map(known.__getitem__, pieces[i])) if i in pieces else b"" for i in range(len(texts))]
         other = [i for i, t in enumerate(texts) if t and i not in pieces]
         for a in range(0, len(other), 64):
             part = other[a : a + 64]
@@ -75,6 +95,14 @@ class Encoder:
         return out
 
 
+def _byte_names() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: those without a visible character, in order, as 256 and on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_NAMES = _byte_names()
+
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
