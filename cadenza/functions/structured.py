@@ -150,3 +150,64 @@ def visible_text(pages: pd.Series) -> pd.Series:
 def city_code_pairs(text: Column) -> Column:
     """Subdivision codes of all 'City - XX' patterns of a text."""
     return F.regexp_extract_all(text, F.lit(r"\p{Lu}[\p{L} ]+?\s*[-/]\s*([A-Z]{2})\b"), F.lit(1))
+
+
+def query_parameter(url: Column, name: str) -> Column:
+    """P25: a parameter of an address."""
+    return F.try_url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{re.escape(name)}=([^&#]*)", 1), F.lit("")))
+
+
+def recent_locations(xml: Column, first: Column) -> Column:
+    """Addresses of a sitemap whose lastmod is not before a date, newest first."""
+    entry = F.regexp_extract_all(xml, F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))
+    rows = F.transform(entry, lambda e: F.struct(F.try_to_date(F.substring(F.regexp_extract(e, r"<lastmod>\s*([^<\s]+)", 1), 1, 10), "yyyy-MM-dd").alias("day"), F.regexp_extract(e, r"<loc>\s*([^<\s]+)", 1).alias("url")))
+    kept = F.filter(rows, lambda r: r["day"] >= first)
+    return F.transform(F.reverse(F.array_sort(kept)), lambda r: r["url"])
+
+
+def name_by_host(url: Column, names: dict[str, str], default: str) -> Column:
+    """The name of the first host fragment that the address has."""
+    out = F.lit(default)
+    for part, name in reversed(names.items()):
+        out = F.when(F.contains(F.lower(url), F.lit(part)), F.lit(name)).otherwise(out)
+    return out
+
+
+def signup_state(text: Column, closed: str, opened: str) -> Column:
+    """False if the text says closed, else true if it says open, else unknown."""
+    return F.when(text.rlike(closed), F.lit(False)).when(text.rlike(opened), F.lit(True))
+
+
+def decoded(content: Column) -> Column:
+    """bytes as UTF-8 where they are valid, else as ISO-8859-1."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+def without_times(text: Column) -> Column:
+    """a text without clock times and 'every N km', which are no distances."""
+    return F.regexp_replace(text, r"(?i)\b\d{1,2}[h:]\d{2}\b|\b(?:a cada|every|cada)\s+\d+(?:[.,]\d+)?\s*km\b", " ")
+
+
+def full_year(year: Column) -> Column:
+    """two digits mean 20YY."""
+    return F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+
+
+def whole_or_canonical(kms: Column) -> Column:
+    """lengths in whole km, or half and full marathons."""
+    return F.filter(kms, lambda x: (x == F.floor(x)) | x.isin(21.097, 42.195))
+
+
+@F.pandas_udf(T.StringType())
+def bracketed_array(texts: pd.Series, markers: pd.Series) -> pd.Series:
+    """the JSON array that follows a marker in an escaped script, found by its brackets."""
+
+    def one(text: str | None, marker: str) -> str | None:
+        text = (text or "").replace('\\"', '"')
+        begin = text.find("[", text.find(marker)) if marker in text else -1
+        try:
+            return json.dumps(json.JSONDecoder().raw_decode(text, begin)[0]) if begin >= 0 else None
+        except ValueError:
+            return None
+
+    return pd.Series([one(t, m) for t, m in zip(texts, markers, strict=True)], dtype=object)

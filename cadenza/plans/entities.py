@@ -78,13 +78,13 @@ def dup_decision(spark: SparkSession, sf: str) -> DataFrame:
 def semi_valid_location(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers of nations in three regions."""
     n = table(spark, sf, "nation").filter("n_regionkey < 3")
-    return table(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_nationkey")
+    return table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_nationkey")
 
 
 def anti_invalid_location(spark: SparkSession, sf: str) -> DataFrame:
     """The suppliers left over, counted by nation."""
     n = table(spark, sf, "nation").filter("n_regionkey < 3")
-    return table(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def two_level_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +92,7 @@ def two_level_lookup(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation")
     own = n.filter("n_nationkey % 2 = 0").select(F.lit("building").alias("key"), F.col("n_name").alias("hint_country"), F.col("n_name").alias("country"), F.concat(F.lit("own "), "n_name").alias("subdivision"))
     base = n.filter("n_nationkey = 1").select(F.lit("building").alias("key"), F.lit(None).cast("string").alias("hint_country"), F.col("n_name").alias("country"), F.lit("base").alias("subdivision"))
-    c = table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
     return enrich.lookup_two_levels(c, own.union(base), F.col("c_mktsegment"), F.col("n_name")).select("c_custkey", "found_country", "found_subdivision")
 
 
@@ -105,14 +105,14 @@ def range_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def label_argmax(spark: SparkSession, sf: str) -> DataFrame:
     """Each order's highest tier among feed days at most two days away."""
     feed = spark.createDataFrame([("1997-01-10", 1, "label"), ("1997-01-12", 3, "gold"), ("1997-03-01", 2, "elite"), ("1997-03-02", 4, "platinum")], "d string, rank int, tier string")
-    feed = F.broadcast(feed.select(F.explode(F.sequence(F.date_sub(F.to_date("d"), 2), F.date_add(F.to_date("d"), 2))).alias("near"), "rank", "tier"))
+    feed = feed.select(F.explode(F.sequence(F.date_sub(F.to_date("d"), 2), F.date_add(F.to_date("d"), 2))).alias("near"), "rank", "tier")
     o = table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
     return o.join(feed, F.col("day") == F.col("near")).groupBy("o_orderkey").agg(F.max_by("tier", "rank").alias("tier"))
 
 
 def token_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Parts whose name holds all words of a set."""
-    sets = F.broadcast(spark.createDataFrame(WORD_SETS, "words string, label string"))
+    sets = spark.createDataFrame(WORD_SETS, "words string, label string")
     p = table(spark, sf, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("t"))
     return p.join(sets, F.size(F.array_except(F.split("words", " "), F.col("t"))) == 0).select("p_partkey", "label")
 

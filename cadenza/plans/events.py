@@ -46,7 +46,7 @@ def period_presets(spark: SparkSession, sf: str) -> DataFrame:
 def location_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of a region, and of one nation in it, by name."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.filter(search.in_location(F.col("r_name"), F.col("n_name"), "EUROPE:"))
     return rows.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
