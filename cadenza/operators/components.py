@@ -21,6 +21,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Delete the files of a table that `written` made and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """A2: (node, component) of every node with an edge; component is the smallest node reachable.
 
@@ -40,12 +49,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         while True:  # follow pointers to their ends
             ahead = least.select(F.col("x").alias("to"), F.col("to").alias("next"))
             new = written(least.join(ahead, "to", "left").select("x", F.coalesce("next", "to").alias("to")), "pointers")
-            moved = new.exceptAll(least).isEmpty()
+            settled = new.exceptAll(least).isEmpty()
+            forgotten(least)
             least = new
-            if moved:
+            if settled:
                 break
+        old = label, links, least
         label = written(label.join(least, label["component"] == least["x"], "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         ends = least.select(F.col("x").alias("y"), F.col("to").alias("ty"))
         links = links.join(least, "x").select("y", F.col("to").alias("tx")).join(ends, "y").select(F.col("tx").alias("x"), F.col("ty").alias("y"))
         links = written(links.filter("x <> y").distinct(), "links")
+        for table in old:
+            forgotten(table)
     raise RuntimeError("components did not settle")
