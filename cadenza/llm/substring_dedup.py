@@ -230,7 +230,7 @@ def _found(kind, doc, tie, lo, hi, off, anchor) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in FOUND.split(", ")])
 
 
-def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush: int = 1 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush: int = 1 << 18, shard_bytes: int = 1 << 18) -> DataFrame:
     """(doc, tie, lo, hi): byte ranges covered by windows that also start earlier."""
     spark = keyed.sparkSession
     n_parts = shuffle_partitions(spark)
@@ -261,7 +261,7 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush:
                 rows.append((int(k), FETCH, _packed(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "blob"])
 
-        for b in batches:
+        for b in (b.slice(k, 128) for b in batches for k in range(0, len(b), 128)):
             texts = _plain(b.column(3).to_pylist())
             doc, tie = b.column(1).to_numpy(), b.column(2).to_numpy()
             for i, j in slices(map(len, texts), shard_bytes):
