@@ -32,16 +32,19 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
 
 
-def dictionaries(learn: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_chars: int) -> dict[str, bytes]:
+def dictionaries(learn: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_chars: int, parts: int = 16) -> dict[str, bytes]:
     """For each language, texts of up to sample_rows documents in hash order, sample_chars of each.
 
     The sample is bounded by the number of languages. Each task keeps the first rows of each
-    language before they meet, so a language with most of the corpus weighs no more than others.
+    language, salted parts of a language keep the first of those, and only then a language's rows
+    meet, so a language with most of the corpus weighs no more than others.
     """
     rows = learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("text", F.substring("text", 1, sample_chars))
-    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rn") <= sample_rows)
+    rows = rows.withColumn("text", F.substring("text", 1, sample_chars)).withColumn("salt", F.pmod("h", F.lit(parts)))
+    for keys in (["lang", "salt"], ["lang"]):
+        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "text"))).filter(F.col("rn") <= sample_rows)
+    first = rows
     out: dict[str, list[str]] = {}
     for r in sorted(first.collect(), key=lambda r: (r.lang, r.rn)):
         out.setdefault(r.lang, []).append(r.text)

@@ -430,3 +430,34 @@ def test_token_files_odd(odd, tmp_path):
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in ODD_ROWS)
     assert min(r.n_tokens for r in rows) == 1
     assert read_digest(write_token_files(odd.limit(0), f"{tmp_path}/e")).count() == 0
+
+
+def test_similar_groups_follow_jaccard(spark):
+    from cadenza.llm.simhash import similar_groups
+
+    rnd = random.Random(7)
+    rows, parts = [], {}
+    for g in range(30):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(220)]
+        for copy in range(3):
+            w = list(words)
+            for _ in range((0, 2, 45)[copy]):  # the same, 0.9 alike or more, and far from it
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(9999)}"
+            rows.append((len(rows), " ".join(w)))
+            parts[rows[-1][0]] = 3 * g if copy < 2 else rows[-1][0]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_groups(df).collect()} == parts
+
+
+def test_sample_anchors_dealt_in_blocks(spark):
+    from cadenza.llm.simhash import connected, sample_links, sampled
+
+    rows = []
+    for i in range(30):
+        words = [f"w{k}" for k in range(300)]
+        words[i * 9] = f"x{i}"
+        views, sig = sampled(" ".join(words).encode(), 5, 12, 4, 128)
+        rows.append((i, views, bytearray(sig)))
+    texts = spark.createDataFrame(rows, "text_hash long, views array<long>, sig binary")
+    for many in (7, 1000):
+        assert {r.root for r in connected(sample_links(texts, many=many)).collect()} == {0}
