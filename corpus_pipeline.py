@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHash over five-word shingles."""
-    return keep_first(docs, shingle=5, threshold=2)
+    """One document of each group of near copies: five-word shingles, 0.8 alike or more."""
+    return keep_first(docs, shingle=5, threshold=2, least=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
