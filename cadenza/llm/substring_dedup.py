@@ -372,7 +372,7 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush:
     return found.filter(F.col("kind") == COPY).select("doc", "tie", "lo", "hi").union(factors).union(later)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, many: int = 400, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, many: int = 1 << 14, keep_text: bool = False) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, hash of the rest (and the rest itself, if asked)."""
     keyed = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(keyed, length, gram, many)
