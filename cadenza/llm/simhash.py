@@ -307,16 +307,18 @@ def sample_links(texts: DataFrame, least: float = 0.8, many: int = 1000) -> Data
         def take(part: pa.Table) -> None:
             key, name = part.column(0).to_numpy(), part.column(1).to_numpy()
             sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").reshape(len(key), -1)
-            size = np.diff(np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]))
-            left = np.repeat(np.cumsum(size), size) - np.arange(len(key)) - 1
-            at, k = np.flatnonzero(left > 0), 1
-            while len(at):
-                for i in range(0, len(at), 20_000):
-                    x = at[i : i + 20_000]
-                    near = (sig[x] == sig[x + k]).mean(1) >= least
-                    found.append((name[x[near]], name[x[near] + k]))
-                k += 1
-                at = at[left[at] >= k]
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            lead = np.repeat(cuts[:-1], np.diff(cuts))
+            to_lead = np.zeros(len(key), bool)
+            for i in range(0, len(key), 20_000):
+                to_lead[i : i + 20_000] = (sig[i : i + 20_000] == sig[lead[i : i + 20_000]]).mean(1) >= least
+            linked = np.flatnonzero(to_lead & (lead != np.arange(len(key))))
+            found.append((name[lead[linked]], name[linked]))
+            # Those linked to the first of their key are connected already; each of the others meets all.
+            for x in np.flatnonzero(~to_lead):
+                end = cuts[np.searchsorted(cuts, x, side="right")]
+                near = lead[x] + np.flatnonzero((sig[lead[x] : end] == sig[x]).mean(1) >= least)
+                found.append((np.full(len(near), name[x]), name[near]))
             if sum(len(x) for x, _ in found) > 1 << 20:
                 found[:] = [stars(*(np.concatenate(c) for c in zip(*found, strict=True)))]
 
