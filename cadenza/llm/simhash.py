@@ -17,8 +17,10 @@ any other. Rows that repeat a doc_id count as they are; component_id is the smal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -262,89 +264,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 _ORDERS = (np.random.default_rng(42).integers(0, 1 << 63, 512, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def sampled(text: bytes, shingle: int, samples: int, size: int, places: int) -> tuple[list[int], bytes]:
+def shingles(text: bytes, shingle: int) -> list[bytes]:
+    """The text's runs of `shingle` words; all its words where it has fewer."""
+    words = text.lower().split()
+    if not words:
+        return []
+    return [*map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))] if len(words) >= shingle else [b" ".join(words)]
+
+
+def sampled(text: bytes, shingle: int, samples: int, size: int, places: int, least: float = 0.8, few: int = 20) -> tuple[list[int], bytes]:
     """Fingerprints of `samples` samples of the text's shingles, and a signature of `places` minima.
 
     A sample is the `size` shingles that come first in an order of its own, so two texts draw the same
-    one with about their Jaccard similarity to the power `size`.
+    one with about their Jaccard similarity to the power `size`. A text of at most `few` shingles also
+    gets every choice of `size` among its first ones in one common order: two such texts that are
+    `least` alike share so many shingles that the first `size` of these are among the first of both.
     """
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return [], b""
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64))
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(text, shingle)], np.uint64))
+    if not len(hashes):
+        return [0] * samples, b"\xff" * (4 * places)
     out = []
     for order in _ORDERS[:samples]:
         turned = hashes * order
         first = hashes[np.argpartition(turned, size - 1)[:size]] if len(hashes) > size else hashes
         ones = np.unpackbits(first.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
         out.append(int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big", signed=True))
-    least = np.full(places, np.iinfo(np.uint64).max)
+    if size <= len(hashes) <= few:
+        first = hashes[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + size].astype(">u8")
+        out += [int.from_bytes(xxhash.xxh64_digest(b"".join(c)), "big", signed=True) for c in combinations([x.tobytes() for x in first], size)]
+    least_of = np.full(places, np.iinfo(np.uint64).max)
     for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, (hashes[i : i + 1024, None] * _ORDERS[None, samples : samples + places]).min(0))
-    return out, (least >> np.uint64(32)).astype("<u4").tobytes()
+        least_of = np.minimum(least_of, (hashes[i : i + 1024, None] * _ORDERS[None, samples : samples + places]).min(0))
+    return out, (least_of >> np.uint64(32)).astype("<u4").tobytes()
+
 
+def sample_keys(texts: DataFrame, samples: int = 12) -> DataFrame:
+    """(text_hash, anchor, lead): a row for each sample of a text that others have too; lead is the least of those texts."""
+    keys = texts.select("text_hash", F.posexplode("views").alias("view", "fp"))
+    keys = keys.select("text_hash", F.xxhash64(F.least("view", F.lit(samples)), "fp").alias("anchor")).distinct()
+    shared = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("lead")).filter("n > 1")
+    return keys.join(shared.select("anchor", "lead"), "anchor").select("text_hash", "anchor", "lead")
 
-def sample_links(texts: DataFrame, least: float = 0.8, many: int = 1000) -> DataFrame:
-    """(a, b): links between texts (text_hash, views, sig) that share a sample and whose signatures agree enough.
 
-    Every sample fingerprint is an anchor of its own (threshold zero); those who meet there are
-    compared by signature. An anchor with over `many` texts is dealt out in pairs of blocks.
+def sample_links(texts: DataFrame, least: float = 0.8, many: int = 1000, keys: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of texts (text_hash, views, sig) that share a sample, whose signatures agree
+    enough, and that roots (node, root) does not join yet.
+
+    At every anchor, those not joined to its lead meet all its texts; the others do not meet among
+    themselves. An anchor with over `many` texts of either kind is dealt out in pairs of blocks.
     """
-    keys = texts.select("text_hash", F.posexplode("views").alias("view", "fp")).select("text_hash", F.xxhash64("view", "fp").alias("anchor"))
-    shared = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keys.join(shared, "anchor").withColumn("m", F.ceil(F.col("n") / many).cast("int")).withColumn("own", F.pmod("text_hash", F.col("m")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("text_hash", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    rows = dealt.join(texts.select("text_hash", "sig"), "text_hash").select("key", "text_hash", "sig")
+    keys = sample_keys(texts) if keys is None else keys
+    if roots is None:
+        roots = texts.select(F.col("text_hash").alias("node"), F.col("text_hash").alias("root"))
+    own = keys.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    of_lead = roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    own = own.join(of_lead, "lead", "left").withColumn("apart", F.col("root") != F.coalesce("lead_root", "lead"))
+    sizes = own.groupBy("anchor").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_joined")).filter("n_apart > 0")
+    blocks = lambda c: F.ceil(F.col(c) / many).cast("int")
+    met = own.join(sizes, "anchor").withColumn("m", blocks("n_apart")).withColumn("m_joined", blocks("n_joined"))
+    met = met.withColumn("own", F.when(F.col("apart"), F.pmod("text_hash", F.col("m"))).otherwise(F.col("m") + F.pmod("text_hash", F.col("m_joined"))).cast("int"))
+    # A joined text goes to the blocks of the others only; these go to every block.
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1 + F.when(F.col("apart"), F.col("m_joined")).otherwise(0))))
+    dealt = dealt.select("text_hash", "root", "apart", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    rows = dealt.join(texts.select("text_hash", "sig"), "text_hash").select("key", "text_hash", "root", "apart", "sig")
+
+    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, name, root = (part.column(i).to_numpy() for i in range(3))
+        apart = part.column(3).to_numpy().astype(bool)
+        sig = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u4").reshape(len(key), -1)
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            for x in np.flatnonzero(apart[i:j]) + i:
+                rest = i + np.flatnonzero((root[i:j] != root[x]) & (~apart[i:j] | (np.arange(i, j) > x)))
+                near = rest[(sig[rest] == sig[x]).mean(1) >= least] if len(rest) else rest
+                found.append((np.minimum(name[x], name[near]), np.maximum(name[x], name[near])))
+                held += len(near)
+            if found and (held > 100_000 or j == len(key)):
+                both = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+                found, held = [], 0
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def take(part: pa.Table) -> None:
-            key, name = part.column(0).to_numpy(), part.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").reshape(len(key), -1)
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            lead = np.repeat(cuts[:-1], np.diff(cuts))
-            to_lead = np.zeros(len(key), bool)
-            for i in range(0, len(key), 20_000):
-                to_lead[i : i + 20_000] = (sig[i : i + 20_000] == sig[lead[i : i + 20_000]]).mean(1) >= least
-            linked = np.flatnonzero(to_lead & (lead != np.arange(len(key))))
-            found.append((name[lead[linked]], name[linked]))
-            # Those linked to the first of their key are connected already; each of the others meets all.
-            for x in np.flatnonzero(~to_lead):
-                end = cuts[np.searchsorted(cuts, x, side="right")]
-                near = lead[x] + np.flatnonzero((sig[lead[x] : end] == sig[x]).mean(1) >= least)
-                found.append((np.full(len(near), name[x]), name[near]))
-            if sum(len(x) for x, _ in found) > 1 << 20:
-                found[:] = [stars(*(np.concatenate(c) for c in zip(*found, strict=True)))]
-
         for b in batches:
             held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
             key = held.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if cut:
-                take(held.slice(0, cut))
+                yield from pairs(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and len(held):
-            take(held)
-        if found:
-            x, y = stars(*(np.concatenate(c) for c in zip(*found, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            yield from pairs(held)
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 2, least: float = 0.8, samples: int = 12, size: int = 4, places: int = 128) -> DataFrame:
-    """Per document: doc_id, text_hash and component_id, over links of fingerprints and of samples.
+def alike(candidates: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
+    needed = candidates.select(F.col("a").alias("text_hash")).union(candidates.select("b")).distinct()
+    texts = materialize(docs.join(needed, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
+    other = candidates.join(texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")), "b")
+    both = other.join(texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, first = None, set()
+        for batch in batches:
+            kept = []
+            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != name:  # the join leaves rows of one `a` together
+                    name, first = a, set(shingles(text_a.as_py().encode(), shingle))
+                second = set(shingles(text_b.as_py().encode(), shingle))
+                shared = len(first & second)
+                union = len(first) + len(second) - shared
+                kept.append(not union or shared / union >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return both.mapInArrow(judge, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 2, least: float = 0.8, samples: int = 12, size: int = 4, places: int = 128, slack: float = 0.2) -> DataFrame:
+    """Per document: doc_id, text_hash and component_id, over links of texts whose shingles are `least` alike.
 
     Fingerprints of whole texts a tenth apart in Jaccard similarity differ in six or more bits, out of
     reach of a covering code. Fingerprints of small samples do not: texts 0.8 alike have an equal one
-    among 12 samples of four shingles with probability 0.998. What they find is kept where 128
-    minima agree to `least`, a measure of the similarity with a deviation of 0.035.
+    among 12 samples of four shingles with probability 0.998, and always where both have at most 20
+    shingles. Fingerprints only find pairs; every link is by the exact similarity. First each
+    anchor's texts are held against its least text; then those still apart against the anchor's
+    others, unless their signatures tell that they are over `slack` below `least` (five deviations).
     """
     names = ["doc_id", "text_hash", "fp", "views", "sig"]
 
@@ -354,18 +404,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = b.slice(i, 1000)
                 texts = [(t or "").encode() for t in part.column(2).to_pylist()]
                 fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                views, sigs = zip(*(sampled(t, shingle, samples, size, places) for t in texts), strict=True)
+                views, sigs = zip(*(sampled(t, shingle, samples, size, places, least) for t in texts), strict=True)
                 columns = [part.column(0), part.column(1), pa.array(fps), pa.array(views, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    rows = materialize(rows.mapInArrow(sketch, "doc_id long, text_hash long, fp long, views array<long>, sig binary"), "sketches")
-    texts = rows.dropDuplicates(["text_hash"])
-    nodes = materialize(rows.select("fp").distinct(), "nodes")
-    roots = connected(links(nodes, threshold))
-    named = texts.select("text_hash", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("text_hash", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("group"))
-    close = named.join(named.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "group").select(F.col("text_hash").alias("a"), F.col("group").alias("b"))
-    found = connected(close.union(sample_links(texts, least)))
+    source = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(source.mapInArrow(sketch, "doc_id long, text_hash long, fp long, views array<long>, sig binary"), "sketches")
+    source = source.select("text_hash", "text")
+    texts = rows.select("text_hash", "fp", "views", "sig").dropDuplicates(["text_hash"])
+    nodes = materialize(texts.groupBy("fp").agg(F.min("text_hash").alias("first")), "nodes")
+    joined = links(nodes.select("fp"), threshold)
+    ends = [nodes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
+    close = joined.join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = texts.select("text_hash", "fp").join(nodes, "fp").select(F.col("first").alias("a"), F.col("text_hash").alias("b"))
+    keys = materialize(sample_keys(texts, samples), "keys")
+    stars_of = keys.select(F.col("lead").alias("a"), F.col("text_hash").alias("b"))
+    tried = close.union(equal).union(stars_of).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = materialize(tried, "tried")
+    sure = materialize(alike(tried, source, shingle, least), "sure")
+    roots = materialize(connected(sure), "roots")
+    rest = materialize(sample_links(texts, least - slack, keys=keys, roots=roots).join(tried, ["a", "b"], "left_anti"), "rest")
+    found = connected(sure.union(alike(rest, source, shingle, least)))
     of_row = rows.select("doc_id", "text_hash").join(found, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
     of_row = materialize(of_row, "groups")
     return of_row.join(of_row.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_hash", "component_id")

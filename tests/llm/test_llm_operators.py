@@ -461,3 +461,32 @@ def test_sample_anchors_dealt_in_blocks(spark):
     texts = spark.createDataFrame(rows, "text_hash long, views array<long>, sig binary")
     for many in (7, 1000):
         assert {r.root for r in connected(sample_links(texts, many=many)).collect()} == {0}
+
+
+def test_similar_groups_are_exact(spark):
+    from cadenza.llm.simhash import similar_groups
+
+    rnd = random.Random(3)
+    rows = []
+    for g in range(150):  # pairs from 0.76 to 0.84
+        words = [f"g{g}w{k}" for k in range(200)]
+        other = words[: rnd.randrange(174, 181)] + [f"g{g}x{k}" for k in range(20)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    for g in range(150):  # few shingles: 5 against 4, 10 against 8, and just below
+        n, m = ((9, 8), (14, 12), (8, 7), (13, 11), (24, 20))[g % 5]
+        words = [f"s{g}w{k}" for k in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:m]))]
+    # The least text is joined to none, the others in a chain.
+    chain = [f"c{k}" for k in range(300)]
+    rows += [(len(rows) + i, " ".join(chain[i * 15 : i * 15 + 200])) for i in range(6)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    want = list(range(len(rows)))
+    alike = lambda x, y: len(x & y) / len(x | y) >= 0.8
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][1][0] == rows[j][1][0] and alike(sets[i], sets[j]):
+                want = [want[j] if w == want[i] else w for w in want]
+    assert 30 < sum(want[i] == i - 1 for i in range(1, 300, 2)) < 120
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_groups(df).collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w] == []
