@@ -4,8 +4,8 @@ Documents become pieces of at most `capacity` tokens. The histogram of piece len
 `capacity` entries whatever the corpus holds, so the program is solved on the driver:
 multiplicative weights on the lengths' demands, each round priced by a knapsack over one
 sequence, give a fractional cover by configurations (how many pieces of each length a sequence
-holds). Whole copies of each configuration are kept, and the pieces left over, whose number
-depends on the number of configurations alone, are placed best fit first. Spark ranks the pieces
+holds). Whole copies of each well filled configuration are kept, and the pieces left over are placed
+best fit first, all pieces of a length and sequences that hold the same at once. Spark ranks the pieces
 of each length, and a piece's rank decides its sequence and place.
 
 Null texts are empty. A document always has its end id, so it has a piece. Rows that repeat a
@@ -116,19 +116,39 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int, step:
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
-    """Configurations of best fit, longest pieces first."""
-    room: list[tuple[int, int]] = []
-    held: list[Counter] = []
-    for n in sorted(Counter(histogram).elements(), reverse=True):
-        i = bisect_left(room, (n, -1))
-        if i < len(room):
-            free, k = room.pop(i)
-        else:
-            free, k = capacity, len(held)
-            held.append(Counter())
-        held[k][n] += 1
-        insort(room, (free - n, k))
-    return Counter(tuple(sorted(h.items())) for h in held)
+    """Configurations of best fit, longest pieces first.
+
+    All pieces of a length are placed at once: sequences that hold the same are one entry with a
+    count, and those with the least room that fits take as many pieces as each has room for.
+    """
+    room: list[tuple[int, tuple]] = []  # (free, what the sequence holds), sorted
+    count: dict[tuple[int, tuple], int] = {}
+
+    def put(free: int, held: tuple, n: int) -> None:
+        if (free, held) not in count:
+            insort(room, (free, held))
+            count[free, held] = 0
+        count[free, held] += n
+
+    for n, left in sorted(histogram.items(), reverse=True):
+        while left:
+            i = bisect_left(room, (n, ()))
+            if i == len(room):
+                put(capacity, (), -(-left // (capacity // n)))
+                continue
+            free, held = room.pop(i)
+            there = count.pop((free, held))
+            each = min(free // n, left)
+            full = min(there, left // each)
+            put(free - n * each, (*held, (n, each)), full)
+            if there > full:
+                put(free, held, there - full)
+            left -= full * each
+    out: Counter = Counter()
+    for (_, held), n in count.items():
+        if held:
+            out[tuple(sorted(held))] += n
+    return out
 
 
 def rounded(left: dict[int, int], fraction: dict[tuple, float], capacity: int, most_free: float) -> Counter:
@@ -147,7 +167,8 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 2000, step: fl
     """(configuration, copies) that hold each piece of the histogram once.
 
     The program is solved and rounded down; what rounding leaves is a histogram again. Once that
-    has at most `few` pieces, or rounding takes under a tenth of it, best fit places the rest.
+    has at most `few` pieces, or rounding takes under a tenth of it, best fit places the rest, its
+    work bounded by the lengths and configurations, not by the pieces.
     """
     left = {n: c for n, c in histogram.items() if n != capacity and c}
     out: Counter = Counter()

@@ -256,6 +256,30 @@ def test_packing_solver_is_near_the_bound():
     assert solve({}, 1024) == []
 
 
+def test_packing_driver_work_is_bounded_by_lengths():
+    from cadenza.llm.packing import best_fit, solve
+
+    assert solve({600: 10_000_000}, 1024) == [(((600, 1),), 10_000_000)]
+    assert sum(c for _, c in solve({700: 3_000_000, 100: 300_000}, 1024)) == 3_000_000
+    rnd = random.Random(4)
+    for _ in range(50):  # as many sequences as piece by piece
+        pieces = sorted((rnd.randrange(1, 41) for _ in range(rnd.randrange(1, 90))), reverse=True)
+        room: list[int] = []
+        for n in pieces:
+            fits = [r for r in room if r >= n]
+            free = min(fits) if fits else 40
+            if fits:
+                room.remove(free)
+            room.append(free - n)
+        plan = best_fit(Counter(pieces), 40)
+        held = Counter()
+        for config, copies in plan.items():
+            assert sum(n * c for n, c in config) <= 40
+            for n, c in config:
+                held[n] += c * copies
+        assert held == Counter(pieces) and sum(plan.values()) == len(room)
+
+
 def test_packing_odd(odd):
     from cadenza.llm.packing import pack
 
