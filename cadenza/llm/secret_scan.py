@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is a layer. From each layer further layers are unwrapped: percent escapes, Unicode and
-character escapes, base64 runs, and compressed data inside those. New layers join the worklist
+character escapes, base64 runs (also wrapped over lines, or with other characters of the alphabet
+before or behind them), and compressed data inside those. New layers join the worklist
 until there are none; a layer whose content has been seen before is not taken again, so the
 worklist ends even for data that unpacks to itself. Every layer is scanned with the same patterns,
 and each finding is mapped back to the span of the text that it was decoded from.
@@ -49,6 +50,12 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|(&#[^;]+;)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs on lines of their own, the last of which may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+#: Readable text, of the length of the shortest finding at least.
+_STRETCH = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]{12,}")
+_MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|\x28\xb5\x2f\xfd")
 _PACKED = re.compile(r"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|\x28\xb5\x2f\xfd")
 
 Span = tuple[str, int, int]
@@ -195,6 +202,57 @@ def _unbase64(run: str) -> bytes | None:
         return None
 
 
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Every base64 run and the places of its characters: on one line, or joined over lines.
+
+    Joined are all lines that follow each other, and lines of one length with a shorter one behind.
+    """
+    for m in _BASE64.finditer(text):
+        yield m.group(), np.arange(*m.span())
+    for m in _WRAPPED.finditer(text):
+        found = [*_LINE.finditer(text, *m.span())]
+        lines, words = [np.arange(*x.span()) for x in found], [x.group() for x in found]
+        yield "".join(words), np.concatenate(lines)
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and len(lines[j]) == len(lines[i]):
+                j += 1
+            k = j + (j < len(lines) and len(lines[j]) < len(lines[i]))
+            if k - i > 1 and k - i < len(lines):
+                yield "".join(words[i:k]), np.concatenate(lines[i:k])
+            i = j
+
+
+def _pieces(run: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(text, first and last character of the run, whether cut) of what the run decodes to.
+
+    Where it is not content as a whole, other text may stand before or behind it, so each of the four
+    alignments is searched for readable stretches and, where a run may begin, for compressed data.
+    """
+    raw = _unbase64(run)
+    inner, cut = _from_bytes(raw) if raw else (None, False)
+    if inner:
+        yield inner, 0, len(run), cut
+        return
+    begins = {i + 1 for i, c in enumerate(run) if c in "/-_+"} | {0, 1, 2, 3}
+    for r in range(4):
+        raw = _unbase64(run[r:]) or b""
+        for m in _MAGIC.finditer(raw):
+            if m.start() % 3 == 0 and (at := r + m.start() // 3 * 4) in begins:
+                got, cut = _unpacked(raw[m.start() :])
+                if got:
+                    yield got.decode("utf-8", "replace"), at, len(run), cut
+        at = 0
+        text = raw.decode("utf-8", "replace")
+        for m in _STRETCH.finditer(text):
+            # Replaced bytes count as one or more; the stretch itself is found again behind the last one.
+            part = m.group().encode()
+            at = raw.index(part, at)
+            yield m.group(), r + at // 3 * 4, min(len(run), r + -(-(at + len(part)) // 3) * 4), False
+            at += len(part)
+
+
 def unwrap(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """Every layer that this one holds, and whether it was cut."""
     text = layer.text
@@ -202,11 +260,9 @@ def unwrap(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         yield found, False
     if ("\\" in text or "&#" in text) and (found := _replaced(layer, _ESCAPE, _unescape)):
         yield found, False
-    for m in _BASE64.finditer(text):
-        raw = _unbase64(m.group())
-        inner, cut = _from_bytes(raw) if raw else (None, False)
-        if inner:
-            a, b = layer.origin(*m.span())
+    for run, places in _runs(text):
+        for inner, i, j, cut in _pieces(run):
+            a, b = layer.origin(int(places[i]), int(places[j - 1]) + 1)
             yield Layer(inner, np.full(len(inner), a), np.full(len(inner), b)), cut
     if layer.first is not None and _PACKED.search(text):
         for m in _PACKED.finditer(text):

@@ -321,6 +321,28 @@ def test_secrets_decoded():
     assert findings("%25252525252541")[1] == [] and findings("")[2] == 1
 
 
+def test_secrets_in_wrapped_and_joined_base64():
+    from cadenza.llm.secret_scan import findings, redacted
+
+    rnd = random.Random(6)
+    noise = "".join(rnd.choice("abcdefgh ijklmnop,.QRSTUV") for _ in range(400))
+    secret = 'token = "hunter2hunter2"'
+    for lead in range(30, 60):  # over the end of the first line of 76 columns
+        plain = (noise[:lead] + secret + noise[:150]).encode()
+        for raw in (plain, gzip.compress((noise + secret).encode()), zlib.compress((noise + secret).encode())):
+            lines = base64.encodebytes(raw).decode().rstrip("\n")
+            for wrapped in (lines, lines.replace("\n", "\r\n"), lines.replace("\n", "\n    "), "data:" + lines):
+                text = f"abc\n{wrapped}\n def"
+                assert {x[0] for x in findings(text)[1]} == {"assign"} and not findings(redacted(text))[1]
+    for raw in (secret.encode(), gzip.compress(secret.encode())):
+        b64 = base64.b64encode(raw).decode()
+        for before in ("path/", "key_", "a-", "some/longer/path_with-parts/", "ab/"):
+            for behind in ("", " x"):
+                text = f"see {before}{b64}{behind}"
+                assert {x[0] for x in findings(text)[1]} == {"assign"}, text
+                assert not findings(redacted(text))[1]
+
+
 def test_secrets_odd(odd):
     from cadenza.llm.secret_scan import redact_secrets, scan_secrets
 
