@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,25 +58,35 @@ def slices(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, i + 1
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time, so that few texts are Python objects at once."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 #: Odd base of the polynomial hash over bytes, modulo 2**64 (fixed value).
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+        p = np.full(n, b, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p, out=p))
+    return out[0], out[1]
+
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(1 << 19)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept between calls."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        m = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for k, b in enumerate((BASE, inverse)):
-            p = np.full(m, b, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            if len(_POWERS) > k:
-                _POWERS[k] = p
-            else:
-                _POWERS.append(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """BASE**i and BASE**-i for i < n; those of a usual length are kept between calls."""
+    up, down = _kept_powers() if n <= 1 << 19 else _new_powers(n)
+    return up[:n], down[:n]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

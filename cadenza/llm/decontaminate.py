@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ByteHashes, joined, slices, split_words, texts_of, word_table
+from cadenza.llm.common import ByteHashes, joined, slices, small_batches, split_words, texts_of, word_table
 
 FOLD, FLAGS = word_table(True, [*range(48, 58), *range(97, 123), *range(128, 256)])
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -249,7 +249,7 @@ def contamination(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
-        for b in batches:
+        for b in small_batches(batches, 1024):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
             for i, j in slices(map(len, texts), shard_bytes):
                 n_words, n_hit, items = hits(texts[i:j], [x.value for x in blocks])
@@ -282,7 +282,7 @@ def longest_matches(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in MATCHES.split(", ")]
-        for b in batches:
+        for b in small_batches(batches, 1024):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
             for i, j in slices(map(len, texts), shard_bytes):
                 ids = b.column(0).slice(i, j - i)
@@ -314,7 +314,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     k = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 1024):
             texts = [(t or "").encode() for t in b.column(k).to_pylist()]
             for i, j in slices(map(len, texts), shard_bytes):
                 _, n_hit, _ = hits(texts[i:j], [x.value for x in blocks])

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ByteHashes, joined, mix64, slices, texts_of
+from cadenza.llm.common import ByteHashes, joined, mix64, slices, small_batches, texts_of
 from cadenza.llm.language_id import remainder
 
 BITS = 18
+#: Bytes of text whose features are taken at once.
+SLICE = 1 << 18
 SCORES = "doc_id long, score double, predicted int"
 
 
@@ -175,9 +177,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows = texts_of(docs, id_col, text_col).join(F.broadcast(few), F.col("doc_id") == F.col("i"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for i, j in slices(map(len, texts), 2 << 20):
+            for i, j in slices(map(len, texts), SLICE):
                 doc, f = features(texts[i:j])
                 cuts = np.searchsorted(doc, np.arange(j - i + 1))
                 blobs = [f[x:y].astype(np.int32).tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
@@ -196,9 +198,9 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 weights, whatever the corpus
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for i, j in slices(map(len, texts), 2 << 20):
+            for i, j in slices(map(len, texts), SLICE):
                 s = shared.value.score(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -211,9 +213,9 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
     k = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = [(t or "").encode() for t in b.column(k).to_pylist()]
-            for i, j in slices(map(len, texts), 2 << 20):
+            for i, j in slices(map(len, texts), SLICE):
                 yield b.slice(i, j - i).filter(pa.array(shared.value.score(texts[i:j]) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

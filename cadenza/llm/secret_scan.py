@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import texts_of
+from cadenza.llm.common import small_batches, texts_of
 
 KINDS = ("assign", "access", "hex")
 MOST_UNPACKED = 64 << 20
@@ -307,7 +307,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 base, spans, n_layers, n_cut = findings(text or "")
@@ -336,7 +336,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     k = docs.columns.index(text_col)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = [None if t is None else redacted(t, mark) for t in b.column(k).to_pylist()]
             yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
 

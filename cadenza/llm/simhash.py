@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize, texts_of
+from cadenza.llm.common import materialize, small_batches, texts_of
 
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY = 0xAE3
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text_hash, fp): fp holds the fingerprint's bits as a signed long."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             fps = np.array([fingerprint((t or "").encode(), shingle) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
@@ -399,14 +399,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["doc_id", "text_hash", "fp", "views", "sig"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.slice(i, 1000)
-                texts = [(t or "").encode() for t in part.column(2).to_pylist()]
-                fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                views, sigs = zip(*(sampled(t, shingle, samples, size, places, least) for t in texts), strict=True)
-                columns = [part.column(0), part.column(1), pa.array(fps), pa.array(views, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for b in small_batches(batches):
+            texts = [(t or "").encode() for t in b.column(2).to_pylist()]
+            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            views, sigs = zip(*(sampled(t, shingle, samples, size, places, least) for t in texts), strict=True)
+            columns = [b.column(0), b.column(1), pa.array(fps), pa.array(views, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     source = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialize(source.mapInArrow(sketch, "doc_id long, text_hash long, fp long, views array<long>, sig binary"), "sketches")
