@@ -11,8 +11,13 @@ Kinds, each leftmost and without overlaps: `assign` (a name such as password or
 a value of 6 or more characters), `access` (AKIA key ids of 20 or more) and `hex` (24 or more lower-case
 hex digits). Spans count code points, the end exclusive.
 
-Null texts are empty. One layer is unpacked to at most MOST_UNPACKED bytes, which guards against
-archives that grow without bound; `n_cut` counts layers that were longer.
+Null texts are empty. Compressed data is read to its end, member by member, as a stream of parts of
+about PART characters, each of which is a layer; so memory does not grow with what it unpacks to, and
+time does. Parts end where no finding, escape or base64 run can cross. Where a run goes on for a whole
+part, or data asks for a larger window than WINDOW bytes, it cannot be read whole: `n_unread` counts
+such payloads, and redaction takes the whole payload. A layer knows its place in the layer that it
+comes from by segments, not by character. Chains of escapes inside escapes beyond CHAIN levels are
+taken to their end at once.
 """
 
 from __future__ import annotations
@@ -20,16 +25,19 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from io import BytesIO
 from urllib.parse import unquote_to_bytes
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +45,10 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import small_batches, texts_of
 
 KINDS = ("assign", "access", "hex")
-MOST_UNPACKED = 64 << 20
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_cut long"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_unread long"
+#: Characters of unpacked data that are a layer, bytes read at once, and the largest window of compressed data.
+PART, READ, WINDOW = 1 << 20, 1 << 16, 1 << 26
+CHAIN = 16
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -49,18 +59,27 @@ _NAMES = (b"passw", b"secret", b"token", b"api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|(&#[^;]+;)")
+#: An escape at the end of what has been read, and the most characters of one.
+_ENDS = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)\Z")
+_LONGEST = 10
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs on lines of their own, the last of which may be short.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+#: Characters that no finding, escape or run goes across.
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=.:'\"%\\&#;{} \t\r\n-]")
 #: Readable text, of the length of the shortest finding at least.
 _STRETCH = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]{12,}")
-_MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|\x28\xb5\x2f\xfd")
-_PACKED = re.compile(r"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|\x28\xb5\x2f\xfd")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 Span = tuple[str, int, int]
 
 
+class Unreadable(Exception):
+    """Compressed data that cannot be read within the bounds of memory."""
+
+
 def scan(text: str) -> list[Span]:
     """Findings of one layer."""
     out: list[Span] = []
@@ -75,101 +94,259 @@ def scan(text: str) -> list[Span]:
 
 @dataclass
 class Layer:
-    """Decoded text, and for each of its characters the span of the original it comes from."""
+    """Decoded text, and where it comes from in the layer that it was unwrapped from.
+
+    Segment k begins at starts[k]; character i of it comes from width characters beginning at
+    begin + (i - starts[k]) * width, or, with a width of 0, from all of begin to end.
+    """
 
     text: str
-    first: np.ndarray | None = None  # None: the original itself
-    last: np.ndarray | None = None
+    parent: Layer | None = None
+    starts: list[int] = field(default_factory=list)
+    segments: list[tuple[int, int, int]] = field(default_factory=list)  # begin, end, width
+    chain: int = 0  # levels of escapes above
+
+    def _place(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.starts, i) - 1
+        begin, end, width = self.segments[k]
+        return (begin + (i - self.starts[k]) * width, begin + (i - self.starts[k] + 1) * width) if width else (begin, end)
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.first is None:
-            return start, end
-        return int(self.first[start:end].min()), int(self.last[start:end].max())
+        """The span of the original text that characters start to end come from."""
+        layer: Layer = self
+        while layer.parent is not None:
+            start, end = layer._place(start)[0], layer._place(end - 1)[1]
+            layer = layer.parent
+        return start, end
+
+
+def _within(layer: Layer, text: str, a: int, b: int) -> Layer:
+    """A layer all of which comes from characters a to b."""
+    return Layer(text, layer, [0], [(a, b, 0)])
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every match decoded; decode gives (text, characters of the match behind each, or 0 for all)."""
+def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[str], list[tuple[str, int, int]]]) -> Layer | None:
+    """The layer with every match decoded; decode gives (text, characters of the match behind it, and those behind each of its characters, or 0)."""
     parts: list[str] = []
-    first: list[np.ndarray] = []
-    last: list[np.ndarray] = []
-    n = len(layer.text)
-    own_first = layer.first if layer.first is not None else np.arange(n)
-    own_last = layer.last if layer.last is not None else np.arange(1, n + 1)
-    at = 0
+    starts: list[int] = []
+    segments: list[tuple[int, int, int]] = []
+    at = n = 0
+
+    def add(text: str, begin: int, end: int, width: int) -> None:
+        nonlocal n
+        if text:
+            parts.append(text)
+            starts.append(n)
+            segments.append((begin, end, width))
+            n += len(text)
+
     for m in pattern.finditer(layer.text):
-        pieces = decode(m.group())
-        if pieces is None:
-            continue
-        parts.append(layer.text[at : m.start()])
-        first.append(own_first[at : m.start()])
-        last.append(own_last[at : m.start()])
+        add(layer.text[at : m.start()], at, m.start(), 1)
         k = m.start()
-        for text, width in pieces:
-            parts.append(text)
-            first.append(np.full(len(text), own_first[k : k + width].min()))
-            last.append(np.full(len(text), own_last[k : k + width].max()))
-            k += width
+        for text, size, width in decode(m.group()):
+            add(text, k, k + size, width)
+            k += size
         at = m.end()
     if not at:
         return None
-    parts.append(layer.text[at:])
-    return Layer("".join(parts), np.concatenate([*first, own_first[at:]]), np.concatenate([*last, own_last[at:]]))
+    add(layer.text[at:], at, len(layer.text), 1)
+    return Layer("".join(parts), layer, starts, segments, layer.chain + 1)
 
 
-def _unpercent(run: str) -> list[tuple[str, int]]:
+def _unpercent(run: str) -> list[tuple[str, int, int]]:
     raw = unquote_to_bytes(run)
     if raw.isascii():
-        return [(chr(b), 3) for b in raw]
+        return [(raw.decode(), len(run), 3)]
     try:
-        return [(raw.decode(), len(run))]
+        return [(raw.decode(), len(run), 0)]
     except UnicodeDecodeError:
-        return [(raw.decode("latin-1"), len(run))]
+        return [(raw.decode("latin-1"), len(run), 3)]
 
 
-def _unescape(run: str) -> list[tuple[str, int]]:
-    out: list[tuple[str, int]] = []
+def _one(m: re.Match) -> str:
+    """The character of one escape."""
+    if m[3]:
+        return html.unescape(m[3])
+    code = int(m[1] or m[2], 16)
+    return chr(code) if code < 0x110000 else "\ufffd"
+
+
+def _unescape(run: str) -> list[tuple[str, int, int]]:
+    joined: list[tuple[str, int, int]] = []
     for m in _ONE_ESCAPE.finditer(run):
-        if m[3]:
-            text = html.unescape(m[3])
-        else:
-            code = int(m[1] or m[2], 16)
-            text = chr(code) if code < 0x110000 else "�"
-        out.append((text, len(m.group())))
-    joined: list[tuple[str, int]] = []
-    for text, width in out:  # two halves of a surrogate pair are one character
+        text, size = _one(m), len(m.group())
+        # Two halves of a surrogate pair are one character.
         if joined and len(text) == 1 and "\udc00" <= text <= "\udfff" and len(joined[-1][0]) == 1 and "\ud800" <= joined[-1][0] <= "\udbff":
-            high, w = joined.pop()
-            joined.append(((high + text).encode("utf-16", "surrogatepass").decode("utf-16"), w + width))
+            high, before, _ = joined.pop()
+            joined.append(((high + text).encode("utf-16", "surrogatepass").decode("utf-16"), before + size, 0))
         else:
-            joined.append((text, width))
+            joined.append((text, size, 0))
     return joined
 
 
-def _unpacked(raw: bytes) -> tuple[bytes | None, bool]:
-    """Content of compressed data, and whether it was longer than MOST_UNPACKED."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"x" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, MOST_UNPACKED)
-            return out, bool(d.unconsumed_tail)
-        if raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return d.decompress(raw, MOST_UNPACKED), not d.eof and not d.needs_input
-        if raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=256 << 20)
-            return d.decompress(raw, MOST_UNPACKED), not d.eof and not d.needs_input
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
+def settled(layer: Layer) -> Layer:
+    """The layer with escapes decoded until none is left, also those that decoding makes.
+
+    A decoded character is read again behind what comes before it, so each step costs no more than
+    the longest escape, however deep the chain is.
+    """
+    text = layer.text
+    chars: list[str] = []
+    first, last = array("q"), array("q")
+    for i, c in enumerate(text):
+        a, b = i, i + 1
+        while True:
+            chars.append(c)
+            first.append(a)
+            last.append(b)
+            if c not in "0123456789abcdefABCDEF;}" or not (m := _ENDS.search("".join(chars[-_LONGEST:]))):
+                break
+            n = len(m.group())
+            a, b = first[len(first) - n], last[-1]
+            del chars[-n:], first[-n:], last[-n:]
+            one = m.group()
+            c = chr(int(one[1:], 16)) if one[0] == "%" else _one(_ONE_ESCAPE.match(one))
+            if len(c) != 1:
+                chars.append("\ufffd")
+                first.append(a)
+                last.append(b)
+                break
+    starts, segments = [], []
+    for k, (a, b) in enumerate(zip(first, last, strict=True)):
+        if b - a == 1 and segments and segments[-1][2] == 1 and segments[-1][1] == a:
+            segments[-1] = (segments[-1][0], b, 1)
+        else:
+            starts.append(k)
+            segments.append((a, b, 1 if b - a == 1 else 0))
+    return Layer("".join(chars), layer, starts, segments)
+
+
+class _Latin:
+    """The bytes of a text from a place to the first character that is none, as a file."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.start, self.at = text, at, at
+
+    def read(self, n: int = READ) -> bytes:
+        part = self.text[self.at : self.at + n]
+        try:
+            raw = part.encode("latin-1")
+        except UnicodeEncodeError as e:
+            raw = part[: e.start].encode("latin-1")
+        self.at += len(raw)
+        return raw
+
+    def put_back(self, n: int) -> None:
+        self.at -= n
+
+
+class _Chunks:
+    """An iterator of bytes as a file, with what has been looked at put back."""
+
+    def __init__(self, chunks: Iterator[bytes], head: bytes):
+        self.chunks, self.head = chunks, head
+
+    def read(self, n: int = READ) -> bytes:
+        out = self.head or next(self.chunks, b"")
+        self.head = out[n:]
+        return out[:n]
+
+
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"x" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=WINDOW + (16 << 20))
+    return None
+
+
+def _members(file) -> Iterator[bytes]:
+    """What compressed data holds, member after member, in pieces of at most READ bytes; nothing where it is none."""
+    size = 256  # most data that only looks compressed shows it early
+    data = file.read(size)
+    while len(data) > 5:
+        if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as r:
-                return r.read(MOST_UNPACKED), bool(r.read(1))
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError):
-        return None, False
-    except Exception as e:
-        if type(e).__module__.startswith("zstandard") or type(e).__name__ == "ZstdError":
-            return None, False
-        raise
-    return None, False
+            try:
+                with zstandard.ZstdDecompressor(max_window_size=WINDOW).stream_reader(_Chunks(iter(lambda: file.read(READ), b""), data), read_across_frames=True, closefd=False) as r:
+                    while part := r.read(READ):
+                        yield part
+            except zstandard.ZstdError as e:
+                if "memory" in str(e) or "window" in str(e).lower():
+                    raise Unreadable from e
+            return
+        d = _decompressor(data)
+        if d is None:
+            break
+        try:
+            while True:
+                if part := d.decompress(data, READ):
+                    yield part
+                if d.eof:
+                    break
+                data = getattr(d, "unconsumed_tail", b"")
+                if not data and getattr(d, "needs_input", True) and not (data := file.read(size := min(READ, 4 * size))):
+                    if not part:
+                        return
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError) as e:
+            if "memory" in str(e).lower():
+                raise Unreadable from e
+            return
+        data = d.unused_data
+        if len(data) < 6:
+            data += file.read(READ)
+    if isinstance(file, _Latin):
+        file.put_back(len(data))
+
+
+def _content(file) -> Iterator[bytes]:
+    """What compressed data holds in the end; data that is compressed again is unpacked again, unless it has been seen."""
+    chunks = _members(file)
+    seen: set[bytes] = set()
+    while head := next(chunks, b""):
+        key = hashlib.blake2b(head, digest_size=16).digest()
+        if not _MAGIC.match(head) or key in seen:
+            yield head
+            yield from chunks
+            return
+        seen.add(key)
+        inner = _members(_Chunks(chunks, head))
+        if not (first := next(inner, b"")):
+            yield head  # looked compressed, but is not
+            yield from chunks
+            return
+        chunks = _joined(first, inner)
+
+
+def _joined(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
+
+
+def _parts(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """(text, whether a run was cut at its end) of bytes, in parts of about PART characters."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held: list[str] = []
+    n = 0
+    for c in chunks:
+        held.append(decode(c))
+        n += len(held[-1])
+        if n < PART:
+            continue
+        text = "".join(held)
+        at = next((m.end() for m in _BREAK.finditer(text[: PART // 2 - 1 : -1])), None)
+        cut = len(text) if at is None else len(text) - at + 1
+        yield text[:cut], at is None
+        # A run that has been cut is taken up a little before.
+        held = [text[cut - 4096 if at is None else cut :]]
+        n = len(held[0])
+    if n:
+        yield "".join(held) + decode(b"", True), False
 
 
 def _readable(raw: bytes) -> str | None:
@@ -178,20 +355,11 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    plain = sum(c.isprintable() or c in "\t\n\r" for c in text)
+    plain = sum(map(len, re.findall(r"[\t\n\r\x20-\x7e]+", text)))
+    plain += sum(c.isprintable() for c in re.findall(r"[^\x00-\x7f]", text))
     return text if text and plain >= 0.9 * len(text) else None
 
 
-def _from_bytes(raw: bytes) -> tuple[str | None, bool]:
-    """The layer that decoded bytes hold: what they unpack to if compressed, else their text."""
-    cut = False
-    got, was_cut = _unpacked(raw)
-    if got is not None:
-        raw, cut = got, was_cut
-        return raw.decode("utf-8", "replace"), cut
-    return _readable(raw), cut
-
-
 def _unbase64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -202,99 +370,162 @@ def _unbase64(run: str) -> bytes | None:
         return None
 
 
-def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
-    """Every base64 run and the places of its characters: on one line, or joined over lines.
+@dataclass
+class Run:
+    """A base64 run, and where its lines begin in it and in the text."""
+
+    text: str
+    starts: list[int]
+    places: list[int]
+
+    def place(self, i: int) -> int:
+        k = bisect_right(self.starts, i) - 1
+        return self.places[k] + i - self.starts[k]
+
+
+def _lines(found: list[re.Match]) -> Run:
+    starts, n = [], 0
+    for m in found:
+        starts.append(n)
+        n += len(m.group())
+    return Run("".join(m.group() for m in found), starts, [m.start() for m in found])
+
+
+def _runs(text: str) -> Iterator[Run]:
+    """Every base64 run: on one line, or joined over lines.
 
     Joined are all lines that follow each other, and lines of one length with a shorter one behind.
     """
     for m in _BASE64.finditer(text):
-        yield m.group(), np.arange(*m.span())
+        yield _lines([m])
     for m in _WRAPPED.finditer(text):
         found = [*_LINE.finditer(text, *m.span())]
-        lines, words = [np.arange(*x.span()) for x in found], [x.group() for x in found]
-        yield "".join(words), np.concatenate(lines)
+        size = [len(x.group()) for x in found]
+        yield _lines(found)
         i = 0
-        while i < len(lines):
+        while i < len(found):
             j = i + 1
-            while j < len(lines) and len(lines[j]) == len(lines[i]):
+            while j < len(found) and size[j] == size[i]:
                 j += 1
-            k = j + (j < len(lines) and len(lines[j]) < len(lines[i]))
-            if k - i > 1 and k - i < len(lines):
-                yield "".join(words[i:k]), np.concatenate(lines[i:k])
+            k = j + (j < len(found) and size[j] < size[i])
+            if k - i > 1 and k - i < len(found):
+                yield _lines(found[i:k])
             i = j
 
 
-def _pieces(run: str) -> Iterator[tuple[str, int, int, bool]]:
-    """(text, first and last character of the run, whether cut) of what the run decodes to.
+def _payloads(run: str) -> Iterator[tuple[Iterator[bytes] | str, int, int]]:
+    """(content, first and last character of the run) of what the run decodes to.
 
     Where it is not content as a whole, other text may stand before or behind it, so each of the four
     alignments is searched for readable stretches and, where a run may begin, for compressed data.
     """
-    raw = _unbase64(run)
-    inner, cut = _from_bytes(raw) if raw else (None, False)
-    if inner:
-        yield inner, 0, len(run), cut
+    raw = _unbase64(run) or b""
+    if _MAGIC.match(raw):
+        inner = _content(BytesIO(raw))
+        if first := next(inner, b""):
+            yield _joined(first, inner), 0, len(run)
+            return
+    if text := _readable(raw):
+        yield text, 0, len(run)
         return
-    begins = {i + 1 for i, c in enumerate(run) if c in "/-_+"} | {0, 1, 2, 3}
+    begins = {0, 1, 2, 3}.union(m.end() for m in re.finditer(r"[/_+-]", run))
     for r in range(4):
-        raw = _unbase64(run[r:]) or b""
+        raw = raw if r == 0 else _unbase64(run[r:]) or b""
         for m in _MAGIC.finditer(raw):
             if m.start() % 3 == 0 and (at := r + m.start() // 3 * 4) in begins:
-                got, cut = _unpacked(raw[m.start() :])
-                if got:
-                    yield got.decode("utf-8", "replace"), at, len(run), cut
+                file = BytesIO(raw)
+                file.seek(m.start())
+                inner = _content(file)
+                if first := next(inner, b""):
+                    yield _joined(first, inner), at, len(run)
         at = 0
-        text = raw.decode("utf-8", "replace")
-        for m in _STRETCH.finditer(text):
+        for m in _STRETCH.finditer(raw.decode("utf-8", "replace")):
             # Replaced bytes count as one or more; the stretch itself is found again behind the last one.
             part = m.group().encode()
             at = raw.index(part, at)
-            yield m.group(), r + at // 3 * 4, min(len(run), r + -(-(at + len(part)) // 3) * 4), False
+            yield m.group(), r + at // 3 * 4, min(len(run), r + -(-(at + len(part)) // 3) * 4)
             at += len(part)
 
 
-def unwrap(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """Every layer that this one holds, and whether it was cut."""
+def unwrap(layer: Layer, unread: set[tuple[int, int]]) -> Iterator[Layer]:
+    """Every layer that this one holds, one after the other; unread gets the spans of payloads that cannot be read whole."""
     text = layer.text
-    if "%" in text and (found := _replaced(layer, _PERCENT, _unpercent)):
-        yield found, False
-    if ("\\" in text or "&#" in text) and (found := _replaced(layer, _ESCAPE, _unescape)):
-        yield found, False
-    for run, places in _runs(text):
-        for inner, i, j, cut in _pieces(run):
-            a, b = layer.origin(int(places[i]), int(places[j - 1]) + 1)
-            yield Layer(inner, np.full(len(inner), a), np.full(len(inner), b)), cut
-    if layer.first is not None and _PACKED.search(text):
-        for m in _PACKED.finditer(text):
-            n = next((i for i, c in enumerate(text[m.start() :]) if ord(c) > 255), len(text) - m.start())
-            raw = text[m.start() : m.start() + n].encode("latin-1")
-            got, cut = _unpacked(raw)
-            if got:
-                a, b = layer.origin(m.start(), m.start() + n)
-                inner = got.decode("utf-8", "replace")
-                yield Layer(inner, np.full(len(inner), a), np.full(len(inner), b)), cut
-
 
-def findings(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """(base spans, all spans, layers scanned, layers cut) of a text."""
+    def parts(content: Iterator[bytes] | str, a: int, b: int) -> Iterator[Layer]:
+        if isinstance(content, str):
+            yield _within(layer, content, a, b)
+            return
+        try:
+            for part, is_cut in _parts(content):
+                if is_cut:
+                    unread.add(layer.origin(a, b))
+                yield _within(layer, part, a, b)
+        except Unreadable:
+            unread.add(layer.origin(a, b))
+
+    escapes = [p for p, d in ((_PERCENT, "%" in text), (_ESCAPE, "\\" in text or "&#" in text)) if d and p.search(text)]
+    if escapes and layer.chain >= CHAIN:
+        yield settled(layer)
+    else:
+        for p in escapes:
+            yield _replaced(layer, p, _unpercent if p is _PERCENT else _unescape)
+    for run in _runs(text):
+        try:
+            for content, i, j in _payloads(run.text):
+                yield from parts(content, run.place(i), run.place(j - 1) + 1)
+        except Unreadable:
+            unread.add(layer.origin(run.place(0), run.place(len(run.text) - 1) + 1))
+    if layer.parent is not None:
+        for m in _PACKED.finditer(text):
+            file = _Latin(text, m.start())
+            try:
+                inner = _content(file)
+                if first := next(inner, b""):
+                    got = [*_parts(_joined(first, inner))] if len(first) < READ else None
+                    if got is not None:  # read to its end, so its span is known
+                        for part, _ in got:
+                            yield _within(layer, part, m.start(), max(file.at, m.start() + 1))
+                    else:
+                        yield from parts(_joined(first, inner), m.start(), _end(text, m.start()))
+            except Unreadable:
+                unread.add(layer.origin(m.start(), _end(text, m.start())))
+
+
+def _end(text: str, at: int) -> int:
+    """Where the bytes that begin at `at` end."""
+    file = _Latin(text, at)
+    while file.read():
+        pass
+    return file.at
+
+
+def findings(text: str) -> tuple[list[Span], list[Span], int, list[tuple[int, int]]]:
+    """(base spans, all spans, layers scanned, payloads that could not be read whole) of a text."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(scan(text), key=order)
     found = set(base)
-    seen = {hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()}
-    work, n_layers, n_cut = [Layer(text)], 1, 0
-    while work:
-        for inner, cut in unwrap(work.pop()):
-            n_cut += cut
-            key = hashlib.blake2b(inner.text.encode(errors="replace"), digest_size=16)
-            if inner.first is not None and len(inner.first):
-                key.update(b"%d" % int(inner.first[0]))
-            if (k := key.digest()) in seen:
-                continue
-            seen.add(k)
+    unread: set[tuple[int, int]] = set()
+    seen = {_key(Layer(text))}
+    n_layers = 1
+    work = [unwrap(Layer(text), unread)]
+    while work:  # the layer unwrapped last goes first, so few are held at once
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        elif (key := _key(inner)) not in seen:
+            seen.add(key)
             n_layers += 1
             found.update((kind, *inner.origin(a, b)) for kind, a, b in scan(inner.text))
-            work.append(inner)
-    return base, sorted(found, key=order), n_layers, n_cut
+            work.append(unwrap(inner, unread))
+    return base, sorted(found, key=order), n_layers, sorted(unread)
+
+
+def _key(layer: Layer) -> bytes:
+    """A layer's content and place."""
+    h = hashlib.blake2b(layer.text.encode(errors="replace"), digest_size=16)
+    if layer.parent is not None and layer.text:
+        h.update(b"%d" % layer.origin(0, 1)[0])
+    return h.digest()
 
 
 def joined_spans(spans: list[Span]) -> str:
@@ -310,9 +541,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in small_batches(batches):
             rows = []
             for text in b.column(1).to_pylist():
-                base, spans, n_layers, n_cut = findings(text or "")
+                base, spans, n_layers, unread = findings(text or "")
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(joined_spans(base).encode()).hexdigest(), joined_spans(spans), n_layers, n_cut))
+                rows.append((*counts, hashlib.sha256(joined_spans(base).encode()).hexdigest(), joined_spans(spans), n_layers, len(unread)))
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
@@ -320,15 +551,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
-    """The text with every found span, of any layer, replaced by a mark."""
-    _, spans, _, _ = findings(text)
+    """The text with every found span, of any layer, and every payload that could not be read whole, replaced by a mark."""
+    _, spans, _, unread = findings(text)
     out: list[str] = []
     at = 0
-    for _, a, b in spans:
+    for a, b in sorted([*((a, b) for _, a, b in spans), *unread]):
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
-    return "".join([*out, text[at:]]) if spans else text
+    return "".join([*out, text[at:]]) if out else text
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:

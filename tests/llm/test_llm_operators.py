@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
 import urllib.parse
@@ -536,3 +537,70 @@ def test_similar_groups_are_exact(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in similar_groups(df).collect()}
     assert [i for i, w in enumerate(want) if got[i] != w] == []
+
+
+def test_secrets_random_nesting():
+    """Every secret planted under up to four random encodings is found, inside the span that hides it."""
+    import bz2
+    import lzma
+
+    import zstandard
+
+    from cadenza.llm.secret_scan import findings, redacted
+
+    rng = random.Random(7)
+    b64 = lambda b: base64.b64encode(b).decode()
+    ways = [
+        lambda s: urllib.parse.quote(s, safe=""),
+        lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"&#x{ord(c):x};" for c in s),
+        lambda s: b64(s.encode()),
+        lambda s: b64(s.encode()).replace("+", "-").replace("/", "_"),
+        lambda s: b64(gzip.compress(s.encode())),
+        lambda s: b64(gzip.compress(zlib.compress(s.encode()))),
+        lambda s: b64(gzip.compress(b"first member, ") + gzip.compress(s.encode())),
+        lambda s: b64(bz2.compress(s.encode())),
+        lambda s: b64(lzma.compress(s.encode())),
+        lambda s: b64(zstandard.compress(s.encode())),
+        lambda s: "".join(f"%{b:02x}" for b in zlib.compress(s.encode())),
+    ]
+    secrets = [('token = "hunter2hunter2"', "assign"), ("AKIA" + "QRST1234" * 2, "access"), ("deadbeef01" * 3, "hex")]
+    for _ in range(150):
+        secret, kind = rng.choice(secrets)
+        hidden = f"\n{secret}\n"
+        for way in rng.choices(ways, k=rng.randint(1, 4)):
+            hidden = way(hidden)
+        text = f"before ({hidden}) behind"
+        inside = [(a, b) for k, a, b in findings(text)[1] if k == kind and a >= 8 and b <= 8 + len(hidden)]
+        assert inside, (secret, hidden)
+        assert not any(k == kind for k, _, _ in findings(redacted(text))[1])
+
+
+def test_secrets_cost():
+    """Text that looks compressed everywhere, deep chains, and data that unpacks to far more than memory should hold."""
+    import subprocess
+    import sys
+    import time
+
+    from cadenza.llm.secret_scan import findings
+
+    began = time.time()
+    assert findings("x^2 + y " * 125_000 + "%41")[1:] == ([], 2, [])
+    assert ("assign", 40_004, 40_020) in findings("%" + "25" * 20_000 + "41 token%3Dabcdefgh")[1]
+    assert time.time() - began < 30
+    code = """if True:
+        import base64, resource, zlib
+        from cadenza.llm.secret_scan import findings, redacted
+        line = b"hello there, world; "
+        for filler, unread in ((line, 0), (b"a", 1)):
+            z = zlib.compressobj(9)
+            packed = b"".join([*(z.compress(filler * (1_000_000 // len(filler))) for _ in range(80)), z.compress(b" token=hunter2hunter2 "), z.flush()])
+            text = "x " + base64.b64encode(packed).decode() + " y"
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+            _, spans, _, cut = findings(text)
+            assert ("assign", 2, len(text) - 2) in spans and len(cut) == unread, (spans, cut)
+            assert redacted(text) == "x [SECRET] y"
+            assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+    """
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
