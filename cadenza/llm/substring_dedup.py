@@ -14,9 +14,14 @@ piece of `gram` bytes with the least hash in the window. Equal windows have equa
 3. for anchors with several kinds of runs, the bytes of the first run of each kind are fetched. Their
    windows are the suffixes of a small text; they are put in suffix order, and from previous and
    next smaller positions in that order come the longest previous factors, to `length` bytes.
-   Anchors with very many kinds are dealt out window by window instead, as a hash of the window;
+   Anchors with over `wide` kinds of runs are dealt out window by window, each window with its
+   bytes, so the suffixes of one anchor are ordered in many tasks; a task sends a window once;
 4. each document gathers its repeated ranges and drops them.
 
+An anchor found frequent in a sample of the documents is dealt out by context from the start, so no
+task gets all its runs. `wide` and the sample decide who does the work, not what is found. Runs count as
+equal by 64 bits of their context and 32 of their anchor, windows by their bytes.
+
 Null texts are empty. Rows that repeat both doc_id and text count as one document, and each of them
 gets that document's result; rows that repeat a doc_id with another text are documents of their own,
 in the order of their texts' crc32. Null ids sort first. A document under `length` bytes is kept.
@@ -32,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ByteHashes, joined, materialize, mix64, shuffle_partitions, slices, texts_of
+from cadenza.llm.common import ByteHashes, joined, materialize, mix64, shuffle_partitions, slices, small_batches, texts_of
 
 NO_ID = -(1 << 63)
 TEXTS = "doc_id long, doc long, tie long, z binary"
 PARTS = "bucket int, kind int, blob binary"
 FOUND = "kind int, doc long, tie long, lo int, hi int, off int, anchor long"
-CONTEXTS = "fine boolean, anchor long, doc long, tie long, lo int, bytes binary"
+CONTEXTS = "kind int, key long, doc long, tie long, lo int, hi int, bytes binary"
 RANGES = "doc long, tie long, lo int, hi int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: What an anchor's run is sent as.
@@ -200,21 +205,25 @@ def merged_by_document(doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, hi: np.
     return doc[k], tie[k], (a - step[k]).astype(np.int32), (b - step[k]).astype(np.int32)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc, tie, z): text compressed for the exchange; tie tells apart texts that share an id."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc, tie, text); tie tells apart texts that share an id."""
     rows = texts_of(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     repeats = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    rows = rows.withColumn("tie", F.crc32("text") if repeats else F.lit(0).cast("long"))
+    return rows.select("doc_id", "doc", (F.crc32("text") if repeats else F.lit(0).cast("long")).alias("tie"), "text")
+
+
+def _compressed(rows: DataFrame) -> DataFrame:
+    """(doc_id, doc, tie, z): texts compressed for an exchange."""
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in small_batches(batches):
             packed = [z.compress(t.encode()) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(packed, pa.binary())], ["doc_id", "doc", "tie", "z"])
 
-    return rows.select("doc_id", "doc", "tie", "text").mapInArrow(compress, TEXTS)
+    return rows.mapInArrow(compress, TEXTS)
 
 
 def _plain(z: list[bytes]) -> list[bytes]:
@@ -230,11 +239,35 @@ def _found(kind, doc, tie, lo, hi, off, anchor) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in FOUND.split(", ")])
 
 
-def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush: int = 1 << 18, shard_bytes: int = 1 << 18) -> DataFrame:
+def frequent_anchors(rows: DataFrame, length: int, gram: int, n_parts: int, sample_rows: int = 2000) -> np.ndarray:
+    """Anchors with so many runs that one would be a large part of what a task should get, in order.
+
+    They are counted in a sample of the documents, which decides how the work is dealt, not what is
+    found. An anchor counts from an eighth of a task's share on, so there are at most 8 x n_parts.
+    """
+    n = rows.count()
+    part = max(1, n // max(sample_rows, 16 * n_parts))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            texts = [t.encode() for t in b.column(0).to_pylist()]
+            for i, j in slices(map(len, texts), 1 << 18):
+                values, k = np.unique(anchors(texts[i:j], length, gram)[4] >> np.uint64(32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(k)], ["anchor", "n"])
+
+    picked = rows.filter(F.pmod(F.xxhash64("doc", "tie"), F.lit(part)) == 0) if part > 1 else rows
+    sizes = materialize(picked.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    least = max(32, total // (8 * n_parts))
+    return np.array(sorted(r.anchor for r in sizes.filter(F.col("n") >= least).collect()), np.uint32)
+
+
+def repeated_ranges(rows: DataFrame, length: int, gram: int, wide: int, flush: int = 1 << 18, shard_bytes: int = 1 << 18, sample_rows: int = 2000) -> DataFrame:
     """(doc, tie, lo, hi): byte ranges covered by windows that also start earlier."""
-    spark = keyed.sparkSession
+    spark = rows.sparkSession
     n_parts = shuffle_partitions(spark)
     n_buckets = 4 * n_parts
+    frequent = frequent_anchors(rows, length, gram, n_parts, sample_rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -243,27 +276,30 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush:
             nonlocal held, size
             runs, copy = copies(np.concatenate(held))
             held, size = [], 0
-            rows = []
+            packed = []
             if copy.any():
                 c = runs[copy]
                 doc, tie, lo, hi = merged_by_document(c["doc"], c["tie"], c["lo"], c["hi"] + length)
                 local = np.zeros(len(doc), RUN)
                 local["doc"], local["tie"], local["lo"], local["hi"] = doc, tie, lo, hi
                 bucket = (mix64(doc.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-                rows += [(int(k), COPY, _packed(local[bucket == k])) for k in np.unique(bucket)]
+                packed += [(int(k), COPY, _packed(local[bucket == k])) for k in np.unique(bucket)]
             runs = runs[~copy]
             runs = runs[_new(runs, "anchor", "context", "doc", "tie", "lo")]  # rows given twice
             runs = runs[np.lexsort(_place(runs))]
-            bucket = (runs["anchor"] % n_buckets).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            values, begin = np.unique(bucket[order], return_index=True)
-            for k, part in zip(values, np.split(runs[order], begin[1:]), strict=True):
-                rows.append((int(k), FETCH, _packed(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "blob"])
-
-        for b in (b.slice(k, 128) for b in batches for k in range(0, len(b), 128)):
-            texts = _plain(b.column(3).to_pylist())
-            doc, tie = b.column(1).to_numpy(), b.column(2).to_numpy()
+            # Equal runs meet by anchor, those of a frequent anchor by their context.
+            spread = np.isin(runs["anchor"], frequent)
+            bucket = np.where(spread, runs["context"] % np.uint64(n_buckets), runs["anchor"] % n_buckets).astype(np.int64)
+            for kind, some in ((FETCH, np.flatnonzero(~spread)), (FINE, np.flatnonzero(spread))):
+                if len(some):
+                    order = some[np.argsort(bucket[some], kind="stable")]
+                    values, begin = np.unique(bucket[order], return_index=True)
+                    packed += [(int(k), kind, _packed(part)) for k, part in zip(values, np.split(runs[order], begin[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "blob"])
+
+        for b in small_batches(batches, 128):
+            texts = [t.encode() for t in b.column(2).to_pylist()]
+            doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in slices(map(len, texts), shard_bytes):
                 text, lo, hi, at, h, context = anchors(texts[i:j], length, gram)
                 runs = np.zeros(len(text), RUN)
@@ -277,62 +313,99 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush:
             yield from out()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[np.ndarray]] = {FETCH: [], FINE: []}
+        size = 0
         now = None
 
+        def first_runs(kind: int) -> Iterator[pa.RecordBatch]:
+            """Leaves the first of equal runs; the others are copies."""
+            runs, copy = copies(np.concatenate(held[kind]))
+            c = runs[copy]
+            yield _found(COPY, c["doc"], c["tie"], c["lo"], c["hi"] + length, 0, 0)
+            runs = runs[~copy]
+            held[kind] = [runs[_new(runs, "anchor", "context")]]
+
         def out() -> Iterator[pa.RecordBatch]:
-            for x in held.pop(COPY, []):
-                yield _found(COPY, x["doc"], x["tie"], x["lo"], x["hi"], 0, 0)
-            if parts := held.pop(FETCH, []):
-                runs, copy = copies(np.concatenate(parts))
-                c = runs[copy]
-                yield _found(COPY, c["doc"], c["tie"], c["lo"], c["hi"] + length, 0, 0)
-                runs = runs[~copy]
-                runs = runs[_new(runs, "anchor", "context")]
+            for kind in (FETCH, FINE):
+                if not held[kind]:
+                    continue
+                yield from first_runs(kind)
+                runs = held[kind].pop()
                 group = np.cumsum(_new(runs, "anchor")) - 1
                 kinds = np.bincount(group)[group] if len(runs) else np.zeros(0, int)
-                for kind, some in ((FETCH, (kinds > 1) & (kinds <= many)), (FINE, kinds > many)):
+                by_window = (kinds > wide) | (kind == FINE)
+                for to, some in ((FETCH, (kinds > 1) & ~by_window), (FINE, by_window)):
                     r = runs[some]
-                    yield _found(kind, r["doc"], r["tie"], r["lo"], r["hi"], r["off"], r["anchor"])
+                    yield _found(to, r["doc"], r["tie"], r["lo"], r["hi"], r["off"], r["anchor"])
 
         for b in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now and now is not None:
                     yield from out()
+                    size = 0
                 now = bucket
-                held.setdefault(kind, []).append(_unpacked(blob))
+                x = _unpacked(blob)
+                if kind == COPY:
+                    yield _found(COPY, x["doc"], x["tie"], x["lo"], x["hi"], 0, 0)
+                    continue
+                held[kind].append(x)
+                size += len(x)
+                if size > 4 * flush:
+                    for k in (FETCH, FINE):
+                        if held[k]:
+                            yield from first_runs(k)
+                    size = flush * (sum(len(x) for v in held.values() for x in v) // flush)
         yield from out()
 
-    sent = keyed.mapInArrow(send, PARTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    sent = rows.select("doc", "tie", "text").mapInArrow(send, PARTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     found = materialize(sent.mapInArrow(resolve, FOUND), "runs")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in CONTEXTS.split(", ")]
-        for b in batches:
-            rows: list[tuple] = []
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        packed: list[tuple] = []
+        seen: dict[bytes, tuple[int, int, int]] = {}  # windows that this task has sent, and where
+
+        def windows(text: bytes, doc: int, tie: int, lo: int, hi: int) -> None:
+            nonlocal seen
+            if len(seen) > 1 << 17:
+                seen = {}
+            h = ByteHashes(np.frombuffer(text[lo : hi + length], np.uint8))
+            at = np.arange(hi - lo + 1)
+            for key, i in zip(h.between(at, at + length).view(np.int64).tolist(), range(lo, hi + 1), strict=True):
+                w = text[i : i + length]
+                if w in seen and seen[w] < (doc, tie, i):
+                    last = packed[-1] if packed else None
+                    if last and last[0] == COPY and last[2:4] == (doc, tie) and last[4] <= i <= last[5]:
+                        packed[-1] = (*last[:5], i + length, b"")
+                    else:
+                        packed.append((COPY, 0, doc, tie, i, i + length, b""))
+                elif seen.get(w) != (doc, tie, i):
+                    seen[w] = (doc, tie, i)
+                    packed.append((FINE, key, doc, tie, i, i + length, w))
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed, strict=True), types, strict=True)], names)
+
+        for b in small_batches(batches):
             for doc, tie, z, wanted in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("z").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 text = _plain([z])[0]
-                h = None
-                for w in wanted:
-                    if w["kind"] == FETCH:
-                        rows.append((False, w["anchor"], doc, tie, w["lo"], text[w["lo"] : w["hi"] + length]))
+                for w in sorted(wanted, key=lambda w: w["lo"]):
+                    if w["kind"] == FINE:
+                        windows(text, doc, tie, w["lo"], w["hi"])
                     else:
-                        h = h or ByteHashes(np.frombuffer(text, np.uint8))
-                        at = np.arange(w["lo"], w["hi"] + 1)
-                        rows += [(True, int(k), doc, tie, int(i), b"") for k, i in zip(h.between(at, at + length).view(np.int64), at, strict=True)]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+                        packed.append((FETCH, w["anchor"], doc, tie, w["lo"], w["hi"] + length, text[w["lo"] : w["hi"] + length]))
+                if len(packed) > 20_000:
+                    yield out()
+                    packed = []
+        if packed:
+            yield out()
 
     # As many as a document has runs, so bounded by its length.
     wanted = found.filter(F.col("kind") != COPY).groupBy("doc", "tie").agg(F.collect_list(F.struct("kind", "lo", "hi", "anchor")).alias("wanted"))
-    contexts = materialize(keyed.dropDuplicates(["doc", "tie"]).join(wanted, ["doc", "tie"]).select("doc", "tie", "z", "wanted").mapInArrow(fetch, CONTEXTS), "contexts")
+    contexts = materialize(_compressed(rows).dropDuplicates(["doc", "tie"]).join(wanted, ["doc", "tie"]).select("doc", "tie", "z", "wanted").mapInArrow(fetch, CONTEXTS), "contexts")
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[pa.RecordBatch] = []
-
         def out(part: pa.Table) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x in part.column("bytes").to_pylist()], np.int64)
             data = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8)
@@ -352,8 +425,8 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush:
         held = None
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            key = held.column("anchor").to_numpy()
-            while len(held) > 1500:  # whole anchors, about so many runs at a time
+            key = held.column("key").to_numpy()
+            while len(held) > 1500:  # whole keys, about so many runs at a time
                 cut = int(np.searchsorted(key, key[1500]))
                 cut = cut or int(np.searchsorted(key, key[0], side="right"))
                 if cut >= len(held) or cut == 0:
@@ -363,26 +436,23 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int, many: int, flush:
         if held is not None and len(held):
             yield from out(held.combine_chunks())
 
-    by_anchor = contexts.filter(~F.col("fine")).select("anchor", "doc", "tie", "lo", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    factors = by_anchor.mapInArrow(factor, RANGES)
-    # Windows of anchors with very many kinds of runs: all but the first of each hash.
-    windows = contexts.filter("fine").select("anchor", "doc", "tie", "lo")
-    least = windows.groupBy("anchor").agg(F.min(F.struct("doc", "tie", "lo")).alias("least"))
-    later = windows.join(least, "anchor").filter(F.struct("doc", "tie", "lo") != F.col("least")).select("doc", "tie", "lo", (F.col("lo") + length).cast("int").alias("hi"))
-    return found.filter(F.col("kind") == COPY).select("doc", "tie", "lo", "hi").union(factors).union(later)
+    # Runs of an anchor, or windows of one hash: at most `wide` runs, or a few of each task's windows.
+    gathered = contexts.filter(F.col("kind") != COPY).select("key", "doc", "tie", "lo", "bytes").repartition("key").sortWithinPartitions("key")
+    copied = [x.filter(F.col("kind") == COPY).select("doc", "tie", "lo", "hi") for x in (found, contexts)]
+    return copied[0].union(copied[1]).union(gathered.mapInArrow(factor, RANGES))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, many: int = 1 << 14, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, wide: int = 1000, keep_text: bool = False) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, hash of the rest (and the rest itself, if asked)."""
-    keyed = _keyed(docs, id_col, text_col)
-    ranges = repeated_ranges(keyed, length, gram, many)
+    rows = _rows(docs, id_col, text_col)
+    ranges = repeated_ranges(rows, length, gram, wide)
     gathered = ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     names = [x.split()[0] for x in RESULT.split(", ")] + ["kept"] * keep_text
     types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
+        for b in small_batches(batches):
+            done = []
             lists = b.column("ranges")
             counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
             flat = lists.flatten()
@@ -394,12 +464,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = text
                 if len(a):
                     kept = b"".join(text[x:y] for x, y in zip([0, *c.tolist()], [*a.tolist(), len(text)], strict=True))
-                rows.append((doc_id, len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+                done.append((doc_id, len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
+            columns = zip(*done, strict=True) if done else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    rows = keyed.join(gathered, ["doc", "tie"], "left").select("doc_id", "z", "ranges")
-    return rows.mapInArrow(drop, RESULT + ", kept binary" * keep_text)
+    whole = _compressed(rows).join(gathered, ["doc", "tie"], "left").select("doc_id", "z", "ranges")
+    return whole.mapInArrow(drop, RESULT + ", kept binary" * keep_text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,15 +176,34 @@ def brute_dedup(rows, n=100):
     return out
 
 
-def test_substring_dedup(spark, docs, docs_df):
-    from cadenza.llm.substring_dedup import remove_repeats
+def test_substring_dedup(spark, docs, docs_df, monkeypatch):
+    """The same result however anchors are dealt out: together, window by window, or spread from the start."""
+    from cadenza.llm import substring_dedup
 
     want = brute_dedup(list(zip(docs.doc_id, docs.text, strict=True)))
-    for many in (400, 2):
-        got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(docs_df, many=many).collect()}
+    for wide, frequent in ((1 << 30, []), (2, []), (1000, None), (1000, "all")):
+        if frequent is not None:  # none, or all that there are
+            known = np.unique(substring_dedup.anchors([t.encode() for t in docs.text], 100, 40)[4] >> np.uint64(32)).astype(np.uint32) if frequent else np.zeros(0, np.uint32)
+            monkeypatch.setattr(substring_dedup, "frequent_anchors", lambda *a, k=known: k)
+        else:
+            monkeypatch.undo()
+        got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs_df, wide=wide).collect()}
         assert got == want
 
 
+def test_substring_dedup_frequent_line(spark):
+    """One line in very many surroundings: its anchors are spread, and no task gets more than a few times its share."""
+    from cadenza.llm.substring_dedup import _rows, frequent_anchors, remove_repeats
+
+    rnd = random.Random(3)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(i, noise(130) + line + noise(130)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(frequent_anchors(_rows(frame, "doc_id", "text"), 100, 40, 4)) > 0
+    assert {r.doc_id: tuple(r)[1:] for r in remove_repeats(frame).collect()} == brute_dedup(rows)
+
+
 def test_substring_dedup_periodic_and_odd(spark, odd):
     from cadenza.llm.substring_dedup import remove_repeats
 
