@@ -6,8 +6,9 @@ components of the larger of query x largest and query x smallest bounds every sc
 Blocks are taken in the order of their bounds and scored through their forward index until the
 next bound is below the k-th best score so far.
 
-Queries come in chunks of bounded size, which are broadcast; every task prunes among its own
-blocks and gives back at most k candidates a query.
+Queries are packed into matrices on the executors and broadcast in chunks of bounded size. A task
+keeps each query's k best over all its batches, so the k-th score found so far bounds the blocks of
+the next batch, and gives back at most k candidates a query once, at its end.
 
 Components are floor(scale * x). Vectors that are null, or hold null or other than finite
 components, take no part; neither do candidates of another length than the query. A query's own
@@ -54,35 +55,42 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores), axis=-1)[:, :k]
 
 
-def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, vec_id, score) of each query's k best among the vectors."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    cuts = np.arange(0, len(ids), block)
-    high, low = np.maximum.reduceat(vectors, cuts), np.minimum.reduceat(vectors, cuts)
-    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = products(positive, high) + products(negative, low)
-    ranked = np.argsort(-bounds, axis=1, kind="stable")
-    held_v, held_s = np.full((len(queries), k), NONE), np.full((len(queries), k), NONE)
-    active = np.arange(len(queries))
-    for step in range(len(cuts)):
-        at = ranked[active, step]
-        going = bounds[active, at] >= held_s[active, k - 1]
-        active, at = active[going], at[going]
-        if not len(active):
-            break
-        for b in np.unique(at):  # queries at the same block share its forward index
-            q = active[at == b]
-            own = slice(cuts[b], min(cuts[b] + block, len(ids)))
-            s = products(queries[q], vectors[own])
-            s[query_ids[q][:, None] == ids[own][None, :]] = NONE
-            top = _top(s, min(k, s.shape[1]))
-            all_v = np.concatenate([held_v[q], ids[own][top]], 1)
-            all_s = np.concatenate([held_s[q], np.take_along_axis(s, top, 1)], 1)
-            keep = best(all_v, all_s, k)
-            held_v[q], held_s[q] = np.take_along_axis(all_v, keep, 1), np.take_along_axis(all_s, keep, 1)
-    q, j = np.nonzero(held_s != NONE)
-    return q, held_v[q, j], held_s[q, j]
+class Best:
+    """The k best candidates so far of each query; NONE where there are fewer."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.ids, self.scores = np.full((len(queries), k), NONE), np.full((len(queries), k), NONE)
+
+    def search(self, ids: np.ndarray, vectors: np.ndarray, block: int) -> None:
+        """Take the vectors in, block by block in the order of each query's bounds."""
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        cuts = np.arange(0, len(ids), block)
+        high, low = np.maximum.reduceat(vectors, cuts), np.minimum.reduceat(vectors, cuts)
+        bounds = products(np.maximum(self.queries, 0), high) + products(np.minimum(self.queries, 0), low)
+        ranked = np.argsort(-bounds, axis=1, kind="stable")
+        active = np.arange(len(self.queries))
+        for step in range(len(cuts)):
+            at = ranked[active, step]
+            going = bounds[active, at] >= self.scores[active, self.k - 1]
+            active, at = active[going], at[going]
+            if not len(active):
+                break
+            for b in np.unique(at):  # queries at the same block share its forward index
+                q = active[at == b]
+                own = slice(cuts[b], min(cuts[b] + block, len(ids)))
+                s = products(self.queries[q], vectors[own])
+                s[self.query_ids[q][:, None] == ids[own][None, :]] = NONE
+                top = _top(s, min(self.k, s.shape[1]))
+                all_ids = np.concatenate([self.ids[q], ids[own][top]], 1)
+                all_scores = np.concatenate([self.scores[q], np.take_along_axis(s, top, 1)], 1)
+                keep = best(all_ids, all_scores, self.k)
+                self.ids[q], self.scores[q] = np.take_along_axis(all_ids, keep, 1), np.take_along_axis(all_scores, keep, 1)
+
+    def found(self) -> pa.RecordBatch:
+        q, j = np.nonzero(self.scores != NONE)
+        return pa.RecordBatch.from_arrays([pa.array(self.query_ids[q]), pa.array(self.ids[q, j]), pa.array(self.scores[q, j])], ["query_id", "vec_id", "score"])
 
 
 def _top(s: np.ndarray, n: int) -> np.ndarray:
@@ -95,42 +103,57 @@ def _top(s: np.ndarray, n: int) -> np.ndarray:
     return place[rank < n].reshape(len(s), n)
 
 
+def packed_queries(queries: DataFrame, most: int) -> DataFrame:
+    """Queries of one length, up to `most` a row: (size, ids, v), the last two as bytes of 64-bit numbers."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, most) for b in batches for i in range(0, len(b), most)):
+            sizes = b.column(1).value_lengths().to_numpy()
+            rows = []
+            for n in np.unique(sizes):
+                at = pa.array(np.flatnonzero(sizes == n))
+                rows.append((int(n), b.column(0).take(at).to_numpy().tobytes(), b.column(1).take(at).flatten().to_numpy().tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["size", "ids", "v"])
+
+    return queries.mapInArrow(pack, "size int, ids binary, v binary")
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 256, chunk: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows by inner product, ties to smaller ids."""
     spark = vectors.sparkSession
     candidates = quantized(vectors, id_col, vector_col, scale)
-    queries = quantized(vectors.filter(is_query), id_col, vector_col, scale)
+    queries = quantized(vectors.filter(is_query), id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     parts: list[DataFrame] = []
-    held: list = []
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def search(rows: list) -> DataFrame:
-        by_size: dict[int, list] = {}
-        for r in rows:
-            by_size.setdefault(len(r.v), []).append(r)
-        packed = {n: (np.array([r.vec_id for r in x], np.int64), np.array([r.v for r in x], np.int64).reshape(len(x), n)) for n, x in by_size.items()}
+    def search() -> DataFrame:
+        packed = {n: (np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])) for n, x in held.items()}
         shared = spark.sparkContext.broadcast(packed)  # at most `chunk` vectors
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_size = {n: Best(ids, q, k) for n, (ids, q) in shared.value.items()}
             for b in batches:
                 ids, lists = b.column(0).to_numpy(), b.column(1)
                 sizes = lists.value_lengths().to_numpy()
-                for n, (query_ids, q) in shared.value.items():
-                    at = np.flatnonzero(sizes == n)
-                    if not len(at):
-                        continue
-                    flat = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n)
-                    which, v, s = search_blocks(query_ids, q, ids[at], flat, k, block)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[which]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+                for n, x in of_size.items():
+                    if len(at := np.flatnonzero(sizes == n)):
+                        x.search(ids[at], lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n), block)
+            for x in of_size.values():
+                yield x.found()
 
         return candidates.mapInArrow(find, FOUND)
 
-    for r in queries.toLocalIterator():
-        held.append(r)
-        if len(held) == chunk:
-            parts.append(materialize(search(held), "top-k"))
-            held = []
-    if held or not parts:
-        parts.append(search(held))
+    n_held = 0
+    for r in packed_queries(queries, min(chunk, 1024)).toLocalIterator():
+        ids = np.frombuffer(r.ids, np.int64)
+        if n_held and n_held + len(ids) > chunk:
+            if not parts:  # more than one chunk reads the candidates more than once
+                candidates = materialize(candidates, "candidates")
+            parts.append(materialize(search(), "top-k"))
+            held, n_held = {}, 0
+        held.setdefault(r["size"], []).append((ids, np.frombuffer(r.v, np.int64).reshape(len(ids), r["size"])))
+        n_held += len(ids)
+    parts.append(search())
     found = reduce(DataFrame.union, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -79,6 +79,39 @@ def test_top_k_brute_force_and_odd(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     assert top_k(df.limit(0), F.lit(True)).count() == 0
     assert top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+    twice = top_k(df.filter("vec_id < 3").union(df.filter("vec_id = 0")), F.col("vec_id") == 0)
+    assert sorted((r["rank"], r.vec_id) for r in twice.collect()) == sorted((r["rank"], r.vec_id) for r in top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0).collect())
+
+
+def test_top_k_gives_back_once_a_task():
+    """However many batches a task has, it holds k a query, and what it holds lets it skip blocks."""
+    from cadenza.llm import topk_search
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-300, 300, (20_000, 8))
+    queries = vectors[:20]
+    state, scored = topk_search.Best(np.arange(20), queries, 5), 0
+    inner = topk_search.products
+
+    def counted(a, b):
+        nonlocal scored
+        scored += len(a) * len(b)
+        return inner(a, b)
+
+    topk_search.products = counted
+    try:
+        steps = []
+        for i in range(0, 20_000, 1000):
+            state.search(np.arange(i, i + 1000), vectors[i : i + 1000] // (1 + i // 1000), 100)
+            steps.append(scored)
+    finally:
+        topk_search.products = inner
+    assert state.found().num_rows == 100
+    whole = np.concatenate([vectors[i : i + 1000] // (1 + i // 1000) for i in range(0, 20_000, 1000)])
+    s = queries @ whole.T
+    s[np.arange(20), np.arange(20)] = topk_search.NONE
+    assert (np.sort(state.scores, 1) == np.sort(np.sort(s, 1)[:, -5:], 1)).all()
+    assert steps[-1] - steps[-2] < 0.5 * steps[0]  # the bounds carried over end the search early
 
 
 # 2
