@@ -656,3 +656,23 @@ def test_secrets_cost():
             assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
     """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+def test_licenses_against_brute_force(spark, same_as_sql, tmp_path):
+    """Templates whole and with words changed, at the ends of blocks and of texts, and many in one text."""
+    from cadenza.llm.license_scan import OP3_SQL, TEMPLATES, op3_license_scan
+
+    rnd = random.Random(11)
+    rows = []
+    for i, (name, text) in enumerate(sorted(TEMPLATES.items()) * 4):
+        words = text.split()
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            words[rnd.randrange(len(words))] = "other"
+        noise = [f"w{rnd.randrange(50)}" for _ in range(rnd.choice([0, 3, 230, 250, 700]))]
+        rows.append((i, " ".join([*noise, *words, *noise[: rnd.choice([0, 5, 600])]])))
+    rows.append((1000, " ".join([*TEMPLATES.values()] * 20)))
+    rows += [(1001, None), (1002, ""), (1003, "MIT License")]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    got = op3_license_scan(spark, str(tmp_path))
+    assert got.select("license_id").distinct().count() == len(TEMPLATES)
+    same_as_sql(got, OP3_SQL, str(tmp_path))
