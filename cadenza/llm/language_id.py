@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import texts_of
+from cadenza.llm.common import small_batches, texts_of
 
 UNKNOWN = "und"
 SCORES = "doc_id long, lang_pred string, score double, margin double, accepted boolean"
@@ -32,23 +32,35 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
 
 
-def dictionaries(learn: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_chars: int, parts: int = 16) -> dict[str, bytes]:
-    """For each language, texts of up to sample_rows documents in hash order, sample_chars of each.
+def spread(text: Column, chars: int, pieces: int = 4) -> Column:
+    """At most `chars` characters of a text: all of it, or pieces from its beginning to its end at equal distances."""
+    size = chars // pieces
+    last = F.length(text) - size
+    parts = [F.substring(text, (last * k / (pieces - 1)).cast("int") + 1, F.lit(size)) for k in range(pieces)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *parts))
 
-    The sample is bounded by the number of languages. Each task keeps the first rows of each
-    language, salted parts of a language keep the first of those, and only then a language's rows
-    meet, so a language with most of the corpus weighs no more than others.
+
+def dictionaries(learn: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_chars: int) -> dict[str, bytes]:
+    """For each language, up to sample_rows different texts, the first in hash order, sample_chars of each.
+
+    The sample is bounded by the number of languages. Different texts are counted first; a bound on
+    the hash then leaves about four times as many as are needed of each language before any row is
+    sent on, and copies of a text are one, so neither a language with most of the corpus nor a text
+    with very many copies weighs more than others.
     """
     rows = learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("text", F.substring("text", 1, sample_chars)).withColumn("salt", F.pmod("h", F.lit(parts)))
-    for keys in (["lang", "salt"], ["lang"]):
-        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "text"))).filter(F.col("rn") <= sample_rows)
-    first = rows
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
+    cuts = {k: int(-(2**63) + 2**64 * (4 * sample_rows + 50) / n) for k, n in counts.items() if n > 4 * sample_rows + 50}
+    if cuts:
+        bounds = F.create_map(*(F.lit(x) for p in cuts.items() for x in p))
+        rows = rows.filter(F.col("h") <= F.coalesce(F.try_element_at(bounds, "lang"), F.lit(2**63 - 1)))
+    rows = rows.groupBy("lang", "h").agg(F.min(spread(F.col("text"), sample_chars)).alias("text"))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rn") <= sample_rows)
     out: dict[str, list[str]] = {}
     for r in sorted(first.collect(), key=lambda r: (r.lang, r.rn)):
         out.setdefault(r.lang, []).append(r.text)
-    return {k: "\n".join(dict.fromkeys(v)).lower().encode() for k, v in sorted(out.items())}
+    return {k: "\n".join(v).lower().encode(errors="replace") for k, v in sorted(out.items())}
 
 
 class Classifier:
@@ -93,7 +105,7 @@ def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCORES.split(", ")]
-        for b in batches:
+        for b in small_batches(batches):
             found = [shared.value.predict(t) for t in b.column(1).to_pylist()]
             columns = zip(*found, strict=True) if found else [[]] * 4
             types = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]

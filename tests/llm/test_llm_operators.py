@@ -184,6 +184,39 @@ def test_language_held_out(spark, docs):
     assert got.score.between(0, 1).all() and len(got) == len(all_docs)
 
 
+def test_language_brute_force(spark, docs, docs_df):
+    """Sample, dictionaries and choice of every document against a plain version."""
+    import zstandard
+
+    from cadenza.llm.language_id import identify, learn_languages
+
+    def piece(t, chars=300):
+        size = chars // 4
+        return t if len(t) <= chars else "\n".join(t[int((len(t) - size) * k / 3) :][:size] for k in range(4))
+
+    learn = [(la, t) for i, la, t in zip(docs.doc_id, docs.lang, docs.text, strict=True) if la and t]
+    signed = lambda t: (h := xxhash.xxh64(t.encode(), 42).intdigest()) - (h >> 63 << 64)
+    compressors = {}
+    for lang in sorted({la for la, _ in learn}):
+        first = sorted({t for la, t in learn if la == lang}, key=signed)[:5]
+        d = zstandard.ZstdCompressionDict("\n".join(map(piece, first)).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressors[lang] = zstandard.ZstdCompressor(dict_data=d, level=6, write_content_size=False, write_dict_id=False)
+
+    def choose(t):
+        if not t or not any(c.isalpha() for c in t):
+            return "und", None
+        low = t.lower()
+        size = {k: sum(len(c.compress(low[i : i + 4096].encode())) for i in range(0, len(low), 4096)) for k, c in compressors.items()}
+        best, second = sorted(size.values())[:2]
+        return min(size, key=lambda k: (size[k], k)), (second - best) / second >= 0.01
+
+    copies = docs_df.union(docs_df).union(docs_df)
+    got = {r.doc_id: (r.lang_pred, r.accepted) for r in identify(docs_df, learn_languages(copies, sample_rows=5, sample_chars=300)).collect()}
+    want = {i: choose(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+    assert all(v[1] == want[i][1] for i, v in got.items() if v[0] != "und")
+
+
 def test_language_odd(spark, odd):
     from cadenza.llm.language_id import identify, learn_languages
 
