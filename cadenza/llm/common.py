@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,16 +10,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
+    """The folder all executors share; a temporary one only where none is named and all work is done on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -36,6 +39,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` wrote and nothing reads any more."""
+    if files := df.inputFiles():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, hot_groups: int = 10_000) -> DataFrame:
+    """rows joined with their groups: unique `key`, its number of rows `n`, and other columns.
+
+    A key may hold a large part of all rows, so groups of many rows are broadcast, at most
+    `hot_groups` of them however many rows there are, and only the rows of others are shuffled.
+    """
+    least = max(1000, rows.count() // hot_groups)
+    hot = groups.filter(F.col("n") > least).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(groups.filter(F.col("n") <= least).drop("n"), key))
+
+
+#: Hash buckets by which rows that may have a partner are told from those that cannot.
+BUCKETS = 1 << 20
+
+
+def may_match(df: DataFrame, key: Column, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose key shares a hash bucket with one of `keys` (its only column), or with how="left_anti" the others.
+
+    Rows of no such bucket need not be shuffled to meet `keys`. At most BUCKETS numbers are broadcast.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(BUCKETS)).alias("__bucket")
+    taken = keys.select(bucket(F.col(keys.columns[0]))).distinct()
+    return df.join(F.broadcast(taken), bucket(key) == taken["__bucket"], how)
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so no other column of the input can clash with ours."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize, small_batches, texts_of
+from cadenza.llm.common import discard, joined_to_groups, materialize, may_match, small_batches, texts_of
 
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY = 0xAE3
@@ -219,23 +219,30 @@ def links(nodes: DataFrame, threshold: int = 2, many: int = 20_000, sample: int
     return sent.mapInArrow(compare, "a long, b long").distinct()
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 60, hub_edges: int = 1_000_000) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the component's smallest value.
 
     Large-star and small-star steps in turn, each pair of them written to the shared folder, until
-    nothing changes.
+    nothing changes. With over `hub_edges` edges, nodes with very many meet them by a broadcast.
     """
     edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "edges")
     before = None
     for _ in range(rounds):
+        n = edges.count()
+
+        def with_least(rows: DataFrame, least: DataFrame, n: int = n) -> DataFrame:
+            return joined_to_groups(rows, least, "a") if n > hub_edges else rows.join(least.drop("n"), "a")
+
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        large = with_least(both.filter("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         large = large.distinct()
         # Small star: of a's smaller neighbours, the least takes the others and a.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b")))
+        new = materialize(small.distinct(), "edges")
+        discard(edges)
+        edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -247,11 +254,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int) -> DataFrame:
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = connected(links(nodes.select("fp"), threshold))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    # Only fingerprints with a link have another root than themselves.
+    linked = materialize(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "n", "root"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = joined_to_groups(linked.select("fp", "root"), least, "root").select(F.col("fp").alias("linked_fp"), "least")
+    named = nodes.join(least, F.col("fp") == F.col("linked_fp"), "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return joined_to_groups(fps, materialize(named, "named"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
@@ -272,8 +282,8 @@ def shingles(text: bytes, shingle: int) -> list[bytes]:
     return [*map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))] if len(words) >= shingle else [b" ".join(words)]
 
 
-def sampled(text: bytes, shingle: int, samples: int, size: int, places: int, least: float = 0.8, few: int = 20) -> tuple[list[int], bytes]:
-    """Fingerprints of `samples` samples of the text's shingles, and a signature of `places` minima.
+def sampled(text: bytes, shingle: int, samples: int, size: int, places: int, least: float = 0.8, few: int = 20) -> tuple[list[int], bytes, int]:
+    """Fingerprints of `samples` samples of the text's shingles, a signature of `places` minima, and the number of shingles.
 
     A sample is the `size` shingles that come first in an order of its own, so two texts draw the same
     one with about their Jaccard similarity to the power `size`. A text of at most `few` shingles also
@@ -284,7 +294,7 @@ def sampled(text: bytes, shingle: int, samples: int, size: int, places: int, lea
 
     hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(text, shingle)], np.uint64))
     if not len(hashes):
-        return [0] * samples, b"\xff" * (4 * places)
+        return [0] * samples, b"\xff" * (2 * places), 0
     out = []
     for order in _ORDERS[:samples]:
         turned = hashes * order
@@ -295,9 +305,9 @@ def sampled(text: bytes, shingle: int, samples: int, size: int, places: int, lea
         first = hashes[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + size].astype(">u8")
         out += [int.from_bytes(xxhash.xxh64_digest(b"".join(c)), "big", signed=True) for c in combinations([x.tobytes() for x in first], size)]
     least_of = np.full(places, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 1024):
-        least_of = np.minimum(least_of, (hashes[i : i + 1024, None] * _ORDERS[None, samples : samples + places]).min(0))
-    return out, (least_of >> np.uint64(32)).astype("<u4").tobytes()
+    for i in range(0, len(hashes), 512):
+        least_of = np.minimum(least_of, (hashes[i : i + 512, None] * _ORDERS[None, samples : samples + places]).min(0))
+    return out, (least_of >> np.uint64(48)).astype("<u2").tobytes(), len(hashes)
 
 
 def sample_keys(texts: DataFrame, samples: int = 12) -> DataFrame:
@@ -308,12 +318,17 @@ def sample_keys(texts: DataFrame, samples: int = 12) -> DataFrame:
     return keys.join(shared.select("anchor", "lead"), "anchor").select("text_hash", "anchor", "lead")
 
 
-def sample_links(texts: DataFrame, least: float = 0.8, many: int = 1000, keys: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
-    """(a, b): all pairs of texts (text_hash, views, sig) that share a sample, whose signatures agree
-    enough, and that roots (node, root) does not join yet.
+def sample_links(texts: DataFrame, least: float = 0.8, deviations: float = 3.5, many: int = 1000, keys: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of texts (text_hash, views, sig, size) that share a sample, are not joined by
+    roots (node, root) yet, and by their sizes and signatures may be `least` alike.
+
+    Texts of sizes further apart cannot be. A signature of n places tells the similarity with a
+    deviation of at most sqrt(least (1 - least) / n) for texts that are `least` alike; below that by
+    `deviations` of them a pair is left out, which happens to one in 4,300 of such texts at 3.5.
 
     At every anchor, those not joined to its lead meet all its texts; the others do not meet among
     themselves. An anchor with over `many` texts of either kind is dealt out in pairs of blocks.
+    A pair is given at the least anchor that both texts have.
     """
     keys = sample_keys(texts) if keys is None else keys
     if roots is None:
@@ -327,26 +342,29 @@ def sample_links(texts: DataFrame, least: float = 0.8, many: int = 1000, keys: D
     met = met.withColumn("own", F.when(F.col("apart"), F.pmod("text_hash", F.col("m"))).otherwise(F.col("m") + F.pmod("text_hash", F.col("m_joined"))).cast("int"))
     # A joined text goes to the blocks of the others only; these go to every block.
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1 + F.when(F.col("apart"), F.col("m_joined")).otherwise(0))))
-    dealt = dealt.select("text_hash", "root", "apart", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    rows = dealt.join(texts.select("text_hash", "sig"), "text_hash").select("key", "text_hash", "root", "apart", "sig")
+    dealt = dealt.select("text_hash", "root", "apart", "anchor", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    all_anchors = keys.groupBy("text_hash").agg(F.collect_list("anchor").alias("anchors"))  # as many as a text has samples
+    of_text = texts.select("text_hash", "sig", "size").join(all_anchors, "text_hash")
+    rows = dealt.join(of_text, "text_hash").select("key", "text_hash", "root", "apart", "anchor", "anchors", "size", "sig")
 
     def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, root = (part.column(i).to_numpy() for i in range(3))
-        apart = part.column(3).to_numpy().astype(bool)
-        sig = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u4").reshape(len(key), -1)
+        key, name, root, anchor, size = (part.column(c).to_numpy() for c in ("key", "text_hash", "root", "anchor", "size"))
+        apart = part.column("apart").to_numpy().astype(bool)
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(len(key), -1)
+        least_same = least - deviations * math.sqrt(least * (1 - least) / sig.shape[1])
+        anchors: dict[int, frozenset] = {}
+        of = lambda i: anchors.get(i) or anchors.setdefault(i, frozenset(part.column("anchors")[int(i)].as_py()))
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        found: list[tuple[int, int]] = []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             for x in np.flatnonzero(apart[i:j]) + i:
                 rest = i + np.flatnonzero((root[i:j] != root[x]) & (~apart[i:j] | (np.arange(i, j) > x)))
-                near = rest[(sig[rest] == sig[x]).mean(1) >= least] if len(rest) else rest
-                found.append((np.minimum(name[x], name[near]), np.maximum(name[x], name[near])))
-                held += len(near)
-            if found and (held > 100_000 or j == len(key)):
-                both = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-                found, held = [], 0
+                rest = rest[np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x]) - 1e-9]
+                near = rest[(sig[rest] == sig[x]).mean(1) >= least_same] if len(rest) else rest
+                found += [(min(name[x], name[y]), max(name[x], name[y])) for y in near if min(of(x) & of(y)) == anchor[x]]
+        if found:
+            both = np.unique(np.array(found, np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -366,7 +384,9 @@ def sample_links(texts: DataFrame, least: float = 0.8, many: int = 1000, keys: D
 def alike(candidates: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of text hashes whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
     needed = candidates.select(F.col("a").alias("text_hash")).union(candidates.select("b")).distinct()
-    texts = materialize(docs.join(needed, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
+    needed = materialize(needed, "needed")
+    texts = may_match(docs, F.col("text_hash"), needed).join(needed, "text_hash", "left_semi")
+    texts = materialize(texts.dropDuplicates(["text_hash"]), "texts")
     other = candidates.join(texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")), "b")
     both = other.join(texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -386,7 +406,7 @@ def alike(candidates: DataFrame, docs: DataFrame, shingle: int, least: float) ->
     return both.mapInArrow(judge, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 2, least: float = 0.8, samples: int = 12, size: int = 4, places: int = 128, slack: float = 0.2) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 2, least: float = 0.8, samples: int = 12, size: int = 4, places: int = 256) -> DataFrame:
     """Per document: doc_id, text_hash and component_id, over links of texts whose shingles are `least` alike.
 
     Fingerprints of whole texts a tenth apart in Jaccard similarity differ in six or more bits, out of
@@ -394,22 +414,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     among 12 samples of four shingles with probability 0.998, and always where both have at most 20
     shingles. Fingerprints only find pairs; every link is by the exact similarity. First each
     anchor's texts are held against its least text; then those still apart against the anchor's
-    others, unless their signatures tell that they are over `slack` below `least` (five deviations).
+    others, unless their sizes or signatures tell that they are less alike.
     """
-    names = ["doc_id", "text_hash", "fp", "views", "sig"]
+    names = ["doc_id", "text_hash", "fp", "views", "sig", "size"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             texts = [(t or "").encode() for t in b.column(2).to_pylist()]
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            views, sigs = zip(*(sampled(t, shingle, samples, size, places, least) for t in texts), strict=True)
-            columns = [b.column(0), b.column(1), pa.array(fps), pa.array(views, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            views, sigs, sizes = zip(*(sampled(t, shingle, samples, size, places, least) for t in texts), strict=True)
+            columns = [b.column(0), b.column(1), pa.array(fps), pa.array(views, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     source = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(source.mapInArrow(sketch, "doc_id long, text_hash long, fp long, views array<long>, sig binary"), "sketches")
+    rows = materialize(source.mapInArrow(sketch, "doc_id long, text_hash long, fp long, views array<long>, sig binary, size int"), "sketches")
     source = source.select("text_hash", "text")
-    texts = rows.select("text_hash", "fp", "views", "sig").dropDuplicates(["text_hash"])
+    texts = rows.select("text_hash", "fp", "views", "sig", "size").dropDuplicates(["text_hash"])
     nodes = materialize(texts.groupBy("fp").agg(F.min("text_hash").alias("first")), "nodes")
     joined = links(nodes.select("fp"), threshold)
     ends = [nodes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
@@ -421,11 +441,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = materialize(tried, "tried")
     sure = materialize(alike(tried, source, shingle, least), "sure")
     roots = materialize(connected(sure), "roots")
-    rest = materialize(sample_links(texts, least - slack, keys=keys, roots=roots).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(sample_links(texts, least, keys=keys, roots=roots).join(tried, ["a", "b"], "left_anti"), "rest")
     found = connected(sure.union(alike(rest, source, shingle, least)))
     of_row = rows.select("doc_id", "text_hash").join(found, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
     of_row = materialize(of_row, "groups")
-    return of_row.join(of_row.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_hash", "component_id")
+    groups = of_row.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return joined_to_groups(of_row, groups, "root").select("doc_id", "text_hash", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 2, least: float = 0.8) -> DataFrame:
@@ -435,9 +456,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same group stay together. Rows without an id stay.
     """
     gone = similar_groups(docs, id_col, text_col, shingle, threshold, least).filter("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    left = docs.join(gone, (F.col(id_col) == F.col("__id")) & (own == F.col("__hash")), "left_anti")
+    gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct(), "gone")
+    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    ids = gone.select("__gone_id")
+    others = may_match(docs, docs[id_col], ids, "left_anti")
+    left = may_match(docs, docs[id_col], ids).join(gone, (docs[id_col] == gone["__gone_id"]) & (own == gone["__gone_hash"]), "left_anti").union(others)
     if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         named = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
         left = named.union(left.filter(F.col(id_col).isNull()))

@@ -588,11 +588,28 @@ def test_sample_anchors_dealt_in_blocks(spark):
     for i in range(30):
         words = [f"w{k}" for k in range(300)]
         words[i * 9] = f"x{i}"
-        views, sig = sampled(" ".join(words).encode(), 5, 12, 4, 128)
-        rows.append((i, views, bytearray(sig)))
-    texts = spark.createDataFrame(rows, "text_hash long, views array<long>, sig binary")
+        views, sig, size = sampled(" ".join(words).encode(), 5, 12, 4, 256)
+        rows.append((i, views, bytearray(sig), size))
+    texts = spark.createDataFrame(rows, "text_hash long, views array<long>, sig binary, size int")
     for many in (7, 1000):
-        assert {r.root for r in connected(sample_links(texts, many=many)).collect()} == {0}
+        pairs = sample_links(texts, many=many)
+        assert pairs.count() == pairs.distinct().count() and {r.root for r in connected(pairs).collect()} == {0}
+
+
+def test_components_with_hubs(spark):
+    """Stars, chains and a node that a third of all edges share, with and without the broadcast of hubs."""
+    from cadenza.llm.simhash import connected
+
+    rnd = random.Random(2)
+    edges = [(5, 10_000 + i) for i in range(3000)] + [(20_000 + i, 20_001 + i) for i in range(200)] + [(30_000 + rnd.randrange(3000), 30_000 + rnd.randrange(3000)) for _ in range(1500)]
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    for hub_edges in (0, 1_000_000):
+        assert {r.node: r.root for r in connected(df, hub_edges=hub_edges).collect()} == {x: label[x] for x in linked}
 
 
 def test_similar_groups_are_exact(spark):
