@@ -94,10 +94,40 @@ def infer_year(month: Column, day: Column, as_of: Column) -> Column:
     return F.when(this >= as_of, this).otherwise(_ymd((F.year(as_of) + 1).cast("string"), month, day))
 
 
+#: How a date is written in full, by language: what stands around day, month name and year (fixed values).
+_LONG = {
+    "en": "MMMM d, yyyy",
+    "pt pt-pt es": "d 'de' MMMM 'de' yyyy",
+    "de da nb fi cs sk sl hr": "d. MMMM yyyy",
+    "hu": "yyyy. MMMM d.",
+    "ru": "d MMMM yyyy 'г.'",
+    "he": "d 'ב'MMMM yyyy",
+    "fr it nl pl el sv th id ms": "d MMMM yyyy",
+    "ja zh-cn zh-tw": "yyyy年M月d日",
+    "ko": "yyyy년 M월 d일",
+}
+LANGUAGES = tuple(x for k in _LONG for x in k.split())
+
+
 def long_date(d: Column, language: str = "en") -> Column:
-    """Day, month name and year in a language."""
-    name = F.element_at(F.array(*map(F.lit, MONTHS[language])), F.month(d))
-    if language == "en":
-        return F.format_string("%s %d, %d", F.initcap(name), F.dayofmonth(d), F.year(d))
-    link = " de " if language in ("pt", "es") else ". " if language == "de" else " "
-    return F.concat(F.dayofmonth(d).cast("string"), F.lit(link), name, F.lit(" de " if language in ("pt", "es") else " "), F.year(d).cast("string"))
+    """day, month name and year in a language; month names are those of the language's locale, other languages are written as English."""
+    language = language if language in LANGUAGES else "en"
+    pattern = next(v for k, v in _LONG.items() if language in k.split())
+    # The row writer takes a locale, which date_format does not; one field without separator or quotes is the text itself.
+    return F.nullif(F.to_csv(F.struct(d.cast("date").alias("d")), {"dateFormat": pattern, "locale": language, "sep": "\x01", "quote": "\x02", "nullValue": ""}), F.lit(""))
+
+
+def earliest_of(text: Column) -> Column:
+    """the earliest of a text's day-first dates."""
+    found = F.regexp_extract_all(text, F.lit(r"\d{1,2}/\d{1,2}/\d{4}"), F.lit(0))
+    return F.array_min(F.array_compact(F.transform(found, parse_date)))
+
+
+def first_found(text: Column, *patterns: str) -> Column:
+    """the first group of the first pattern, in the order given, that the text has."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
+
+
+def time_required(date: Column, as_of: Column, months: int = 0) -> Column:
+    """Whether an event must have a start time: those of the next `months` months, by default none."""
+    return F.coalesce(date.between(as_of, F.add_months(as_of, months)), F.lit(False)) if months else F.lit(False)

@@ -128,3 +128,63 @@ def km_label(d: Column) -> Column:
     """'42K', '21K', '10K', or the label as it is."""
     km = d["km"]
     return F.when(km.isNull(), d["label"]).when(km.between(42, 42.2), "42K").when(km.between(21, 21.1), "21K").otherwise(F.concat(F.regexp_replace(km.cast("string"), r"\.0$", ""), F.lit("K")))
+
+
+#: Numbers in words that stand before miles (fixed values).
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
+_HALF_WORDS = r"half[\s-]?marathon|\bhalf\b|1\s*/\s*2\s*marathon"
+
+
+def spelled_distances(text: Column) -> Column:
+    """distances of an English title as texts: half and full marathon, km, then 'N mi' and 'Nh'; each once.
+
+    km of 3 to 200, miles of 1 to 200 in digits or words, hours of timed events. Lengths that round
+    to the same km are one.
+    """
+    low = F.lower(text)
+    found = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(1))
+    plain = lambda x: F.regexp_replace(x, r"\.0+$", "")
+    fixed = F.array(F.when(low.rlike(_HALF_WORDS), F.lit(HALF)), F.when(F.regexp_replace(low, _HALF_WORDS, "").rlike(r"\bmarathon\b"), F.lit(FULL)))
+    kms = F.filter(F.transform(found(r"\b(\d+(?:\.\d+)?)\s*km?\b"), lambda x: x.cast("double")), lambda x: x.between(3, 200))
+    every = F.array_compact(F.concat(fixed, kms))
+    once = F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: F.bround(y)), F.bround(x)) == i + 1)
+    digits = F.filter(found(r"\b(\d+(?:\.\d+)?)\s*-?\s*mile[rs]?\b"), lambda x: x.cast("double").between(1, 200))
+    words = F.transform(found(rf"\b({'|'.join(NUMBER_WORDS)})\s*-?\s*mile[rs]?\b"), lambda w: F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), w).cast("string"))
+    miles = F.transform(F.concat(digits, words), lambda x: F.concat(plain(x), F.lit(" mi")))
+    hours = F.transform(found(r"\b(\d+)\s*-?\s*(?:hours?|hrs?)\b"), lambda x: F.concat(x, F.lit("h")))
+    return F.concat(F.transform(F.array_sort(once), lambda x: plain(x.cast("string"))), F.array_distinct(F.concat(miles, hours)))
+
+
+def expanded_units(text: Column) -> Column:
+    """a unit that several numbers share is written behind each: '5/10km', '5 e 10 km' to '5km 10km'."""
+    shared = F.regexp_replace(text, r"(\d+(?:[.,]\d+)?)\s+e\s+(\d+(?:[.,]\d+)?)\s+([kK][mM])\b", "$1$3 $2$3")
+    # A number followed by more numbers and slashes up to a unit gets that unit.
+    return F.regexp_replace(shared, r"(?<![\d.,])(\d+(?:[.,]\d+)?)/(?=(?:\d+(?:[.,]\d+)?/)*\d+(?:[.,]\d+)?\s*([kK][mM]?)\b)", "$1$2 ")
+
+
+_SECTION_KM = re.compile(r"(?<![.,\d])(\d+(?:[.,]\d+)?)\s*km\b", re.I)
+_SECTION_TIME = re.compile(r"(\d{1,2})h(\d{2})\b")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("km", T.DoubleType()), T.StructField("start_time", T.StringType())])))
+def section_times(texts: pd.Series) -> pd.Series:
+    """(km, start time) of regulations: a heading line that ends in a colon and names lengths, and the first time within four lines below it."""
+
+    def one(text: str | None) -> list[dict]:
+        lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
+        out: dict[float, str] = {}
+        for i, line in enumerate(lines):
+            kms = [snapped(float(x.replace(",", "."))) for x in _SECTION_KM.findall(line)] if line.endswith(":") else []
+            times = [m for m in map(_SECTION_TIME.match, lines[i + 1 : i + 5]) if m]
+            if times and 4 <= int(times[0][1]) <= 22:
+                for km in kms:
+                    if 3 <= km <= 200:
+                        out.setdefault(km, f"{int(times[0][1]):02d}:{times[0][2]}")
+        return [{"km": k, "start_time": v} for k, v in out.items()]
+
+    return texts.map(one)
+
+
+def plausible_km(km: Column, least: float, most: float, usual: float) -> Column:
+    """A length found on a page of one known event if it is in range, else the usual one."""
+    return F.when(km.between(least, most), km).otherwise(F.lit(usual))

@@ -211,3 +211,30 @@ def bracketed_array(texts: pd.Series, markers: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(t, m) for t, m in zip(texts, markers, strict=True)], dtype=object)
+
+
+_START_KEYS = ("startDate", "startTime", "start_date", "start_time", "horario", "hora")
+_CLOCK = re.compile(r"T(\d{2}):(\d{2})")
+
+
+def _start_time(node) -> str | None:
+    """The first plausible clock time of nested JSON, fields that name a start before others."""
+    if isinstance(node, str):
+        m = _CLOCK.search(node)
+        return f"{m[1]}:{m[2]}" if m and 4 <= int(m[1]) <= 23 else None
+    named = [node[k] for k in _START_KEYS if node.get(k)] if isinstance(node, dict) else []
+    rest = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+    return next(filter(None, map(_start_time, [*named, *rest])), None)
+
+
+@F.pandas_udf(T.StringType())
+def start_time_in(texts: pd.Series) -> pd.Series:
+    """F64: the first start time (hours 4 to 23) anywhere in a JSON text."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return _start_time(json.loads(text or ""))
+        except ValueError:
+            return None
+
+    return texts.map(one)

@@ -173,3 +173,30 @@ def money(c: Column) -> Column:
     """'R$ 1.234,56' to 1234.56."""
     digits = F.regexp_replace(F.regexp_replace(c, r"[R$\s]", ""), "[.]", "")
     return F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
+
+
+def activity_title(c: Column, prefix: str = "", suffix: str = "") -> Column:
+    """a title from an activity feed without the feed's prefix and suffix (patterns), emoji and loose marks at its ends."""
+    out = F.trim(c)
+    for pattern in filter(None, (prefix and f"^(?:{prefix})", suffix and f"(?:{suffix})$")):
+        out = F.regexp_replace(out, f"(?i){pattern}", "")
+    out = squeezed(F.replace(F.regexp_replace(out, r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]", ""), F.lit("’"), F.lit("'")))
+    return F.regexp_replace(out, r"^[\s\-–—·|]+|[\s\-–—·|]+$", "")
+
+
+def plausible_city(c: Column, venue: str = r"(?i)\b(?:parque|park|arena|club|clube|shopping|hotel|pier|píer|deck)\b") -> Column:
+    """whether a text may be a city: short, without digits, four words at most, no venue's word."""
+    some = c.isNotNull() & (c != "") & (F.length(c) <= 35) & ~c.rlike(r"\d")
+    return F.coalesce(some & (F.size(F.split(F.trim(c), r"\s+")) <= 4) & ~c.rlike(venue), F.lit(False))
+
+
+def split_place(c: Column, country: str = "BR", names: str = r"bra(?:s|z)il") -> Column:
+    """struct(city, second, country) of 'City, State, Country'; the country only where its name is in the text."""
+    parts = F.filter(F.transform(F.split(c, "[,•·|]"), lambda x: F.trim(x)), lambda x: x != "")
+    here = fold(c).rlike(names)
+    return F.struct(F.coalesce(F.get(parts, 0), F.lit("")).alias("city"), F.when(here, F.coalesce(F.get(parts, 1), F.lit(""))).otherwise("").alias("second"), F.when(here, country).otherwise("").alias("country"))
+
+
+def by_name(c: Column, language: str = "pt") -> Column:
+    """A text as it sorts in a language, accents and case after letters."""
+    return F.collate(c, language)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.structured import embedded_json
 from cadenza.functions.text import fold, sequence_ratio, title_key, title_tokens
 
 
-def small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """The table marked for broadcast if its rows have been counted to be few, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
+    """The table marked for broadcast if its rows have been counted and measured to be few and short, else as it is."""
+    width = F.sum(F.length(F.to_json(F.struct(*df.columns))))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), width).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def resolve_subdivision(events: DataFrame, locations: DataFrame, cutoff: float = 0.8) -> DataFrame:
@@ -43,12 +49,22 @@ def lookup_two_levels(events: DataFrame, cache: DataFrame, key: Column, country:
 
 
 def lookup_range(df: DataFrame, value: Column, ranges: DataFrame) -> DataFrame:
-    """`label` of the range (first, last, label) that holds the value; the first by `first` if several do."""
-    r = small(ranges.select(F.col("first").alias("__a"), F.col("last").alias("__b"), F.col("label").alias("__l")))
-    rows = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__v", value)
-    hit = rows.join(r, F.col("__v").between(F.col("__a"), F.col("__b")), "left")
-    rank = F.row_number().over(Window.partitionBy("__id").orderBy("__a"))
-    return hit.withColumn("__r", rank).filter("__r = 1").select(*df.columns, F.col("__l").alias("label"))
+    """`label` of the range (first, last, label) that holds the value; the first by `first` if several do.
+
+    What earlier ranges cover is taken off later ones, so a value is in one at most; ranges are spread
+    over buckets of the mean width, at most two a range on average, and looked up by bucket.
+    """
+    before = Window.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    r = ranges.filter("first <= last").withColumn("above", F.max("last").over(before)).filter("above IS NULL OR last > above")
+    low, high, n = r.agg(F.min("first").cast("double"), F.max("last").cast("double"), F.count(F.lit(1))).first()
+    if not n:
+        return df.withColumn("label", F.lit(None).cast(ranges.schema["label"].dataType))
+    bucket = lambda c: F.floor((c.cast("double") - low) / max((high - low) / n, 1e-9))
+    spread = F.explode(F.sequence(bucket(F.greatest("first", "above")), bucket(F.col("last")))).alias("__bucket")
+    r = small(r.select(F.col("first").alias("__a"), F.col("last").alias("__b"), F.col("above").alias("__above"), F.col("label").alias("__l"), spread))
+    rows = df.withColumn("__v", value)
+    inside = (bucket(F.col("__v")) == F.col("__bucket")) & F.col("__v").between(F.col("__a"), F.col("__b")) & (F.col("__above").isNull() | (F.col("__v") > F.col("__above")))
+    return rows.join(r, inside, "left").select(*df.columns, F.col("__l").alias("label"))
 
 
 #: Label tiers, the highest last (fixed values).
@@ -84,6 +100,77 @@ def annotate_majors(events: DataFrame, majors: DataFrame) -> DataFrame:
     return events.drop("is_major").join(hit, "id", "left").withColumn("is_major", F.coalesce("__m", F.lit(False))).drop("__m")
 
 
+def cleared_subdivision(events: DataFrame, locations: DataFrame) -> DataFrame:
+    """A subdivision that its country does not have is blanked; countries without known subdivisions keep theirs."""
+    known = locations.groupBy(F.col("country").alias("__c")).agg(F.collect_set("code").alias("__codes"))  # a row for each country
+    rows = events.join(small(known), F.col("country") == F.col("__c"), "left")
+    wrong = ~F.col("subdivision").isin("", "??", "INT") & F.col("__codes").isNotNull() & ~F.array_contains("__codes", F.col("subdivision"))
+    return rows.withColumn("subdivision", F.when(wrong, "").otherwise(F.col("subdivision"))).select(*events.columns)
+
+
+def missing_locations(events: DataFrame, locations: DataFrame, cache: DataFrame) -> DataFrame:
+    """Subdivisions and countries that are missing or wrong, looked up by the city in the cache."""
+    lacks = lambda c: F.coalesce(F.col(c), F.lit("")).isin("", "??", "INT")
+    rows = cleared_subdivision(events, locations).withColumns({c: F.when(F.col(c) == "INT", "").otherwise(F.col(c)) for c in ("country", "subdivision")})
+    city = F.trim(F.get(F.split(F.coalesce(F.nullif("city", F.lit("")), "location_text", F.lit("")), ","), 0))
+    looked = lookup_two_levels(rows, cache, city, F.when(lacks("country"), "BR").otherwise(F.col("country")))
+    found = ~F.coalesce("found_country", F.lit("")).isin("", "??")
+    placed = F.coalesce("found_subdivision", F.lit("")) != ""
+    country = F.when(found & (lacks("country") | (lacks("subdivision") & placed)), F.col("found_country")).otherwise(F.col("country"))
+    subdivision = F.when(lacks("subdivision") & placed, F.col("found_subdivision")).otherwise(F.col("subdivision"))
+    return looked.withColumns({"country": country, "subdivision": subdivision}).select(*events.columns)
+
+
+def repaired_locations(events: DataFrame, locations: DataFrame, cache: DataFrame) -> DataFrame:
+    """A stored snapshot with its locations repaired; events without a place, or with a city that is none and no place else, go."""
+    kept = missing_locations(events.filter(F.coalesce(F.trim("location_text"), F.lit("")) != ""), locations, cache)
+    nowhere = F.lower(F.trim(F.get(F.split(F.coalesce(F.nullif("city", F.lit("")), "location_text"), ","), 0))).isin("anytime", "virtual", "online")
+    lacking = F.coalesce("subdivision", F.lit("")).isin("", "??") | F.coalesce("country", F.lit("")).isin("", "??")
+    return kept.filter(~(nowhere & lacking))
+
+
+def tiered_place(df: DataFrame, text: Column, field: Column, states: dict[str, str], cities: dict[str, str]) -> DataFrame:
+    """`code` of a place: of a field that names it, else of a part of the text that is a state, the last
+    first, else of a part that is a city, the first first, else of the longest city in the text. Names are folded."""
+    code = lambda table, x: F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x)
+    plain = lambda x: F.trim(F.regexp_replace(fold(x), r"[^\w\s]", ""))
+    parts = F.transform(F.split(text, ","), plain)
+    named = F.coalesce(code(states, plain(field)), code(cities, plain(field)))
+    as_state = F.get(F.array_compact(F.transform(F.reverse(parts), lambda x: code(states, x))), 0)
+    as_city = F.get(F.array_compact(F.transform(parts, lambda x: code(cities, x))), 0)
+    inside = F.coalesce(*(F.when(plain(text).rlike(rf"\b{c}\b"), v) for c, v in sorted(cities.items(), key=lambda x: (-len(x[0]), x[0]))))
+    return df.withColumn("code", F.when(F.coalesce(field, F.lit("")) != "", named).otherwise(F.coalesce(as_state, as_city, inside)))
+
+
+def merged_cache(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """A cache table with new entries in place of old ones of the same keys."""
+    same = reduce(and_, (cache[k].eqNullSafe(new[k]) for k in keys))
+    return cache.join(new, same, "left_anti").unionByName(new)
+
+
+def majors_feed(answers: DataFrame, cached: DataFrame, text_col: str = "value") -> DataFrame:
+    """(name, country) of a landed answer of a knowledge graph; where it has none, the cached ones."""
+    rows = answers.select(F.explode(F.from_json(F.get_json_object(text_col, "$.results.bindings"), "array<struct<raceLabel:struct<value:string>,iso:struct<value:string>>>")).alias("b"))
+    fresh = rows.select(F.col("b.raceLabel.value").alias("name"), F.col("b.iso.value").alias("country")).filter("name <> '' AND country <> ''")
+    return fresh.unionByName(cached.select("name", "country").join(fresh.select(F.lit(1).alias("__any")).limit(1), F.lit(True), "left_anti"))
+
+
+def labels_feed(pages: DataFrame, tiers: dict[str, str], countries: dict[str, str], text_col: str = "html") -> DataFrame:
+    """(name_norm, city_norm, country, date, tier) of a landed calendar page's embedded data; tiers maps its groups, countries its codes."""
+    item = "array<struct<name:string,competitionSubgroup:string,startDate:string,countryCode:string,venue:string,venueWithoutCountry:string>>"
+    data = F.get_json_object(embedded_json(F.col(text_col), "__NEXT_DATA__"), "$.props.pageProps.calendarEvents.results")
+    rows = pages.select(F.explode(F.from_json(data, item)).alias("e")).select("e.*")
+    of = lambda table, c: F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), c)
+    out = rows.select(
+        title_key(F.coalesce("name", F.lit(""))).alias("name_norm"),
+        title_key(F.coalesce(F.nullif("venueWithoutCountry", F.lit("")), "venue", F.lit(""))).alias("city_norm"),
+        F.coalesce(of(countries, F.upper(F.trim("countryCode"))), F.lit("")).alias("country"),
+        F.try_to_date(F.substring("startDate", 1, 10), "yyyy-MM-dd").alias("date"),
+        of(tiers, F.lower(F.trim("competitionSubgroup"))).alias("tier"),
+    )
+    return out.filter("tier IS NOT NULL AND date IS NOT NULL")
+
+
 def first_keyword(text: Column, keywords: list[tuple[str, str]]) -> Column:
     """Value of the first keyword, in list order, that the folded text has as a part."""
     out = F.lit(None).cast("string")

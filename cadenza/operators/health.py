@@ -15,11 +15,12 @@ def latest_status(runs: DataFrame) -> DataFrame:
     runs is (source, t, ok, n). Of runs of the same source and time one counts, failures first.
     """
     runs = first_of(runs, ["source", "t"], F.col("ok"), F.col("n").desc())
+    # One aggregation: a run's failures since the last success are those after it in its source's times.
     good = F.when(F.col("ok"), F.col("t"))
-    last_good = runs.groupBy("source").agg(F.max("t").alias("tested_at"), F.max(good).alias("last_success"), F.max_by("ok", "t").alias("ok"), F.max_by("n", good).alias("last_success_count"))
-    since = runs.join(last_good.select("source", F.col("last_success").alias("__g")), "source")
-    failed = since.filter(~F.col("ok") & (F.col("__g").isNull() | (F.col("t") > F.col("__g")))).groupBy("source").agg(F.count(F.lit(1)).alias("f"))
-    return last_good.join(failed, "source", "left").withColumn("consecutive_failures", F.coalesce("f", F.lit(0))).drop("f")
+    failures = F.collect_list(F.when(~F.col("ok"), F.col("t")))  # times alone, of one source's kept runs
+    out = runs.groupBy("source").agg(F.max("t").alias("tested_at"), F.max(good).alias("last_success"), F.max_by("ok", "t").alias("ok"), F.max_by("n", good).alias("last_success_count"), failures.alias("__f"))
+    later = F.filter("__f", lambda t: F.col("last_success").isNull() | (t > F.col("last_success")))
+    return out.withColumn("consecutive_failures", F.size(later).cast("long")).drop("__f")
 
 
 def unhealthy(status: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -58,3 +59,15 @@ def failed_first(sources: DataFrame, status: DataFrame) -> DataFrame:
     """Sources to run, those that failed last time first, each part in its given order."""
     rows = sources.join(status.select("source", "ok"), "source", "left")
     return rows.orderBy(F.coalesce("ok", F.lit(True)), "rank")
+
+
+def status_table(status: DataFrame) -> DataFrame:
+    """A line of a Markdown table for each source, in order of its name."""
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), cell(F.col("source").cast("string")), F.lit(" | "), cell(status_text()), F.lit(" |"))
+    return status.select(F.col("source"), line.alias("line")).orderBy("source")
+
+
+def top_values(df: DataFrame, value: Column, n: int) -> DataFrame:
+    """The n most frequent values, ties by value."""
+    return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(n)

@@ -58,3 +58,14 @@ def display_place(events: DataFrame, names: DataFrame, language: str = "en") ->
 def leg_sums(legs: Column) -> Column:
     """Total length of a relay's legs."""
     return F.aggregate(legs, F.lit(0.0), lambda s, x: s + F.coalesce(x["km"], F.lit(0.0)))
+
+
+def pages_in_reach(rows: DataFrame, group: str, page: str, key: str, size: int) -> DataFrame:
+    """Rows of landed result pages up to the first that is short or has no key that earlier ones lack.
+
+    Fetching stops there; landed folders may hold pages from an earlier, longer run behind it.
+    """
+    first = rows.groupBy(group, key).agg(F.min(page).alias("__first"))
+    pages = rows.join(first, [group, key]).groupBy(group, page).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(page) == F.col("__first")).alias("__new"))
+    end = pages.groupBy(group).agg(F.min(F.when((F.col("__n") < size) | (F.col("__new") == 0), F.col(page))).alias("__end"))
+    return rows.join(end, group).filter(F.col("__end").isNull() | (F.col(page) <= F.col("__end"))).drop("__end")

@@ -101,3 +101,11 @@ def replaced_block(text: str, start: str, end: str, block: str) -> str:
     """K8: the text with what stands between two markers replaced; the same if applied again."""
     a = text.index(start) + len(start)
     return text[:a] + "\n" + block + "\n" + text[text.index(end, a) :]
+
+
+def with_block(text: Column, start: str, end: str, block: Column) -> Column:
+    """K8 for a column of pages."""
+    found = F.contains(text, F.lit(start)) & F.contains(text, F.lit(end))
+    head = F.concat(F.substring_index(text, start, 1), F.lit(start))
+    tail = F.concat(F.lit(end), F.substring_index(F.substring(text, F.length(head) + 1, F.length(text)), end, -1))
+    return F.when(found, F.concat(head, F.lit("\n"), block, F.lit("\n"), tail)).otherwise(text)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.quality import first_of
-from cadenza.operators.resolve import confirmed, prepared, sharing_link, within_days
+from cadenza.operators.components import written
+from cadenza.operators.resolve import confirmed, prepared, united_distances, united_listings
 from cadenza.operators.rules import violations
 from cadenza.schema import RULES, Rules
 
@@ -69,27 +71,51 @@ def matches(new: DataFrame, stored: DataFrame, generic: DataFrame | None = None,
     by_id = new.select("id", F.col("ordinal").alias("n")).join(stored.select("id", F.col("ordinal").alias("s")), "id").select("n", "s")
     rest = new.join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti")
     free = stored.join(by_id.select(F.col("s").alias("ordinal")), "ordinal", "left_anti")
-    a, b = prepared(rest, generic=generic, rules=rules), prepared(free, generic=generic, rules=rules)
-    # Both sides in one table for blocking; stored ordinals are moved below zero to tell them apart.
-    both = a.union(b.withColumn("ordinal", -F.col("ordinal") - 1).select(*a.columns))
-    pairs = _across(sharing_all(a, b)).union(_across(within_days(both, rules.band_days, "sub"))).distinct()
-    found = confirmed(pairs.select("a", (-F.col("b") - 1).alias("b")), a, rules, others=b)
+    # Each side is read by every way of finding pairs, so it is written once.
+    a, b = (written(prepared(x, generic=generic, rules=rules), "compared") for x in (rest, free))
+    ways = (with_a_link, lambda x, y: near_days(x, y, rules.band_days), same_day_apart, undated)
+    pairs = reduce(DataFrame.union, (way(a, b) for way in ways)).distinct()
+    found = confirmed(pairs, a, rules, others=b)
     first = found.groupBy("a").agg(F.min("b").alias("s")).select(F.col("a").alias("n"), "s")
     every = by_id.union(first)
     return every.groupBy("s").agg(F.max("n").alias("n")).select("n", "s")
 
 
-def sharing_all(a: DataFrame, b: DataFrame) -> DataFrame:
+def _sides(a: DataFrame, b: DataFrame, left: list[Column], right: list[Column], on: list[str]) -> DataFrame:
+    """Both sides by keys: the incoming row's ordinal is a, the stored row's b."""
+    return a.select(*left, F.col("ordinal").alias("a")).join(b.select(*right, F.col("ordinal").alias("b")), on)
+
+
+def with_a_link(a: DataFrame, b: DataFrame) -> DataFrame:
     """Incoming and stored rows with a link in common."""
-    left = a.select(F.explode("links").alias("link"), F.col("ordinal").alias("a"))
-    right = b.select(F.explode("links").alias("link"), (-F.col("ordinal") - 1).alias("b"))
-    return left.join(right, "link").select("a", "b")
+    link = [F.explode("links").alias("link")]
+    return _sides(a, b, link, link, ["link"]).select("a", "b")
+
+
+def near_days(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
+    """Those of a subdivision whose dates are at most `days` apart: spans of days, each row looks into three."""
+    span = F.floor(F.datediff("day", F.lit("1970-01-01")) / (days + 1))
+    left = [F.col("sub"), F.col("day").alias("da"), F.explode(F.array(span - 1, span, span + 1)).alias("span")]
+    right = [F.col("sub"), F.col("day").alias("db"), span.alias("span")]
+    return _sides(a.filter("day IS NOT NULL"), b.filter("day IS NOT NULL"), left, right, ["sub", "span"]).filter(F.abs(F.datediff("da", "db")) <= days).select("a", "b")
+
+
+def _beginnings() -> Column:
+    """First four letters of a title's words: titles that pass without a common link or date share one."""
+    return F.explode(F.array_distinct(F.filter(F.transform(F.split("key", " "), lambda w: F.substring(w, 1, 4)), lambda w: w != ""))).alias("w")
+
+
+def same_day_apart(a: DataFrame, b: DataFrame, country: str = "BR") -> DataFrame:
+    """Those of one country and day in different subdivisions, with a title word in common."""
+    some = lambda x: x.filter((F.col("country") == country) & F.col("day").isNotNull())
+    return _sides(some(a), some(b), [F.col("day"), F.col("sub").alias("sa"), _beginnings()], [F.col("day"), F.col("sub").alias("sb"), _beginnings()], ["day", "w"]).filter("sa <> sb").select("a", "b")
 
 
-def _across(pairs: DataFrame) -> DataFrame:
-    """Pairs of an incoming and a stored row, the incoming first."""
-    one_each = (F.col("a") >= 0) != (F.col("b") >= 0)
-    return pairs.filter(one_each).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def undated(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Those of a subdivision of which one has no date, which the decision takes as near, with a title word in common."""
+    keys = [F.col("sub"), _beginnings()]
+    one = _sides(a.filter("day IS NULL"), b, keys, keys, ["sub", "w"])
+    return one.union(_sides(a.filter("day IS NOT NULL"), b.filter("day IS NULL"), keys, keys, ["sub", "w"])).select("a", "b")
 
 
 def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of: Column, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
@@ -102,26 +128,29 @@ def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of:
     it alone.
     """
     columns = [c for c in stored.columns if c != "ordinal"]
-    found = matches(new, stored, generic, rules)
+    found = written(matches(new, stored, generic, rules), "matches")
     o, n = stored.alias("o"), new.alias("n")
     pairs = o.join(found, F.col("o.ordinal") == F.col("s")).join(n, F.col("n.ordinal") == found["n"])
     fields = updated("o", "n")
     differs = changed("o", fields)
     value = lambda c: fields.get(c, F.col(f"o.{c}"))
-    seen = pairs.select(*(F.when(differs, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias(c) if c == "updated_at" else value(c).alias(c) for c in columns), F.when(differs, "updated").otherwise("kept").alias("outcome"))
+    seen = pairs.select(*(F.when(differs, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias(c) if c == "updated_at" else value(c).alias(c) for c in columns), F.when(differs, "updated").otherwise("kept").alias("outcome"), F.col("n.ordinal").alias("n_ordinal"))
     used = matches_ids(found, new, stored)
-    inserted = new.join(used[0], "ordinal", "left_anti").select(*columns, F.lit("inserted").alias("outcome"))
+    inserted = new.join(used[0], "ordinal", "left_anti").select(*columns, F.lit("inserted").alias("outcome"), "ordinal")
     rest = stored.join(used[1], "ordinal", "left_anti")
     past = rest.filter(F.coalesce(F.col("event_date") < as_of, F.lit(False)))
     ahead = rest.filter(~F.coalesce(F.col("event_date") < as_of, F.lit(False)))
     ahead = ahead.filter(F.size(violations(ahead)) == 0)
-    present = first_of(new, ["ordinal"], F.col("ordinal"))
-    twins = absorbed(ahead, present, generic, rules)
-    ahead = ahead.join(twins, "ordinal", "left_anti").join(alive(link_status, ahead, rules), "id", "left")
+    # Twins go into the rows that stay, as these are now.
+    present = seen.unionByName(inserted.withColumn("n_ordinal", F.col("ordinal")).drop("ordinal")).withColumnRenamed("n_ordinal", "ordinal")
+    present, ahead = written(present, "present"), written(ahead, "ahead")
+    twins = written(absorbed(ahead, present, generic, rules), "twins")
+    present = with_twins(present, ahead.join(twins, ahead["ordinal"] == twins["twin"])).drop("ordinal")
+    ahead = ahead.join(twins.select(F.col("twin").alias("ordinal")), "ordinal", "left_anti").join(alive(link_status, ahead, rules), "id", "left")
     misses = F.when(F.col("alive"), 0).when(~F.col("alive"), F.coalesce("miss_count", F.lit(0)) + 1).otherwise(F.coalesce("miss_count", F.lit(0)))
     checked = ahead.withColumn("miss_count", misses.cast("int")).filter(F.col("miss_count") < rules.drop_after_misses)
     outcome = F.when(F.col("alive"), "alive").when(~F.col("alive"), "missed").otherwise("deferred")
-    return seen.unionByName(inserted).unionByName(past.select(*columns, F.lit("past").alias("outcome"))).unionByName(checked.select(*columns, outcome.alias("outcome")))
+    return present.unionByName(past.select(*columns, F.lit("past").alias("outcome"))).unionByName(checked.select(*columns, outcome.alias("outcome")))
 
 
 def matches_ids(found: DataFrame, new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,11 +160,33 @@ def matches_ids(found: DataFrame, new: DataFrame, stored: DataFrame) -> tuple[Da
 
 
 def absorbed(stored: DataFrame, kept: DataFrame, generic: DataFrame | None, rules: Rules = RULES) -> DataFrame:
-    """Ordinals of stored rows that are a twin, same day and subdivision, of a row that stays."""
-    a, b = prepared(stored, generic=generic, rules=rules), prepared(kept, generic=generic, rules=rules)
-    right = b.select("day", "sub", F.col("ordinal").alias("b"))
-    pairs = a.select("day", "sub", F.col("ordinal").alias("a")).join(right, ["day", "sub"]).select("a", "b")
-    return confirmed(pairs, a, rules, others=b).select(F.col("a").alias("ordinal")).distinct()
+    """(twin, into): ordinals of stored rows that are a twin, same day and subdivision, of a row that stays, the first such row."""
+    a, b = (written(prepared(x, generic=generic, rules=rules), "compared") for x in (stored, kept))
+    keys = [F.coalesce("day", F.lit("0001-01-01").cast("date")).alias("day"), F.col("sub"), _beginnings()]
+    # A twin without a link in common has a title word in common.
+    pairs = _sides(a, b, keys, keys, ["day", "sub", "w"]).select("a", "b")
+    links = _sides(a, b, [F.explode("links").alias("link"), F.col("day").alias("da"), F.col("sub").alias("sa")], [F.explode("links").alias("link"), F.col("day").alias("db"), F.col("sub").alias("sb")], ["link"])
+    links = links.filter(F.col("da").eqNullSafe(F.col("db")) & (F.col("sa") == F.col("sb"))).select("a", "b")
+    found = confirmed(pairs.union(links).distinct(), a, rules, others=b)
+    return found.groupBy(F.col("a").alias("twin")).agg(F.min("b").alias("into"))
+
+
+def with_twins(kept: DataFrame, twins: DataFrame) -> DataFrame:
+    """Rows that stay take in what their twins (rows with `into`) have: listings, distances, and what they lack."""
+    fill = ("image_url", "signup_open", "signup_window")
+    order = F.struct("ordinal")
+    gathered = twins.groupBy("into").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "listings", "distances"))).alias("__twins"),
+        *(F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"__{c}") for c in fill),
+        F.bool_or(F.coalesce("is_cancelled", F.lit(False))).alias("__cancelled"),
+    )
+    rows = kept.join(gathered, kept["ordinal"] == gathered["into"], "left")
+    several = F.col("into").isNotNull()
+    lists = lambda c: F.concat(F.array(c), F.transform("__twins", lambda x: x[c]))
+    new = {c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in fill}
+    new |= {"listings": F.when(several, united_listings(lists("listings"))).otherwise(F.col("listings")), "distances": F.when(several, united_distances(lists("distances"))).otherwise(F.col("distances"))}
+    new["is_cancelled"] = F.coalesce("is_cancelled", F.lit(False)) | F.coalesce("__cancelled", F.lit(False))
+    return rows.withColumns(new).select(*kept.columns)
 
 
 def selective_patch(stored: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.distance import km_key
 from cadenza.functions.text import fold, link_key, title_key, title_similarity, tokens_contained
-from cadenza.operators.components import connected_components
+from cadenza.operators.components import connected_components, written
 from cadenza.operators.quality import completeness
 from cadenza.schema import RULES, Rules
 
@@ -110,11 +110,26 @@ def confirmed(pairs: DataFrame, rows: DataFrame, rules: Rules = RULES, similarit
 
 def duplicate_pairs(events: DataFrame, patterns: dict[str, str] | None = None, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
     """Confirmed pairs of all three candidate generators."""
-    rows = prepared(events, patterns, generic, rules)
+    # Read by each generator and twice by the decision, so it is written once.
+    rows = written(prepared(events, patterns, generic, rules), "compared")
     pairs = sharing_link(rows).union(within_days(rows, rules.band_days, "sub")).union(same_day_elsewhere(rows)).distinct()
     return confirmed(pairs, rows, rules)
 
 
+def united_distances(lists: Column) -> Column:
+    """The distances of several records, in order, each length or label once."""
+    every = F.flatten(F.transform(lists, lambda x: F.coalesce(x, F.array())))
+    return F.filter(every, lambda d, i: F.array_position(F.transform(every, km_key), km_key(d)) == i + 1)
+
+
+def united_listings(lists: Column) -> Column:
+    """The listings of several records, in order, one a source with the signup links of all that source's listings."""
+    every = F.flatten(F.transform(lists, lambda x: F.coalesce(x, F.array())))
+    heads = F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["name"]), x["name"]) == i + 1)
+    urls = lambda h: F.array_distinct(F.flatten(F.transform(F.filter(every, lambda x: x["name"] == h["name"]), lambda x: F.coalesce(x["signup_urls"], F.array()))))
+    return F.transform(heads, lambda h: h.withField("signup_urls", urls(h)))
+
+
 def survivors(events: DataFrame, members: DataFrame) -> DataFrame:
     """A3, A4: one merged event a cluster; members is (ordinal, cluster).
 
@@ -127,12 +142,9 @@ def survivors(events: DataFrame, members: DataFrame) -> DataFrame:
     aggs = [F.min_by(c, F.when(F.col(c).isNotNull(), order) if c in filled else order).alias(c) for c in plain]
     lists = F.array_sort(F.collect_list(F.struct(order.alias("o"), "distances", "listings")))
     merged = rows.groupBy("cluster").agg(*aggs, F.max(F.coalesce("is_cancelled", F.lit(False))).alias("is_cancelled"), lists.alias("__all"), F.min_by("ordinal", order).alias("ordinal"), F.array_sort(F.collect_list("ordinal")).alias("members"))
-    distances = F.flatten(F.transform("__all", lambda x: F.coalesce(x["distances"], F.array())))
-    unique = F.filter(distances, lambda d, i: F.array_position(F.transform(distances, km_key), km_key(d)) == i + 1)
-    listings = F.flatten(F.transform("__all", lambda x: F.coalesce(x["listings"], F.array())))
-    heads = F.filter(listings, lambda x, i: F.array_position(F.transform(listings, lambda y: y["name"]), x["name"]) == i + 1)
-    union = F.transform(heads, lambda h: h.withField("signup_urls", F.array_distinct(F.flatten(F.transform(F.filter(listings, lambda x: x["name"] == h["name"]), lambda x: F.coalesce(x["signup_urls"], F.array()))))))
-    return merged.select("cluster", *plain, "is_cancelled", unique.alias("distances"), union.alias("listings"), "ordinal", "members")
+    distances = united_distances(F.transform("__all", lambda x: x["distances"]))
+    listings = united_listings(F.transform("__all", lambda x: x["listings"]))
+    return merged.select("cluster", *plain, "is_cancelled", distances.alias("distances"), listings.alias("listings"), "ordinal", "members")
 
 
 def merge_round(events: DataFrame, patterns: dict[str, str] | None = None, rules: Rules = RULES) -> DataFrame:

@@ -7,13 +7,15 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.dates import time_required
 from cadenza.functions.distance import label_miles
 from cadenza.functions.text import has_entities, registered_domain
+from cadenza.schema import KINDS
 
 # Word lists that decide validity (fixed values).
 NAVIGATION_TITLES = (
     "calendário", "calendario", "calendrio", "listagem completa", "listagem", "sugira uma corrida", "sugira corrida",
-    "outros estados", "corridasbr", "próximas corridas", "proximas corridas", "estados", "distrito federal",
+    "outros estados", "próximas corridas", "proximas corridas", "estados", "distrito federal",
     "espírito santo", "mato grosso", "mato grosso do sul", "minas gerais", "pernambuco", "rio de janeiro",
     "rio grande do norte", "rio grande do sul", "são paulo", "santa catarina", "calendário completo", "home", "menu",
     "buscar", "search", "início", "inicio", "sobre", "contato",
@@ -54,13 +56,13 @@ def is_cancelled(*signals: Column) -> Column:
     return F.coalesce(F.exists(F.array(*signals), lambda s: s.rlike(CANCELLED)), F.lit(False))
 
 
-def violations(df: DataFrame) -> Column:
-    """Names of the rules that an event breaks; empty for a valid one."""
+def violations(df: DataFrame, site_names: tuple[str, ...] = ()) -> Column:
+    """Names of the rules that an event breaks; empty for a valid one. A title that is only a site's name counts as navigation."""
     title = F.lower(F.trim(F.coalesce("title", F.lit(""))))
     rules = {
         "no_location": F.coalesce(F.trim("location_text"), F.lit("")) == "",
         "short_title": F.length(title) < 4,
-        "navigation_title": title.isin(*NAVIGATION_TITLES) | any_of(title, NAVIGATION_PARTS),
+        "navigation_title": title.isin(*NAVIGATION_TITLES, *site_names) | any_of(title, NAVIGATION_PARTS),
         "other_sport": any_of(title, OTHER_SPORTS) | title.rlike(r"\btri\d"),
         "kids_only": is_kids_only(title, F.col("distances")),
         "no_date": F.col("event_date").isNull(),
@@ -115,3 +117,66 @@ def with_signup_links(listings: Column) -> Column:
 def has_link(listings: Column) -> Column:
     """P10."""
     return F.exists(listings, lambda x: (F.coalesce(x["page_url"], F.lit("")) != "") | (F.coalesce(F.size(x["signup_urls"]), F.lit(0)) > 0))
+
+
+def is_sport(title: Column, excluded: str, area: Column | None = None, areas: str = "", rescue: str = "") -> Column:
+    """P5: not one of the excluded sports, and of a wanted area; events without an area pass, and a rescue word in the title outdoes another area."""
+    title = F.coalesce(title, F.lit(""))
+    out = ~title.rlike(excluded)
+    if area is not None:
+        wanted = F.coalesce(area, F.lit("")).rlike(f"(?i)^$|{areas}") | (title.rlike(rescue) if rescue else F.lit(False))
+        out = out & wanted
+    return out
+
+
+#: What stands in place of a city or an address of events held nowhere, and postal codes of forces abroad (fixed values).
+VIRTUAL_PLACES = ("de onde você estiver", "de onde voce estiver", "não informado", "nao informado", "virtual", "online", "anytime")
+FORCES = ("AA", "AE", "AP")
+
+
+def is_virtual(title: Column, place: Column, country: Column, subdivision: Column) -> Column:
+    """An event without a place of its own."""
+    nowhere = F.lower(F.trim(F.coalesce(place, F.lit("")))).isin(*VIRTUAL_PLACES)
+    abroad = (country == "US") & subdivision.isin(*FORCES)
+    return F.coalesce(title.rlike(r"(?i)\bvirtual\b"), F.lit(False)) | nowhere | F.coalesce(abroad, F.lit(False))
+
+
+def for_adults(events: DataFrame, as_of: Column, months: int = 0) -> DataFrame:
+    """Events that are not for children only and that have a start time where one is required."""
+    untimed = (F.coalesce("start_time", F.lit("")) == "") & time_required(F.col("event_date"), as_of, months)
+    return events.filter(~F.coalesce(is_kids_only(F.col("title"), F.col("distances")), F.lit(False)) & ~untimed)
+
+
+def upcoming_or_undated(date: Column, as_of: Column) -> Column:
+    """What a source should give; a comparison alone would leave out rows without a date."""
+    return date.isNull() | (date >= as_of)
+
+
+def validation_stats(events: DataFrame, as_of: Column) -> DataFrame:
+    """By country: events, with and without a date, future and past."""
+    dated = F.col("event_date").isNotNull()
+    future = dated & (F.col("event_date") >= as_of)
+    counts = {"dated": dated, "undated": ~dated, "future": future, "past": dated & ~future}
+    return events.groupBy(F.coalesce("country", F.lit("BR")).alias("country")).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+def batch_problems(events: DataFrame, as_of: Column, stale_days: int = 30) -> DataFrame:
+    """(source, problem, n) of one run's rows, for the checks that a source must pass before it is taken in.
+
+    Ids given twice count once an id, all else by row. events has `source`.
+    """
+    today = F.date_format(as_of, "yyyy-MM-dd")
+    links = F.exists("listings", lambda x: (F.coalesce(x["page_url"], F.lit("")) != "") | (F.coalesce(F.get(x["signup_urls"], 0), F.lit("")) != ""))
+    checks = {
+        "title": F.length(F.coalesce("title", F.lit(""))) < 3,
+        "run_date_in_id": F.contains(F.coalesce("id", F.lit("")), today) & ~F.coalesce(F.col("event_date") == as_of, F.lit(False)),
+        "no_date": F.col("event_date").isNull(),
+        "stale_date": F.coalesce(F.col("event_date") < F.date_sub(as_of, stale_days), F.lit(False)),
+        "no_distance": F.coalesce(F.size("distances"), F.lit(0)) < 1,
+        "empty_distance": F.coalesce(F.exists("distances", lambda d: d["km"].isNull() & d["label"].isNull()), F.lit(False)),
+        "no_link": ~F.coalesce(links, F.lit(False)),
+        "kind": F.coalesce(F.exists("listings", lambda x: ~F.coalesce(x["kind"].isin(*KINDS), F.lit(False))), F.lit(False)),
+    }
+    rows = events.select("source", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))).alias("problem"))
+    twice = events.groupBy("source", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source", F.lit("repeated_id").alias("problem"))
+    return rows.union(twice).groupBy("source", "problem").agg(F.count(F.lit(1)).alias("n"))

@@ -115,3 +115,20 @@ def stratified_sample(df: DataFrame, stratum: Column, shares: dict, key: Column,
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), key.cast("string")))))
     most = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(n * v))])
     return df.withColumn("rank", rank).filter(F.col("rank") <= F.try_element_at(most, stratum))
+
+
+def any_filter_active(filters: dict, defaults: dict) -> bool:
+    """Whether a filter differs from what it is at first; lists are compared without order."""
+    plain = lambda v: sorted(v) if isinstance(v, (list, set, tuple)) else v
+    return any(plain(filters.get(k, d)) != plain(d) for k, d in defaults.items())
+
+
+def with_default(filters: dict, name: str, default, available: list, touched: bool) -> dict:
+    """B2: the filters with a default applied, if its value is still to be had and nobody has changed the filter."""
+    return filters if touched or default not in available else {**filters, name: default}
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows that only one of two tables has, with repeats; both 0 where they are the same."""
+    only = lambda x, y, name: x.exceptAll(y).agg(F.count(F.lit(1)).alias(name))
+    return only(a, b, "only_first").crossJoin(only(b, a, "only_second"))  # one row each

@@ -76,20 +76,28 @@ def parse_json_feed(payloads: DataFrame, spec: Spec, text_col: str = "value") ->
     body = F.coalesce(F.nullif(structured.unwrap_jsonp(F.col(text_col)), F.lit("")), F.col(text_col))
     listed = F.get_json_object(body, spec.rows) if spec.rows else body
     items = F.coalesce(F.from_json(listed, "array<string>"), F.array(listed))
-    flat = payloads.select(F.monotonically_increasing_id().alias("p"), F.posexplode(items).alias("i", "json"))
+    flat = payloads.select(*_payload(payloads), F.posexplode(items).alias("i", "json"))
     fields = [F.get_json_object("json", spec.fields[k]).alias(k) if k in spec.fields else F.lit(None).cast("string").alias(k) for k in PLAIN]
     return to_events(flat.select(*fields, _sequence()), spec)
 
 
+def _payload(df: DataFrame) -> list[Column]:
+    """What orders payloads: the file (column url_file, or the file read), else the payload's own content."""
+    file = F.col("url_file") if "url_file" in df.columns else F.input_file_name()
+    whole = F.xxhash64(*(F.col(c).cast("string") for c in df.columns if df.schema[c].dataType.typeName() in ("string", "binary")))
+    return [file.alias("__file"), whole.alias("__payload")]
+
+
 def _sequence() -> Column:
-    """Order within the source: payload, then place in it."""
-    return (F.col("p") * 100_000 + F.col("i")).alias("source_seq")
+    """Order within the source: file, payload, place in it; the same however rows are dealt out."""
+    return F.struct(F.col("__file").alias("file"), F.col("__payload").alias("payload"), F.col("i").cast("long").alias("place")).alias("source_seq")
 
 
 def parse_html_cards(pages: DataFrame, spec: Spec, text_col: str = "html") -> DataFrame:
     """Listing pages: spec.rows begins a card, each field is the first group of its regex in the card."""
-    cards = F.slice(F.split(F.col(text_col), spec.rows), 2, 100_000)
-    flat = pages.select(F.monotonically_increasing_id().alias("p"), F.posexplode(cards).alias("i", "card"))
+    parts = F.split(F.col(text_col), spec.rows)
+    cards = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    flat = pages.select(*_payload(pages), F.posexplode(cards).alias("i", "card"))
     fields = [F.regexp_extract("card", spec.fields[k], 1).alias(k) if k in spec.fields else F.lit(None).cast("string").alias(k) for k in PLAIN]
     return to_events(flat.select(*fields, _sequence()), spec)
 
@@ -97,7 +105,7 @@ def parse_html_cards(pages: DataFrame, spec: Spec, text_col: str = "html") -> Da
 def parse_json_ld(pages: DataFrame, spec: Spec, text_col: str = "html") -> DataFrame:
     """Pages with schema.org events, whatever they are nested in."""
     events = structured.json_ld_events(structured.json_ld_blocks(F.col(text_col)))
-    flat = pages.select(F.monotonically_increasing_id().alias("p"), F.posexplode(events).alias("i", "e"))
+    flat = pages.select(*_payload(pages), F.posexplode(events).alias("i", "e"))
     at = {"title": "e.name", "date": "e.start", "place": "e.place", "city": "e.city", "subdivision": "e.region", "country": "e.country", "image": "e.image", "page": "e.url", "signup": "e.url", "status": "e.status"}
     fields = [(F.col(at[k]) if k in at else F.lit(None).cast("string")).alias(k) for k in PLAIN]
     return to_events(flat.select(*fields, _sequence()), spec)

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.components import written
+
 Reader = Callable[[SparkSession, str], DataFrame]
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -39,16 +41,40 @@ class Registry:
         return [s for s in self.sources.values() if s.name in names] if names is not None else [s for s in self.sources.values() if s.enabled]
 
     def read(self, spark: SparkSession, names: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-        """S3, O1: rows of all chosen sources with `source` and `ordinal`, and sources whose payloads could not be opened."""
+        """S3, O1: rows of all chosen sources with `source` and `ordinal`, and sources whose payloads could not be opened.
+
+        ordinal is the rank of (source, file, payload, place), counted by `numbered`.
+        """
         tables, failed = [], {}
         for s in self.chosen(names):
             try:
                 rows = s.parse(s.read(spark, s.path))
+                if rows.schema["source_seq"].dataType.typeName() != "struct":
+                    rows = rows.withColumn("source_seq", F.struct(F.lit("").alias("file"), F.lit(0).alias("payload"), F.col("source_seq").alias("place")))
             except AnalysisException as e:
                 failed[s.name] = str(e).splitlines()[0]
                 continue
-            # Source rank above, place in the source below.
-            ordinal = F.lit(s.rank).cast("long") * (1 << 40) + F.col("source_seq").cast("long")
-            tables.append(rows.withColumn("source", F.lit(s.name)).withColumn("ordinal", ordinal).drop("source_seq"))
+            order = F.struct(F.lit(s.rank).alias("rank"), F.col("source_seq").cast(PLACE).alias("place"))
+            tables.append(rows.withColumn("source", F.lit(s.name)).withColumn("source_seq", order))
         union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
-        return union, failed
+        return (None if union is None else numbered(union)), failed
+
+
+#: A record's place in its source; a plain number is a place in one payload.
+PLACE = "struct<file:string,payload:bigint,place:bigint>"
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """`ordinal` for `source_seq`: ranks 1, 2, ... in that order, so the same rows get the same numbers under any partitioning.
+
+    Rows are sorted by range; each range's rows are counted on the way, and a range begins where
+    those before it end. Only the counts of the ranges meet. Rows equal in source_seq are ordered by their id.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["source_seq", *(["id"] if "id" in rows.columns else [])]
+    ranged = written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "ordinals")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("ordinal", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before", "source_seq")
