@@ -80,7 +80,7 @@ def link_key(c: Column | str, patterns: dict[str, str] | None = None) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), "^www[.]", ""))
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), "^www[.]", "")
 
 
 def registered_domain(url: Column) -> Column:

@@ -102,10 +102,14 @@ def confirmed(pairs: DataFrame, rows: DataFrame, rules: Rules = RULES, similarit
     names = [c for c in rows.columns if c != "ordinal"]
     left = rows.select(F.col("ordinal").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
     right = (rows if others is None else others).select(F.col("ordinal").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
-    both = pairs.join(left, "a").join(right, "b").withColumn("sim", similarity(F.col("a_key"), F.col("b_key")))
     one = {c: F.col(f"a_{c}") for c in names}
     two = {c: F.col(f"b_{c}") for c in names}
-    return both.filter(F.coalesce(decision(one, two, F.col("sim"), rules), F.lit(False))).select("a", "b")
+    # No similarity is over what the lengths allow, so pairs that fail at that are not compared letter by letter.
+    shorter, longer = (f(F.length("a_key"), F.length("b_key")) for f in (F.least, F.greatest))
+    most = F.coalesce(2 * shorter / F.nullif(shorter + longer, F.lit(0)), F.lit(1.0))
+    holds = lambda sim: F.coalesce(decision(one, two, sim, rules), F.lit(False))
+    both = pairs.join(left, "a").join(right, "b").filter(holds(most))
+    return both.withColumn("sim", similarity(F.col("a_key"), F.col("b_key"))).filter(holds(F.col("sim"))).select("a", "b")
 
 
 def duplicate_pairs(events: DataFrame, patterns: dict[str, str] | None = None, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:

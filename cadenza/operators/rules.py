@@ -83,7 +83,7 @@ def rejected_events(events: DataFrame) -> DataFrame:
 
 def record_problems(events: DataFrame) -> DataFrame:
     """(id, problem) of every rule a published record breaks."""
-    link = F.coalesce(F.element_at(F.flatten(F.transform("listings", lambda x: x["signup_urls"])), 1), F.lit(""))
+    link = F.coalesce(F.get(F.flatten(F.transform("listings", lambda x: F.coalesce(x["signup_urls"], F.array()))), 0), F.lit(""))
     rules = {
         "no_date": F.col("event_date").isNull(),
         "no_title": F.coalesce(F.trim("title"), F.lit("")) == "",
