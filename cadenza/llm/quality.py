@@ -7,8 +7,9 @@ of dimensions. Each indicator is scaled by the log ratio of its smoothed share i
 descent. The margin becomes a score by a logistic fit on the learning rows, weighed so that the
 classes count as in all labelled rows.
 
-The model is fitted on at most `sample_rows` labelled rows of each class, taken in hash order;
-that bound is a parameter. Everything is scored, whole texts at a time. Null and empty texts have
+The model is fitted on at most `sample_rows` labelled rows of each class, taken in hash order, and
+of these on as many as have `sample_bytes` of text together (one at least); both bounds are
+parameters, and what reaches the driver is in proportion to them. Texts are taken whole. Everything is scored, whole texts at a time. Null and empty texts have
 no features and are scored by the intercept alone. Labels that are null or other than 0 and 1 are
 left out; of a document labelled twice the lower label counts. With labels of one class or none,
 the score is 0.5 moved halfway to that class.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import ByteHashes, joined, mix64, slices, small_batches, texts_of
@@ -163,17 +164,26 @@ def fit(doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, share: float,
     return Model(ratios * w, ratios, b, slope, offset)
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = 3000) -> Model:
-    """Fit on up to sample_rows documents of each label."""
+def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = 3000, sample_bytes: int = 32 << 20) -> Model:
+    """Fit on up to sample_rows documents of each label, of sample_bytes together."""
     known = labels.select(F.col(label_id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).filter("i IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("i").agg(F.min("y").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         only = 0.75 * next(iter(counts), 0) + 0.25 * (1 - next(iter(counts), 0)) if counts else 0.5
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, float(np.log(only / (1 - only))))
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(sample_rows) for y in (0, 1)]
-    sample = {r.i: r.y for p in picked for r in p.collect()}
-    few = docs.sparkSession.createDataFrame(list(sample.items()), "i long, y int")  # 2 x sample_rows ids at most
+    order = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
+    picked = known.withColumn("rank", order).filter(F.col("rank") <= sample_rows).select("i", "y", "rank").collect()  # 2 x sample_rows at most
+    few = docs.sparkSession.createDataFrame(picked, "i long, y int, rank int")
+    texts = texts_of(docs, id_col, text_col).join(F.broadcast(few), F.col("doc_id") == F.col("i"))
+    sizes = texts.groupBy("y", "rank", "i").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).collect()
+    total = {0: 0, 1: 0}
+    sample: dict[int, int] = {}
+    for r in sorted(sizes, key=lambda r: (r.y, r["rank"])):
+        total[r.y] += r.n
+        if total[r.y] <= sample_bytes or r.y not in sample.values():
+            sample[r.i] = r.y
+    few = docs.sparkSession.createDataFrame(list(sample.items()), "i long, y int")
     rows = texts_of(docs, id_col, text_col).join(F.broadcast(few), F.col("doc_id") == F.col("i"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -513,6 +513,89 @@ def test_quality_held_out(spark):
     assert (got.predicted == (got.score >= 0.5)).all()
 
 
+def plain_grams(text):
+    """The n-grams whose indicators a text sets, as tuples."""
+    tokens = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+|[!-/:-@\\[-`{-~]+", re.sub("[\x00-\x20\x7f]", " ", text))
+    shape = []
+    for i, t in enumerate(tokens):
+        if not re.match("[0-9A-Za-z\u0080-\U0010ffff]", t):
+            shape.append(t)
+            continue
+        upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+        shape.append((0 if not upper else (2 if upper > 1 else 1) if not lower else 1, t in tokens[max(0, i - 2) : i]))
+    return {(1, t) for t in tokens} | {(2, *p) for p in zip(tokens, tokens[1:], strict=False)} | {(3, *p) for p in zip(shape, shape[1:], shape[2:], strict=False)}
+
+
+def test_quality_features_brute_force(docs):
+    """Hashed indicators against n-grams as tuples: one number for each, and hardly any two with the same."""
+    from cadenza.llm.quality import features
+
+    texts = [*docs.text[:60], "", "a", "A!! a a B", "x \x7f y -- Zz ZZ zz"]
+    doc, number = features([t.encode() for t in texts])
+    of = [set(number[doc == i].tolist()) for i in range(len(texts))]
+    grams = [plain_grams(t) for t in texts]
+    for g, n in zip(grams, of, strict=True):
+        assert len(g) * 0.97 - 1 <= len(n) <= len(g)  # 2 ** 18 numbers
+    for i in range(len(texts) - 1):  # the same n-gram has the same number in every text
+        common = len(grams[i] & grams[i + 1])
+        assert len(of[i] & of[i + 1]) >= common * 0.97 - 1
+    apart = [(len(of[i] & of[j]), len(grams[i] & grams[j])) for i in range(20) for j in range(i)]
+    assert sum(a - b for a, b in apart) < 0.05 * sum(b for _, b in apart) + 200
+
+
+def test_quality_fit_brute_force():
+    """Log-count ratios by counting, and the hinge loss that coordinate descent reaches against plain subgradient steps."""
+    from cadenza.llm.quality import BITS, descend, fit
+
+    rng = np.random.default_rng(5)
+    n, dims = 80, 30
+    x = rng.random((n, dims)) < 0.3
+    x[:, 0] = True
+    labels = (x[:, 1] | (x[:, 2] & x[:, 3]) ^ (rng.random(n) < 0.1)).astype(int)
+    doc, feature = np.nonzero(x)
+    model = fit(doc, feature, labels, labels.mean())
+    one, zero = x[labels == 1].sum(0) + 1.0, x[labels == 0].sum(0) + 1.0
+    whole = 1 << BITS
+    ratios = np.log(one / (one.sum() + whole - dims)) - np.log(zero / (zero.sum() + whole - dims))
+    ratios[(one == 1) & (zero == 1)] = 0
+    assert np.allclose(model.ratios[:dims], ratios) and not model.ratios[dims:].any()
+    rows = [feature[doc == i] for i in range(n)]
+    values = [ratios[r] / max(np.linalg.norm(ratios[r]), 1e-9) for r in rows]
+    y = np.where(labels == 1, 1.0, -1.0)
+    dense = np.zeros((n, dims + 1))
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        dense[i, r], dense[i, dims] = v, 1
+    loss = lambda w: 0.5 * w @ w + 4.0 * np.maximum(0, 1 - y * (dense @ w)).sum()
+    w, b = descend(rows, values, y, np.full(n, 4.0), dims, 500, 1)
+    found, best, at = loss(np.append(w, b)), np.inf, np.zeros(dims + 1)
+    for step in range(1, 20_001):
+        at = at - (at - 4.0 * (y * (y * (dense @ at) < 1)) @ dense) / (step + 10)
+        best = min(best, loss(at))
+    assert found <= best * 1.001
+
+
+def test_quality_sample_is_bounded(spark, docs_df, docs):
+    """The first rows of each class in hash order, as many as the bytes allow."""
+    from cadenza.llm import quality
+
+    labels = spark.createDataFrame([(int(i), int(i) % 2) for i in docs.doc_id], "doc_id long, quality int")
+    seen = []
+    inner = quality.fit
+    quality.fit = lambda doc, feature, y, share: seen.append(np.bincount(y).tolist()) or inner(doc, feature, y, share)
+    try:
+        quality.learn_quality(docs_df, labels, sample_rows=40)
+        quality.learn_quality(docs_df, labels, sample_rows=40, sample_bytes=20_000)
+        quality.learn_quality(docs_df, labels, sample_rows=40, sample_bytes=1)
+    finally:
+        quality.fit = inner
+    assert seen[0] == [40, 40] and seen[2] == [1, 1]
+    signed = lambda i: (h := xxhash.xxh64(int(i).to_bytes(8, "little"), 42).intdigest()) - (h >> 63 << 64)
+    size = dict(zip(docs.doc_id, map(lambda t: len(t.encode()), docs.text), strict=True))
+    for k in (0, 1):
+        first = sorted((i for i in docs.doc_id if i % 2 == k), key=signed)[:40]
+        assert seen[1][k] == max(1, int((np.cumsum([size[i] for i in first]) <= 20_000).sum()))
+
+
 def test_quality_odd(spark, odd):
     from cadenza.llm.quality import keep_quality, learn_quality, score_quality
 
