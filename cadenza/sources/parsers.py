@@ -31,6 +31,7 @@ class Spec:
     rows: str | None = None  # JSON path of the list of events, or regex that begins a card
     constants: dict[str, str] = field(default_factory=dict)
     base_url: str = ""
+    month_first: bool = False  # dates in numbers are month/day/year
 
 
 def to_events(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -42,7 +43,7 @@ def to_events(rows: DataFrame, spec: Spec) -> DataFrame:
     columns = {
         "id": F.concat_ws("_", F.lit(spec.source), F.coalesce(value("id"), F.md5(F.concat_ws("|", value("title"), value("date"), value("page"))))),
         "title": normal_title(value("title")),
-        "event_date": parse_date(value("date")),
+        "event_date": parse_date(F.regexp_replace(value("date"), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$2/$1/$3") if spec.month_first else value("date")),
         "start_time": parse_time(value("time")),
         "location_text": F.coalesce(value("place"), F.nullif(F.concat_ws(", ", value("city"), value("subdivision")), F.lit(""))),
         "city": value("city"),

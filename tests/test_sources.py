@@ -10,10 +10,11 @@ def test_json_feed(spark):
     feed = """cb({"data":[{"id":7,"name":"corrida 5k e 10k","when":"10/08/2026","city":"Goiânia","uf":"GO","url":"/e/7","st":"Cancelada"},{"id":8}]});"""
     spec = Spec("src", {"id": "$.id", "title": "$.name", "date": "$.when", "city": "$.city", "subdivision": "$.uf", "page": "$.url", "status": "$.st"}, rows="$.data", constants={"country": "BR"}, base_url="https://s.example")
     rows = parse_json_feed(spark.createDataFrame([(feed,), ("broken",)], "value string"), spec).orderBy("source_seq").collect()
-    r = rows[0]
+    r, none = (next(x for x in rows if x.id == i) for i in ("src_7", "src_8"))
+    assert r.source_seq.payload == none.source_seq.payload and (r.source_seq.place, none.source_seq.place) == (0, 1)
     assert (r.id, r.title, r.event_date, r.location_text, r.country, r.is_cancelled) == ("src_7", "Corrida 5K E 10K", dt.date(2026, 8, 10), "Goiânia, GO", "BR", True)
     assert [d.km for d in r.distances] == [5.0, 10.0] and r.listings[0].page_url == "https://s.example/e/7"
-    assert rows[1].event_date is None
+    assert none.event_date is None
 
 
 def test_html_cards_and_json_ld(spark):
