@@ -318,17 +318,36 @@ def sample_keys(texts: DataFrame, samples: int = 12) -> DataFrame:
     return keys.join(shared.select("anchor", "lead"), "anchor").select("text_hash", "anchor", "lead")
 
 
-def sample_links(texts: DataFrame, least: float = 0.8, deviations: float = 3.5, many: int = 1000, keys: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+def hashed_shingles(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(text_hash, hashes) of the needed texts (text_hash) among docs (text_hash, text): the sorted 32-bit hashes of their shingles, each once."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in small_batches(batches):
+            sets = (np.array([xxhash.xxh64_intdigest(x, 42) & 0xFFFFFFFF for x in shingles(t.encode(), shingle)], "<u4") for t in b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(x).tobytes() for x in sets], pa.binary())], ["text_hash", "hashes"])
+
+    return texts_for(docs, needed).mapInArrow(hashed, "text_hash long, hashes binary")
+
+
+def texts_for(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(text_hash, text) of the needed texts, each once; texts that cannot be among them are not sent anywhere."""
+    return may_match(docs, F.col("text_hash"), needed).join(needed, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", "text")
+
+
+def sample_links(texts: DataFrame, hashes, least: float = 0.8, deviations: float = 3.5, many: int = 1000, keys: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(a, b): all pairs of texts (text_hash, views, sig, size) that share a sample, are not joined by
-    roots (node, root) yet, and by their sizes and signatures may be `least` alike.
+    roots (node, root) yet, and are `least` alike by 32-bit hashes of their shingles, but for one part in 200.
 
-    Texts of sizes further apart cannot be. A signature of n places tells the similarity with a
-    deviation of at most sqrt(least (1 - least) / n) for texts that are `least` alike; below that by
-    `deviations` of them a pair is left out, which happens to one in 4,300 of such texts at 3.5.
+    hashes(needed) gives (text_hash, hashes) of texts. A pair is compared by them at the least
+    anchor that both texts have. Texts of sizes further apart cannot be alike. A signature of n
+    places tells the similarity with a deviation of at most sqrt(least (1 - least) / n) for texts
+    that are `least` alike; below that by `deviations` of them a pair is left out, which happens to
+    one in 4,300 of such texts at 3.5.
 
     At every anchor, those not joined to its lead meet all its texts; the others do not meet among
     themselves. An anchor with over `many` texts of either kind is dealt out in pairs of blocks.
-    A pair is given at the least anchor that both texts have.
     """
     keys = sample_keys(texts) if keys is None else keys
     if roots is None:
@@ -343,9 +362,12 @@ def sample_links(texts: DataFrame, least: float = 0.8, deviations: float = 3.5,
     # A joined text goes to the blocks of the others only; these go to every block.
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1 + F.when(F.col("apart"), F.col("m_joined")).otherwise(0))))
     dealt = dealt.select("text_hash", "root", "apart", "anchor", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    dealt = materialize(dealt, "dealt")
+    needed = materialize(dealt.select("text_hash").distinct(), "needed")
     all_anchors = keys.groupBy("text_hash").agg(F.collect_list("anchor").alias("anchors"))  # as many as a text has samples
-    of_text = texts.select("text_hash", "sig", "size").join(all_anchors, "text_hash")
-    rows = dealt.join(of_text, "text_hash").select("key", "text_hash", "root", "apart", "anchor", "anchors", "size", "sig")
+    sigs = may_match(texts.select("text_hash", "sig", "size"), F.col("text_hash"), needed)
+    of_text = needed.join(sigs, "text_hash").join(all_anchors, "text_hash").join(hashes(needed), "text_hash")
+    rows = dealt.join(of_text, "text_hash").select("key", "text_hash", "root", "apart", "anchor", "anchors", "size", "sig", "hashes")
 
     def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
         key, name, root, anchor, size = (part.column(c).to_numpy() for c in ("key", "text_hash", "root", "anchor", "size"))
@@ -353,6 +375,8 @@ def sample_links(texts: DataFrame, least: float = 0.8, deviations: float = 3.5,
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(len(key), -1)
         least_same = least - deviations * math.sqrt(least * (1 - least) / sig.shape[1])
         anchors: dict[int, frozenset] = {}
+        binary = part.column("hashes")
+        hashed = lambda i: np.frombuffer(binary[int(i)].as_py(), "<u4")
         of = lambda i: anchors.get(i) or anchors.setdefault(i, frozenset(part.column("anchors")[int(i)].as_py()))
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         found: list[tuple[int, int]] = []
@@ -361,7 +385,13 @@ def sample_links(texts: DataFrame, least: float = 0.8, deviations: float = 3.5,
                 rest = i + np.flatnonzero((root[i:j] != root[x]) & (~apart[i:j] | (np.arange(i, j) > x)))
                 rest = rest[np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x]) - 1e-9]
                 near = rest[(sig[rest] == sig[x]).mean(1) >= least_same] if len(rest) else rest
-                found += [(min(name[x], name[y]), max(name[x], name[y])) for y in near if min(of(x) & of(y)) == anchor[x]]
+                first = hashed(x) if len(near) else None
+                for y in near:
+                    if min(of(x) & of(y)) == anchor[x]:
+                        second = hashed(y)
+                        shared = len(np.intersect1d(first, second, assume_unique=True))
+                        if shared >= (least - 0.005) * (len(first) + len(second) - shared):
+                            found.append((min(name[x], name[y]), max(name[x], name[y])))
         if found:
             both = np.unique(np.array(found, np.int64), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
@@ -384,9 +414,7 @@ def sample_links(texts: DataFrame, least: float = 0.8, deviations: float = 3.5,
 def alike(candidates: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of text hashes whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
     needed = candidates.select(F.col("a").alias("text_hash")).union(candidates.select("b")).distinct()
-    needed = materialize(needed, "needed")
-    texts = may_match(docs, F.col("text_hash"), needed).join(needed, "text_hash", "left_semi")
-    texts = materialize(texts.dropDuplicates(["text_hash"]), "texts")
+    texts = materialize(texts_for(docs, materialize(needed, "needed")), "texts")
     other = candidates.join(texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")), "b")
     both = other.join(texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -441,7 +469,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = materialize(tried, "tried")
     sure = materialize(alike(tried, source, shingle, least), "sure")
     roots = materialize(connected(sure), "roots")
-    rest = materialize(sample_links(texts, least, keys=keys, roots=roots).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(sample_links(texts, lambda needed: hashed_shingles(source, needed, shingle), least, keys=keys, roots=roots).join(tried, ["a", "b"], "left_anti"), "rest")
     found = connected(sure.union(alike(rest, source, shingle, least)))
     of_row = rows.select("doc_id", "text_hash").join(found, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
     of_row = materialize(of_row, "groups")

@@ -665,17 +665,19 @@ def test_similar_groups_follow_jaccard(spark):
 
 
 def test_sample_anchors_dealt_in_blocks(spark):
-    from cadenza.llm.simhash import connected, sample_links, sampled
+    from cadenza.llm.simhash import connected, hashed_shingles, sample_links, sampled
 
-    rows = []
+    rows, plain = [], []
     for i in range(30):
         words = [f"w{k}" for k in range(300)]
         words[i * 9] = f"x{i}"
         views, sig, size = sampled(" ".join(words).encode(), 5, 12, 4, 256)
         rows.append((i, views, bytearray(sig), size))
+        plain.append((i, " ".join(words)))
+    docs = spark.createDataFrame(plain, "text_hash long, text string")
     texts = spark.createDataFrame(rows, "text_hash long, views array<long>, sig binary, size int")
     for many in (7, 1000):
-        pairs = sample_links(texts, many=many)
+        pairs = sample_links(texts, lambda needed: hashed_shingles(docs, needed, 5), many=many)
         assert pairs.count() == pairs.distinct().count() and {r.root for r in connected(pairs).collect()} == {0}
 
 
