@@ -17,13 +17,16 @@ def reconcile_stream(batches: DataFrame, snapshot_dir: str, step: Callable[[Data
     """Apply step(stored, batch) to each batch and write the result as snapshot_dir/v=<batch>.
 
     A batch that runs again after a failure reads the version before it and overwrites its own, so
-    the result is the same.
+    the result is the same; versions before that are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         stored = spark.read.parquet(f"{snapshot_dir}/v={number - 1}") if number else None
         step(stored, batch).write.mode("overwrite").parquet(f"{snapshot_dir}/v={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot_dir}/v={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
