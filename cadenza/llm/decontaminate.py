@@ -211,11 +211,20 @@ def hits(texts: list[bytes], blocks: list[Tests]) -> tuple[np.ndarray, np.ndarra
     return n_words, np.diff(inside[shard.before]), items
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int) -> Iterator[Tests]:
+#: Characters of test items that one search takes; every worker holds them as suffix arrays, some 40 bytes a word.
+MOST_TEST_CHARS = 64 << 20
+
+
+def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int, most_chars: int = MOST_TEST_CHARS) -> Iterator[Tests]:
     """The test items in blocks of at most block_chars characters, each small enough to broadcast.
 
-    Items come in the order of their ids, so a block is the same however often it is made.
+    Items come in the order of their ids, so a block is the same however often it is made. A test set
+    of over most_chars characters does not fit into workers at once and is refused before anything
+    is sent; its items can be searched for in several calls.
     """
+    total = benchmark.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    if total > most_chars:
+        raise ValueError(f"{total} characters of test items, {most_chars} at most in one call")
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t"))
     block: list[tuple[str, str | None]] = []
     size = 0

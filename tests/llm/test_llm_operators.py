@@ -811,3 +811,38 @@ def test_licenses_against_brute_force(spark, same_as_sql, tmp_path):
     got = op3_license_scan(spark, str(tmp_path))
     assert got.select("license_id").distinct().count() == len(TEMPLATES)
     same_as_sql(got, OP3_SQL, str(tmp_path))
+
+
+def test_test_set_is_bounded(spark, odd):
+    from cadenza.llm.decontaminate import test_blocks
+
+    bench = spark.createDataFrame([(1, "one two three"), (2, None), (3, "four five")], "item_id long, text string")
+    assert len([*test_blocks(bench, "item_id", "text", 10, 5, 22)]) == 3
+    with pytest.raises(ValueError):
+        next(test_blocks(bench, "item_id", "text", 10, 5, 21))
+
+
+def test_packing_is_near_the_bound(spark):
+    """As few sequences as the tokens and the pieces over half a sequence allow, but for one in 200."""
+    from cadenza.llm.packing import solve
+
+    rng = np.random.default_rng(6)
+    for lengths in (np.minimum(1024, rng.lognormal(5.5, 1.2, 60_000)).astype(int) + 0, rng.integers(400, 700, 20_000), rng.integers(1, 60, 20_000), np.full(30_000, 600), rng.choice([341, 342, 683, 700, 1024], 9000)):
+        lengths = lengths[lengths > 0]
+        histogram = Counter(lengths.tolist())
+        plan = solve(histogram, 1024)
+        held = Counter()
+        for config, copies in plan:
+            assert copies > 0 and sum(n * c for n, c in config) <= 1024
+            for n, c in config:
+                held[n] += c * copies
+        assert held == histogram
+        tokens, large = -(-int(lengths.sum()) // 1024), int((lengths > 512).sum())
+        least = max(tokens, large)
+        used = sum(c for _, c in plan)
+        if lengths.max() == 600:
+            assert used == len(lengths)
+        elif set(lengths.tolist()) <= {341, 342, 683, 700, 1024}:
+            assert used >= least
+        else:
+            assert used <= least * 1.02 + 10, (used, least)
