@@ -29,7 +29,7 @@ class Encoder:
     encoded whole. Beyond `keep` pieces, only those of the last call stay in memory.
     """
 
-    def __init__(self, path: str | None = None, keep: int = 800_000):
+    def __init__(self, path: str | None = None, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
