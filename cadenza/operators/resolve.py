@@ -67,13 +67,16 @@ def within_days(rows: DataFrame, days: int, *keys: str) -> DataFrame:
 def same_day_elsewhere(rows: DataFrame, country: str = "BR") -> DataFrame:
     """Pairs of one country and day in different subdivisions, with a title word in common.
 
-    Such pairs need nearly equal titles, so they must share a word; that keeps a busy day's pairs few.
+    Such pairs need nearly equal titles, so they must share a word and be nearly as long: titles 0.95
+    alike differ in length by a tenth at most. Lengths are cut into steps of a tenth, and each row
+    looks into its own and the next ones; that keeps a busy day's pairs few.
     """
     some = rows.filter((F.col("country") == country) & F.col("day").isNotNull())
+    step = F.floor(F.log(F.greatest(F.length("key"), F.lit(1)).cast("double")) / 0.1001)
     # Titles 0.95 alike share their longest words but for a few letters, so whole words or their first four letters meet.
-    flat = some.select("day", "sub", "ordinal", F.explode(F.array_distinct(F.transform(F.split("key", " "), lambda w: F.substring(w, 1, 4)))).alias("w")).filter("w <> ''")
-    other = flat.select("day", "w", F.col("sub").alias("sub2"), F.col("ordinal").alias("b"))
-    return flat.join(other, ["day", "w"]).filter("sub <> sub2 AND ordinal < b").select(F.col("ordinal").alias("a"), "b").distinct()
+    flat = some.select("day", "sub", "ordinal", step.alias("step"), F.explode(F.array_distinct(F.transform(F.split("key", " "), lambda w: F.substring(w, 1, 4)))).alias("w")).filter("w <> ''")
+    other = flat.select("day", "w", F.col("sub").alias("sub2"), F.col("ordinal").alias("b"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
+    return flat.join(other, ["day", "w", "step"]).filter("sub <> sub2 AND ordinal < b").select(F.col("ordinal").alias("a"), "b").distinct()
 
 
 def decision(a: dict[str, Column], b: dict[str, Column], sim: Column, rules: Rules = RULES) -> Column:

@@ -112,9 +112,11 @@ def label_argmax(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Parts whose name holds all words of a set."""
-    sets = spark.createDataFrame(WORD_SETS, "words string, label string")
-    p = table(spark, sf, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("t"))
-    return p.join(sets, F.size(F.array_except(F.split("words", " "), F.col("t"))) == 0).select("p_partkey", "label")
+    sets = spark.createDataFrame(WORD_SETS, "words string, label string").select("label", F.split("words", " ").alias("s"))
+    words = sets.select("label", F.size("s").alias("n"), F.explode("s").alias("w"))
+    p = table(spark, sf, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
+    found = p.join(F.broadcast(words), "w").groupBy("p_partkey", "label", "n").agg(F.count(F.lit(1)).alias("m"))  # a few word sets
+    return found.filter("m = n").select("p_partkey", "label")
 
 
 def strip_shared(spark: SparkSession, sf: str) -> DataFrame:
