@@ -40,10 +40,11 @@ def to_events(rows: DataFrame, spec: Spec) -> DataFrame:
     link = lambda k: F.when(value(k).startswith("http"), value(k)).otherwise(F.concat(F.lit(spec.base_url), value(k)))
     kms = F.transform(extract_distances(F.coalesce(value("distances"), value("title")), value("title")), lambda km: F.struct(km.alias("km"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("start_time")))
     listing = F.struct(F.lit(spec.source).alias("name"), link("page").alias("page_url"), F.array_compact(F.array(link("signup"))).alias("signup_urls"), F.lit(spec.kind).alias("kind"))
+    written = F.regexp_replace(value("date"), r"^(?<dm>\d{1,2}/\d{1,2}/)(?<y>\d{2})$", "${dm}20${y}")
     columns = {
         "id": F.concat_ws("_", F.lit(spec.source), F.coalesce(value("id"), F.md5(F.concat_ws("|", value("title"), value("date"), value("page"))))),
         "title": normal_title(value("title")),
-        "event_date": parse_date(F.regexp_replace(value("date"), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$2/$1/$3") if spec.month_first else value("date")),
+        "event_date": parse_date(F.regexp_replace(written, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$2/$1/$3") if spec.month_first else written),
         "start_time": parse_time(value("time")),
         "location_text": F.coalesce(value("place"), F.nullif(F.concat_ws(", ", value("city"), value("subdivision")), F.lit(""))),
         "city": value("city"),
