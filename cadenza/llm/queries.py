@@ -10,6 +10,7 @@ from cadenza.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from cadenza.llm.language_id import op4_language_id
 from cadenza.llm.license_scan import OP3_SQL, op3_license_scan
 from cadenza.llm.packing import op6_best_fit_packing
+from cadenza.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from cadenza.llm.quality import op9_quality_classifier
 from cadenza.llm.secret_scan import op7_secret_scan
 from cadenza.llm.simhash import op8_simhash_near_dedup
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_id_output": op10_token_id_output,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
     "op2_benchmark_decontamination": OP2_SQL,
     "op3_license_scan": OP3_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
