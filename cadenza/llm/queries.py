@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
+from cadenza.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from cadenza.llm.language_id import op4_language_id
 from cadenza.llm.license_scan import OP3_SQL, op3_license_scan
 from cadenza.llm.packing import op6_best_fit_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_id_output": op10_token_id_output,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op3_license_scan": OP3_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

@@ -30,12 +30,12 @@ from cadenza.llm.common import materialize
 FOUND = "query_id long, vec_id long, score long"
 
 
-def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): whole-number components of the vectors that take part."""
+def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int, *more: str) -> DataFrame:
+    """(vec_id, v): whole-number components of the vectors that take part; then further columns."""
     x = F.col(vector_col).cast("array<double>")
     v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c).cast("long"))
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.filter(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.filter(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *more)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

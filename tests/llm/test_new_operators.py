@@ -105,3 +105,68 @@ def test_trie_sql(spark):
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         columns, want = rows_of_sql(OP11_SQL, sf)
         assert sorted(map(tuple, op11_prefix_trie(spark, sf).select(columns).collect()), key=str) == want
+
+
+def negatives_by_hand(rows, k=5, positives=5, percent=80):
+    """rows: (vec_id, vector, label) after the label's change; anchors are ids divisible by 100."""
+    ok = [(i, np.floor(256 * np.array(v, float)).astype(int), int(y)) for i, v, y in rows if i is not None and v and y is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a in sorted({i for i, _, _ in ok if i % 100 == 0}):
+        y, v = min((y, tuple(v)) for i, v, y in ok if i == a)
+        scored = [(-int(np.dot(v, w)), i, z) for i, w, z in ok if i != a and len(w) == len(v)]
+        for s, p, _ in sorted(x for x in scored if x[2] == y)[:positives]:
+            band = sorted(x for x in scored if x[2] != y and percent * -s <= 100 * -x[0] <= 100 * -s)[:k]
+            out += [(a, p, r, i, -s, -n) for r, (n, i, _) in enumerate(band, 1)]
+    return sorted(out)
+
+
+COLUMNS = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
+def vectors(rng, n, size=24, labels=4):
+    """Clusters, copies (also of ids), ties, odd and missing vectors."""
+    centres = rng.normal(size=(labels, size))
+    rows = []
+    for i in range(n):
+        y = int(rng.integers(labels))
+        rows.append((i, (0.3 * centres[(y + (i % 3 == 0)) % labels] + 0.1 * rng.normal(size=size) * 2.0 ** -np.arange(size)).tolist(), y))
+    rows += [(n + i, [0.25] * size, i % 2) for i in range(n // 3)]  # one vector, a quarter of the rows
+    rows += [(100, [0.5] * size, 0), (7, [0.25] * size, 1), (None, [0.1] * size, 1), (3001, None, 1), (3002, [None] * size, 1), (3003, [float("nan")] * size, 1), (3004, [float("inf")] * size, 0), (3005, [], 0), (3006, [0.5] * size, None)]
+    return rows + [(3100 + i, [0.5, 1.0 * i], i % 2) for i in range(0, 300, 10)] + [(3500, [3.0e4] * size, 1)]
+
+
+@pytest.mark.parametrize("block_rows,group_blocks", [(16, 1), (2048, 16)])
+def test_negatives_by_hand(spark, block_rows, group_blocks):
+    from cadenza.llm.hard_negatives import hard_negatives
+
+    rows = vectors(np.random.default_rng(5), 900)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, rank string, size int").repartition(6)
+    got = hard_negatives(df, F.col("vec_id") % 100 == 0, F.col("label"), block_rows=block_rows, group_blocks=group_blocks)
+    assert sorted(map(tuple, got.select(COLUMNS).collect())) == negatives_by_hand(rows)
+    assert hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0, F.col("label")).count() == 0
+
+
+def test_negatives_discard_early():
+    """Bounds of leading components leave few pairs to be verified, and lose none."""
+    from cadenza.llm.hard_negatives import ANY, NONE, Rotated, search
+    from cadenza.llm.vector_blocks import Block
+
+    rng = np.random.default_rng(2)
+    v = np.floor(256 * rng.normal(size=(3000, 64)) * 1.3 ** -np.arange(64)).astype(np.int64)
+    block = lambda at: Block(64, at.tobytes(), (at % 5).tobytes(), v[at].tobytes(), b"")
+    anchors, blocks = Rotated(block(np.arange(40)), None), [Rotated(block(np.arange(a, a + 500)), None) for a in range(0, 3000, 500)]
+    counts = {}
+    got = search(anchors, blocks, np.full((40, 1), NONE), np.full((40, 1), ANY), False, 5, counts)
+    for i in range(40):
+        want = sorted((-int(v[i] @ v[x]), x) for x in range(3000) if x % 5 != i % 5)[:5]
+        assert list(zip(-got.scores[i, 0], got.ids[i, 0], strict=True)) == want
+    assert counts["verified"] < 0.05 * counts["all"]
+
+
+def test_negatives_sql(spark):
+    from cadenza.llm.hard_negatives import OP12_SQL, op12_hard_negatives
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        columns, want = rows_of_sql(OP12_SQL, sf)
+        assert sorted(map(tuple, op12_hard_negatives(spark, sf).select(columns).collect()), key=str) == want
+        assert want
