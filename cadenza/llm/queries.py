@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.byte_bpe import op13_byte_bpe
 from cadenza.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from cadenza.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from cadenza.llm.language_id import op4_language_id
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_id_output": op10_token_id_output,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -170,3 +170,73 @@ def test_negatives_sql(spark):
         columns, want = rows_of_sql(OP12_SQL, sf)
         assert sorted(map(tuple, op12_hard_negatives(spark, sf).select(columns).collect()), key=str) == want
         assert want
+
+
+def tiktoken_encoding():
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return ranks, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    from cadenza.llm.byte_bpe import read_vocabulary
+
+    return read_vocabulary()
+
+
+def test_perfect_hash(vocabulary):
+    """Every token has a slot of its own; strings that are no tokens are found to be none."""
+    ranks, _ = tiktoken_encoding()
+    tokens = list(ranks)
+    assert vocabulary.lookup(tokens).tolist() == list(ranks.values())
+    others = [t + b"\x00q" for t in tokens[::7]] + [b"", b"\xff\xfe\xfd", b"no such token at all"]
+    assert (vocabulary.lookup([o for o in others if o not in ranks]) == -1).all()
+    assert len(vocabulary.ids) == vocabulary.hash.n == len(ranks) and sorted(vocabulary.hash.slot_of(__import__("cadenza.llm.byte_bpe", fromlist=["x"]).key_hashes(tokens)[2])) == list(range(len(ranks)))
+
+
+ODD_TEXTS = [None, "", " ", "a", "\x00\x00", "don't  stop\n\n\t now's", "a" * 20_000, "ab" * 5_000, " " * 3_000 + "x", "<|endoftext|>", "é字😀‍👩‍👩‍👧 　\xa0x", "१२३ 123,456.78", "\r\n\r\n ", "ﷺ" * 50, "xyz" * 40 + "\n" * 70]
+
+
+def test_bpe_as_tiktoken(spark, vocabulary):
+    from cadenza.llm.byte_bpe import decode, encode, merged
+
+    ranks, enc = tiktoken_encoding()
+    rng = random.Random(4)
+    texts = ODD_TEXTS + ["".join(chr(rng.choice([rng.randint(1, 127), rng.randint(1, 0x2FFF), rng.randint(0x1F300, 0x1F9FF)])) for _ in range(rng.randint(1, 400))) for _ in range(300)]
+    rows = [(i, t, "x", b"y") for i, t in enumerate(texts)] + [(1, "again", None, None), (None, "no id", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded binary").repartition(3)
+    got = decode(encode(df)).collect()
+    assert len(got) == len(rows)
+    want = sorted((str(i), enc.encode_ordinary(t or "")) for i, t, _, _ in rows)
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
+    assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for _, t, _, _ in rows)
+    assert encode(df.limit(0)).count() == 0
+    for _ in range(200):
+        piece = bytes(rng.choice(b"aabbcd \xc3\xa9") for _ in range(rng.randint(1, 40)))
+        assert merged(piece, ranks.get) == (enc._core_bpe.encode_single_piece(piece))
+
+
+def test_bpe_query(spark):
+    from cadenza.llm.byte_bpe import op13_byte_bpe
+
+    _, enc = tiktoken_encoding()
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, op13_byte_bpe(spark, SF).collect())) == sorted(want)
+
+
+def test_bpe_refuses(spark, vocabulary):
+    from cadenza.llm.byte_bpe import Vocabulary
+
+    with pytest.raises(ValueError):
+        vocabulary.decode(np.array([10**6]))
+    with pytest.raises(ValueError):
+        Vocabulary({b"a": 0}, ".")
