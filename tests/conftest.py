@@ -69,7 +69,7 @@ def same_as_sql():
         assert columns == sorted(got.columns)
 
         def rows(df):
-            plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v
+            plain = lambda v: None if v is None or v is pd.NA or v != v else int(v) if isinstance(v, float) and v.is_integer() else round(float(v), 6) if isinstance(v, float) else v
             return sorted(str([plain(v.item() if hasattr(v, "item") else v) for v in r]) for r in df[columns].values.tolist())
 
         assert rows(got) == rows(want)
