@@ -163,25 +163,28 @@ def rounded(left: dict[int, int], fraction: dict[tuple, float], capacity: int, m
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 2000, step: float = 4.0, few: int = 100_000) -> list[tuple[tuple, int]]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 2000, step: float = 4.0) -> list[tuple[tuple, int]]:
     """(configuration, copies) that hold each piece of the histogram once.
 
-    The program is solved and rounded down; what rounding leaves is a histogram again. Once that
-    has at most `few` pieces, or rounding takes under a tenth of it, best fit places the rest, its
-    work bounded by the lengths and configurations, not by the pieces.
+    The program is solved and rounded down; what rounding leaves is a histogram again, until rounding
+    takes under a tenth of it. After each round best fit places what is left, its work bounded
+    by the lengths and configurations, not by the pieces, and the plan of the fewest sequences is kept.
     """
     left = {n: c for n, c in histogram.items() if n != capacity and c}
     out: Counter = Counter()
+    plan: Counter = Counter()
     while left:
         before = sum(left.values())
         out += rounded(left, configurations(left, capacity, rounds, step, 0.97), capacity, 0.002)
         left = {n: c for n, c in left.items() if c}
-        if sum(left.values()) <= few or sum(left.values()) > 0.9 * before:
-            out += best_fit(left, capacity)
+        whole = out + best_fit(left, capacity)
+        if not plan or whole.total() < plan.total():
+            plan = whole
+        if sum(left.values()) > 0.9 * before:
             break
     if histogram.get(capacity):
-        out[((capacity, 1),)] += histogram[capacity]
-    return sorted(out.items())
+        plan[((capacity, 1),)] += histogram[capacity]
+    return sorted(plan.items())
 
 
 def slots(plan: list[tuple[tuple, int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -190,16 +190,20 @@ def test_language_brute_force(spark, docs, docs_df):
 
     from cadenza.llm.language_id import identify, learn_languages
 
-    def piece(t, chars=300):
-        size = chars // 4
-        return t if len(t) <= chars else "\n".join(t[int((len(t) - size) * k / 3) :][:size] for k in range(4))
+    def sampled(texts, rows=5, most=6000):
+        out = []
+        for t in texts:
+            size = sum(len(x.encode()) for x in out) + len(t.encode())
+            if len(out) < rows and size <= most:
+                out.append(t)
+        return out
 
     learn = [(la, t) for i, la, t in zip(docs.doc_id, docs.lang, docs.text, strict=True) if la and t]
     signed = lambda t: (h := xxhash.xxh64(t.encode(), 42).intdigest()) - (h >> 63 << 64)
     compressors = {}
     for lang in sorted({la for la, _ in learn}):
-        first = sorted({t for la, t in learn if la == lang}, key=signed)[:5]
-        d = zstandard.ZstdCompressionDict("\n".join(map(piece, first)).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        first = sampled(sorted({t for la, t in learn if la == lang}, key=signed))
+        d = zstandard.ZstdCompressionDict("\n".join(first).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         compressors[lang] = zstandard.ZstdCompressor(dict_data=d, level=6, write_content_size=False, write_dict_id=False)
 
     def choose(t):
@@ -211,12 +215,26 @@ def test_language_brute_force(spark, docs, docs_df):
         return min(size, key=lambda k: (size[k], k)), (second - best) / second >= 0.01
 
     copies = docs_df.union(docs_df).union(docs_df)
-    got = {r.doc_id: (r.lang_pred, r.accepted) for r in identify(docs_df, learn_languages(copies, sample_rows=5, sample_chars=300)).collect()}
+    got = {r.doc_id: (r.lang_pred, r.accepted) for r in identify(docs_df, learn_languages(copies, sample_rows=5, sample_bytes=6000)).collect()}
     want = {i: choose(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
     assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
     assert all(v[1] == want[i][1] for i, v in got.items() if v[0] != "und")
 
 
+def test_licenses_of_repeated_rows(spark):
+    """Rows of one doc_id: their windows at a place count once, by the highest containment, in any order."""
+    from cadenza.llm.license_scan import TEMPLATES, scan_licenses
+
+    text = max(TEMPLATES.values(), key=len)
+    words = text.split()
+    worse = " ".join(words[: len(words) // 2] + ["changed"] + words[len(words) // 2 + 1 :])
+    rows = [(1, text), (1, worse), (2, worse), (2, text), (3, worse)]
+    got = [{(r.doc_id, r.license_id): (r.n_windows, r.containment, r.first_word) for r in scan_licenses(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    assert any(v[1] == 1.0 for k, v in got[0].items() if k[0] == 1) and all(v == got[0][2, k[1]] for k, v in got[0].items() if k[0] == 1)
+    assert all(v[1] < 1 for k, v in got[0].items() if k[0] == 3)
+
+
 def test_language_odd(spark, odd):
     from cadenza.llm.language_id import identify, learn_languages
 
@@ -331,7 +349,7 @@ def test_packing_solver_is_near_the_bound():
 
     rng = np.random.default_rng(2)
     histogram = Counter(int(x) for x in np.clip(rng.lognormal(5.5, 0.9, 30_000), 1, 1024))
-    plan = solve(histogram, 1024, few=500)
+    plan = solve(histogram, 1024)
     held = Counter()
     for config, copies in plan:
         assert sum(n * c for n, c in config) <= 1024
@@ -342,6 +360,20 @@ def test_packing_solver_is_near_the_bound():
     assert solve({}, 1024) == []
 
 
+def test_packing_takes_the_best_round():
+    """No more sequences than best fit gives after any number of roundings."""
+    from cadenza.llm.packing import best_fit, configurations, rounded, solve
+
+    rng = np.random.default_rng(6)
+    histogram = Counter(int(x) for x in np.clip(rng.lognormal(5.5, 1.2, 40_000), 1, 1023))
+    n = sum(c for _, c in solve(dict(histogram), 1024))
+    left, out = dict(histogram), Counter()
+    for _ in range(3):
+        out += rounded(left, configurations(left, 1024, 2000, 4.0, 0.97), 1024, 0.002)
+        left = {k: c for k, c in left.items() if c}
+        assert n <= (out + best_fit(left, 1024)).total()
+
+
 def test_packing_driver_work_is_bounded_by_lengths():
     from cadenza.llm.packing import best_fit, solve
 
