@@ -18,7 +18,7 @@ words that cover the minima's shingles are left out first.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased; shingles have
 five words. Null texts, and texts of fewer than five words, hold no license. Rows that repeat a
-doc_id count as one document. Without templates or documents there are no rows.
+doc_id count as one document: their windows at a place count once, by the highest containment. Without templates or documents there are no rows.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     shingles = F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, SHINGLE)))
     share = F.size(F.array_intersect(shingles, F.col("t.shingles"))) / F.size("t.shingles")
     found = met.select("doc_id", F.col("t.license_id").alias("license_id"), "at", share.alias("share")).filter(F.col("share") >= least)
-    found = found.dropDuplicates(["doc_id", "license_id", "at"])
+    found = found.groupBy("doc_id", "license_id", "at").agg(F.max("share").alias("share"))
     return found.groupBy("doc_id", "license_id").agg(
         F.count(F.lit(1)).alias("n_windows"), F.max("share").alias("containment"), F.min_by("at", F.struct(-F.col("share"), F.col("at"))).cast("long").alias("first_word")
     )
@@ -180,9 +180,10 @@ def _quoted(x: str) -> str:
 OP3_SQL = f"""
 WITH t(license_id, ts, span, step) AS (VALUES {", ".join(f"({_quoted(k)}, [{', '.join(map(_quoted, s))}], {n}, {step})" for k, s, n, step in template_rows(TEMPLATES))}),
 p AS (SELECT license_id, span, step, len(ts) AS m, unnest(ts) AS x FROM t),
-d AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS i FROM d WHERE len(w) >= {SHINGLE})),
-h AS (SELECT doc_id, license_id, m, x, step, unnest(range(greatest(0, CAST(ceil((i - span + 1) / step) AS BIGINT)), i // step + 1)) AS k FROM s JOIN p USING (x)),
-c AS (SELECT doc_id, license_id, k * step AS a, count(DISTINCT x) / any_value(m) AS share FROM h GROUP BY doc_id, license_id, k, step)
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, r, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') AS x FROM (SELECT doc_id, r, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS i FROM d WHERE len(w) >= {SHINGLE})),
+h AS (SELECT doc_id, r, license_id, m, x, step, unnest(range(greatest(0, CAST(ceil((i - span + 1) / step) AS BIGINT)), i // step + 1)) AS k FROM s JOIN p USING (x)),
+f AS (SELECT doc_id, license_id, k * step AS a, count(DISTINCT x) / any_value(m) AS share FROM h GROUP BY doc_id, r, license_id, k, step),
+c AS (SELECT doc_id, license_id, a, max(share) AS share FROM f GROUP BY doc_id, license_id, a)
 SELECT doc_id, license_id, count(*) AS n_windows, max(share) AS containment, CAST(arg_min(a, (-share, a)) AS BIGINT) AS first_word FROM c WHERE share >= 0.8 GROUP BY doc_id, license_id
 """
