@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import small_batches, texts_of
@@ -32,33 +32,32 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
 
 
-def spread(text: Column, chars: int, pieces: int = 4) -> Column:
-    """At most `chars` characters of a text: all of it, or pieces from its beginning to its end at equal distances."""
-    size = chars // pieces
-    last = F.length(text) - size
-    parts = [F.substring(text, (last * k / (pieces - 1)).cast("int") + 1, F.lit(size)) for k in range(pieces)]
-    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *parts))
+def dictionaries(learn: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_bytes: int) -> dict[str, bytes]:
+    """For each language, up to sample_rows different whole texts, the first in hash order, of sample_bytes together at most.
 
-
-def dictionaries(learn: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_chars: int) -> dict[str, bytes]:
-    """For each language, up to sample_rows different texts, the first in hash order, sample_chars of each.
-
-    The sample is bounded by the number of languages. Different texts are counted first; a bound on
-    the hash then leaves about four times as many as are needed of each language before any row is
-    sent on, and copies of a text are one, so neither a language with most of the corpus nor a text
+    A text that would go over the bytes is passed over for the next. The sample is bounded by the number of languages. Different
+    texts are counted first; a bound on the hash then leaves about four times as many as are needed of each language before
+    any row is sent on, and copies of a text are one, so neither a language with most of the corpus nor a text
     with very many copies weighs more than others.
     """
-    rows = learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    rows = learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("size", F.octet_length("text"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("size").between(1, sample_bytes)).withColumn("h", F.xxhash64("text"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
     cuts = {k: int(-(2**63) + 2**64 * (4 * sample_rows + 50) / n) for k, n in counts.items() if n > 4 * sample_rows + 50}
     if cuts:
         bounds = F.create_map(*(F.lit(x) for p in cuts.items() for x in p))
         rows = rows.filter(F.col("h") <= F.coalesce(F.try_element_at(bounds, "lang"), F.lit(2**63 - 1)))
-    rows = rows.groupBy("lang", "h").agg(F.min(spread(F.col("text"), sample_chars)).alias("text"))
-    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rn") <= sample_rows)
+    sizes = rows.groupBy("lang", "h").agg(F.min("size").alias("size"))  # about five times sample_rows a language
+    taken: dict[str, set[int]] = {}
+    total: dict[str, int] = {}
+    for r in sorted(sizes.collect(), key=lambda r: (r.lang, r.h)):
+        if len(taken.setdefault(r.lang, set())) < sample_rows and total.get(r.lang, 0) + r.size <= sample_bytes:
+            taken[r.lang].add(r.h)
+            total[r.lang] = total.get(r.lang, 0) + r.size
+    chosen = rows.sparkSession.createDataFrame([(k, h) for k, hs in taken.items() for h in hs], "lang string, h long")
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(first.collect(), key=lambda r: (r.lang, r.rn)):
+    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.h)):
         out.setdefault(r.lang, []).append(r.text)
     return {k: "\n".join(v).lower().encode(errors="replace") for k, v in sorted(out.items())}
 
@@ -93,10 +92,10 @@ class Classifier:
 
 
 def learn_languages(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 256, sample_chars: int = 2000, level: int = 6, block_chars: int = 4096, margin: float = 0.01, sharpness: float = 20.0
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 256, sample_bytes: int = 1 << 20, level: int = 6, block_chars: int = 4096, margin: float = 0.01, sharpness: float = 20.0
 ) -> Classifier:
     """A classifier from labelled documents."""
-    return Classifier(dictionaries(docs, text_col, lang_col, sample_rows, sample_chars), level, block_chars, margin, sharpness)
+    return Classifier(dictionaries(docs, text_col, lang_col, sample_rows, sample_bytes), level, block_chars, margin, sharpness)
 
 
 def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
