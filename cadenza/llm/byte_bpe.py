@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from itertools import pairwise
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import ByteHashes, joined, mix64, slices, texts_of
 
 #: Bytes of text, and number of ids, that are worked on at once.
-TEXT_BYTES, IDS = 1 << 22, 1 << 20
+TEXT_BYTES, IDS = 1 << 21, 1 << 20
 
 #: Keys of a bucket on the average, and displacements that are tried at once.
 BUCKET, TRIES = 4, 64
@@ -96,27 +97,34 @@ class PerfectHash:
         return np.where(shift < 0, -1 - shift, _slots(hashes, np.maximum(shift, 0), self.n))
 
 
-def merged(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
-    """Ids of a pre-token: the adjacent parts whose bytes together have the least rank are joined until none have one."""
+def merged(piece: bytes, rank: Callable[[bytes], int | None], single: list[int], pairs: list[int]) -> list[int]:
+    """Ids of a pre-token: the adjacent parts whose bytes together have the least rank are joined until none have one.
+
+    single and pairs give the ranks of one byte and of two (b0 * 256 + b1; -1 for none). A heap entry is one number
+    of rank, start and end; it counts if the part that starts there and the next one still end there.
+    """
     n = len(piece)
-    end = list(range(1, n + 2))  # end[i]: where the part that starts at i ends; 0 where none starts
-    before = list(range(-1, n))  # before[j]: where the part that ends at j starts
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    ids = [single[b] for b in piece]  # of the part that starts here
+    end = list(range(1, n + 2))  # where that part ends; 0 where none starts
+    before = list(range(-1, n))  # where the part that ends here starts
+    heap = [((r << bits | i) << bits) | i + 2 for i, (x, y) in enumerate(pairwise(piece)) if (r := pairs[x << 8 | y]) >= 0]
     heapq.heapify(heap)
     while heap:
-        _, i, m, e = heapq.heappop(heap)
-        if end[i] != m or end[m] != e:
+        code = heapq.heappop(heap)
+        e = code & low
+        code >>= bits
+        i = code & low
+        m = end[i]
+        if not m or m >= n or end[m] != e:
             continue
-        end[i], end[m], before[e] = e, 0, i
+        ids[i], end[i], end[m], before[e] = code >> bits, e, 0, i
         if i and (r := rank(piece[(p := before[i]) : e])) is not None:
-            heapq.heappush(heap, (r, p, i, e))
+            heapq.heappush(heap, ((r << bits | p) << bits) | e)
         if e < n and (r := rank(piece[i : (f := end[e])])) is not None:
-            heapq.heappush(heap, (r, i, e, f))
-    out, i = [], 0
-    while i < n:
-        out.append(rank(piece[i : end[i]]))
-        i = end[i]
-    return out
+            heapq.heappush(heap, ((r << bits | i) << bits) | f)
+    return [x for x, e in zip(ids, end, strict=False) if e]
 
 
 class Vocabulary:
@@ -138,6 +146,12 @@ class Vocabulary:
         data = self.data.tobytes()
         return {data[a:b]: i for (a, b), i in zip(pairwise(self.bounds.tolist()), self.ids.tolist(), strict=True)}
 
+    @cached_property
+    def pieces(self) -> tuple[Callable[[bytes], int | None], list[int], list[int]]:
+        """Ranks by bytes, of one byte, and of two (-1 for none)."""
+        known = self.ranks
+        return known.get, [known[bytes([b])] for b in range(256)], [known.get(bytes([x, y]), -1) for x in range(256) for y in range(256)]
+
     @cached_property
     def slot_of_id(self) -> np.ndarray:
         out = np.full(int(self.ids.max()) + 1, -1, np.int64)
@@ -179,15 +193,16 @@ def read_vocabulary(path: str | None = None, pattern: str | None = None) -> Voca
 
 
 class Encoder:
-    """Encodes texts in batches; `keep` merged pre-tokens stay known between them."""
+    """Encodes texts in batches; up to `keep` merged pre-tokens (the last batch's aside) stay known between them, those of late longest."""
 
     def __init__(self, vocabulary: Vocabulary, keep: int = 200_000):
         import regex
 
         self.vocabulary, self.keep = vocabulary, keep
         self.find = regex.compile(vocabulary.pattern).findall
-        self.rank = vocabulary.ranks.get
+        self.merge = vocabulary.pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit numbers."""
@@ -197,18 +212,20 @@ class Encoder:
         hits = self.vocabulary.lookup(keys)
         flat = hits.astype(np.int32).tobytes()
         ids: dict[str, bytes] = {}
-        known = self.known
+        known, older = self.known, self.older
         for k, (w, hit) in enumerate(zip(different, hits.tolist(), strict=True)):
             if hit >= 0:
                 ids[w] = flat[4 * k : 4 * k + 4]
             elif (got := known.get(w)) is not None:
                 ids[w] = got
+            elif (got := older.get(w)) is not None:
+                ids[w] = known[w] = got
             else:
-                ids[w] = got = np.array(merged(keys[k], self.rank), np.int32).tobytes()
+                ids[w] = got = array("i", merged(keys[k], *self.merge)).tobytes()
                 if len(w) < 100:
                     known[w] = got
-        if len(known) > self.keep:
-            self.known = {}
+        if len(known) > self.keep // 2:
+            self.known, self.older = {}, known
         return [b"".join(map(ids.__getitem__, w)) for w in words]
 
 
