@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ByteHashes, joined, mix64, slices, texts_of
+from cadenza.llm.common import ByteHashes, bounded_batches, joined, mix64, slices, texts_of
 
 #: Bytes of text, and number of ids, that are worked on at once.
 TEXT_BYTES, IDS = 1 << 21, 1 << 20
@@ -274,6 +274,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pa
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to, as digests."""
+    bounded_batches(spark)
     both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

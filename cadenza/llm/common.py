@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,6 +72,17 @@ def may_match(df: DataFrame, key: Column, keys: DataFrame, how: str = "left_semi
     return df.join(F.broadcast(taken), bucket(key) == taken["__bucket"], how)
 
 
+#: Spark's limit on the bytes of a batch that goes to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lower the session's limit on the bytes of a batch to `most`: rows are whole texts here, and each batch is held twice or more."""
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES, "1g"))
+    if now > most:
+        spark.conf.set(BATCH_BYTES, f"{most}b")
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so no other column of the input can clash with ours."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -94,8 +105,14 @@ def slices(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, i + 1
 
 
+#: Called where a worker begins work that does not need what these keep.
+WORKER_CACHES: list[Callable[[], None]] = []
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows, a few at a time, so that few texts are Python objects at once."""
+    """The same rows, a few at a time, so that few texts are Python objects at once; what earlier stages keep in this worker goes."""
+    for drop in WORKER_CACHES:
+        drop()
     for b in batches:
         for i in range(0, len(b), rows):
             yield b.slice(i, rows)

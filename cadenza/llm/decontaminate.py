@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ByteHashes, joined, slices, small_batches, split_words, texts_of, word_table
+from cadenza.llm.common import ByteHashes, bounded_batches, joined, slices, small_batches, split_words, texts_of, word_table
 
 FOLD, FLAGS = word_table(True, [*range(48, 58), *range(97, 123), *range(128, 256)])
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -246,7 +246,7 @@ def contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 1 << 20,
     block_chars: int = 8 << 20,
 ) -> DataFrame:
     """Per document, how many of its words lie in an occurrence of a test window, and of which items.
@@ -278,7 +278,7 @@ def longest_matches(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 1 << 20,
     block_chars: int = 8 << 20,
 ) -> DataFrame:
     """For every test suffix that occurs for at least a window, its longest matches over all shards.
@@ -316,7 +316,7 @@ def longest_matches(
     return found.join(most, same, "left_semi")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 4 << 20, block_chars: int = 8 << 20) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 1 << 20, block_chars: int = 8 << 20) -> DataFrame:
     """The documents none of whose words lie in an occurrence of a test window, all columns kept."""
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(t) for t in test_blocks(benchmark, item_id_col, item_text_col, window, block_chars)]
@@ -334,6 +334,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold windows of benchmark items."""
+    bounded_batches(spark)
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize, texts_of
+from cadenza.llm.common import bounded_batches, materialize, texts_of
 from cadenza.llm.tokens import encoder
 
 #: Above 1, a long piece is worth more than short ones of the same total, so short ones stay to fill gaps.
@@ -253,4 +253,5 @@ def pack(
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens."""
+    bounded_batches(spark)
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import scratch_path, texts_of
+from cadenza.llm.common import bounded_batches, scratch_path, texts_of
 from cadenza.llm.tokens import encoder
 
 MANIFEST = "shard int, path string, n_ids long, n_docs long, n_sequences long"
@@ -209,5 +209,6 @@ def read_digest(manifest: DataFrame) -> DataFrame:
 
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write documents as Arrow token files in the shared folder and digest what is read back."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_digest(write_token_files(docs, scratch_path(spark, "token-files")))

@@ -7,6 +7,8 @@ import os
 import re
 from array import array
 
+from cadenza.llm.common import WORKER_CACHES
+
 #: White space that a byte-level tokenizer may treat as such beyond plain spaces and line ends.
 _RARE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _LOOSE_STOP = re.compile(r"(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,]")
@@ -104,6 +106,7 @@ def _byte_names() -> dict[int, str]:
 BYTE_NAMES = _byte_names()
 
 _ENCODERS: dict[str | None, Encoder] = {}
+WORKER_CACHES.append(_ENCODERS.clear)
 
 
 def encoder(path: str | None = None) -> Encoder:
