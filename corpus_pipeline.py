@@ -1,14 +1,15 @@
 """A pipeline over documents: quality, near copies, benchmark passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. Rows are whole texts,
+so each stage lowers the session's limit on the bytes of a batch that goes to Python.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm.common import materialize
+from cadenza.llm.common import bounded_batches, materialize
 from cadenza.llm.decontaminate import remove_contaminated
 from cadenza.llm.language_id import remainder
 from cadenza.llm.packing import pack
@@ -19,27 +20,32 @@ from cadenza.llm.simhash import keep_first
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good; learned from the labels op9 learns from."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 3) != 1)
     return keep_quality(docs, learn_quality(docs, labels))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, 0.8 alike or more."""
+    bounded_batches(spark)
     return keep_first(docs, shingle=5, threshold=2, least=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark and n_chars counted anew."""
+    bounded_batches(spark)
     return redact_secrets(docs, length_col="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document stands in the packed sequences."""
+    bounded_batches(spark)
     return pack(docs)
 
 
