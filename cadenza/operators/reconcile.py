@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.components import written
-from cadenza.operators.resolve import confirmed, prepared, united_distances, united_listings
+from cadenza.operators.components import forgotten, written
+from cadenza.operators.resolve import confirmed, prepared, spans, united_distances, united_listings
 from cadenza.operators.rules import violations
+from cadenza.operators.similar import representatives, same_day_rows, similar_rows
 from cadenza.schema import RULES, Rules
 
 #: Fields whose change makes an event updated (fixed values).
@@ -63,59 +64,51 @@ def changed(old: str, fields: dict[str, Column]) -> Column:
 
 
 def matches(new: DataFrame, stored: DataFrame, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
-    """(n, s): ordinal of each incoming row and of the stored row it updates.
+    """(n, s): ordinal of each incoming row that has one and of the stored row it updates.
 
-    By id first; else the first stored row in order that is a duplicate. Of several incoming rows
-    with one stored row the last counts.
+    By id first; else the first stored row in order that is a duplicate, whether or not another incoming row has its id.
     """
-    by_id = new.select("id", F.col("ordinal").alias("n")).join(stored.select("id", F.col("ordinal").alias("s")), "id").select("n", "s")
+    by_id = new.select("id", F.col("ordinal").alias("n")).join(stored.select("id", F.col("ordinal").alias("s")), "id").groupBy("n").agg(F.min("s").alias("s"))
     rest = new.join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti")
-    free = stored.join(by_id.select(F.col("s").alias("ordinal")), "ordinal", "left_anti")
-    # Each side is read by every way of finding pairs, so it is written once.
-    a, b = (written(prepared(x, generic=generic, rules=rules), "compared") for x in (rest, free))
-    ways = (with_a_link, lambda x, y: near_days(x, y, rules.band_days), same_day_apart, undated)
-    pairs = reduce(DataFrame.union, (way(a, b) for way in ways)).distinct()
-    found = confirmed(pairs, a, rules, others=b)
-    first = found.groupBy("a").agg(F.min("b").alias("s")).select(F.col("a").alias("n"), "s")
-    every = by_id.union(first)
-    return every.groupBy("s").agg(F.max("n").alias("n")).select("n", "s")
-
-
-def _sides(a: DataFrame, b: DataFrame, left: list[Column], right: list[Column], on: list[str]) -> DataFrame:
-    """Both sides by keys: the incoming row's ordinal is a, the stored row's b."""
-    return a.select(*left, F.col("ordinal").alias("a")).join(b.select(*right, F.col("ordinal").alias("b")), on)
+    # Each side is read by every way of finding pairs, so it is written once, rows that are alike in all that is compared as one.
+    sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (rest, stored)]
+    a, b = (written(reps, "compared") for reps, _ in sides)
+    pairs = reduce(DataFrame.union, (way(a, b, rules) for way in (with_a_link, near_days, same_day_apart, undated))).distinct()
+    found = written(confirmed(pairs, a, rules, others=b).groupBy("a").agg(F.min("b").alias("s")), "found")
+    copies = sides[0][1].join(found, F.col("rep") == F.col("a")).select(F.col("ordinal").alias("n"), "s")
+    out = written(by_id.union(found.select(F.col("a").alias("n"), "s")).union(copies), "matches")
+    for table in (a, b, found):
+        forgotten(table)
+    return out
 
 
-def with_a_link(a: DataFrame, b: DataFrame) -> DataFrame:
+def with_a_link(a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Incoming and stored rows with a link in common."""
-    link = [F.explode("links").alias("link")]
-    return _sides(a, b, link, link, ["link"]).select("a", "b")
-
+    sides = (x.select(F.explode("links").alias("link"), F.col("ordinal").alias(name)) for x, name in ((a, "a"), (b, "b")))
+    return next(sides).join(next(sides), "link").select("a", "b")
 
-def near_days(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
-    """Those of a subdivision whose dates are at most `days` apart: spans of days, each row looks into three."""
-    span = F.floor(F.datediff("day", F.lit("1970-01-01")) / (days + 1))
-    left = [F.col("sub"), F.col("day").alias("da"), F.explode(F.array(span - 1, span, span + 1)).alias("span")]
-    right = [F.col("sub"), F.col("day").alias("db"), span.alias("span")]
-    return _sides(a.filter("day IS NOT NULL"), b.filter("day IS NOT NULL"), left, right, ["sub", "span"]).filter(F.abs(F.datediff("da", "db")) <= days).select("a", "b")
 
+def near_days(a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """Those of a subdivision within the band of days whose titles may be alike enough; spans of days, each row looks into three."""
+    dated = lambda x: x.filter("day IS NOT NULL").withColumn("span", spans(F.col("day"), rules.band_days))
+    one, two = dated(a), dated(b)
+    wide = one.withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
+    near = similar_rows(wide, two, ["sub", "span"], min(rules.close_similarity, rules.strict_similarity), "day")
+    near = near.filter(F.abs(F.datediff("a_day", "b_day")) <= rules.band_days).select("a", "b")
+    return near.union(same_day_rows(one, two, ["sub", "day"], rules.same_day_similarity))
 
-def _beginnings() -> Column:
-    """First four letters of a title's words: titles that pass without a common link or date share one."""
-    return F.explode(F.array_distinct(F.filter(F.transform(F.split("key", " "), lambda w: F.substring(w, 1, 4)), lambda w: w != ""))).alias("w")
 
-
-def same_day_apart(a: DataFrame, b: DataFrame, country: str = "BR") -> DataFrame:
-    """Those of one country and day in different subdivisions, with a title word in common."""
+def same_day_apart(a: DataFrame, b: DataFrame, rules: Rules = RULES, country: str = "BR") -> DataFrame:
+    """Those of one country and day in different subdivisions with titles that may be nearly equal."""
     some = lambda x: x.filter((F.col("country") == country) & F.col("day").isNotNull())
-    return _sides(some(a), some(b), [F.col("day"), F.col("sub").alias("sa"), _beginnings()], [F.col("day"), F.col("sub").alias("sb"), _beginnings()], ["day", "w"]).filter("sa <> sb").select("a", "b")
+    return similar_rows(some(a), some(b), ["day"], rules.strict_similarity, "sub").filter("a_sub <> b_sub").select("a", "b")
 
 
-def undated(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Those of a subdivision of which one has no date, which the decision takes as near, with a title word in common."""
-    keys = [F.col("sub"), _beginnings()]
-    one = _sides(a.filter("day IS NULL"), b, keys, keys, ["sub", "w"])
-    return one.union(_sides(a.filter("day IS NOT NULL"), b.filter("day IS NULL"), keys, keys, ["sub", "w"])).select("a", "b")
+def undated(a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """Those of a subdivision of which one has no date, which the decision takes as near, with titles that may be alike enough."""
+    least = min(rules.close_similarity, rules.strict_similarity)
+    one = similar_rows(a.filter("day IS NULL"), b, ["sub"], least)
+    return one.union(similar_rows(a.filter("day IS NOT NULL"), b.filter("day IS NULL"), ["sub"], least))
 
 
 def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of: Column, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
@@ -128,23 +121,24 @@ def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of:
     it alone.
     """
     columns = [c for c in stored.columns if c != "ordinal"]
-    found = written(matches(new, stored, generic, rules), "matches")
+    every = matches(new, stored, generic, rules)
+    # Of several incoming rows with one stored row the last counts.
+    found = every.groupBy("s").agg(F.max("n").alias("n"))
     o, n = stored.alias("o"), new.alias("n")
     pairs = o.join(found, F.col("o.ordinal") == F.col("s")).join(n, F.col("n.ordinal") == found["n"])
     fields = updated("o", "n")
     differs = changed("o", fields)
     value = lambda c: fields.get(c, F.col(f"o.{c}"))
     seen = pairs.select(*(F.when(differs, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias(c) if c == "updated_at" else value(c).alias(c) for c in columns), F.when(differs, "updated").otherwise("kept").alias("outcome"), F.col("n.ordinal").alias("n_ordinal"))
-    used = matches_ids(found, new, stored)
-    inserted = new.join(used[0], "ordinal", "left_anti").select(*columns, F.lit("inserted").alias("outcome"), "ordinal")
-    rest = stored.join(used[1], "ordinal", "left_anti")
+    inserted = new.join(every.select(F.col("n").alias("ordinal")), "ordinal", "left_anti").select(*columns, F.lit("inserted").alias("outcome"), "ordinal")
+    rest = stored.join(every.select(F.col("s").alias("ordinal")).distinct(), "ordinal", "left_anti")
     past = rest.filter(F.coalesce(F.col("event_date") < as_of, F.lit(False)))
     ahead = rest.filter(~F.coalesce(F.col("event_date") < as_of, F.lit(False)))
     ahead = ahead.filter(F.size(violations(ahead)) == 0)
     # Twins go into the rows that stay, as these are now.
     present = seen.unionByName(inserted.withColumn("n_ordinal", F.col("ordinal")).drop("ordinal")).withColumnRenamed("n_ordinal", "ordinal")
     present, ahead = written(present, "present"), written(ahead, "ahead")
-    twins = written(absorbed(ahead, present, generic, rules), "twins")
+    twins = absorbed(ahead, present, generic, rules)
     present = with_twins(present, ahead.join(twins, ahead["ordinal"] == twins["twin"])).drop("ordinal")
     ahead = ahead.join(twins.select(F.col("twin").alias("ordinal")), "ordinal", "left_anti").join(alive(link_status, ahead, rules), "id", "left")
     misses = F.when(F.col("alive"), 0).when(~F.col("alive"), F.coalesce("miss_count", F.lit(0)) + 1).otherwise(F.coalesce("miss_count", F.lit(0)))
@@ -153,22 +147,21 @@ def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of:
     return present.unionByName(past.select(*columns, F.lit("past").alias("outcome"))).unionByName(checked.select(*columns, outcome.alias("outcome")))
 
 
-def matches_ids(found: DataFrame, new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ordinals used on either side. An incoming row whose stored match went to a later row is used as well."""
-    by_id = new.join(stored.select("id"), "id", "left_semi").select("ordinal")
-    return found.select(F.col("n").alias("ordinal")).union(by_id).distinct(), found.select(F.col("s").alias("ordinal"))
-
-
 def absorbed(stored: DataFrame, kept: DataFrame, generic: DataFrame | None, rules: Rules = RULES) -> DataFrame:
     """(twin, into): ordinals of stored rows that are a twin, same day and subdivision, of a row that stays, the first such row."""
-    a, b = (written(prepared(x, generic=generic, rules=rules), "compared") for x in (stored, kept))
-    keys = [F.coalesce("day", F.lit("0001-01-01").cast("date")).alias("day"), F.col("sub"), _beginnings()]
-    # A twin without a link in common has a title word in common.
-    pairs = _sides(a, b, keys, keys, ["day", "sub", "w"]).select("a", "b")
-    links = _sides(a, b, [F.explode("links").alias("link"), F.col("day").alias("da"), F.col("sub").alias("sa")], [F.explode("links").alias("link"), F.col("day").alias("db"), F.col("sub").alias("sb")], ["link"])
-    links = links.filter(F.col("da").eqNullSafe(F.col("db")) & (F.col("sa") == F.col("sb"))).select("a", "b")
-    found = confirmed(pairs.union(links).distinct(), a, rules, others=b)
-    return found.groupBy(F.col("a").alias("twin")).agg(F.min("b").alias("into"))
+    none = F.lit("0001-01-01").cast("date")
+    sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (stored, kept)]
+    a, b = (written(reps.withColumn("on_day", F.coalesce("day", none)), "compared") for reps, _ in sides)
+    on = ["sub", "on_day"]
+    pairs = same_day_rows(a, b, on, min(rules.same_day_similarity, rules.close_similarity, rules.strict_similarity))
+    links = a.select(*on, F.explode("links").alias("link"), F.col("ordinal").alias("a")).join(b.select(*on, F.explode("links").alias("link"), F.col("ordinal").alias("b")), [*on, "link"]).select("a", "b")
+    found = confirmed(pairs.union(links).distinct(), a.drop("on_day"), rules, others=b.drop("on_day"))
+    found = written(found.groupBy("a").agg(F.min("b").alias("into")), "found")
+    copies = sides[0][1].join(found, F.col("rep") == F.col("a")).select(F.col("ordinal").alias("twin"), "into")
+    out = written(found.select(F.col("a").alias("twin"), "into").union(copies), "twins")
+    for table in (a, b, found):
+        forgotten(table)
+    return out
 
 
 def with_twins(kept: DataFrame, twins: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from cadenza.functions.distance import km_key
 from cadenza.functions.text import fold, link_key, title_key, title_similarity, tokens_contained
 from cadenza.operators.components import connected_components, written
 from cadenza.operators.quality import completeness
+from cadenza.operators.similar import representatives, same_day_rows, similar_rows
 from cadenza.schema import RULES, Rules
 
 
@@ -50,33 +51,59 @@ def sharing_link(rows: DataFrame) -> DataFrame:
     return flat.join(first, "link").filter("ordinal <> a").select("a", F.col("ordinal").alias("b"))
 
 
-def within_days(rows: DataFrame, days: int, *keys: str) -> DataFrame:
+def spans(day: Column, days: int) -> Column:
+    """The number of the span of days + 1 days that a date falls into."""
+    return F.floor(F.datediff(day, F.lit("1970-01-01")) / (days + 1))
+
+
+def dealt(left: DataFrame, right: DataFrame, on: list[str], block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with two more keys, `lb` and `rb`, so that a group of many rows meets in cells of about block x block rows.
+
+    A row of a group with n blocks goes to n cells. Groups of more than `block` rows on the right are counted first; at
+    most one row in `block` is such a group's, and only those are broadcast.
+    """
+    hot = F.broadcast(right.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1"))
+    own = lambda: F.pmod(F.xxhash64("ordinal"), F.coalesce("blocks", F.lit(1))).cast("int")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    some = lambda rows, fixed, spread: rows.join(hot, on, "left").withColumn(fixed, own()).withColumn(spread, every()).drop("blocks")
+    return some(left, "lb", "rb"), some(right, "rb", "lb"), [*on, "lb", "rb"]
+
+
+def within_days(rows: DataFrame, days: int, *keys: str, block: int = 2000) -> DataFrame:
     """Pairs with equal keys whose dates are at most `days` apart, the earlier first.
 
     Dates are cut into spans of days + 1, and each row looks into its own span and the next, so
-    it is an equi-join whose groups do not grow with the time that the table covers.
+    it is an equi-join whose groups do not grow with the time that the table covers; a group of more than
+    `block` rows is dealt out in pairs of blocks.
     """
-    width = days + 1
-    span = F.floor(F.datediff("day", F.lit("1970-01-01")) / width)
-    left = rows.filter("day IS NOT NULL").select(*keys, F.col("ordinal").alias("a"), F.col("day").alias("da"), F.explode(F.array(span, span + 1)).alias("span"))
-    right = rows.filter("day IS NOT NULL").select(*keys, F.col("ordinal").alias("b"), F.col("day").alias("db"), span.alias("span"))
+    dated = rows.filter("day IS NOT NULL").select(*keys, "ordinal", "day", spans(F.col("day"), days).alias("span"))
+    ahead = dated.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") + 1)))
+    one, two, on = dealt(ahead, dated, [*keys, "span"], block)
+    one = one.withColumnsRenamed({"ordinal": "a", "day": "da"})
+    two = two.withColumnsRenamed({"ordinal": "b", "day": "db"})
     after = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") > F.col("a")))
-    return left.join(right, [*keys, "span"]).filter(after & (F.datediff("db", "da") <= days)).select("a", "b")
+    return one.join(two, on).filter(after & (F.datediff("db", "da") <= days)).select("a", "b")
 
 
-def same_day_elsewhere(rows: DataFrame, country: str = "BR") -> DataFrame:
-    """Pairs of one country and day in different subdivisions, with a title word in common.
+def similar_within_days(rows: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """J2 for the decision: those pairs of a subdivision within the band that it can confirm without a common link, the earlier first.
 
-    Such pairs need nearly equal titles, so they must share a word and be nearly as long: titles 0.95
-    alike differ in length by a tenth at most. Lengths are cut into steps of a tenth, and each row
-    looks into its own and the next ones; that keeps a busy day's pairs few.
+    Within a span titles meet that may be alike enough for any dates; on one day those of the looser rules.
     """
+    dated = rows.filter("day IS NOT NULL").withColumn("span", spans(F.col("day"), rules.band_days))
+    ahead = dated.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") + 1)))
+    least = min(rules.close_similarity, rules.strict_similarity)
+    # Equal titles of two words or more are among the similar ones.
+    pairs = similar_rows(ahead, dated, ["sub", "span"], least, "day")
+    after = (F.col("b_day") > F.col("a_day")) | ((F.col("b_day") == F.col("a_day")) & (F.col("b") > F.col("a")))
+    near = pairs.filter(after & (F.datediff("b_day", "a_day") <= rules.band_days)).select("a", "b")
+    return near.union(same_day_rows(dated, dated, ["sub", "day"], rules.same_day_similarity).filter("a < b").select("a", "b"))
+
+
+def same_day_elsewhere(rows: DataFrame, country: str = "BR", rules: Rules = RULES) -> DataFrame:
+    """Pairs of one country and day in different subdivisions with titles that may be nearly equal."""
     some = rows.filter((F.col("country") == country) & F.col("day").isNotNull())
-    step = F.floor(F.log(F.greatest(F.length("key"), F.lit(1)).cast("double")) / 0.1001)
-    # Titles 0.95 alike share their longest words but for a few letters, so whole words or their first four letters meet.
-    flat = some.select("day", "sub", "ordinal", step.alias("step"), F.explode(F.array_distinct(F.transform(F.split("key", " "), lambda w: F.substring(w, 1, 4)))).alias("w")).filter("w <> ''")
-    other = flat.select("day", "w", F.col("sub").alias("sub2"), F.col("ordinal").alias("b"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
-    return flat.join(other, ["day", "w", "step"]).filter("sub <> sub2 AND ordinal < b").select(F.col("ordinal").alias("a"), "b").distinct()
+    return similar_rows(some, some, ["day"], rules.strict_similarity, "sub").filter("a_sub <> b_sub AND a < b").select("a", "b")
 
 
 def decision(a: dict[str, Column], b: dict[str, Column], sim: Column, rules: Rules = RULES) -> Column:
@@ -115,12 +142,21 @@ def confirmed(pairs: DataFrame, rows: DataFrame, rules: Rules = RULES, similarit
     return both.withColumn("sim", similarity(F.col("a_key"), F.col("b_key"))).filter(holds(F.col("sim"))).select("a", "b")
 
 
+def same_event_copies(reps: DataFrame, copies: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """(a, b): copies of rows that the decision takes for the same event as themselves, each with the first of its kind."""
+    own = {c: F.col(c) for c in reps.columns}
+    alike = F.when(F.instr("key", " ") > 0, 1.0).otherwise(0.0)
+    sure = reps.filter(F.coalesce(decision(own, own, alike, rules), F.lit(False))).select(F.col("ordinal").alias("rep"))
+    return copies.join(sure, "rep").select(F.col("rep").alias("a"), F.col("ordinal").alias("b"))
+
+
 def duplicate_pairs(events: DataFrame, patterns: dict[str, str] | None = None, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
-    """Confirmed pairs of all three candidate generators."""
+    """Pairs that make one event of all records which the decision confirms pair by pair: of rows that are alike in all that is compared, each with the first, and the first ones among themselves."""
+    reps, copies = representatives(written(prepared(events, patterns, generic, rules), "compared"))
     # Read by each generator and twice by the decision, so it is written once.
-    rows = written(prepared(events, patterns, generic, rules), "compared")
-    pairs = sharing_link(rows).union(within_days(rows, rules.band_days, "sub")).union(same_day_elsewhere(rows)).distinct()
-    return confirmed(pairs, rows, rules)
+    reps = written(reps, "kinds")
+    pairs = sharing_link(reps).union(similar_within_days(reps, rules)).union(same_day_elsewhere(reps, rules=rules)).distinct()
+    return confirmed(pairs, reps, rules).union(same_event_copies(reps, copies, rules))
 
 
 def united_distances(lists: Column) -> Column:

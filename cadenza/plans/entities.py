@@ -57,7 +57,7 @@ def band_pairs_31d(spark: SparkSession, sf: str) -> DataFrame:
 
 def same_day_cross_group(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of one customer's orders of a day that differ in status."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("sub"), F.lit("BR").alias("country"), F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("key"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("sub"), F.lit("BR").alias("country"), F.concat_ws(" ", F.md5((F.col("o_custkey") % 50).cast("string")), F.md5((F.col("o_custkey") % 50 + 1000).cast("string"))).alias("key"))
     return resolve.same_day_elsewhere(o)
 
 
