@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.plans import entities, events, records, wording
+from cadenza.plans import entities, events, landing, records, wording
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **entities.QUERIES, **records.QUERIES, **wording.QUERIES}
-ORACLE_SQL: dict[str, str] = {**events.SQL, **entities.SQL, **records.SQL, **wording.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **entities.QUERIES, **records.QUERIES, **wording.QUERIES, **landing.QUERIES}
+ORACLE_SQL: dict[str, str] = {**events.SQL, **entities.SQL, **records.SQL, **wording.SQL, **landing.SQL}

@@ -29,26 +29,42 @@ def with_defaults(events: DataFrame) -> DataFrame:
     )
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Stored events of snapshot files {events: [...]}; of an id given twice the row with more listings, then the later one."""
-    files = read_json_records(spark, path, f"events array<struct<{_nested(RACE_EVENT)}>>", multi_line=True)
-    rows = files.filter("_corrupt_record IS NULL").select(F.input_file_name().alias("__f"), F.posexplode("events").alias("__i", "e")).select("__f", "__i", "e.*")
-    rows = with_defaults(rows)
-    return first_of(rows, ["id"], F.size("listings").desc(), F.col("__f").desc(), F.col("__i").desc()).drop("__f", "__i")
-
-
-def _nested(ddl: str) -> str:
-    """Top-level 'name type' pairs as struct fields 'name:type'."""
-    out, depth, word = [], 0, ""
-    for c in ddl + ",":
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            name, kind = word.strip().split(" ", 1)
-            out.append(f"{name}:{kind}")
-            word = ""
-        else:
-            word += c
-    return ",".join(out)
+#: Where a record that could not be read came from, what it says, and why: `json` (the payload or record is no such JSON) or `no_id`.
+QUARANTINE = "file string, place long, record string, reason string"
+
+
+def decoded(records: DataFrame, schema: str = RACE_EVENT, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of (file, place, record), each record a JSON text read on its own.
+
+    A record with a value of another kind than its field's, or without a key, goes to quarantine; the others of its
+    file stay. Rows have the schema's columns, `file` and `place`; a text without a place is no record.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = records.withColumn("__e", F.from_json("record", f"{schema}, _corrupt_record string", options))
+    bad = F.col("place").isNull() | F.col("__e").isNull() | F.col("__e._corrupt_record").isNotNull()
+    reason = F.when(bad, "json").when(F.coalesce(F.col(f"__e.{key}"), F.lit("")) == "", "no_id")
+    parsed = parsed.withColumn("reason", reason)
+    quarantine = parsed.filter("reason IS NOT NULL").select("file", F.col("place").cast("long").alias("place"), "record", "reason")
+    return parsed.filter("reason IS NULL").select("file", "place", "__e.*").drop("_corrupt_record"), quarantine
+
+
+def snapshot_records(spark: SparkSession, path: str, field: str = "events", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of payloads {events: [...]}, one a file, or one a line.
+
+    The list is split into the texts of its records before any of them is read, so a bad record costs itself alone. A payload
+    that is no JSON is one row of the quarantine, without a place.
+    """
+    payloads = read_json_records(spark, path, f"{field} array<string>", multi_line).withColumn("file", F.input_file_name())
+    if not multi_line:
+        payloads = payloads.withColumn("file", F.concat_ws("#", "file", F.monotonically_increasing_id().cast("string")))
+    records = payloads.select("file", "_corrupt_record", F.posexplode_outer(field).alias("place", "record")).filter("place IS NOT NULL OR _corrupt_record IS NOT NULL")
+    return decoded(records.select("file", "place", F.when(F.col("place").isNull(), F.col("_corrupt_record")).otherwise(F.col("record")).alias("record")))
+
+
+def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Stored events of snapshot payloads, those that can be read; of an id given twice the row with more listings, then the later one."""
+    rows = with_defaults(snapshot_records(spark, path, multi_line=multi_line)[0])
+    return first_of(rows, ["id"], F.size("listings").desc(), F.col("file").desc(), F.col("place").desc()).drop("file", "place")
 
 
 def write_snapshot(events: DataFrame, path: str) -> None:

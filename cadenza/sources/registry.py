@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.components import written
+from cadenza.operators.components import forgotten, written
 
 Reader = Callable[[SparkSession, str], DataFrame]
 Parser = Callable[[DataFrame], DataFrame]
@@ -40,24 +43,35 @@ class Registry:
     def chosen(self, names: list[str] | None = None) -> list[Source]:
         return [s for s in self.sources.values() if s.name in names] if names is not None else [s for s in self.sources.values() if s.enabled]
 
-    def read(self, spark: SparkSession, names: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-        """S3, O1: rows of all chosen sources with `source` and `ordinal`, and sources whose payloads could not be opened.
+    def read(self, spark: SparkSession, names: list[str] | None = None, at_once: int = 4) -> tuple[DataFrame | None, dict[str, str]]:
+        """S3, O1: rows of all chosen sources with `source` and `ordinal`, and why sources failed that did.
 
-        ordinal is the rank of (source, file, payload, place), counted by `numbered`.
+        Each source's rows are written by a job of their own, `at_once` side by side, so one that fails on the way, in whatever
+        task, is left out and named, and the others stay. ordinal is the rank of (source, file, payload, place), counted by `numbered`.
         """
-        tables, failed = [], {}
-        for s in self.chosen(names):
+
+        @inheritable_thread_target(spark)
+        def run(s: Source) -> tuple[DataFrame | None, str]:
             try:
                 rows = s.parse(s.read(spark, s.path))
                 if rows.schema["source_seq"].dataType.typeName() != "struct":
                     rows = rows.withColumn("source_seq", F.struct(F.lit("").alias("file"), F.lit(0).alias("payload"), F.col("source_seq").alias("place")))
-            except AnalysisException as e:
-                failed[s.name] = str(e).splitlines()[0]
-                continue
-            order = F.struct(F.lit(s.rank).alias("rank"), F.col("source_seq").cast(PLACE).alias("place"))
-            tables.append(rows.withColumn("source", F.lit(s.name)).withColumn("source_seq", order))
-        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
-        return (None if union is None else numbered(union)), failed
+                order = F.struct(F.lit(s.rank).alias("rank"), F.col("source_seq").cast(PLACE).alias("place"))
+                return written(rows.withColumn("source", F.lit(s.name)).withColumn("source_seq", order), f"source-{s.rank}"), ""
+            except (PySparkException, Py4JJavaError) as e:
+                return None, str(e).splitlines()[0]
+
+        chosen = self.chosen(names)
+        with ThreadPoolExecutor(at_once) as pool:
+            done = list(pool.map(run, chosen))
+        failed = {s.name: why for s, (rows, why) in zip(chosen, done, strict=True) if rows is None}
+        tables = [rows for rows, _ in done if rows is not None]
+        if not tables:
+            return None, failed
+        out = numbered(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables))
+        for table in tables:
+            forgotten(table)
+        return out, failed
 
 
 #: A record's place in its source; a plain number is a place in one payload.

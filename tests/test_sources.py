@@ -40,3 +40,62 @@ def test_listing_folds(spark):
     assert [r[0] for r in rows.select(listings.repaired_country(F.col("c"), F.col("s"))).collect()] == ["CA", "US", "CA"]
     s = spark.createDataFrame([([(10.0, dt.date(2026, 5, 2), "06:00"), (10.0, dt.date(2026, 5, 1), "08:00"), (10.0, dt.date(2026, 5, 1), "07:00"), (5.0, dt.date(2026, 5, 3), "09:00")],)], "e array<struct<km:double,date:date,start_time:string>>")
     assert [(x.km, x.start_time) for x in s.select(listings.schedule(F.col("e"))).first()[0]] == [(5.0, "09:00"), (10.0, "07:00")]
+
+
+def test_snapshot_loses_only_the_bad_record(spark, tmp_path):
+    from cadenza.sources.readers import read_snapshot, snapshot_records
+
+    (tmp_path / "a.json").write_text('{"events":[{"id":"a","title":"T","listings":[],"miss_count":1},\n{"id":"b","miss_count":"abc"},{"id":"c","event_date":"2026-05-01"},{"title":"none"},5,null,{"id":"d","event_date":"2026-13-77"}]}')
+    (tmp_path / "b.json").write_text('{"events":[{"id":"z"}')
+    (tmp_path / "c.json").write_text('{"other":1}')
+    rows, bad = snapshot_records(spark, str(tmp_path))
+    assert sorted(r.id for r in rows.collect()) == ["a", "c"]
+    got = sorted((r.file.rsplit("/")[-1], -1 if r.place is None else r.place, r.reason) for r in bad.collect())
+    assert got == [("a.json", 1, "json"), ("a.json", 3, "no_id"), ("a.json", 4, "json"), ("a.json", 5, "json"), ("a.json", 6, "json"), ("b.json", -1, "json")]
+    assert {(r.id, r.country, r.miss_count, r.is_major) for r in read_snapshot(spark, str(tmp_path)).collect()} == {("a", "BR", 1, False), ("c", "BR", 0, False)}
+
+
+def test_registry_keeps_sources_apart(spark, tmp_path):
+    """A truncated file, and a parser that fails in a task, cost their own source alone."""
+    from cadenza.sources.registry import Registry
+
+    for name in ("good", "cut", "fails"):
+        spark.range(5).withColumnRenamed("id", "n").coalesce(1).write.parquet(str(tmp_path / name))
+    part = next((tmp_path / "cut").glob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:-40])
+    registry = Registry()
+    parse = lambda df: df.select("n", F.col("n").alias("source_seq"))
+    read = lambda s, p: s.read.schema("n long").parquet(p)
+    registry.register_source("cut", str(tmp_path / "cut"), read, parse)
+    registry.register_source("good", str(tmp_path / "good"), read, parse)
+    registry.register_source("fails", str(tmp_path / "fails"), read, lambda df: parse(df.withColumn("n", F.raise_error(F.lit("no such page")).cast("long"))))
+    registry.register_source("gone", str(tmp_path / "none"), lambda s, p: s.read.parquet(p), parse)
+    union, failed = registry.read(spark)
+    assert sorted((r.source, r.n, r.ordinal) for r in union.collect()) == [("good", i, i + 1) for i in range(5)]
+    assert sorted(failed) == ["cut", "fails", "gone"]
+    assert registry.read(spark, ["cut"])[0] is None
+
+
+def test_landed_folders(spark, tmp_path):
+    """Errors are rows; filters on the day and the source reach the scan."""
+    import gzip
+
+    from cadenza.sources import landed
+
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "one/a.json").write_text('{"date":"2026-01-02","id":1}\n\nbroken\n{"id":2}\n[1]\n{"date":"soon"}\n{"date":"2026-03-01T10:00","id":"é"}')
+    (tmp_path / "one/b.json.gz").write_bytes(gzip.compress(b'{"date":"2026-05-05"}\n' * 3000))
+    (tmp_path / "two/cut.json.gz").write_bytes(gzip.compress(b'{"date":"2026-05-05"}\n' * 5000)[:60])
+    (tmp_path / "two/_temporary").write_text("x")
+    path = f"file://{tmp_path}"
+    load = lambda: landed.read_landed(spark, path)
+    assert load().filter("record IS NOT NULL").count() == 3003
+    errors = {(r.source, r.file.rsplit("/")[-1]): r.n_errors for r in landed.read_errors(spark, path).collect()}
+    assert errors == {("one", "a.json"): 3, ("two", "cut.json.gz"): 1}
+    ahead = landed.upcoming(spark, path, "2026-02-01")
+    assert ahead.filter("record IS NOT NULL").count() == 3002
+    plan = ahead._jdf.queryExecution().toString().split("Physical Plan")[-1]
+    assert plan.count("BatchScan") == 2 and " Filter " not in plan  # the scan has taken them over
+    assert load().filter("day >= DATE'2026-02-01'").filter("length(record) > 25").count() == 1
+    assert {r.source for r in load().filter("source = 'two'").select("source").collect()} == {"two"}
