@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.dates import time_required
 from cadenza.functions.distance import label_miles
-from cadenza.functions.text import has_entities, registered_domain
+from cadenza.functions.text import has_entities, host, registered_domain
 from cadenza.schema import KINDS
 
 # Word lists that decide validity (fixed values).
 NAVIGATION_TITLES = (
     "calendário", "calendario", "calendrio", "listagem completa", "listagem", "sugira uma corrida", "sugira corrida",
-    "outros estados", "próximas corridas", "proximas corridas", "estados", "distrito federal",
+    "outros estados", "estados", "distrito federal",
     "espírito santo", "mato grosso", "mato grosso do sul", "minas gerais", "pernambuco", "rio de janeiro",
     "rio grande do norte", "rio grande do sul", "são paulo", "santa catarina", "calendário completo", "home", "menu",
     "buscar", "search", "início", "inicio", "sobre", "contato",
@@ -34,7 +34,20 @@ OTHER_SPORTS = (
 )
 KIDS_BRANDS = r"(?i)\bmarotinga\b|pezinho\s+veloz"
 KIDS_WORDS = r"(?i)\binfantil\b|\bmirim\b|\bkids?\s+run\b|\bkids?\s+dash\b|corrida\s+(?:de\s+)?kids|baby\s+run|\bkids?\s+marathon\b"
-CANCELLED = r"(?i)cancel"
+#: A heading of what comes next, in two words.
+NEXT_HEADING = r"^pr[oó]ximas\s+\p{L}+$"
+# What structured fields say of a cancelled event in the sources' languages, and beginnings of words that do (fixed values).
+CANCELLED = ("cancelad", "canceled", "cancelled", "abgesagt", "annullat", "geannuleerd", "odwołan")
+CANCELLED_WORDS = ("annul",)
+# Words in hosts that do not serve an event's images, and networks that serve anyone's (fixed values).
+SUSPICIOUS_HOSTS = (
+    "casino", "silver", "gold", "crypto", "bet", "poker", "loan", "forex", "pharma", "adult", "xxx", "porn", "drug", "pill",
+    "slot", "wager", "clickad", "doubleclick", "adserv", "tracker", "analytics",
+)
+TRUSTED_NETWORKS = (
+    "cloudfront.net", "amazonaws.com", "bubble.io", "wixstatic.com", "imgix.net", "fastly.net", "akamaized.net", "cloudinary.com",
+    "staticflickr.com", "cdn.jsdelivr.net", "londonmarathonevents.co.uk",
+)
 
 
 def any_of(c: Column, words: tuple[str, ...]) -> Column:
@@ -52,8 +65,9 @@ def is_kids_only(title: Column, distances: Column) -> Column:
 
 
 def is_cancelled(*signals: Column) -> Column:
-    """Any structured signal says so."""
-    return F.coalesce(F.exists(F.array(*signals), lambda s: s.rlike(CANCELLED)), F.lit(False))
+    """Any structured signal says so, in any of the languages."""
+    marks = "|".join([*map(re.escape, CANCELLED), *(rf"\b{re.escape(w)}" for w in CANCELLED_WORDS)])
+    return F.coalesce(F.exists(F.array(*signals), lambda s: s.rlike(f"(?iu){marks}")), F.lit(False))
 
 
 def violations(df: DataFrame, site_names: tuple[str, ...] = ()) -> Column:
@@ -62,7 +76,7 @@ def violations(df: DataFrame, site_names: tuple[str, ...] = ()) -> Column:
     rules = {
         "no_location": F.coalesce(F.trim("location_text"), F.lit("")) == "",
         "short_title": F.length(title) < 4,
-        "navigation_title": title.isin(*NAVIGATION_TITLES, *site_names) | any_of(title, NAVIGATION_PARTS),
+        "navigation_title": title.isin(*NAVIGATION_TITLES, *site_names) | any_of(title, NAVIGATION_PARTS) | title.rlike(NEXT_HEADING),
         "other_sport": any_of(title, OTHER_SPORTS) | title.rlike(r"\btri\d"),
         "kids_only": is_kids_only(title, F.col("distances")),
         "no_date": F.col("event_date").isNull(),
@@ -97,11 +111,18 @@ def record_problems(events: DataFrame) -> DataFrame:
     return events.select("id", F.explode(F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules.items())))).alias("problem"))
 
 
-def safe_image(url: Column, page: Column, trusted: tuple[str, ...] = (), suspicious: str = r"(?i)ads?\d*\.|doubleclick|tracker|pixel") -> Column:
-    """The image's address if it is on the page's own domain or a trusted network, else null."""
-    domain = registered_domain(url)
-    ok = url.startswith("http") & ~url.rlike(rf"^https?://[^/]*(?:{suspicious.removeprefix('(?i)')})")
-    return F.when(ok & ((domain == registered_domain(page)) | domain.isin(*trusted)), url)
+def safe_image(url: Column, page: Column | None = None, trusted: tuple[str, ...] = TRUSTED_NETWORKS, suspicious: tuple[str, ...] = SUSPICIOUS_HOSTS) -> Column:
+    """The image's address, unless its host has a suspicious word, or is neither of the page's domain nor of a trusted network; null then.
+
+    Without a page only the host's words count. A network is trusted with all hosts below it.
+    """
+    of = host(url)
+    ok = url.startswith("http") & (of != "") & ~any_of(of, suspicious)
+    if page is None:
+        return F.when(ok, url)
+    below = F.exists(F.array(*map(F.lit, trusted)), lambda t: of.endswith(F.concat(F.lit("."), t))) if trusted else F.lit(False)
+    own = registered_domain(url)
+    return F.when(ok & ((F.coalesce(page, F.lit("")) == "") | own.isin(*trusted) | below | (own == registered_domain(page))), url)
 
 
 def in_horizon(date: Column, as_of: Column, days: int = 365) -> Column:

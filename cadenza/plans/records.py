@@ -78,10 +78,14 @@ def adult_events(spark: SparkSession, sf: str) -> DataFrame:
     return rules.for_adults(made_events(spark, sf), day(AS_OF), 3).select("id")
 
 
+#: What a status field says; the first eight mean cancelled.
+STATUSES = ("Evento CANCELADO", "cancelled by organizer", "Canceled", "Abgesagt!", "ANNULLATO", "course annulée", "Geannuleerd", "ODWOŁANY", "scheduled", "granulado", "cancel policy")
+
+
 def cancelled_events(spark: SparkSession, sf: str) -> DataFrame:
-    """P3."""
+    """All markers, one signal of two."""
     e = made_events(spark, sf)
-    status = F.when(F.col("ordinal") % 47 == 0, "Evento CANCELADO").when(F.col("ordinal") % 5 == 0, "scheduled")
+    status = F.when(F.col("ordinal") % 5 != 0, pick(STATUSES, F.col("ordinal") % 11))
     return e.filter(rules.is_cancelled(status, F.when(F.col("ordinal") % 53 == 0, "https://schema.org/EventCancelled"))).select("id")
 
 
@@ -101,11 +105,18 @@ def horizon_filter(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("id", F.coalesce(rules.in_horizon(F.col("event_date"), day(AS_OF)), F.lit(False)).alias("near"), rules.upcoming_or_undated(F.col("event_date"), day(AS_OF)).alias("given"))
 
 
+#: Images, and whether each is safe on a page of s1.com, and where no page is known.
+IMAGES = (
+    ("https://img.s1.com/a.jpg", True, True), ("https://cdn.other.net/a.png", False, True), ("ftp://s1.com/a.jpg", False, False), ("https://adserver.s1.com/x.gif", False, False),
+    ("https://d1.cloudfront.net/a.jpg", True, True), ("https://www.best-CASINO.com/a.jpg", False, False), ("https://poker.s1.com/a.jpg", False, False), ("https://a.b.wixstatic.com/z.png", True, True),
+    ("https://x.cdn.jsdelivr.net/a.jpg", True, True), ("https://jsdelivr.net/a.jpg", False, True), ("http://s1.com/pill/a.jpg", True, True), ("https://", False, False), ("https://evil-cloudfront.net/a.jpg", False, True),
+)
+
+
 def safe_images(spark: SparkSession, sf: str) -> DataFrame:
-    """P8."""
-    e = made_events(spark, sf)
-    url = pick(("https://img.s1.com/a.jpg", "https://cdn.other.net/a.png", "ftp://s1.com/a.jpg", "https://ads3.s1.com/x.gif", "https://x.third.org/a.jpg"), F.col("ordinal") % 5)
-    return e.select("id", rules.safe_image(url, F.lit("https://www.s1.com/race"), ("other.net",)).alias("image"))
+    """The default words and networks."""
+    url = pick(tuple(u for u, _, _ in IMAGES), F.col("ordinal") % len(IMAGES))
+    return made_events(spark, sf).select("id", rules.safe_image(url, F.lit("https://www.s1.com/race")).alias("image"), rules.safe_image(url).alias("anywhere"))
 
 
 def signup_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -417,10 +428,10 @@ SQL = {
         UNION ALL SELECT id, 'no_distance' FROM ev WHERE NOT has_km"""),
     "record_rules": _ev("SELECT id, 'no_date' AS problem FROM ev WHERE event_date IS NULL UNION ALL SELECT id, 'no_distance' FROM ev WHERE NOT has_km UNION ALL SELECT id, 'no_country' FROM ev WHERE country = '??'"),
     "adult_events": _ev(f"SELECT id FROM ev WHERE NOT (title LIKE 'Kids Run%' AND NOT has_km) AND NOT (start_time IS NULL AND coalesce(event_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + INTERVAL 3 MONTH, false))"),
-    "cancelled_events": _ev("SELECT id FROM ev WHERE k % 47 = 0 OR k % 53 = 0"),
+    "cancelled_events": _ev("SELECT id FROM ev WHERE (k % 5 <> 0 AND k % 11 < 8) OR k % 53 = 0"),
     "sport_filter": _ev("SELECT id FROM ev WHERE title NOT LIKE 'Pedal%' AND (k % 4 <> 1 OR title LIKE 'Corrida%') AND k % 9 <> 0 AND NOT (country = 'US' AND k % 10 = 0)"),
     "horizon_filter": _ev(f"SELECT id, coalesce(event_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 365, false) AS near, event_date IS NULL OR event_date >= DATE '{AS_OF}' AS given FROM ev"),
-    "safe_images": _ev("SELECT id, CASE k % 5 WHEN 0 THEN 'https://img.s1.com/a.jpg' WHEN 1 THEN 'https://cdn.other.net/a.png' END AS image FROM ev"),
+    "safe_images": _ev(f"SELECT id, CASE WHEN {_list(tuple(a for _, a, _ in IMAGES))}[k % {len(IMAGES)} + 1] THEN u END AS image, CASE WHEN {_list(tuple(b for _, _, b in IMAGES))}[k % {len(IMAGES)} + 1] THEN u END AS anywhere FROM (SELECT *, {_list(tuple(u for u, _, _ in IMAGES))}[k % {len(IMAGES)} + 1] AS u FROM ev)"),
     "signup_fallback": _ev("SELECT id, coalesce(signup_url, page_url) AS before, coalesce(signup_url, page_url) AS after FROM ev"),
     "first_editions": _ev("SELECT c, CAST(year(event_date) AS INTEGER) AS year, strftime(min(event_date), '%Y-%m-%d') AS first FROM ev WHERE event_date IS NOT NULL GROUP BY 1, 2"),
     "label_filter": _ev(f"SELECT id FROM ev WHERE (label_tier = 'gold' OR is_major) AND (event_date IS NULL OR event_date >= DATE '{AS_OF}') AND country = 'BR' AND title LIKE 'Corrida%'"),

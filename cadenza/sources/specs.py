@@ -51,11 +51,11 @@ FORMS: dict[str, Form] = {
     "tf_sports": Form(parse_json_feed, Spec("tf_sports", {"id": "$.id", "title": "$.attributes.title", "date": "$.attributes.date", "city": "$.attributes.city", "subdivision": "$.attributes.state", "page": "$.attributes.slug", "signup": "$.attributes.slug"}, kind="signup", rows="$.data", constants={"country": "BR"}, base_url="https://www.tfsports.com.br/evento/")),
     "ticket_sports": Form(parse_json_feed, Spec("ticket_sports", {"id": "$.id", "title": "$.title", "date": "$.date", "place": "$.address", "city": "$.city", "subdivision": "$.state", "page": "$.uri", "signup": "$.uri", "image": "$.image"}, kind="signup", rows="$.events", constants={"country": "BR"}, base_url="https://www.ticketsports.com.br")),
     # A table: date, city, name with link, lengths.
-    "corridas_brasil": Form(parse_html_cards, Spec("corridas_brasil", {"id": r"[?&]c=(\d+)", "title": r"<a[^>]*>\s*([^<]+)", "date": r"<td[^>]*>\s*(\d{1,2}/\d{1,2}/\d{2,4})", "city": r"(?s)^(?:.*?<td[^>]*>){2}\s*([^<]+)", "page": r'href="([^"]+)"', "distances": r"(?s)^(?:.*?<td[^>]*>){4}\s*([^<]+)"}, rows=r'<tr height="35"', constants={"country": "BR"})),
+    "brazil_table": Form(parse_html_cards, Spec("brazil_table", {"id": r"[?&]c=(\d+)", "title": r"<a[^>]*>\s*([^<]+)", "date": r"<td[^>]*>\s*(\d{1,2}/\d{1,2}/\d{2,4})", "city": r"(?s)^(?:.*?<td[^>]*>){2}\s*([^<]+)", "page": r'href="([^"]+)"', "distances": r"(?s)^(?:.*?<td[^>]*>){4}\s*([^<]+)"}, rows=r'<tr height="35"', constants={"country": "BR"})),
     "worldsmarathons": Form(parse_json_ld, Spec("worldsmarathons", {})),
     "usroadrunning": Form(parse_json_ld, Spec("usroadrunning", {}, kind="organizer", constants={"country": "US"})),
     "atletis": Form(parse_json_ld, Spec("atletis", {}, kind="signup", constants={"country": "BR"})),
-    "portal_das_corridas": Form(parse_json_ld, Spec("portal_das_corridas", {}, constants={"country": "BR"})),
+    "brazil_portal": Form(parse_json_ld, Spec("brazil_portal", {}, constants={"country": "BR"})),
 }
 
 

@@ -21,11 +21,11 @@ PAYLOADS = {
     "raceroster": json.dumps({"data": [{"eventId": 9, "name": "lake run", "date": "2026-05-03", "location": {"city": "Toronto", "province": {"abbreviation": "ON"}, "countryISO": "CA"}, "url": "https://raceroster.com/e", "distances": ["10 km", "5 km"]}]}),
     "tf_sports": json.dumps({"data": [{"id": 3, "attributes": {"title": "corrida 10 km", "date": "2026-05-03", "city": "Recife", "state": "PE", "slug": "corrida-x"}}]}),
     "ticket_sports": json.dumps({"events": [{"id": 4, "title": "corrida 10 km", "date": "03/05/2026", "address": "Parque", "city": "Recife", "state": "PE", "uri": "/e/4"}]}),
-    "corridas_brasil": '<table><tr height="35"><td>03/05/26</td><td> Recife</td><td><a href="https://c/x?c=58913&prova=b">corrida b</a></td><td>15/10km</td></tr></table>',
+    "brazil_table": '<table><tr height="35"><td>03/05/26</td><td> Recife</td><td><a href="https://c/x?c=58913&prova=b">corrida b</a></td><td>15/10km</td></tr></table>',
     "worldsmarathons": ld(**{"@type": "SportsEvent", "name": "city marathon", "startDate": "2026-05-03", "location": place("Rome", "RM", "IT"), "url": "https://w/m"}),
     "usroadrunning": ld(**{"@graph": [{"@type": "Event", "name": "road run 10K", "startDate": "2026-05-03T07:00:00", "location": place("Austin", "TX"), "url": "https://u/r"}]}),
     "atletis": ld(**{"@type": "SportsEvent", "name": "corrida 10 km", "startDate": "2026-05-03T07:00:00-03:00", "location": place("Recife", "PE"), "url": "https://a/4966"}),
-    "portal_das_corridas": ld(**{"@type": "Event", "name": "corrida 10 km", "startDate": "2026-05-03T07:00:00", "location": place("Recife", "PE"), "url": "https://p/x"}),
+    "brazil_portal": ld(**{"@type": "Event", "name": "corrida 10 km", "startDate": "2026-05-03T07:00:00", "location": place("Recife", "PE"), "url": "https://p/x"}),
 }
 WANT = {
     "finishers": ("finishers_f1", "City Run", "Lyon", "ARA", "FR", [10.0, 42.195], "https://www.finishers.com/en/event/city-run"),
@@ -33,11 +33,11 @@ WANT = {
     "raceroster": ("raceroster_9", "Lake Run", "Toronto", "ON", "CA", [5.0, 10.0], "https://raceroster.com/e"),
     "tf_sports": ("tf_sports_3", "Corrida 10 Km", "Recife", "PE", "BR", [10.0], "https://www.tfsports.com.br/evento/corrida-x"),
     "ticket_sports": ("ticket_sports_4", "Corrida 10 Km", "Recife", "PE", "BR", [10.0], "https://www.ticketsports.com.br/e/4"),
-    "corridas_brasil": ("corridas_brasil_58913", "Corrida B", "Recife", None, "BR", [10.0, 15.0], "https://c/x?c=58913&prova=b"),
+    "brazil_table": ("brazil_table_58913", "Corrida B", "Recife", None, "BR", [10.0, 15.0], "https://c/x?c=58913&prova=b"),
     "worldsmarathons": (None, "City Marathon", "Rome", "RM", "IT", [], "https://w/m"),
     "usroadrunning": (None, "Road Run 10K", "Austin", "TX", "US", [10.0], "https://u/r"),
     "atletis": (None, "Corrida 10 Km", "Recife", "PE", "BR", [10.0], "https://a/4966"),
-    "portal_das_corridas": (None, "Corrida 10 Km", "Recife", "PE", "BR", [10.0], "https://p/x"),
+    "brazil_portal": (None, "Corrida 10 Km", "Recife", "PE", "BR", [10.0], "https://p/x"),
 }
 
 
