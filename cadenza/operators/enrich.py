@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.structured import embedded_json
 from cadenza.functions.text import fold, sequence_ratio, title_key, title_tokens
+from cadenza.operators.components import written
+from cadenza.operators.similar import most_alike, similar_titles
 
 
 def small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
@@ -22,16 +24,23 @@ def small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame
 def resolve_subdivision(events: DataFrame, locations: DataFrame, cutoff: float = 0.8) -> DataFrame:
     """Code of a subdivision given as a code or a name: exact, folded, or the most similar name.
 
-    Adds `code`; names are compared one by one only for values without an exact match, once a value.
+    Adds `code`. All by equality of keys: of country and code, country and folded name, or country and a letter pair that names
+    at least `cutoff` alike must share; only what meets by that is compared, once a value.
     """
-    names = small(locations.select(F.col("country").alias("__c"), F.col("code").alias("__code"), fold("name").alias("__n")))
+    table = locations.select("country", F.col("code").alias("__code"), fold("name").alias("__n"))
     asked = events.select("country", "subdivision").distinct().filter("subdivision IS NOT NULL AND subdivision <> ''")
     asked = asked.withColumn("__f", fold("subdivision"))
-    hit = (F.col("country") == F.col("__c")) & ((F.col("subdivision") == F.col("__code")) | (F.col("__f") == F.col("__n")))
-    exact = asked.join(names, hit).groupBy("country", "subdivision").agg(F.min("__code").alias("code"))
-    left = asked.join(exact, ["country", "subdivision"], "left_anti").join(names, F.col("country") == F.col("__c")).withColumn("r", sequence_ratio("__n", "__f"))
-    close = left.filter(F.col("r") >= cutoff).groupBy("country", "subdivision").agg(F.max_by("__code", F.struct("r", "__n")).alias("code"))
-    return events.join(exact.union(close), ["country", "subdivision"], "left")
+    codes = table.select("country", F.col("__code").alias("subdivision"), F.col("__code").alias("code")).distinct()
+    names = table.groupBy("country", F.col("__n").alias("__f")).agg(F.min("__code").alias("code"))
+    hits = asked.join(codes, ["country", "subdivision"]).select("country", "subdivision", "code")
+    hits = hits.unionByName(asked.join(names, ["country", "__f"]).select("country", "subdivision", "code"))
+    exact = hits.groupBy("country", "subdivision").agg(F.min("code").alias("code"))
+    left = asked.join(exact, ["country", "subdivision"], "left_anti")
+    near = similar_titles(left.withColumn("key", F.col("__f")), table.withColumn("key", F.col("__n")), ["country"], cutoff, words=1)
+    near = near.withColumn("r", sequence_ratio("key_b", "key_a")).filter(F.col("r") >= cutoff)
+    close = left.join(near.withColumnRenamed("key_a", "__f"), ["country", "__f"]).select("country", "subdivision", "key_b", "r")
+    close = close.join(names.withColumnRenamed("__f", "key_b"), ["country", "key_b"]).groupBy("country", "subdivision").agg(F.max_by("code", F.struct("r", "key_b")).alias("code"))
+    return events.join(exact.unionByName(close), ["country", "subdivision"], "left")
 
 
 def lookup_two_levels(events: DataFrame, cache: DataFrame, key: Column, country: Column) -> DataFrame:
@@ -48,14 +57,31 @@ def lookup_two_levels(events: DataFrame, cache: DataFrame, key: Column, country:
     return rows.withColumns(found).select(*events.columns, *found)
 
 
+def running_maximum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """`name`: the largest `value` of the rows before each, in the order of `order`; null for the first.
+
+    Rows are sorted by range and written; a range's largest value goes on to the ranges after it, one row each.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    carried, so_far = [], None
+    for part, most in sorted(map(tuple, ranged.groupBy("__part").agg(F.max(value)).collect())):  # a row for each range
+        carried.append((part, so_far))
+        so_far = most if so_far is None else max(so_far, most)
+    kind = rows.schema[value].dataType.simpleString()
+    before = F.broadcast(spark.createDataFrame(carried, f"__part int, __carried {kind}"))
+    own = F.max(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("__own", own).join(before, "__part").withColumn(name, F.greatest("__own", "__carried")).drop("__part", "__own", "__carried")
+
+
 def lookup_range(df: DataFrame, value: Column, ranges: DataFrame) -> DataFrame:
     """`label` of the range (first, last, label) that holds the value; the first by `first` if several do.
 
     What earlier ranges cover is taken off later ones, so a value is in one at most; ranges are spread
     over buckets of the mean width, at most two a range on average, and looked up by bucket.
     """
-    before = Window.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    r = ranges.filter("first <= last").withColumn("above", F.max("last").over(before)).filter("above IS NULL OR last > above")
+    r = running_maximum(ranges.filter("first <= last"), ["first", "last"], "last", "above").filter("above IS NULL OR last > above")
     low, high, n = r.agg(F.min("first").cast("double"), F.max("last").cast("double"), F.count(F.lit(1))).first()
     if not n:
         return df.withColumn("label", F.lit(None).cast(ranges.schema["label"].dataType))
@@ -82,9 +108,14 @@ def annotate_labels(events: DataFrame, feed: DataFrame, days: int = 2, similar:
     f = f.select("*", F.explode(F.sequence(F.date_sub("__d", days), F.date_add("__d", days))).alias("__day"))
     rows = events.select("id", "event_date", "country", title_key("title").alias("k"), title_key("city").alias("city_key"))
     near = rows.join(f, (F.col("event_date") == F.col("__day")) & (F.col("__c").isNull() | F.col("country").isNull() | (F.col("__c") == "") | (F.col("country") == "") | (F.col("__c") == F.col("country"))))
+    near = near.filter((F.col("k") != "") & (F.col("__n") != ""))
     shared = F.size(F.array_intersect(F.split("k", " "), F.split("__n", " ")))
     in_city = (F.coalesce("__w", F.lit("")) != "") & (F.col("city_key") != "") & F.contains("__n", "city_key") & (shared >= 2)
-    hit = near.filter((F.col("k") != "") & (F.col("__n") != "") & ((sequence_ratio("k", "__n") >= similar) | in_city))
+    # Each two titles are compared once, and only where their lengths and letters leave it open.
+    lengths = 2 * F.least(F.length("k"), F.length("__n")) >= similar * (F.length("k") + F.length("__n"))
+    titles = near.filter(lengths).select("k", "__n").distinct().filter(most_alike(F.col("k"), F.col("__n")) >= similar)
+    alike = titles.filter(sequence_ratio("k", "__n") >= similar).withColumn("__alike", F.lit(True))
+    hit = near.join(alike, ["k", "__n"], "left").filter(F.coalesce("__alike", F.lit(False)) | in_city)
     rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("__t"))
     best = hit.groupBy("id").agg(F.max_by("__t", rank).alias("label_tier"))
     return events.drop("label_tier").join(best, "id", "left")
@@ -129,19 +160,6 @@ def repaired_locations(events: DataFrame, locations: DataFrame, cache: DataFrame
     return kept.filter(~(nowhere & lacking))
 
 
-def tiered_place(df: DataFrame, text: Column, field: Column, states: dict[str, str], cities: dict[str, str]) -> DataFrame:
-    """`code` of a place: of a field that names it, else of a part of the text that is a state, the last
-    first, else of a part that is a city, the first first, else of the longest city in the text. Names are folded."""
-    code = lambda table, x: F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x)
-    plain = lambda x: F.trim(F.regexp_replace(fold(x), r"[^\w\s]", ""))
-    parts = F.transform(F.split(text, ","), plain)
-    named = F.coalesce(code(states, plain(field)), code(cities, plain(field)))
-    as_state = F.get(F.array_compact(F.transform(F.reverse(parts), lambda x: code(states, x))), 0)
-    as_city = F.get(F.array_compact(F.transform(parts, lambda x: code(cities, x))), 0)
-    inside = F.coalesce(*(F.when(plain(text).rlike(rf"\b{c}\b"), v) for c, v in sorted(cities.items(), key=lambda x: (-len(x[0]), x[0]))))
-    return df.withColumn("code", F.when(F.coalesce(field, F.lit("")) != "", named).otherwise(F.coalesce(as_state, as_city, inside)))
-
-
 def merged_cache(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """A cache table with new entries in place of old ones of the same keys."""
     same = reduce(and_, (cache[k].eqNullSafe(new[k]) for k in keys))
@@ -171,14 +189,6 @@ def labels_feed(pages: DataFrame, tiers: dict[str, str], countries: dict[str, st
     return out.filter("tier IS NOT NULL AND date IS NOT NULL")
 
 
-def first_keyword(text: Column, keywords: list[tuple[str, str]]) -> Column:
-    """Value of the first keyword, in list order, that the folded text has as a part."""
-    out = F.lit(None).cast("string")
-    for word, value in reversed(keywords):
-        out = F.when(F.contains(fold(text), F.lit(word)), F.lit(value)).otherwise(out)
-    return out
-
-
 def rebuilt_location(city: Column, subdivision: Column, country: Column, text: Column) -> Column:
     """R8: 'City, UF' for events of one country, the text elsewhere."""
     return F.when((country == "BR") & (city != "") & (subdivision != ""), F.concat_ws(", ", city, subdivision)).otherwise(text)

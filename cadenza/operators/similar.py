@@ -25,7 +25,7 @@ SHORT = "*"
 
 def letter_pairs(key: Column) -> Column:
     """Letter pairs of a title key, each told apart by how often it stands before it, the rarest first."""
-    every = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, F.lit(2))))
+    every = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2))))
     place = lambda c: F.greatest(F.instr(F.lit(RARE_FIRST), c), F.lit(1))
     first, last = (lambda x: F.substring(x, 1, 1)), (lambda x: F.substring(x, 2, 1))
     ranked = F.transform(every, lambda x, i: F.struct((F.array_position(every, x).cast("int") - i - 1).alias("again"), (place(first(x)) * place(last(x))).alias("weight"), x.alias("pair")))
@@ -51,9 +51,9 @@ def _titles(rows: DataFrame, on: list[str], name: str) -> DataFrame:
     return rows.filter(F.col("key") != "").select(*on, F.col("key").alias(name)).distinct()
 
 
-def similar_titles(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
-    """(on, key_a, key_b): different titles of two words or more, a of the left and b of the right rows of a group, that may be `least` alike."""
-    several = lambda rows: rows.filter(F.instr("key", " ") > 0)
+def similar_titles(left: DataFrame, right: DataFrame, on: list[str], least: float, words: int = 2) -> DataFrame:
+    """(on, key_a, key_b): different titles of `words` words or more, a of the left and b of the right rows of a group, that may be `least` alike."""
+    several = lambda rows: rows.filter(F.size(F.split("key", " ")) >= words)
     a, b = _titles(several(left), on, "key_a"), _titles(several(right), on, "key_b")
     point = lambda c: F.explode(meeting_points(F.col(c), least)).alias("point")
     met = a.select(*on, "key_a", point("key_a")).join(b.select(*on, "key_b", point("key_b")), [*on, "point"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.distance import km_key
 from cadenza.functions.text import title_key
-from cadenza.operators import display, enrich, health, listings, publish, quality, reconcile, resolve, rules, search
+from cadenza.operators import display, enrich, gazetteer, health, listings, publish, quality, reconcile, resolve, rules, search
 from cadenza.plans.events import day, table
 from cadenza.schema import DISTANCE, LISTING, SIGNUP_WINDOW
 
@@ -314,15 +314,25 @@ def major_events(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.annotate_majors(e, majors).filter("is_major").select("id")
 
 
+#: Names of places, and words with what they say, as tables.
+PLACES = (("brava", "BV", "state"), ("alpha", "AL", "city"), ("delta city", "DC", "city"), ("delta", "DE", "city"))
+KEYWORDS = (("alpha", "A"), ("praca", "P"), ("delta", "D"))
+
+
 def place_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Codes from a field, the parts of a text or a city in it; keywords; hosts; contradictions."""
+    """Codes from a field, the parts of a text or a city in it; keywords; hosts; contradictions. The names are few and stand among as many others as there are parts."""
+    from cadenza.functions.structured import name_by_host
+
     e = made_events(spark, sf)
     k = F.col("ordinal")
+    others = table(spark, sf, "part").select(F.concat(F.lit("zz "), F.col("p_partkey").cast("string")).alias("name"))
+    names = spark.createDataFrame(PLACES, "name string, code string, kind string").unionByName(others.select("name", F.lit("ZZ").alias("code"), F.lit("city").alias("kind")))
+    words = spark.createDataFrame([(w, v, i) for i, (w, v) in enumerate(KEYWORDS)], "word string, value string, rank int")
+    words = words.unionByName(others.select(F.col("name").alias("word"), F.lit("Z").alias("value"), F.lit(99).alias("rank")))
     text = pick(("Praça, Alpha Velha, Brava", "Costa, Alpha", "perto de Delta City", "nada"), k % 4)
-    rows = enrich.tiered_place(e, text, F.when(k % 7 == 0, "Brava"), {"brava": "BV"}, {"alpha": "AL", "delta city": "DC", "delta": "DE"})
-    from cadenza.functions.structured import name_by_host
-
-    return rows.select("id", "code", enrich.first_keyword(text, [("alpha", "A"), ("praca", "P"), ("delta", "D")]).alias("word"), name_by_host(F.get("listings", 0)["page_url"], {"s1.": "one", "s2.": "two"}, "other").alias("host"), listings.repaired_country(F.when(k % 2 == 0, "US").otherwise("CA"), pick(("ON", "NY", "XYZ"), k % 3)).alias("country"))
+    codes = gazetteer.named_places(e, "id", text, F.when(k % 7 == 0, "Brava"), names)
+    rows = gazetteer.first_keywords(e.select("id", "ordinal", "listings"), text, words).join(codes, "id", "left")
+    return rows.select("id", "code", F.col("value").alias("word"), name_by_host(F.get("listings", 0)["page_url"], {"s1.": "one", "s2.": "two"}, "other").alias("host"), listings.repaired_country(F.when(k % 2 == 0, "US").otherwise("CA"), pick(("ON", "NY", "XYZ"), k % 3)).alias("country"))
 
 
 def listing_times(spark: SparkSession, sf: str) -> DataFrame:
