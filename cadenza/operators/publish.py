@@ -22,12 +22,6 @@ def upsert_archive(stored: DataFrame, new: DataFrame) -> DataFrame:
     return kept.withColumn("event_month", F.date_format("event_date", "yyyy-MM"))
 
 
-def write_archive(archive: DataFrame, path: str) -> None:
-    """Months that the rows belong to are replaced, others stay."""
-    (archive.repartition("event_month").sortWithinPartitions("event_month", F.col("event_date").asc_nulls_first())
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_month").parquet(path))
-
-
 def slim(events: DataFrame) -> DataFrame:
     """K3: (id, json) with what the site needs; empty and null fields left out, links equal to the page elided."""
     listings = F.transform(
@@ -60,10 +54,6 @@ def boot_window(events: DataFrame, anchor: Column, back: int = 15, ahead: int =
     return events.filter(F.col("event_date").between(F.date_sub(anchor, back), F.date_add(anchor, ahead)))
 
 
-def snapshot_metadata(events: DataFrame, generated_at: Column, partial: bool = False) -> DataFrame:
-    return events.agg(F.count(F.lit(1)).alias("total")).withColumn("generated_at", generated_at).withColumn("partial", F.lit(partial))
-
-
 def json_ld(events: DataFrame) -> DataFrame:
     """K6: schema.org markup of each event."""
     days = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array("event_date"), F.transform("distances", lambda d: d["date"])))))
@@ -83,12 +73,6 @@ def json_ld(events: DataFrame) -> DataFrame:
     return events.select("id", F.to_json(node, {"ignoreNullFields": "true"}).alias("json_ld"))
 
 
-def item_list(events: DataFrame) -> DataFrame:
-    """(position, json_ld) of events in order of date; meant for a bounded top-k."""
-    rank = F.row_number().over(Window.orderBy(F.col("event_date").asc_nulls_last(), "id"))
-    return json_ld(events).join(events.select("id", rank.alias("position")), "id").select("position", "json_ld")
-
-
 def sitemap(base: str, languages: list[str], pages: DataFrame) -> DataFrame:
     """K7: url, lang and its alternates for each page (column path) and language."""
     prefix = lambda x: F.when(x == languages[0], F.lit("")).otherwise(F.concat(F.lit("/"), x))

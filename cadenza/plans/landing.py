@@ -6,6 +6,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators.archive import Archive
 from cadenza.operators.components import shared_path
 from cadenza.plans.records import AS_OF, EV, made_events
 from cadenza.sources import landed, readers
@@ -47,11 +48,28 @@ def landed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return count(landed.read_landed(spark, path), "n").join(count(landed.upcoming(spark, path, AS_OF), "ahead"), "source")
 
 
+def archive_months(spark: SparkSession, sf: str) -> DataFrame:
+    """An archive in months, a batch that rewrites those that it touches and a batch that comes twice; what is read back, and whether other months kept their files."""
+    e = made_events(spark, sf).select("ordinal", "id", "event_date", "miss_count")
+    archive = Archive(spark, shared_path(spark, "archive"))
+    archive.upsert(e.filter("ordinal % 2 = 0"), batch=0)
+    before = archive.manifest()["months"]
+    few = e.filter("ordinal % 3 = 0 AND (event_date BETWEEN DATE'1996-03-01' AND DATE'1996-05-31' OR event_date IS NULL)")
+    for _ in range(2):
+        archive.upsert(few.withColumn("miss_count", F.col("miss_count") + 100), F.col("ordinal"), 1)
+    after = archive.manifest()["months"]
+    same = [m for m in before if before[m] == after[m]]
+    return archive.read().select("id", "miss_count", "event_month", F.col("event_month").isin(same).alias("untouched"))
+
+
 SQL = {
     "snapshot_decoded": f"""WITH {EV}, p AS (SELECT k, two, k // 400 AS g, (k // 400) % {CUT} = 7 AS lost, CASE WHEN k % 10 = 0 THEN 2 ELSE 1 END AS copies FROM ev)
         SELECT 'good' AS kind, 'e' || k AS id, CAST(CASE WHEN two THEN 2 ELSE 1 END AS BIGINT) AS n FROM p WHERE NOT lost AND k % 7 <> 0 AND k % 11 <> 0
         UNION ALL SELECT 'bad', CASE WHEN k % 7 = 0 THEN 'json' ELSE 'no_id' END, CAST(sum(copies) AS BIGINT) FROM p WHERE NOT lost AND (k % 7 = 0 OR k % 11 = 0) GROUP BY 2
         UNION ALL SELECT 'bad', 'payload', count(DISTINCT g) FROM p WHERE lost HAVING count(*) > 0""",
+    "archive_months": f"""WITH {EV}, p AS (SELECT id, k, CAST(k % 10 AS INTEGER) AS misses, coalesce(strftime(event_date, '%Y-%m'), 'undated') AS event_month, k % 3 = 0 AND coalesce(event_date BETWEEN DATE '1996-03-01' AND DATE '1996-05-31', true) AS again FROM ev),
+        t AS (SELECT DISTINCT event_month FROM p WHERE again)
+        SELECT id, misses + CASE WHEN again THEN 100 ELSE 0 END AS miss_count, event_month, event_month NOT IN (SELECT event_month FROM t) AS untouched FROM p WHERE k % 2 = 0 OR again""",
     "landed_sources": f"""WITH {EV}, p AS (SELECT source, k % 97 <> 0 AS good, event_date IS NULL OR event_date >= DATE '{AS_OF}' AS ahead FROM ev)
         SELECT source, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND ahead) AS ahead, count(*) FILTER (NOT good) AS ahead_bad FROM p GROUP BY source
         UNION ALL SELECT 'broken', 0, 1, 0, 1""",
