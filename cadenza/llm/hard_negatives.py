@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import materialize
 from cadenza.llm.topk_search import quantized
-from cadenza.llm.vector_blocks import Block, grouped, meet, packed
+from cadenza.llm.vector_blocks import BLOCK_ROWS, GROUP_BLOCKS, SEED, Block, grouped, meet, packed
 
 FOUND = "anchor_id long, cap long, vec_id long, score long"
 
@@ -40,9 +40,6 @@ STAGES = (0.125, 0.5)
 #: Rounding slack of a product of floating-point vectors, relative to the product of their norms; far above what 64-bit sums of up to a million terms can lose.
 SLACK = 1e-9
 
-#: One group in so many is searched before the others.
-SEED = 16
-
 #: Components of a vector that are rotated at most, and sizes of vectors (the most frequent) that are; the others stay as they are, which is a rotation too.
 ROTATED, SIZES = 1024, 4
 
@@ -213,8 +210,8 @@ def hard_negatives(
     positives: int = 5,
     scale: int = 256,
     percent: int = 80,
-    block_rows: int = 2048,
-    group_blocks: int = 16,
+    block_rows: int = BLOCK_ROWS,
+    group_blocks: int = GROUP_BLOCKS,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 

@@ -6,26 +6,25 @@ components of the larger of query x largest and query x smallest bounds every sc
 Blocks are taken in the order of their bounds and scored through their forward index until the
 next bound is below the k-th best score so far.
 
-Queries are packed into matrices on the executors and broadcast in chunks of bounded size. A task
-keeps each query's k best over all its batches, so the k-th score found so far bounds the blocks of
-the next batch, and gives back at most k candidates a query once, at its end.
+Candidates are packed and dealt out in groups, and every group meets all queries (see vector_blocks), so nothing goes through
+the driver and one job serves any number of queries. A task keeps each query's k best over the blocks of a group, so the
+k-th score so far bounds the next ones. One group in SEED is searched first, and each query's k-th score
+there is the least that the others need to give back.
 
-Components are floor(scale * x). Vectors that are null, or hold null or other than finite
+Components are floor(scale * x). Vectors that are null or empty, or hold null or other than finite
 components, take no part; neither do candidates of another length than the query. A query's own
 row is every row with its id. An empty table gives no rows. Fewer than k candidates are all given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import materialize
+from cadenza.llm.vector_blocks import BLOCK_ROWS, GROUP_BLOCKS, SEED, Block, grouped, meet, packed
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -56,10 +55,11 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class Best:
-    """The k best candidates so far of each query; NONE where there are fewer."""
+    """The k best candidates so far of each query; NONE where there are fewer. Scores under a query's `least` need not be found."""
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None):
         self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.least = np.full(len(queries), NONE) if least is None else least
         self.ids, self.scores = np.full((len(queries), k), NONE), np.full((len(queries), k), NONE)
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, block: int) -> None:
@@ -73,7 +73,7 @@ class Best:
         active = np.arange(len(self.queries))
         for step in range(len(cuts)):
             at = ranked[active, step]
-            going = bounds[active, at] >= self.scores[active, self.k - 1]
+            going = bounds[active, at] >= np.maximum(self.scores[active, self.k - 1], self.least[active])
             active, at = active[going], at[going]
             if not len(active):
                 break
@@ -89,7 +89,7 @@ class Best:
                 self.ids[q], self.scores[q] = np.take_along_axis(all_ids, keep, 1), np.take_along_axis(all_scores, keep, 1)
 
     def found(self) -> pa.RecordBatch:
-        q, j = np.nonzero(self.scores != NONE)
+        q, j = np.nonzero((self.scores != NONE) & (self.scores >= self.least[:, None]))
         return pa.RecordBatch.from_arrays([pa.array(self.query_ids[q]), pa.array(self.ids[q, j]), pa.array(self.scores[q, j])], ["query_id", "vec_id", "score"])
 
 
@@ -103,60 +103,36 @@ def _top(s: np.ndarray, n: int) -> np.ndarray:
     return place[rank < n].reshape(len(s), n)
 
 
-def packed_queries(queries: DataFrame, most: int) -> DataFrame:
-    """Queries of one length, up to `most` a row: (size, ids, v), the last two as bytes of 64-bit numbers."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(i, most) for b in batches for i in range(0, len(b), most)):
-            sizes = b.column(1).value_lengths().to_numpy()
-            rows = []
-            for n in np.unique(sizes):
-                at = pa.array(np.flatnonzero(sizes == n))
-                rows.append((int(n), b.column(0).take(at).to_numpy().tobytes(), b.column(1).take(at).flatten().to_numpy().tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["size", "ids", "v"])
-
-    return queries.mapInArrow(pack, "size int, ids binary, v binary")
-
-
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 256, chunk: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 256, block_rows: int = BLOCK_ROWS, group_blocks: int = GROUP_BLOCKS, query_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows by inner product, ties to smaller ids."""
-    spark = vectors.sparkSession
-    candidates = quantized(vectors, id_col, vector_col, scale)
-    queries = quantized(vectors.filter(is_query), id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    parts: list[DataFrame] = []
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-    def search() -> DataFrame:
-        packed = {n: (np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])) for n, x in held.items()}
-        shared = spark.sparkContext.broadcast(packed)  # at most `chunk` vectors
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of_size = {n: Best(ids, q, k) for n, (ids, q) in shared.value.items()}
-            for b in batches:
-                ids, lists = b.column(0).to_numpy(), b.column(1)
-                sizes = lists.value_lengths().to_numpy()
-                for n, x in of_size.items():
-                    if len(at := np.flatnonzero(sizes == n)):
-                        x.search(ids[at], lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n), block)
-            for x in of_size.values():
-                yield x.found()
-
-        return candidates.mapInArrow(find, FOUND)
-
-    n_held = 0
-    for r in packed_queries(queries, min(chunk, 1024)).toLocalIterator():
-        ids = np.frombuffer(r.ids, np.int64)
-        if n_held and n_held + len(ids) > chunk:
-            if not parts:  # more than one chunk reads the candidates more than once
-                candidates = materialize(candidates, "candidates")
-            parts.append(materialize(search(), "top-k"))
-            held, n_held = {}, 0
-        held.setdefault(r["size"], []).append((ids, np.frombuffer(r.v, np.int64).reshape(len(ids), r["size"])))
-        n_held += len(ids)
-    parts.append(search())
-    found = reduce(DataFrame.union, parts)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    none = F.array().cast("array<bigint>")
+    whole = lambda rows, more: rows.select("vec_id", F.lit(0).cast("long").alias("label"), "v", more.alias("more"))
+    candidates = quantized(vectors, id_col, vector_col, scale).filter(F.size("v") > 0)
+    blocks, n_groups = grouped(materialize(packed(whole(candidates, none), block_rows), "vectors"), group_blocks)
+    queries = quantized(vectors.filter(is_query), id_col, vector_col, scale).filter(F.size("v") > 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = materialize(queries, "queries")
+
+    def find(held: list[Block], queries: Block) -> pa.RecordBatch:
+        best = Best(queries.ids, queries.v, k, queries.more[:, 0])
+        for b in held:
+            best.search(b.ids, b.v, block)
+        return best.found()
+
+    def part(queries: DataFrame, least: Column, chosen) -> DataFrame:
+        numbers = F.filter(F.sequence(F.lit(0), F.lit(n_groups - 1)), chosen)
+        return meet(blocks.filter(chosen(F.col("g"))), packed(whole(queries, F.array(least)), query_rows), numbers, n_groups, find, FOUND)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    if n_groups < 2 * SEED:
+        found = part(queries, F.lit(NONE), lambda g: F.lit(True))
+    else:
+        first = materialize(part(queries, F.lit(NONE), lambda g: g % SEED == 0), "seeds")
+        floors = ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        found = first.unionByName(part(queries.join(floors, "vec_id", "left"), F.coalesce("floor", F.lit(NONE)), lambda g: g % SEED != 0))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +143,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)

@@ -22,6 +22,9 @@ BLOCK = "size int, ids binary, labels binary, v binary, more binary"
 #: Rows of a block, and blocks of a group on the average.
 BLOCK_ROWS, GROUP_BLOCKS = 2048, 16
 
+#: One group in so many is searched before the others, so that they know what they need not give back.
+SEED = 16
+
 
 class Block:
     """ids (n), labels (n), v (n x size, whole numbers) and more (n x any, whole numbers)."""

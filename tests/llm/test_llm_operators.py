@@ -70,7 +70,9 @@ def test_top_k_brute_force_and_odd(spark):
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(600)] + [(i, [0.5] * 6) for i in range(600, 700)]
     rows += [(700, None), (701, [None] * 6), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, [1.0, 2.0]), (705, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("v", F.lit(1)).repartition(3)
-    got = top_k(df, F.col("vec_id") % 50 == 0, block=16, chunk=5).select("query_id", "rank", "vec_id", "score").collect()
+    few, many = (sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0, block=16, query_rows=5, **x).select("query_id", "rank", "vec_id", "score").collect())) for x in ({}, {"block_rows": 8, "group_blocks": 1}))
+    assert few == many  # in one pass, and with floors from the groups that are searched first
+    got = few
     ok = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if v is not None and len(v) == 6 and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in [i for i in ok if i % 50 == 0]:
