@@ -21,13 +21,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ByteHashes, bounded_batches, joined, slices, small_batches, split_words, texts_of, word_table
+from cadenza.llm.common import ByteHashes, bounded_batches, joined, materialize, slices, small_batches, split_words, texts_of, word_table
 
 FOLD, FLAGS = word_table(True, [*range(48, 58), *range(97, 123), *range(128, 256)])
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -188,8 +190,8 @@ class Shard:
         return row, self.word_at[self.array[at]]
 
 
-def hits(texts: list[bytes], blocks: list[Tests]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Words, hit words and occurring items of each text."""
+def marked(texts: list[bytes], blocks: list[Tests]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Words of each text, for every word whether it is hit, and the occurring items of each text."""
     items: list[list[str]] = [[] for _ in texts]
     covered = n_words = shard = None
     for tests in blocks:
@@ -206,36 +208,62 @@ def hits(texts: list[bytes], blocks: list[Tests]) -> tuple[np.ndarray, np.ndarra
             items[p // len(tests.names)].append(tests.names[p % len(tests.names)])
     if shard is None:
         _, _, _, before = words_of(texts)
-        return np.diff(before), np.zeros(len(texts), np.int64), items
-    inside = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
-    return n_words, np.diff(inside[shard.before]), items
+        return np.diff(before), np.zeros(int(before[-1]), bool), items
+    return n_words, np.cumsum(covered[:-1]) > 0, items
 
 
-#: Characters of test items that one search takes; every worker holds them as suffix arrays, some 40 bytes a word.
+def hits(texts: list[bytes], blocks: list[Tests]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Words, hit words and occurring items of each text."""
+    n_words, hit, items = marked(texts, blocks)
+    inside = np.concatenate([[0], np.cumsum(hit)])
+    return n_words, np.diff(inside[np.concatenate([[0], np.cumsum(n_words)])]), items
+
+
+def hit_runs(n_words: np.ndarray, hit: np.ndarray) -> list[list[int]]:
+    """For each text the first word of each run of hit words and the word after it, one after the other."""
+    out = []
+    ends = np.cumsum(n_words)
+    for end, n in zip(ends.tolist(), n_words.tolist(), strict=True):
+        own = np.concatenate([[False], hit[end - n : end], [False]])
+        out.append(np.flatnonzero(own[1:] != own[:-1]).tolist())
+    return out
+
+
+#: Characters of test items that one pass takes; every worker holds them as suffix arrays, some 40 bytes a word.
 MOST_TEST_CHARS = 64 << 20
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int, most_chars: int = MOST_TEST_CHARS) -> Iterator[Tests]:
-    """The test items in blocks of at most block_chars characters, each small enough to broadcast.
+def test_passes(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int, most_chars: int) -> Iterator[list[Tests]]:
+    """The test items in blocks of at most block_chars characters, each small enough to broadcast, and as many blocks as one pass takes.
 
-    Items come in the order of their ids, so a block is the same however often it is made. A test set
-    of over most_chars characters does not fit into workers at once and is refused before anything
-    is sent; its items can be searched for in several calls.
+    Items come in the order of their ids, so a block is the same however often it is made, and only those of
+    one pass are on the driver.
     """
-    total = benchmark.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
-    if total > most_chars:
-        raise ValueError(f"{total} characters of test items, {most_chars} at most in one call")
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t"))
+    blocks: list[Tests] = []
     block: list[tuple[str, str | None]] = []
-    size = 0
+    size = held = 0
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if block and size + len(r.t or "") > block_chars:
-            yield tests_of(block, window)
+        n = len(r.t or "")
+        if block and (size + n > block_chars or held + n > most_chars):
+            blocks.append(tests_of(block, window))
             block, size = [], 0
+        if blocks and held + n > most_chars:
+            yield blocks
+            blocks, held = [], 0
         block.append((r.i, r.t))
-        size += len(r.t or "")
+        size += n
+        held += n
     if block:
-        yield tests_of(block, window)
+        yield [*blocks, tests_of(block, window)]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], column: int, shard_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of shards of whole texts, and the texts."""
+    for b in small_batches(batches, 1024):
+        texts = [(t or "").encode() for t in b.column(column).to_pylist()]
+        for i, j in slices(map(len, texts), shard_bytes):
+            yield b.slice(i, j - i), texts[i:j]
 
 
 def contamination(
@@ -248,26 +276,60 @@ def contamination(
     window: int = 10,
     shard_bytes: int = 1 << 20,
     block_chars: int = 8 << 20,
+    most_chars: int = MOST_TEST_CHARS,
 ) -> DataFrame:
     """Per document, how many of its words lie in an occurrence of a test window, and of which items.
 
-    The test set is broadcast in blocks of bounded size; more blocks are more searches of a shard.
+    The test set is broadcast in blocks of bounded size. One of more than most_chars characters is searched for in
+    passes over the documents, one after the other, which are told apart by a number of their own then; each pass writes the
+    runs of words that it hit, and the runs of a document are united.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(t) for t in test_blocks(benchmark, item_id_col, item_text_col, window, block_chars)]
+    texts = texts_of(docs, id_col, text_col)
+    passes = test_passes(benchmark, item_id_col, item_text_col, window, block_chars, most_chars)
+    first, second = next(passes, []), next(passes, None)
+    shared = [sc.broadcast(t) for t in first]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
-        for b in small_batches(batches, 1024):
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for i, j in slices(map(len, texts), shard_bytes):
-                n_words, n_hit, items = hits(texts[i:j], [x.value for x in blocks])
-                unique = [sorted(set(x)) for x in items]
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in unique]
-                columns = [b.column(0).slice(i, j - i), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in unique], pa.int64()), pa.array(sha), pa.array(n_hit > 0)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return texts_of(docs, id_col, text_col).mapInArrow(judge, DIGEST)
+        for rows, own in _shards(batches, 1, shard_bytes):
+            n_words, n_hit, items = hits(own, [x.value for x in shared])
+            unique = [sorted(set(x)) for x in items]
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in unique]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in unique], pa.int64()), pa.array(sha), pa.array(n_hit > 0)], names)
+
+    if second is None:
+        return texts.mapInArrow(judge, DIGEST)
+    texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+
+    def one_pass(blocks: list[Tests], number: int) -> DataFrame:
+        shared = [sc.broadcast(t) for t in blocks]
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, own in _shards(batches, 1, shard_bytes):
+                n_words, hit, items = marked(own, [x.value for x in shared])
+                runs = hit_runs(n_words, hit)
+                out = pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), pa.array(n_words), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "runs", "items"])
+                yield out if number == 0 else out.filter(pa.array([bool(x) for x in runs]))
+
+        found = materialize(texts.mapInArrow(mark, "row long, doc_id long, n_words long, runs array<long>, items array<string>"), f"pass-{number}")
+        for x in shared:
+            x.unpersist()
+        return found
+
+    found = [one_pass(blocks, k) for k, blocks in enumerate(chain([first, second], passes))]
+    return _united(reduce(DataFrame.unionByName, found))
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """Digest of each row from what its passes hit: at most a row a pass."""
+    whole = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    ranges = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1), lambda i: F.struct(F.get("runs", 2 * i).alias("a"), F.get("runs", 2 * i + 1).alias("b"))))
+    ranges = F.when(F.size("runs") > 0, ranges)
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    total = F.aggregate(ranges, start, lambda s, r: F.struct(F.greatest(s["end"], r["b"]).alias("end"), (s["n"] + F.greatest(r["b"] - F.greatest(s["end"], r["a"]), F.lit(0))).alias("n")))["n"]
+    n_hit = F.coalesce(total, F.lit(0)).cast("long")
+    return whole.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def longest_matches(
@@ -280,23 +342,24 @@ def longest_matches(
     window: int = 10,
     shard_bytes: int = 1 << 20,
     block_chars: int = 8 << 20,
+    most_chars: int = MOST_TEST_CHARS,
 ) -> DataFrame:
     """For every test suffix that occurs for at least a window, its longest matches over all shards.
 
     Rows: item, first word in the item, words matched, document, first word in the document; the
-    longest over all shards, with every place where it is.
+    longest over all shards, with every place where it is. Each pass over a part of the test set writes what it finds.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(t) for t in test_blocks(benchmark, item_id_col, item_text_col, window, block_chars)]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in MATCHES.split(", ")]
-        for b in small_batches(batches, 1024):
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for i, j in slices(map(len, texts), shard_bytes):
-                ids = b.column(0).slice(i, j - i)
-                for tests in (x.value for x in blocks):
-                    shard = Shard(texts[i:j], tests)
+    source = texts_of(docs, id_col, text_col)
+
+    def one_pass(blocks: list[Tests]) -> DataFrame:
+        shared = [sc.broadcast(t) for t in blocks]
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = [x.split()[0] for x in MATCHES.split(", ")]
+            for rows, own in _shards(batches, 1, shard_bytes):
+                for tests in (x.value for x in shared):
+                    shard = Shard(own, tests)
                     w, lo, hi, n = shard.search(longest=True)
                     row, word = shard.occurrences(lo, hi)
                     w, n = w[row], n[row]
@@ -305,31 +368,45 @@ def longest_matches(
                         pa.array([tests.names[k] for k in tests.item[w]], pa.string()),
                         pa.array(tests.start[w] - tests.firsts[tests.item[w]]),
                         pa.array(n),
-                        ids.take(pa.array(doc)),
+                        rows.column(0).take(pa.array(doc)),
                         pa.array(word - shard.before[doc]),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = texts_of(docs, id_col, text_col).mapInArrow(find, MATCHES)
+        found = materialize(source.mapInArrow(find, MATCHES), "matches")
+        for x in shared:
+            x.unpersist()
+        return found
+
+    passes = [one_pass(blocks) for blocks in test_passes(benchmark, item_id_col, item_text_col, window, block_chars, most_chars)]
+    found = reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], MATCHES)
     most = found.groupBy(F.col("item_id").alias("i"), F.col("item_word").alias("p")).agg(F.max("n_words").alias("most"))
     same = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_word") == F.col("p")) & (F.col("n_words") == F.col("most"))
     return found.join(most, same, "left_semi")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 1 << 20, block_chars: int = 8 << 20) -> DataFrame:
-    """The documents none of whose words lie in an occurrence of a test window, all columns kept."""
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 1 << 20, block_chars: int = 8 << 20, most_chars: int = MOST_TEST_CHARS
+) -> DataFrame:
+    """The documents none of whose words lie in an occurrence of a test window, all columns kept. Each pass but the last writes what it keeps."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(t) for t in test_blocks(benchmark, item_id_col, item_text_col, window, block_chars)]
-    k = docs.columns.index(text_col)
+    column = docs.columns.index(text_col)
+    schema = docs.schema
+
+    def kept(docs: DataFrame, blocks: list[Tests]) -> DataFrame:
+        shared = [sc.broadcast(t) for t in blocks]
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 1024):
-            texts = [(t or "").encode() for t in b.column(k).to_pylist()]
-            for i, j in slices(map(len, texts), shard_bytes):
-                _, n_hit, _ = hits(texts[i:j], [x.value for x in blocks])
-                yield b.slice(i, j - i).filter(pa.array(n_hit == 0))
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, own in _shards(batches, column, shard_bytes):
+                _, n_hit, _ = hits(own, [x.value for x in shared])
+                yield rows.filter(pa.array(n_hit == 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(keep, schema)
+
+    out = docs
+    for number, blocks in enumerate(test_passes(benchmark, item_id_col, item_text_col, window, block_chars, most_chars)):
+        out = kept(materialize(out, "kept") if number else out, blocks)
+    return out
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ class Encoder:
     that are not white space, at a full stop or comma that follows a letter or digit, and around a
     line end between two other characters, so the pieces cut there are encoded on their own and
     their ids joined. Texts where a space touches other white space, or with a special token's string, are
-    encoded whole. Beyond `keep` pieces, only those of the last call stay in memory.
+    encoded whole. Up to `keep` pieces stay in memory between calls, those met of late the longest.
     """
 
-    def __init__(self, path: str | None = None, keep: int = 300_000):
+    def __init__(self, path: str | None = None, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,7 +42,8 @@ class Encoder:
         self.by_word = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and spec.get("normalizer") is None and spec.get("post_processor") is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
         return (
@@ -66,34 +67,50 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not known, from the older ones or the tokenizer."""
+        older = self.older
+        out = {x: older[x] for x in new if x in older}
+        if out:
+            new = [x for x in new if x not in out]
+        if self.by_word:
+            words = [x for x in new if x.removeprefix(" ").isalpha()]
+            out.update(zip(words, self._word_ids(words), strict=True))
+            new = [x for x in new if x not in out]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            out.update(zip(part, self._ids(part), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: dict[int, list[str]] = {}
-        here: set[str] = set()
+        pieces: list[str] = []
+        bounds: list[tuple[int, int, int]] = []
         for i, t in enumerate(texts):
             if t and "\x00" not in t and self._plain(t):
                 t = t.replace(" ", "\x00 ")
                 if "\n\n" not in t and not _LOOSE_STOP.search(t):
                     t = t.replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00")
-                pieces[i] = t.split("\x00")
-                here.update(pieces[i])
+                start = len(pieces)
+                pieces += t.split("\x00")
+                bounds.append((i, start, len(pieces)))
         known = self.known
-        new = list(here - known.keys())
-        if self.by_word:
-            words = [x for x in new if x.removeprefix(" ").isalpha()]
-            known.update(zip(words, self._word_ids(words), strict=True))
-            new = [x for x in new if x not in known]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            known.update(zip(part, self._ids(part), strict=True))
-        known[""] = b""
-        out = [b"".join(map(known.__getitem__, pieces[i])) if i in pieces else b"" for i in range(len(texts))]
-        other = [i for i, t in enumerate(texts) if t and i not in pieces]
+        ids = list(map(known.get, pieces))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            known.update(self._learn(list({pieces[k] for k in missing})))
+            for k in missing:
+                ids[k] = known[pieces[k]]
+        out = [b""] * len(texts)
+        for i, a, b in bounds:
+            out[i] = b"".join(ids[a:b])
+        done = {i for i, _, _ in bounds}
+        other = [i for i, t in enumerate(texts) if t and i not in done]
         for a in range(0, len(other), 64):
             part = other[a : a + 64]
-            for i, ids in zip(part, self._ids([texts[i] for i in part]), strict=True):
-                out[i] = ids
-        if len(known) > self.keep:
-            self.known = {x: known[x] for x in here}
+            for i, own in zip(part, self._ids([texts[i] for i in part]), strict=True):
+                out[i] = own
+        if len(known) > self.keep // 2:
+            self.known, self.older = {"": b""}, known
         return out
 
 

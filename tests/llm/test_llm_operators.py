@@ -847,13 +847,24 @@ def test_licenses_against_brute_force(spark, same_as_sql, tmp_path):
     same_as_sql(got, OP3_SQL, str(tmp_path))
 
 
-def test_test_set_is_bounded(spark, odd):
-    from cadenza.llm.decontaminate import test_blocks
+def test_test_sets_over_the_bound_go_in_passes(spark, docs_df):
+    """The same rows from one pass as from many, for digests, longest matches and what is kept."""
+    from cadenza.llm.decontaminate import contamination, longest_matches, remove_contaminated, test_passes
+
+    bench = spark.createDataFrame([("a", "x" * 10), ("b", "y" * 12), ("c", "z")], "item_id string, text string")
+    sizes = lambda most: [[len(b.names) for b in p] for p in test_passes(bench, "item_id", "text", 10, 11, most)]
+    assert sizes(100) == [[1, 1, 1]] and sizes(22) == [[1, 1], [1]] and sizes(1) == [[1], [1], [1]]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    extra = spark.createDataFrame([("short", "the"), ("empty", ""), ("null", None)], "item_id string, text string")
+    bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").union(extra).limit(60)
+    docs = docs_df.select("doc_id", "text").union(spark.createDataFrame([(1, None), (1, ""), (None, "the the cat")], "doc_id long, text string")).repartition(3)
+    few = {"block_chars": 900, "most_chars": 2000}
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(contamination(docs, bench))
+    assert rows(contamination(docs, bench, **few)) == whole and any("contaminated=True" in r for r in whole)
+    assert rows(longest_matches(docs, bench, window=4, **few)) == rows(longest_matches(docs, bench, window=4))
+    assert rows(remove_contaminated(docs, bench, **few)) == rows(remove_contaminated(docs, bench))
 
-    bench = spark.createDataFrame([(1, "one two three"), (2, None), (3, "four five")], "item_id long, text string")
-    assert len([*test_blocks(bench, "item_id", "text", 10, 5, 22)]) == 3
-    with pytest.raises(ValueError):
-        next(test_blocks(bench, "item_id", "text", 10, 5, 21))
 
 
 def test_packing_is_near_the_bound(spark):
