@@ -32,17 +32,29 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.format_string("%s-%s-%s", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
 
 
+def _parts(found: Column) -> Column:
+    """What stands between the signs of a date that has been found; articles are left out."""
+    return F.split(F.regexp_replace(found, r"(?i)[ºª.,/-]|\bde\b|(?<=\d)(?:st|nd|rd|th)\b", " "), r"\s+")
+
+
+def _ordered(parts: Column, y: int, m: int, d: int, named: bool = False) -> Column:
+    month = F.get(parts, m)
+    return _ymd(F.get(parts, y), month_number(month) if named else month, F.get(parts, d))
+
+
+# Each is matched once; what it has found is cut into its parts.
+_ISO = r"\d{4}-\d{2}-\d{2}"
+_NUMBERS = r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
+_DAY_FIRST = r"\d{1,2}[ºª.]?\s+(?:de\s+)?\p{L}{3,}\.?\s+(?:de\s+)?\d{4}"
+_MONTH_FIRST = r"\p{L}{3,}\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}"
+
+
 def parse_date(c: Column | str) -> Column:
     """ISO, day-first numbers, 'day (de) month (de) year' or 'month day, year'; null if there is no such date."""
     c = F.trim(F.col(c) if isinstance(c, str) else c)
-    iso = F.try_to_date(F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1), "yyyy-MM-dd")
-    numbers = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
-    day_first = _ymd(*(F.regexp_extract(c, numbers, i) for i in (3, 2, 1)))
-    words = r"(\d{1,2})[ºª.]?\s+(?:de\s+)?(\p{L}{3,})\.?\s+(?:de\s+)?(\d{4})"
-    worded = _ymd(F.regexp_extract(c, words, 3), month_number(F.regexp_extract(c, words, 2)), F.regexp_extract(c, words, 1))
-    english = r"(\p{L}{3,})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-    month_first = _ymd(F.regexp_extract(c, english, 3), month_number(F.regexp_extract(c, english, 1)), F.regexp_extract(c, english, 2))
-    return F.coalesce(iso, day_first, worded, month_first)
+    iso = F.try_to_date(F.regexp_extract(c, rf"^({_ISO})(?:[T ].*)?$", 1), "yyyy-MM-dd")
+    ways = ((_NUMBERS, 2, 1, 0, False), (_DAY_FIRST, 2, 1, 0, True), (_MONTH_FIRST, 2, 0, 1, True))
+    return F.coalesce(iso, *(_ordered(_parts(F.regexp_extract(c, p, 0)), y, m, d, named) for p, y, m, d, named in ways))
 
 
 def parse_time(c: Column | str) -> Column:
@@ -73,13 +85,15 @@ def dates_compatible(a: Column, b: Column, days: int) -> Column:
 
 def date_candidates(text: Column, first_year: int = 2025, last_year: int = 2030) -> Column:
     """All dates that a page's text has, without repeats, in ISO order."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(r"\d{1,2}[/.]\d{1,2}[/.]\d{4}"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(r"\d{1,2}\s+(?:de\s+)?\p{L}{3,}\s+(?:de\s+)?\d{4}"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(r"\p{L}{3,}\s+\d{1,2},?\s+\d{4}"), F.lit(0)),
+    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    # The parts are a lambda's argument, so they are made once a date.
+    parts = lambda p, y, m, d, named: F.transform(F.transform(every(p), _parts), lambda x: _ordered(x, y, m, d, named))
+    dates = F.concat(
+        F.transform(every(_ISO), lambda x: F.try_to_date(x, "yyyy-MM-dd")),
+        parts(r"\d{1,2}[/.]\d{1,2}[/.]\d{4}", 2, 1, 0, False),
+        parts(r"\d{1,2}\s+(?:de\s+)?\p{L}{3,}\s+(?:de\s+)?\d{4}", 2, 1, 0, True),
+        parts(r"\p{L}{3,}\s+\d{1,2},?\s+\d{4}", 2, 0, 1, True),
     )
-    dates = F.transform(found, parse_date)
     return F.array_sort(F.array_distinct(F.filter(dates, lambda d: d.isNotNull() & F.year(d).between(first_year, last_year))))
 
 

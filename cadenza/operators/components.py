@@ -56,8 +56,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = written(least, "pointers")
         while True:  # follow pointers to their ends
             ahead = least.select(F.col("x").alias("to"), F.col("to").alias("next"))
-            new = written(least.join(ahead, "to", "left").select("x", F.coalesce("next", "to").alias("to")), "pointers")
-            settled = new.exceptAll(least).isEmpty()
+            new = written(least.join(ahead, "to", "left").select("x", F.coalesce("next", "to").alias("to"), F.coalesce(F.col("next") != F.col("to"), F.lit(False)).alias("moved")), "pointers")
+            settled = new.filter("moved").isEmpty()
             forgotten(least)
             least = new
             if settled:

@@ -15,12 +15,12 @@ def latest_status(runs: DataFrame) -> DataFrame:
     runs is (source, t, ok, n). Of runs of the same source and time one counts, failures first.
     """
     runs = first_of(runs, ["source", "t"], F.col("ok"), F.col("n").desc())
-    # One aggregation: a run's failures since the last success are those after it in its source's times.
     good = F.when(F.col("ok"), F.col("t"))
-    failures = F.collect_list(F.when(~F.col("ok"), F.col("t")))  # times alone, of one source's kept runs
-    out = runs.groupBy("source").agg(F.max("t").alias("tested_at"), F.max(good).alias("last_success"), F.max_by("ok", "t").alias("ok"), F.max_by("n", good).alias("last_success_count"), failures.alias("__f"))
-    later = F.filter("__f", lambda t: F.col("last_success").isNull() | (t > F.col("last_success")))
-    return out.withColumn("consecutive_failures", F.size(later).cast("long")).drop("__f")
+    out = runs.groupBy("source").agg(F.max("t").alias("tested_at"), F.max(good).alias("last_success"), F.max_by("ok", "t").alias("ok"), F.max_by("n", good).alias("last_success_count"))
+    # Counted in a second pass, so no source's runs stand in one row.
+    since = runs.select("source", "t", F.col("ok").alias("__ok")).join(out.select("source", "last_success"), "source").filter(~F.col("__ok") & (F.col("last_success").isNull() | (F.col("t") > F.col("last_success"))))
+    failures = since.groupBy("source").agg(F.count(F.lit(1)).alias("consecutive_failures"))
+    return out.join(failures, "source", "left").withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0).cast("long")))
 
 
 def unhealthy(status: DataFrame, rules: Rules = RULES) -> DataFrame:

@@ -122,16 +122,17 @@ def decision(a: dict[str, Column], b: dict[str, Column], sim: Column, rules: Rul
     inside = ~towns_differ & (
         ((sim >= rules.strict_similarity) & near(rules.strict_days))
         | ((sim >= rules.close_similarity) & near(rules.close_days))
-        | (same_day & ((sim >= rules.same_day_similarity) | tokens_contained(F.split(a["key"], " "), F.split(b["key"], " ")) | ((a["key"] != "") & (a["key"] == b["key"]))))
+        | (same_day & ((sim >= rules.same_day_similarity) | tokens_contained(*(x.get("words", F.split(x["key"], " ")) for x in (a, b))) | ((a["key"] != "") & (a["key"] == b["key"]))))
     )
     return F.arrays_overlap(a["links"], b["links"]) | (~disjoint & F.when(a["sub"] != b["sub"], across).otherwise(inside))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, rules: Rules = RULES, similarity=title_similarity, others: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) that the decision confirms; b is looked up in `others` if given."""
-    names = [c for c in rows.columns if c != "ordinal"]
-    left = rows.select(F.col("ordinal").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
-    right = (rows if others is None else others).select(F.col("ordinal").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
+    names = [*(c for c in rows.columns if c != "ordinal"), "words"]
+    left, right = (x.withColumn("words", F.split("key", " ")) for x in (rows, rows if others is None else others))
+    left = left.select(F.col("ordinal").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
+    right = right.select(F.col("ordinal").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
     one = {c: F.col(f"a_{c}") for c in names}
     two = {c: F.col(f"b_{c}") for c in names}
     # No similarity is over what the lengths allow, so pairs that fail at that are not compared letter by letter.
@@ -173,21 +174,51 @@ def united_listings(lists: Column) -> Column:
     return F.transform(heads, lambda h: h.withField("signup_urls", urls(h)))
 
 
-def survivors(events: DataFrame, members: DataFrame) -> DataFrame:
-    """A3, A4: one merged event a cluster; members is (ordinal, cluster).
+def _in_order(rows: DataFrame, column: str, key: Column, order: Column) -> DataFrame:
+    """(cluster, key, first, x): the first of the elements of a list column with the same key, over all rows of a cluster."""
+    every = rows.select("cluster", order.alias("__o"), F.posexplode(column).alias("__i", "x"))
+    return every.withColumn("key", key).filter("key IS NOT NULL").groupBy("cluster", "key").agg(F.min(F.struct("__o", "__i")).alias("first"), F.min_by("x", F.struct("__o", "__i")).alias("x"))
 
-    The fullest record leads, ties to the earliest; what it lacks comes from the others in order.
+
+def _gathered(elements: DataFrame, name: str) -> DataFrame:
+    """(cluster, name): one list a cluster of elements that differ, in order."""
+    return elements.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "x"))), lambda e: e["x"]).alias(name))
+
+
+def _united_by_element(rows: DataFrame, order: Column) -> DataFrame:
+    """(cluster, distances, listings) of clusters of any size: what is the same is put together before anything is gathered."""
+    distances = _in_order(rows, "distances", km_key(F.col("x")), order)
+    heads = _in_order(rows, "listings", F.col("x.name"), order)
+    urls = rows.select("cluster", order.alias("__o"), F.posexplode("listings").alias("__i", "l")).select("cluster", "__o", "__i", F.col("l.name").alias("key"), F.posexplode("l.signup_urls").alias("__j", "url"))
+    urls = urls.filter("key IS NOT NULL").groupBy("cluster", "key", "url").agg(F.min(F.struct("__o", "__i", "__j")).alias("at"))
+    urls = urls.groupBy("cluster", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda e: e["url"]).alias("urls"))
+    none = F.array().cast("array<string>")
+    listings = heads.join(urls, ["cluster", "key"], "left").withColumn("x", F.col("x").withField("signup_urls", F.coalesce("urls", none)))
+    return rows.select("cluster").distinct().join(_gathered(distances, "distances"), "cluster", "left").join(_gathered(listings, "listings"), "cluster", "left")
+
+
+def survivors(events: DataFrame, members: DataFrame, few: int = 1000) -> DataFrame:
+    """A3, A4: one merged event a cluster with `n_members`; members is (ordinal, cluster).
+
+    The fullest record leads, ties to the earliest; what it lacks comes from the others in order. Lists of clusters of up to
+    `few` records are united in a row, those of larger ones element by element.
     """
     rows = events.join(members, "ordinal").withColumn("__score", completeness(events))
     order = F.struct((-F.col("__score")).alias("s"), F.col("ordinal").alias("o"))
     plain = [c for c in events.columns if c not in ("ordinal", "distances", "listings", "is_cancelled")]
     filled = {"image_url", "signup_open", "signup_window"}
     aggs = [F.min_by(c, F.when(F.col(c).isNotNull(), order) if c in filled else order).alias(c) for c in plain]
+    aggs += [F.max(F.coalesce("is_cancelled", F.lit(False))).alias("is_cancelled"), F.min_by("ordinal", order).alias("ordinal"), F.count(F.lit(1)).alias("n_members")]
+    # At most one row in `few` is such a cluster.
+    large = F.broadcast(members.groupBy("cluster").count().filter(F.col("count") > few).select("cluster"))
     lists = F.array_sort(F.collect_list(F.struct(order.alias("o"), "distances", "listings")))
-    merged = rows.groupBy("cluster").agg(*aggs, F.max(F.coalesce("is_cancelled", F.lit(False))).alias("is_cancelled"), lists.alias("__all"), F.min_by("ordinal", order).alias("ordinal"), F.array_sort(F.collect_list("ordinal")).alias("members"))
-    distances = united_distances(F.transform("__all", lambda x: x["distances"]))
-    listings = united_listings(F.transform("__all", lambda x: x["listings"]))
-    return merged.select("cluster", *plain, "is_cancelled", distances.alias("distances"), listings.alias("listings"), "ordinal", "members")
+    small = rows.join(large, "cluster", "left_anti").groupBy("cluster").agg(*aggs, lists.alias("__all"))
+    small = small.withColumns({"distances": united_distances(F.transform("__all", lambda x: x["distances"])), "listings": united_listings(F.transform("__all", lambda x: x["listings"]))})
+    hot = rows.join(large, "cluster")
+    merged = hot.groupBy("cluster").agg(*aggs).join(_united_by_element(hot, order), "cluster")
+    merged = merged.withColumns({c: F.coalesce(c, F.array().cast(events.schema[c].dataType)) for c in ("distances", "listings")})
+    names = ["cluster", *plain, "is_cancelled", "distances", "listings", "ordinal", "n_members"]
+    return small.select(*names).unionByName(merged.select(*names))
 
 
 def merge_round(events: DataFrame, patterns: dict[str, str] | None = None, rules: Rules = RULES) -> DataFrame:

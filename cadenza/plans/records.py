@@ -200,7 +200,7 @@ def merged_survivors(spark: SparkSession, sf: str) -> DataFrame:
     s = resolve.survivors(e.drop("c"), e.select("ordinal", F.col("c").alias("cluster")))
     keys = F.array_sort(F.transform("distances", km_key))
     names = F.array_sort(F.transform("listings", lambda x: F.concat(x["name"], F.lit(":"), F.size(x["signup_urls"]).cast("string"))))
-    return s.select("cluster", "id", "image_url", F.coalesce(F.col("signup_open").cast("string"), F.lit("unknown")).alias("signup_open"), "is_cancelled", F.array_join(keys, ",").alias("kms"), F.array_join(names, ",").alias("sources"), F.size("members").cast("long").alias("n"))
+    return s.select("cluster", "id", "image_url", F.coalesce(F.col("signup_open").cast("string"), F.lit("unknown")).alias("signup_open"), "is_cancelled", F.array_join(keys, ",").alias("kms"), F.array_join(names, ",").alias("sources"), F.col("n_members").alias("n"))
 
 
 def merge_by_links(spark: SparkSession, sf: str) -> DataFrame:

@@ -72,10 +72,18 @@ def write_snapshot(events: DataFrame, path: str) -> None:
     events.sort(F.col("event_date").asc_nulls_last()).write.mode("overwrite").json(path)
 
 
+def write_locations(locations: DataFrame, path: str) -> None:
+    """(country, country_name, code, name) as one JSON object a country, in a folder of its own."""
+    parts = F.array_sort(F.collect_list(F.struct("code", "name"))).alias("subdivisions")  # those of one country
+    rows = locations.groupBy("country").agg(F.min("country_name").alias("country_name"), parts)
+    rows.withColumnRenamed("country_name", "name").write.partitionBy("country").mode("overwrite").json(path)
+
+
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
-    """(country, country_name, code, name) from one JSON object a country, the code being the file's name."""
-    raw = spark.read.schema("name string, subdivisions array<struct<code:string,name:string>>").option("multiLine", True).json(path)
-    country = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json", 1))
+    """(country, country_name, code, name) from one JSON object a country; the code is its folder's or its file's name."""
+    raw = spark.read.schema("name string, subdivisions array<struct<code:string,name:string>>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    file = F.input_file_name()
+    country = F.upper(F.coalesce(F.nullif(F.regexp_extract(file, r"/country=([^/]+)/", 1), F.lit("")), F.regexp_extract(file, r"([^/]+)\.json", 1)))
     return raw.select(country.alias("country"), F.col("name").alias("country_name"), F.explode("subdivisions").alias("s")).select("country", "country_name", "s.code", "s.name")
 
 

@@ -123,3 +123,18 @@ def test_bounds_hold_for_any_titles(spark):
         assert want <= got and len(want) > 400
     got = similar.representatives(df.withColumn("key", F.lit("same")).drop("g"))
     assert got[0].count() == 1 and got[1].count() == len(some) - 1
+
+
+def test_large_clusters_are_united_by_element(spark, events):
+    """The same merged events whether lists are united in a row or element by element."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        names = rng.sample(["a", "b", "c", "d"], rng.randint(0, 3))
+        listings = [(n, f"http://{n}", rng.sample(["u1", "u2", "u3"], rng.randint(0, 3)), "signup") for n in names] + ([(names[0], "http://again", ["u9"], "signup")] if names and i % 5 == 0 else [])
+        rows.append({"id": f"x{i}", "title": f"T {i}", "km": rng.sample([5, 10, 21, 42, "10 mi"], rng.randint(0, 4)), "listings": listings, "image": rng.choice([None, f"i{i}"]), "cancelled": i == 7})
+    e = events(*rows)
+    members = e.select("ordinal", F.when(F.col("ordinal") <= 250, 1).when(F.col("ordinal") <= 300, 2).otherwise(F.col("ordinal")).alias("cluster"))
+    show = lambda few: sorted(str(r.asDict(recursive=True)) for r in resolve.survivors(e, members, few).collect())
+    assert show(10**6) == show(0) == show(100)
+    assert resolve.survivors(e, members, 100).filter("n_members = 250").count() == 1
