@@ -50,7 +50,7 @@ def test_distance_extract(spark):
     want = {}
     for k, size in zip(part.p_partkey, part.p_size, strict=True):
         kept = []
-        for x in (float(size), 10.0, float(size % 7 + 12)):
+        for x in map(snapped, (float(size), 10.0, float(size % 7 + 12))):
             if 3 <= x <= 200 and all(abs(x - y) >= 0.5 for y in kept):
                 kept.append(x)
         want[k] = " ".join(str(x) for x in sorted(kept))
