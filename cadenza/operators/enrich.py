@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.structured import embedded_json
 from cadenza.functions.text import fold, sequence_ratio, title_key, title_tokens
 from cadenza.operators.components import written
-from cadenza.operators.similar import most_alike, similar_titles
+from cadenza.operators.similar import may_be_alike, similar_titles
 
 
 def small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
@@ -111,9 +111,8 @@ def annotate_labels(events: DataFrame, feed: DataFrame, days: int = 2, similar:
     near = near.filter((F.col("k") != "") & (F.col("__n") != ""))
     shared = F.size(F.array_intersect(F.split("k", " "), F.split("__n", " ")))
     in_city = (F.coalesce("__w", F.lit("")) != "") & (F.col("city_key") != "") & F.contains("__n", "city_key") & (shared >= 2)
-    # Each two titles are compared once, and only where their lengths and letters leave it open.
-    lengths = 2 * F.least(F.length("k"), F.length("__n")) >= similar * (F.length("k") + F.length("__n"))
-    titles = near.filter(lengths).select("k", "__n").distinct().filter(most_alike(F.col("k"), F.col("__n")) >= similar)
+    # Each two titles are compared once, and only where lengths and edits leave it open.
+    titles = near.select("k", "__n").distinct().filter(may_be_alike(F.col("k"), F.col("__n"), similar))
     alike = titles.filter(sequence_ratio("k", "__n") >= similar).withColumn("__alike", F.lit(True))
     hit = near.join(alike, ["k", "__n"], "left").filter(F.coalesce("__alike", F.lit(False)) | in_city)
     rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("__t"))

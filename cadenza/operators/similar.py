@@ -2,11 +2,11 @@
 
 A sequence ratio of `least` or more means that all but (1 - least) of both titles' letters stand in one alignment. A
 letter that is missing breaks two letter pairs of a title at most, one that is put in breaks one, so titles of
-length n that pass share all but 4n(1 - least) / (2 - least) of n - 1 letter pairs. Two sets that share so
-many must share one among the first few of each in any common order, so it is enough that titles meet by the
-rarest of their letter pairs. Titles too short to be sure of a common pair meet one another by a mark of their own.
-Different titles of a group are compared once, however many rows have them; what meets is then bounded by lengths and
-by the letters that both have.
+length n that pass lose at most 4n(1 - least) / (2 - least) of their different letter pairs. Of two sets, if all but so
+many of one are in the other, one of the first few of each in any common order is in both, so it is enough that titles
+meet by the rarest of their letter pairs. Titles too short to be sure of a common pair meet one another by a mark of
+their own. Different titles of a group are compared once, however many rows have them; what meets is then bounded by
+lengths and by edits: letters that stand in no alignment are at least as many as edits are needed.
 """
 
 from __future__ import annotations
@@ -24,27 +24,26 @@ SHORT = "*"
 
 
 def letter_pairs(key: Column) -> Column:
-    """Letter pairs of a title key, each told apart by how often it stands before it, the rarest first."""
-    every = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2))))
+    """Different letter pairs of a title key, the rarest first."""
+    every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2))))
     place = lambda c: F.greatest(F.instr(F.lit(RARE_FIRST), c), F.lit(1))
-    first, last = (lambda x: F.substring(x, 1, 1)), (lambda x: F.substring(x, 2, 1))
-    ranked = F.transform(every, lambda x, i: F.struct((F.array_position(every, x).cast("int") - i - 1).alias("again"), (place(first(x)) * place(last(x))).alias("weight"), x.alias("pair")))
-    return F.transform(F.array_sort(ranked), lambda x: F.concat(x["pair"], (-x["again"]).cast("string")))
+    ranked = F.transform(every, lambda x: F.struct((place(F.substring(x, 1, 1)) * place(F.substring(x, 2, 1))).alias("weight"), x.alias("pair")))
+    return F.array_sort(ranked)["pair"]
 
 
 def meeting_points(key: Column, least: float) -> Column:
     """What a title meets others by that may be `least` alike."""
     broken = F.floor(F.length(key) * (4 * (1 - least) / (2 - least)) + 1e-6).cast("int")
-    own = F.slice(letter_pairs(key), F.lit(1), broken + 1)
-    return F.when(broken >= F.length(key) - 1, F.concat(own, F.array(F.lit(SHORT)))).otherwise(own)
+    # The pairs are a lambda's argument, so they are made once a title.
+    points = F.transform(F.array(letter_pairs(key)), lambda x: F.when(broken >= F.size(x), F.concat(x, F.array(F.lit(SHORT)))).otherwise(F.slice(x, F.lit(1), broken + 1)))
+    return F.get(points, 0)
 
 
-def most_alike(a: Column, b: Column) -> Column:
-    """An upper bound of the sequence ratio: letters that both have, in any order."""
-    times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-    shared = F.aggregate(F.array(*map(F.lit, RARE_FIRST)), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
-    other = lambda s: F.length(F.regexp_replace(s, "[a-z0-9 ]", ""))
-    return 2.0 * (shared + F.least(other(a), other(b))) / (F.length(a) + F.length(b))
+def may_be_alike(a: Column, b: Column, least: float) -> Column:
+    """Whether lengths and edits leave it open that two texts have a sequence ratio of `least` or more."""
+    both = F.length(a) + F.length(b)
+    edits = F.call_function("levenshtein", a, b, F.floor(both * (1 - least) + 1e-6).cast("int"))
+    return (2 * F.least(F.length(a), F.length(b)) >= least * both - 1e-6) & (edits >= 0)
 
 
 def _titles(rows: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -59,7 +58,7 @@ def similar_titles(left: DataFrame, right: DataFrame, on: list[str], least: floa
     met = a.select(*on, "key_a", point("key_a")).join(b.select(*on, "key_b", point("key_b")), [*on, "point"])
     la, lb = F.length("key_a"), F.length("key_b")
     met = met.filter(2 * F.least(la, lb) >= least * (la + lb) - 1e-6).select(*on, "key_a", "key_b").distinct()
-    return met.filter(most_alike(F.col("key_a"), F.col("key_b")) >= least - 1e-9)
+    return met.filter(may_be_alike(F.col("key_a"), F.col("key_b"), least))
 
 
 def contained_titles(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
