@@ -15,10 +15,10 @@ a vocabulary without all single bytes, is an error.
 from __future__ import annotations
 
 import base64
-import heapq
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import ByteHashes, bounded_batches, joined, mix64, slices, texts_of
 
 #: Bytes of text, and number of ids, that are worked on at once.
-TEXT_BYTES, IDS = 1 << 21, 1 << 20
+TEXT_BYTES, IDS = 1 << 22, 1 << 20
 
 #: Keys of a bucket on the average, and displacements that are tried at once.
 BUCKET, TRIES = 4, 64
@@ -107,24 +107,24 @@ def merged(piece: bytes, rank: Callable[[bytes], int | None], single: list[int],
     bits = n.bit_length()
     low = (1 << bits) - 1
     ids = [single[b] for b in piece]  # of the part that starts here
-    end = list(range(1, n + 2))  # where that part ends; 0 where none starts
+    end = list(range(1, n + 2))  # where that part ends; -1 where none starts, and nothing ends where the last entry says
     before = list(range(-1, n))  # where the part that ends here starts
     heap = [((r << bits | i) << bits) | i + 2 for i, (x, y) in enumerate(pairwise(piece)) if (r := pairs[x << 8 | y]) >= 0]
-    heapq.heapify(heap)
+    heapify(heap)
     while heap:
-        code = heapq.heappop(heap)
+        code = heappop(heap)
         e = code & low
         code >>= bits
         i = code & low
         m = end[i]
-        if not m or m >= n or end[m] != e:
+        if end[m] != e:
             continue
-        ids[i], end[i], end[m], before[e] = code >> bits, e, 0, i
+        ids[i], end[i], end[m], before[e] = code >> bits, e, -1, i
         if i and (r := rank(piece[(p := before[i]) : e])) is not None:
-            heapq.heappush(heap, ((r << bits | p) << bits) | e)
+            heappush(heap, ((r << bits | p) << bits) | e)
         if e < n and (r := rank(piece[i : (f := end[e])])) is not None:
-            heapq.heappush(heap, ((r << bits | i) << bits) | f)
-    return [x for x, e in zip(ids, end, strict=False) if e]
+            heappush(heap, ((r << bits | i) << bits) | f)
+    return [x for x, e in zip(ids, end, strict=False) if e > 0]
 
 
 class Vocabulary:
@@ -195,7 +195,7 @@ def read_vocabulary(path: str | None = None, pattern: str | None = None) -> Voca
 class Encoder:
     """Encodes texts in batches; up to `keep` merged pre-tokens (the last batch's aside) stay known between them, those of late longest."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000):
         import regex
 
         self.vocabulary, self.keep = vocabulary, keep
