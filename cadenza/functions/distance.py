@@ -90,10 +90,6 @@ def km_key(d: Column) -> Column:
     return F.coalesce(F.bround(d["km"]).cast("long").cast("string"), d["label"])
 
 
-def snap(km: Column, full: tuple[float, float] = (41.5, 43.0), half: tuple[float, float] = (20.5, 21.5)) -> Column:
-    return F.when(km.between(*full), FULL).when(km.between(*half), HALF).otherwise(km)
-
-
 def thin(values: Column, apart: float = 0.5) -> Column:
     """Ordered fold: a value nearer than `apart` to one already kept is left out."""
     start = F.array().cast("array<double>")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -29,8 +28,3 @@ def reconcile_stream(batches: DataFrame, snapshot_dir: str, step: Callable[[Data
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_counts(events: DataFrame, time: str, late: str, width: str, *keys: str) -> DataFrame:
-    """Counts by window and keys; rows later than `late` are left out, so state stays bounded."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
