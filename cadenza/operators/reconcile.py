@@ -70,9 +70,9 @@ def matches(new: DataFrame, stored: DataFrame, generic: DataFrame | None = None,
     """
     by_id = new.select("id", F.col("ordinal").alias("n")).join(stored.select("id", F.col("ordinal").alias("s")), "id").groupBy("n").agg(F.min("s").alias("s"))
     rest = new.join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti")
-    # Each side is read by every way of finding pairs, so it is written once, rows that are alike in all that is compared as one.
+    # Each side is read by every way of finding pairs: it is written, rows that are alike in all that is compared as one.
     sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (rest, stored)]
-    a, b = (written(reps, "compared") for reps, _ in sides)
+    a, b = (reps for reps, _ in sides)
     pairs = reduce(DataFrame.union, (way(a, b, rules) for way in (with_a_link, near_days, same_day_apart, undated))).distinct()
     found = written(confirmed(pairs, a, rules, others=b).groupBy("a").agg(F.min("b").alias("s")), "found")
     copies = sides[0][1].join(found, F.col("rep") == F.col("a")).select(F.col("ordinal").alias("n"), "s")
@@ -151,7 +151,7 @@ def absorbed(stored: DataFrame, kept: DataFrame, generic: DataFrame | None, rule
     """(twin, into): ordinals of stored rows that are a twin, same day and subdivision, of a row that stays, the first such row."""
     none = F.lit("0001-01-01").cast("date")
     sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (stored, kept)]
-    a, b = (written(reps.withColumn("on_day", F.coalesce("day", none)), "compared") for reps, _ in sides)
+    a, b = (reps.withColumn("on_day", F.coalesce("day", none)) for reps, _ in sides)
     on = ["sub", "on_day"]
     pairs = same_day_rows(a, b, on, min(rules.same_day_similarity, rules.close_similarity, rules.strict_similarity))
     links = a.select(*on, F.explode("links").alias("link"), F.col("ordinal").alias("a")).join(b.select(*on, F.explode("links").alias("link"), F.col("ordinal").alias("b")), [*on, "link"]).select("a", "b")

@@ -5,16 +5,23 @@ letter that is missing breaks two letter pairs of a title at most, one that is p
 length n that pass lose at most 4n(1 - least) / (2 - least) of their different letter pairs. Of two sets, if all but so
 many of one are in the other, one of the first few of each in any common order is in both, so it is enough that titles
 meet by the rarest of their letter pairs. Titles too short to be sure of a common pair meet one another by a mark of
-their own. Different titles of a group are compared once, however many rows have them; what meets is then bounded by
-lengths and by edits: letters that stand in no alignment are at least as many as edits are needed.
+their own. Where titles must be nearly equal (SURE_PIECES), pairs of letters would let most titles of a large group meet, so
+there a title is cut into one piece more than letters may be left out or put in: one piece at least is untouched, and
+the i-th has exactly i such letters before it if it is the first that can be, which leaves few places for it.
+Different titles of a group are compared once, however many rows have them; what meets is then bounded by
+lengths and by edits: letters that stand in no alignment are at least as many as edits are needed. Groups with few rows
+on the right need none of this: all their rows meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import tokens_contained
+from cadenza.operators.components import forgotten, written
 
 #: Letters of a title key from the rare to the frequent; any order gives the same result.
 RARE_FIRST = "qxkzwyjhfbvgpumcdltnrsioea9876543210 "
@@ -22,6 +29,12 @@ RARE_FIRST = "qxkzwyjhfbvgpumcdltnrsioea9876543210 "
 #: What titles without a sure letter pair meet by.
 SHORT = "*"
 
+#: Ratio from which on titles meet by pieces; below, pieces are as short as letter pairs.
+SURE_PIECES = 0.9
+
+#: Rows of a group on the right up to which all rows of the group meet; a title has about as many meeting points.
+FEW = 50
+
 
 def letter_pairs(key: Column) -> Column:
     """Different letter pairs of a title key, the rarest first."""
@@ -39,6 +52,42 @@ def meeting_points(key: Column, least: float) -> Column:
     return F.get(points, 0)
 
 
+def _left_out(n: Column, other: Column, least: float) -> Column:
+    """Letters that two titles of these lengths may have outside an alignment."""
+    return F.floor((n + other) * (1 - least) + 1e-6).cast("int")
+
+
+def _longest(n: Column, least: float) -> Column:
+    return F.floor(n * ((2 - least) / least) + 1e-6).cast("int")
+
+
+def _piece(key: Column, n: Column, i: Column, pieces: Column, shift: Column) -> Column:
+    """A mark of length, number and letters of the i-th of the pieces of a title of n letters, looked up `shift` letters later in `key`; null where there are none."""
+    start, end = (F.floor(x * n / pieces).cast("int") for x in (i, i + 1))
+    return F.when((start + shift >= 0) & (end + shift <= F.length(key)), F.xxhash64(n, i, F.substring(key, start + shift + 1, end - start)))
+
+
+def piece_marks(key: Column, least: float) -> Column:
+    """Marks of the pieces of a title."""
+    n = F.length(key)
+    most = _left_out(n, _longest(n, least), least)
+    return F.transform(F.sequence(F.lit(0), most), lambda i: _piece(key, n, i, most + 1, F.lit(0)))
+
+
+def marks_looked_up(key: Column, least: float, lengths: list[int]) -> Column:
+    """Marks of pieces that a title at least `least` alike, of one of the lengths, may have in common with this one."""
+    own = F.length(key)
+
+    def of(n: Column) -> Column:
+        pieces = _left_out(n, _longest(n, least), least) + 1
+        most = _left_out(own, n, least)
+        places = lambda i: F.transform(F.sequence(-i, i, F.lit(2)), lambda by: F.when(F.abs(own - n - by) <= most - i, _piece(key, n, i, pieces, by)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.least(pieces - 1, most)), places))
+
+    some = F.filter(F.array(*map(F.lit, lengths)), lambda n: (_longest(n, least) >= own) & (_longest(own, least) >= n))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(some, of))))
+
+
 def may_be_alike(a: Column, b: Column, least: float) -> Column:
     """Whether lengths and edits leave it open that two texts have a sequence ratio of `least` or more."""
     both = F.length(a) + F.length(b)
@@ -54,11 +103,16 @@ def similar_titles(left: DataFrame, right: DataFrame, on: list[str], least: floa
     """(on, key_a, key_b): different titles of `words` words or more, a of the left and b of the right rows of a group, that may be `least` alike."""
     several = lambda rows: rows.filter(F.size(F.split("key", " ")) >= words)
     a, b = _titles(several(left), on, "key_a"), _titles(several(right), on, "key_b")
-    point = lambda c: F.explode(meeting_points(F.col(c), least)).alias("point")
-    met = a.select(*on, "key_a", point("key_a")).join(b.select(*on, "key_b", point("key_b")), [*on, "point"])
-    la, lb = F.length("key_a"), F.length("key_b")
-    met = met.filter(2 * F.least(la, lb) >= least * (la + lb) - 1e-6).select(*on, "key_a", "key_b").distinct()
-    return met.filter(may_be_alike(F.col("key_a"), F.col("key_b"), least))
+    if least >= SURE_PIECES:
+        # At most as many numbers as the longest title has letters.
+        lengths = sorted(n for (n,) in b.select(F.length("key_b")).distinct().collect())
+        points = [marks_looked_up(F.col("key_a"), least, lengths) if lengths else F.array().cast("array<long>"), piece_marks(F.col("key_b"), least)]
+    else:
+        points = [meeting_points(F.col(c), least) for c in ("key_a", "key_b")]
+    one, two = (x.select("*", F.explode(p).alias("point")) for x, p in zip((a, b), points, strict=True))
+    met = one.join(two, [*on, "point"])
+    # Compared before equal pairs are put together: most fail, and those are not shuffled.
+    return met.filter(may_be_alike(F.col("key_a"), F.col("key_b"), least)).select(*on, "key_a", "key_b").distinct()
 
 
 def contained_titles(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -73,6 +127,33 @@ def contained_titles(left: DataFrame, right: DataFrame, on: list[str]) -> DataFr
     return both.filter((F.col("key_a") == F.col("key_b")) | tokens_contained(F.split("key_a", " "), F.split("key_b", " "))).distinct()
 
 
+def by_size(left: DataFrame, right: DataFrame, on: list[str], few: int = FEW) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Both sides of the groups of at most `few` rows on the right, and of the larger ones; none if there are none."""
+    large = written(right.groupBy(*on).count().filter(F.col("count") > few).select(*on), "large")
+    if large.isEmpty():
+        forgotten(large)
+        return (left, right), None
+    return tuple(tuple(x.join(large, on, how) for x in (left, right)) for how in ("left_anti", "left_semi"))
+
+
+def met_rows(left: DataFrame, right: DataFrame, on: list[str], *more: str) -> DataFrame:
+    """All rows of a group with one another: (a, b, key_a, key_b), further columns as a_... and b_...."""
+    one, two = (
+        x.filter(F.col("key") != "").select(*on, F.col("key").alias(f"key_{s}"), F.col("ordinal").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in more))
+        for x, s in ((left, "a"), (right, "b"))
+    )
+    return one.join(two, on)
+
+
+def _similar(least: float, words: int = 2) -> Column:
+    several = [F.size(F.split(c, " ")) >= words for c in ("key_a", "key_b")]
+    return reduce(Column.__and__, several) & may_be_alike(F.col("key_a"), F.col("key_b"), least)
+
+
+def _contained() -> Column:
+    return (F.col("key_a") == F.col("key_b")) | tokens_contained(F.split("key_a", " "), F.split("key_b", " "))
+
+
 def rows_of(titles: DataFrame, left: DataFrame, right: DataFrame, on: list[str], *more: str) -> DataFrame:
     """(a, b): ordinals of the rows that have these titles; further columns as a_... and b_...."""
     one = left.select(*on, F.col("key").alias("key_a"), F.col("ordinal").alias("a"), *(F.col(c).alias(f"a_{c}") for c in more))
@@ -80,22 +161,30 @@ def rows_of(titles: DataFrame, left: DataFrame, right: DataFrame, on: list[str],
     return titles.join(one, [*on, "key_a"]).join(two, [*on, "key_b"]).select("a", "b", *(f"{s}_{c}" for c in more for s in "ab"))
 
 
-def similar_rows(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str) -> DataFrame:
+def similar_rows(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str, words: int = 2) -> DataFrame:
     """(a, b): rows of one group whose titles may be `least` alike."""
-    return rows_of(similar_titles(left, right, on, least), left, right, on, *more)
+    small, large = by_size(left, right, on)
+    out = met_rows(*small, on, *more).filter(_similar(least, words)).select("a", "b", *(f"{s}_{c}" for c in more for s in "ab"))
+    return out.union(rows_of(similar_titles(*large, on, least, words), *large, on, *more)) if large else out
 
 
-def same_day_rows(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
+def same_day_rows(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str, words: int = 2) -> DataFrame:
     """(a, b): rows of one group whose titles may be `least` alike, or are contained in one another, or equal."""
-    titles = similar_titles(left, right, on, least).unionByName(contained_titles(left, right, on)).distinct()
-    return rows_of(titles, left, right, on)
+    small, large = by_size(left, right, on)
+    out = met_rows(*small, on, *more).filter(_similar(least, words) | _contained()).select("a", "b", *(f"{s}_{c}" for c in more for s in "ab"))
+    if not large:
+        return out
+    titles = similar_titles(*large, on, least, words).unionByName(contained_titles(*large, on)).distinct()
+    return out.union(rows_of(titles, *large, on, *more))
 
 
 def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that differ in what is compared, the first of each kind; and (rep, ordinal) of the others, their copies."""
+    """Rows that differ in what is compared, the first of each kind, written; and (rep, ordinal) of the others, their copies."""
     names = [c for c in rows.columns if c != "ordinal"]
     sorted_lists = {c: F.array_sort(c) for c, kind in rows.dtypes if kind.startswith("array")}
     kinds = rows.withColumns(sorted_lists).select("ordinal", F.struct(*names).alias("kind"))
-    first = kinds.groupBy("kind").agg(F.min("ordinal").alias("rep"))
-    copies = kinds.join(first, "kind").filter("ordinal <> rep").select("rep", "ordinal")
+    first = written(kinds.groupBy("kind").agg(F.min("ordinal").alias("rep"), F.count(F.lit(1)).alias("n")), "kinds")
+    several = first.filter("n > 1").select("kind", "rep")
+    # Where all rows differ, nothing is shuffled to find copies.
+    copies = rows.select(F.col("ordinal").alias("rep"), "ordinal").limit(0) if several.isEmpty() else kinds.join(several, "kind").filter("ordinal <> rep").select("rep", "ordinal")
     return first.select(F.col("rep").alias("ordinal"), "kind.*"), copies

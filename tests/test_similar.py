@@ -138,3 +138,34 @@ def test_large_clusters_are_united_by_element(spark, events):
     show = lambda few: sorted(str(r.asDict(recursive=True)) for r in resolve.survivors(e, members, few).collect())
     assert show(10**6) == show(0) == show(100)
     assert resolve.survivors(e, members, 100).filter("n_members = 250").count() == 1
+
+
+def test_pieces_of_unlike_titles_do_not_meet(spark):
+    """In a large group of titles with the same letters, nearly equal ones meet, and few others: candidates grow with the titles, not with their pairs."""
+    import difflib
+    import hashlib
+
+    rng = random.Random(11)
+    some = [f"{h[:12]} {h[12:24]}" for h in (hashlib.md5(str(i).encode()).hexdigest() for i in range(600))]
+    near = [t[:k] + rng.choice(["", "z", t[k]]) + t[k + 1 :] for t in some[:150] for k in [rng.choice([*range(12), *range(13, 25)])]]  # two words stay
+    a, b = (spark.createDataFrame([(i, "g", t) for i, t in enumerate(x)], "ordinal long, g string, key string") for x in (some, near))
+    lengths = sorted({len(t) for t in near})
+    one = a.select("ordinal", F.explode(similar.marks_looked_up(F.col("key"), 0.95, lengths)).alias("point"))
+    two = b.select("ordinal", F.explode(similar.piece_marks(F.col("key"), 0.95)).alias("point"))
+    assert one.join(two, "point").count() < 1500
+    got = {tuple(r) for r in similar.similar_rows(a, b, ["g"], 0.95).collect()}
+    assert {(i, j) for i, s in enumerate(some) for j, t in enumerate(near) if difflib.SequenceMatcher(None, s, t).ratio() >= 0.95} <= got and len(got) < 1.2 * len(near)
+
+
+def test_small_and_large_groups_give_the_same(spark, monkeypatch):
+    """Whether all rows of a group meet or titles meet by what they have in common, no pair that is alike enough is lost."""
+    import difflib
+
+    rng = random.Random(4)
+    rows = [(i, f"g{rng.randrange(6)}", t.strip()) for i, t in enumerate(titles(rng, 300, roots=15))]
+    df = spark.createDataFrame(rows, "ordinal long, g string, key string")
+    for least in (0.95, 0.85):
+        alike = {(i, j) for i, g, s in rows for j, h, t in rows if g == h and " " in s and " " in t and difflib.SequenceMatcher(None, s, t).ratio() >= least}
+        for few in (0, 10**6):
+            monkeypatch.setattr(similar.by_size, "__defaults__", (few,))
+            assert alike <= {tuple(r) for r in similar.similar_rows(df, df, ["g"], least).collect()} and len(alike) > 200
