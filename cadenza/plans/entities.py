@@ -72,7 +72,7 @@ def dup_decision(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("ordinal"), F.date_add(day("2024-01-01"), (F.col("p_size") % 40).cast("int")).alias("day"), F.substring("p_brand", -2, 2).alias("sub"), F.lit("BR").alias("country"),
         F.lower(F.element_at(F.split("p_type", " "), 1)).alias("town"), F.lower("p_name").alias("key"), F.array((F.col("p_size") % 5).cast("string")).alias("kms"), F.array().cast("array<string>").alias("links"),
     )
-    return resolve.confirmed(resolve.within_days(rows, 31, "sub"), rows, similarity=_edit_ratio)
+    return resolve.all_within_days(rows, 31, similarity=_edit_ratio)
 
 
 def semi_valid_location(spark: SparkSession, sf: str) -> DataFrame:

@@ -169,3 +169,18 @@ def test_small_and_large_groups_give_the_same(spark, monkeypatch):
         for few in (0, 10**6):
             monkeypatch.setattr(similar.by_size, "__defaults__", (few,))
             assert alike <= {tuple(r) for r in similar.similar_rows(df, df, ["g"], least).collect()} and len(alike) > 200
+
+
+@pytest.mark.parametrize("edits", [True, False])
+def test_all_within_days_equals_the_decision_on_all_pairs(spark, edits):
+    """Kinds with copies, titles of one word and of none, links, unknown days: the pairs that the decision confirms one by one."""
+    rng = random.Random(13)
+    words = ["large ring", "large rings", "hot bolt", "hot bolts", "ring", "rings", "", None, "old cold plate", "cold plate"]
+    rows = [
+        (i, rng.choice([None, *(dt.date(2024, 1, 1) + dt.timedelta(d) for d in (0, 0, 1, 9, 20, 31, 32, 60))]), rng.choice(["a", "b", None]), "BR", rng.choice(["", "x", "x"]), rng.choice(words), rng.choice([["10"], ["5"], [], None, ["5", "10"]]), rng.choice([[], [], [], ["l1"], ["l2", "l1"]]))
+        for i in rng.sample(range(5000), 600)
+    ]
+    df = spark.createDataFrame(rows, "ordinal long, day date, sub string, country string, town string, key string, kms array<string>, links array<string>")
+    ratio = {"similarity": lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))} if edits else {}
+    want = sorted(map(tuple, resolve.confirmed(resolve.within_days(df, 31, "sub"), df, **ratio).collect()))
+    assert sorted(map(tuple, resolve.all_within_days(df, 31, **ratio).collect())) == want and len(want) > 2000
