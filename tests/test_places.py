@@ -77,3 +77,17 @@ def test_ranges_without_a_single_task(spark):
     got = {x.v: x.label for x in enrich.lookup_range(values, F.col("v"), r).collect()}
     assert got == {v: next((label for a, b, label in ranges if a <= v <= b), None) for v in range(5600)}
     assert enrich.lookup_range(values, F.col("v"), r.limit(0)).filter("label IS NULL").count() == 5600
+
+
+def test_keywords_of_any_number(spark):
+    """More keywords than the automaton takes are joined with the texts' parts, to the same values; so are rows with the same text or id."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(rng.randint(1, n)))
+    words = spark.createDataFrame([(word(6), f"v{i}", rng.randrange(40)) for i in range(120)] + [("é", "none", 1), ("x", None, 0), ("", "no", -1)], "word string, value string, rank int").dropDuplicates(["word", "rank"])
+    words = words.localCheckpoint()
+    texts = spark.createDataFrame([(i % 250, t) for i, t in enumerate([*(word(14) for _ in range(300)), "xx", "É", "a", "", None, "ddd"] * 2)], "id int, t string")
+    one, two = (sorted(map(str, gazetteer.first_keywords(texts, F.col("t"), words, most).collect())) for most in (10**6, 3))
+    assert one == two and len(one) == 612
+    names = spark.createDataFrame([("a b", "AB", "city"), ("ab", "X", "state")], "name string, code string, kind string")
+    codes = gazetteer.named_places(texts, "id", F.col("t"), F.lit(None).cast("string"), names)
+    assert codes.count() == codes.select("id").distinct().count() > 5
