@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.distance import km_key
+from cadenza.functions.text import bounded_batches
 from cadenza.operators import health, publish, quality, reconcile, search
 
 AS_OF = "2024-01-15"
 ORDERS_AS_OF = "1997-06-01"
 
 
+#: Tables whose rows are whole texts or pages.
+LONG_ROWS = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if name in LONG_ROWS:
+        bounded_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

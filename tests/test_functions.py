@@ -85,3 +85,22 @@ def test_json_ld(spark):
     frame = spark.createDataFrame([(page,), (None,)], "html string").select(structured.json_ld_events(structured.json_ld_blocks(F.col("html"))).alias("e"))
     first = frame.collect()[0].e
     assert [(e.name, e.start, e.region) for e in first] == [("N", "2026-05-01", "GO")]
+
+
+def test_pages_go_to_python_in_small_batches(spark, tmp_path):
+    """A batch holds few long pages, however many rows a partition has."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from cadenza.functions import text
+    from cadenza.plans.events import table
+
+    spark.range(300).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>some text</p>"), 6000).alias("html")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.unset(text.BATCH_BYTES)
+
+    @F.pandas_udf("long")
+    def held(pages: pd.Series) -> pd.Series:
+        return pd.Series([int(pages.str.len().sum())] * len(pages))
+
+    p = table(spark, str(tmp_path), "pages")
+    assert p.select(held("html").alias("n")).agg(F.max("n")).first()[0] < 10 << 20
