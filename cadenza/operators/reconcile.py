@@ -69,7 +69,8 @@ def matches(new: DataFrame, stored: DataFrame, generic: DataFrame | None = None,
     By id first; else the first stored row in order that is a duplicate, whether or not another incoming row has its id.
     """
     by_id = new.select("id", F.col("ordinal").alias("n")).join(stored.select("id", F.col("ordinal").alias("s")), "id").groupBy("n").agg(F.min("s").alias("s"))
-    rest = new.join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti")
+    by_id = written(by_id, "by_id")
+    rest = written(new.join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti"), "rest")
     # Each side is read by every way of finding pairs: it is written, rows that are alike in all that is compared as one.
     sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (rest, stored)]
     a, b = (reps for reps, _ in sides)
@@ -77,7 +78,7 @@ def matches(new: DataFrame, stored: DataFrame, generic: DataFrame | None = None,
     found = written(confirmed(pairs, a, rules, others=b).groupBy("a").agg(F.min("b").alias("s")), "found")
     copies = sides[0][1].join(found, F.col("rep") == F.col("a")).select(F.col("ordinal").alias("n"), "s")
     out = written(by_id.union(found.select(F.col("a").alias("n"), "s")).union(copies), "matches")
-    for table in (a, b, found):
+    for table in (a, b, found, by_id, rest):
         forgotten(table)
     return out
 
@@ -121,6 +122,8 @@ def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of:
     it alone.
     """
     columns = [c for c in stored.columns if c != "ordinal"]
+    # Both sides are read by many jobs; how they are made is planned and done in one each, and no later plan holds it.
+    stored, new = written(stored, "stored"), written(new, "new")
     every = matches(new, stored, generic, rules)
     # Of several incoming rows with one stored row the last counts.
     found = every.groupBy("s").agg(F.max("n").alias("n"))

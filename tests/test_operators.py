@@ -115,6 +115,15 @@ def test_reconcile(spark, events):
     assert got == {"n1": ("updated", 0), "n2": ("inserted", 0), "e3": ("past", 0), "e4": ("alive", 0), "e5": ("deferred", 2)}
 
 
+def test_reconcile_makes_each_side_once(spark, events):
+    stored, looked = counted(spark, events({"title": "Prova Alfa Norte", "day": "2026-05-01"}, {"title": "Prova Beta Sul", "day": "2026-05-02"}, {"title": "Prova Gama Leste"}))
+    new, came = counted(spark, events({"id": "e1", "title": "Prova Alfa Norte", "day": "2026-05-01"}, {"id": "n2", "title": "Prova Betta Sul", "day": "2026-05-03", "link": "http://other"}))
+    status = spark.createDataFrame([], "url string, status int")
+    out = reconcile.reconcile(stored, new, status, F.lit("2026-01-01").cast("date"))
+    assert {r.id: r.outcome for r in out.collect()} == {"e1": "kept", "n2": "updated"}
+    assert (looked.value, came.value) == (3, 2)
+
+
 def test_quality_gates(events):
     shared = ("cal", "http://c", [], "calendar")
     e = events(*({"listings": [shared, (f"own{i}", "http://o", [], "signup")]} for i in range(3)), {"listings": [shared]})
