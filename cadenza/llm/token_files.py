@@ -29,6 +29,9 @@ from cadenza.llm.tokens import encoder
 MANIFEST = "shard int, path string, n_ids long, n_docs long, n_sequences long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+#: Pieces of texts whose ids a worker keeps; each takes about 200 bytes.
+KEEP = 800_000
+
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The Arrow file system of a URI or plain path, and the path in it."""
@@ -127,7 +130,7 @@ def write_token_files(
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for a in range(0, len(ids), 256):
-                for doc_id, blob in zip(ids[a : a + 256], encoder(tokenizer_path).encode(texts.slice(a, 256).to_pylist()), strict=True):
+                for doc_id, blob in zip(ids[a : a + 256], encoder(tokenizer_path, KEEP).encode(texts.slice(a, 256).to_pylist()), strict=True):
                     if writer is None:
                         fs.create_dir(top, recursive=True)
                         sink = fs.open_output_stream(own)

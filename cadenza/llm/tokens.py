@@ -15,6 +15,26 @@ _LOOSE_STOP = re.compile(r"(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff
 _NEXT_TO_SPACE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", " \x0b", "\x0b ", " \x0c", "\x0c ")
 
 
+def _kinds() -> bytes:
+    """What the checks of a text tell apart in Latin-1: letters and digits, stops, spaces, line ends and the like, rare white space, others."""
+    out = bytearray(b"-" * 256)
+    for c in map(chr, range(256)):
+        if c in " .,":
+            out[ord(c)] = ord(" " if c == " " else ".")
+        elif c in "\n\t\r\x0b\x0c":
+            out[ord(c)] = ord("n")
+        elif _RARE_SPACE.match(c):
+            out[ord(c)] = ord("?")
+        elif not _LOOSE_STOP.search(c + "."):
+            out[ord(c)] = ord("a")
+    return bytes(out)
+
+
+_KINDS = _kinds()
+_NOT_PLAIN = (b"  ", b" n", b"n ", b"?")
+_LOOSE = (b" .", b"-.", b"..", b"n.")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -45,38 +65,53 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, None if it is to be encoded whole."""
+        if "\x00" in text or any(x in text for x in self.special):
+            return None
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+        except UnicodeEncodeError:
+            plain, loose = self._plain(text), None
+        else:
+            plain = kinds[:1] != b" " != kinds[-1:] and not any(x in kinds for x in _NOT_PLAIN)
+            loose = kinds[:1] == b"." or any(x in kinds for x in _LOOSE)
+        if not plain:
+            return None
+        t = text.replace(" ", "\x00 ")
+        if "\n\n" not in text and not (_LOOSE_STOP.search(t) if loose is None else loose):
+            t = t.replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00")
+        return t.split("\x00")
+
     def _plain(self, text: str) -> bool:
         return (
             not any(x in text for x in _NEXT_TO_SPACE)
-            and not any(x in text for x in self.special)
             and not (text[:1] == " " or text[-1:] == " ")
             and (text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not _RARE_SPACE.search(text))
         )
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         tokenize = self.tokenizer.model.tokenize
-        out = []
-        for w in words:
-            if w.isascii():
-                w = BYTE_NAMES[32] + w[1:] if w[0] == " " else w
-            else:
-                w = w.encode().decode("latin-1").translate(BYTE_NAMES)
-            out.append(array("I", [t.id for t in tokenize(w)]).tobytes())
-        return out
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in _spelled(words)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not known, from the older ones or the tokenizer."""
-        older = self.older
-        out = {x: older[x] for x in new if x in older}
-        if out:
-            new = [x for x in new if x not in out]
+        out: dict[str, bytes] = {}
+        if self.older:
+            before = list(map(self.older.get, new))
+            out = {x: ids for x, ids in zip(new, before, strict=True) if ids is not None}
+            new = [x for x, ids in zip(new, before, strict=True) if ids is None]
         if self.by_word:
-            words = [x for x in new if x.removeprefix(" ").isalpha()]
-            out.update(zip(words, self._word_ids(words), strict=True))
-            new = [x for x in new if x not in out]
+            words: list[str] = []
+            rest: list[str] = []
+            for x in new:
+                (words if x.removeprefix(" ").isalpha() else rest).append(x)
+            if words:
+                out.update(zip(words, self._word_ids(words), strict=True))
+            new = rest
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             out.update(zip(part, self._ids(part), strict=True))
@@ -86,12 +121,9 @@ class Encoder:
         pieces: list[str] = []
         bounds: list[tuple[int, int, int]] = []
         for i, t in enumerate(texts):
-            if t and "\x00" not in t and self._plain(t):
-                t = t.replace(" ", "\x00 ")
-                if "\n\n" not in t and not _LOOSE_STOP.search(t):
-                    t = t.replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00")
+            if t and (cut := self._cut(t)) is not None:
                 start = len(pieces)
-                pieces += t.split("\x00")
+                pieces += cut
                 bounds.append((i, start, len(pieces)))
         known = self.known
         ids = list(map(known.get, pieces))
@@ -122,12 +154,22 @@ def _byte_names() -> dict[int, str]:
 
 BYTE_NAMES = _byte_names()
 
-_ENCODERS: dict[str | None, Encoder] = {}
+
+def _spelled(words: list[str]) -> list[str]:
+    """Words without line ends as a byte-level vocabulary writes their bytes: a name at a time through all of them, as most do not occur."""
+    text = "\n".join(words).encode().decode("latin-1")
+    for b, name in BYTE_NAMES.items():
+        if b != 10 and chr(b) in text:
+            text = text.replace(chr(b), name)
+    return text.split("\n")
+
+
+_ENCODERS: dict[tuple[str | None, int], Encoder] = {}
 WORKER_CACHES.append(_ENCODERS.clear)
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, keep: int = 400_000) -> Encoder:
+    """One encoder for each Python worker, vocabulary and number of pieces kept."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = Encoder(path, keep)
+    return _ENCODERS[path, keep]

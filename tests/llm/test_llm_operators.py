@@ -657,6 +657,34 @@ def test_encoder_is_exact(docs):
     assert got == want
 
 
+def test_encoder_cuts_latin(docs):
+    """Latin-1 texts are judged by kinds of bytes and words are spelled together: same ids for every pair of such characters between words."""
+    from cadenza.llm.tokens import _KINDS, BYTE_NAMES, Encoder, _spelled
+
+    texts = [f"aé{chr(a)}{chr(b)}b c" for a in range(256) for b in range(0, 256, 3)]
+    texts += [chr(a) + "ab." + chr(b) for a in range(256) for b in (32, 46, 10, 133, 160, 233)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert Encoder().encode(texts) == want
+    words = ["a", " b", " é", "字", "ñandú", " Straße", "ªº", " Ѐ"]
+    assert _spelled(words) == [w.encode().decode("latin-1").translate(BYTE_NAMES) for w in words]
+    assert len(_KINDS) == 256
+
+
+def test_encoder_keeps_words():
+    """A word that was met of late is not looked up in the library again, by as many words as the caller lets stay."""
+    from cadenza.llm.tokens import encoder
+
+    words = [f"{a}{b}{c}q" for a in "bcdfg" for b in "aeiou" for c in "hjklm"]
+    for keep, again in ((1000, 0), (20, len(words))):
+        own, asked = encoder(None, keep), []
+        learn = own._word_ids
+        own._word_ids = lambda ws, learn=learn, asked=asked: asked.extend(ws) or learn(ws)
+        for _ in range(2):
+            for w in words:
+                own.encode([w])
+        assert len(asked) == len(words) + again
+
+
 def test_token_files(spark, docs, docs_df, tmp_path):
     from cadenza.llm.token_files import open_sequences, read_digest, write_token_files
 
