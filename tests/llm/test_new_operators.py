@@ -222,6 +222,32 @@ def test_bpe_as_tiktoken(spark, vocabulary):
         assert merged(piece, *vocabulary.pieces) == enc._core_bpe.encode_single_piece(piece)
 
 
+def test_bpe_together(vocabulary, monkeypatch):
+    """Short pieces of a batch are merged together, none by a heap of its own, to the ids of the heap and of tiktoken; a worker keeps what it knows."""
+    from array import array
+
+    from cadenza.llm import byte_bpe
+
+    _, enc = tiktoken_encoding()
+    rng = random.Random(5)
+    pieces = [bytes(rng.choice(b"aabbcdentheris \xc3\xa9\x00\xff") for _ in range(rng.randint(2, byte_bpe.SHORT))) for _ in range(9000)]
+    pieces += [bytes([b]) * n for b in b"a \n\x00" for n in range(2, byte_bpe.SHORT + 1)]
+    single = np.array(vocabulary.pieces[1], np.int64)
+    got = byte_bpe.merged_together(pieces, single, vocabulary.pair_ranks, vocabulary.base)
+    assert got == [array("i", byte_bpe.merged(p, *vocabulary.pieces)).tobytes() for p in pieces]
+    assert got[:500] == [array("i", enc._core_bpe.encode_single_piece(p)).tobytes() for p in pieces[:500]]
+    assert byte_bpe.merged_together([], single, vocabulary.pair_ranks, vocabulary.base) == []
+
+    plain = byte_bpe.Vocabulary({bytes([b]): 255 - b for b in range(256)}, ".+")
+    assert byte_bpe.Encoder(plain).encode(["abc", None, "é"]) == [array("i", [255 - b for b in t.encode()]).tobytes() for t in ("abc", "", "é")]
+
+    monkeypatch.setattr(byte_bpe, "merged", lambda *a: pytest.fail("a heap for a short piece"))
+    words = " zqxjkv wqzzxk éèqzxñ qqqqzzzz"
+    own = byte_bpe.encoder(vocabulary)
+    assert [np.frombuffer(x, np.int32).tolist() for x in own.encode([words])] == [enc.encode_ordinary(words)]
+    assert byte_bpe.encoder(vocabulary) is own and " zqxjkv" in own.known
+
+
 def test_bpe_query(spark):
     from cadenza.llm.byte_bpe import op13_byte_bpe
 
