@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.components import forgotten, written
-from cadenza.operators.resolve import confirmed, prepared, spans, united_distances, united_listings
+from cadenza.operators.resolve import PREPARED_FROM, confirmed, prepared, spans, united_distances, united_listings
 from cadenza.operators.rules import violations
-from cadenza.operators.similar import representatives, same_day_rows, similar_rows
+from cadenza.operators.similar import by_size, counted, met_rows, near_rows, representatives, same_day_rows, similar_rows
 from cadenza.schema import RULES, Rules
 
 #: Fields whose change makes an event updated (fixed values).
 COMPARED = ("title", "event_date", "start_time", "location_text", "city", "subdivision", "distances", "image_url", "signup_open", "signup_window", "listings", "is_cancelled")
 
+#: Pairs up to which the numbers of their rows are broadcast.
+FEW_PAIRS = 500_000
+
 
 def alive(status: DataFrame, events: DataFrame, rules: Rules = RULES) -> DataFrame:
     """(id, alive) of stored events; alive is null where no link has been looked at.
@@ -70,19 +73,28 @@ def matches(new: DataFrame, stored: DataFrame, generic: DataFrame | None = None,
     """
     by_id = new.select("id", F.col("ordinal").alias("n")).join(stored.select("id", F.col("ordinal").alias("s")), "id").groupBy("n").agg(F.min("s").alias("s"))
     by_id = written(by_id, "by_id")
-    rest = written(new.join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti"), "rest")
+    rest = written(new.select(*PREPARED_FROM).join(by_id.select(F.col("n").alias("ordinal")), "ordinal", "left_anti"), "rest")
     # Each side is read by every way of finding pairs: it is written, rows that are alike in all that is compared as one.
-    sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (rest, stored)]
+    sides = [representatives(prepared(x, generic=generic, rules=rules), counted()) for x in (rest, stored)]
     a, b = (reps for reps, _ in sides)
-    pairs = reduce(DataFrame.union, (way(a, b, rules) for way in (with_a_link, near_days, same_day_apart, undated))).distinct()
-    found = written(confirmed(pairs, a, rules, others=b).groupBy("a").agg(F.min("b").alias("s")), "found")
+    # One way at a time: what one has shuffled is gone before the next begins.
+    ways = [written(way(a, b, rules), "way") for way in (with_a_link, near_days, same_day_apart, undated)]
+    found = written(looked_up(reduce(DataFrame.union, ways), a, b, rules).groupBy("a").agg(F.min("b").alias("s")), "found")
     copies = sides[0][1].join(found, F.col("rep") == F.col("a")).select(F.col("ordinal").alias("n"), "s")
     out = written(by_id.union(found.select(F.col("a").alias("n"), "s")).union(copies), "matches")
-    for table in (a, b, found, by_id, rest):
+    for table in (a, b, found, by_id, rest, *ways):
         forgotten(table)
     return out
 
 
+def looked_up(pairs: DataFrame, a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """(a, b): those of the pairs that the decision confirms. Where they are few, rows that are in none are left out before any is shuffled."""
+    pairs = written(pairs.distinct(), "pairs")
+    if pairs.count() <= FEW_PAIRS:
+        a, b = (rows.join(F.broadcast(pairs.select(F.col(s).alias("ordinal")).distinct()), "ordinal", "left_semi") for rows, s in ((a, "a"), (b, "b")))
+    return confirmed(pairs, a.drop(*counted()), rules, others=b.drop(*counted()))
+
+
 def with_a_link(a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Incoming and stored rows with a link in common."""
     sides = (x.select(F.explode("links").alias("link"), F.col("ordinal").alias(name)) for x, name in ((a, "a"), (b, "b")))
@@ -94,9 +106,7 @@ def near_days(a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
     dated = lambda x: x.filter("day IS NOT NULL").withColumn("span", spans(F.col("day"), rules.band_days))
     one, two = dated(a), dated(b)
     wide = one.withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
-    near = similar_rows(wide, two, ["sub", "span"], min(rules.close_similarity, rules.strict_similarity), "day")
-    near = near.filter(F.abs(F.datediff("a_day", "b_day")) <= rules.band_days).select("a", "b")
-    return near.union(same_day_rows(one, two, ["sub", "day"], rules.same_day_similarity))
+    return near_rows(wide, two, ["sub", "span"], min(rules.close_similarity, rules.strict_similarity), rules.band_days, rules.same_day_similarity)
 
 
 def same_day_apart(a: DataFrame, b: DataFrame, rules: Rules = RULES, country: str = "BR") -> DataFrame:
@@ -108,8 +118,8 @@ def same_day_apart(a: DataFrame, b: DataFrame, rules: Rules = RULES, country: st
 def undated(a: DataFrame, b: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Those of a subdivision of which one has no date, which the decision takes as near, with titles that may be alike enough."""
     least = min(rules.close_similarity, rules.strict_similarity)
-    one = similar_rows(a.filter("day IS NULL"), b, ["sub"], least)
-    return one.union(similar_rows(a.filter("day IS NOT NULL"), b.filter("day IS NULL"), ["sub"], least))
+    one = near_rows(a.filter("day IS NULL"), b, ["sub"], least)
+    return one.union(near_rows(a.filter("day IS NOT NULL"), b.filter("day IS NULL"), ["sub"], least))
 
 
 def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of: Column, generic: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
@@ -125,29 +135,32 @@ def reconcile(stored: DataFrame, new: DataFrame, link_status: DataFrame, as_of:
     # Both sides are read by many jobs; how they are made is planned and done in one each, and no later plan holds it.
     stored, new = written(stored, "stored"), written(new, "new")
     every = matches(new, stored, generic, rules)
-    # Of several incoming rows with one stored row the last counts.
-    found = every.groupBy("s").agg(F.max("n").alias("n"))
-    o, n = stored.alias("o"), new.alias("n")
-    pairs = o.join(found, F.col("o.ordinal") == F.col("s")).join(n, F.col("n.ordinal") == found["n"])
+    # Rows of each side are shuffled once. Of several incoming rows with one stored row the last counts.
+    last = F.max("n").over(Window.partitionBy("s"))
+    met = new.join(every.select(F.col("n").alias("ordinal"), "s", (F.col("n") == last).alias("last")), "ordinal", "left")
+    met = written(met.filter(F.coalesce("last", F.lit(True))).drop("last"), "met")
+    forgotten(new)
+    o, n = stored.alias("o"), met.filter("s IS NOT NULL").alias("n")
     fields = updated("o", "n")
-    differs = changed("o", fields)
-    value = lambda c: fields.get(c, F.col(f"o.{c}"))
-    seen = pairs.select(*(F.when(differs, F.current_timestamp()).otherwise(F.col("o.updated_at")).alias(c) if c == "updated_at" else value(c).alias(c) for c in columns), F.when(differs, "updated").otherwise("kept").alias("outcome"), F.col("n.ordinal").alias("n_ordinal"))
-    inserted = new.join(every.select(F.col("n").alias("ordinal")), "ordinal", "left_anti").select(*columns, F.lit("inserted").alias("outcome"), "ordinal")
-    rest = stored.join(every.select(F.col("s").alias("ordinal")).distinct(), "ordinal", "left_anti")
-    past = rest.filter(F.coalesce(F.col("event_date") < as_of, F.lit(False)))
-    ahead = rest.filter(~F.coalesce(F.col("event_date") < as_of, F.lit(False)))
-    ahead = ahead.filter(F.size(violations(ahead)) == 0)
+    found, differs = F.col("n.ordinal").isNotNull(), changed("o", fields)
+    value = lambda c: F.when(differs, F.current_timestamp()).otherwise(F.col("o.updated_at")) if c == "updated_at" else fields.get(c, F.col(f"o.{c}"))
+    placed = o.join(n, F.col("o.ordinal") == F.col("n.s"), "left")
+    placed = placed.select(*(F.when(found, value(c)).otherwise(F.col(f"o.{c}")).alias(c) for c in columns), F.when(found & differs, "updated").when(found, "kept").alias("outcome"), F.coalesce("n.ordinal", "o.ordinal").alias("ordinal"))
+    # Only rows that no other case takes are held against the rules; those that break one have no outcome.
+    rest = F.when(F.coalesce(F.col("event_date") < as_of, F.lit(False)), "past").when(F.size(violations(placed)) == 0, "ahead")
+    placed = written(placed.withColumn("outcome", F.coalesce("outcome", rest)), "placed")
+    for table in (stored, every):
+        forgotten(table)
     # Twins go into the rows that stay, as these are now.
-    present = seen.unionByName(inserted.withColumn("n_ordinal", F.col("ordinal")).drop("ordinal")).withColumnRenamed("n_ordinal", "ordinal")
-    present, ahead = written(present, "present"), written(ahead, "ahead")
+    present = placed.filter(F.col("outcome").isin("updated", "kept")).unionByName(met.filter("s IS NULL").select(*columns, F.lit("inserted").alias("outcome"), "ordinal"))
+    past, ahead = placed.filter("outcome = 'past'"), placed.filter("outcome = 'ahead'").drop("outcome")
     twins = absorbed(ahead, present, generic, rules)
     present = with_twins(present, ahead.join(twins, ahead["ordinal"] == twins["twin"])).drop("ordinal")
     ahead = ahead.join(twins.select(F.col("twin").alias("ordinal")), "ordinal", "left_anti").join(alive(link_status, ahead, rules), "id", "left")
     misses = F.when(F.col("alive"), 0).when(~F.col("alive"), F.coalesce("miss_count", F.lit(0)) + 1).otherwise(F.coalesce("miss_count", F.lit(0)))
     checked = ahead.withColumn("miss_count", misses.cast("int")).filter(F.col("miss_count") < rules.drop_after_misses)
     outcome = F.when(F.col("alive"), "alive").when(~F.col("alive"), "missed").otherwise("deferred")
-    return present.unionByName(past.select(*columns, F.lit("past").alias("outcome"))).unionByName(checked.select(*columns, outcome.alias("outcome")))
+    return present.unionByName(past.select(*columns, "outcome")).unionByName(checked.select(*columns, outcome.alias("outcome")))
 
 
 def absorbed(stored: DataFrame, kept: DataFrame, generic: DataFrame | None, rules: Rules = RULES) -> DataFrame:
@@ -156,9 +169,13 @@ def absorbed(stored: DataFrame, kept: DataFrame, generic: DataFrame | None, rule
     sides = [representatives(prepared(x, generic=generic, rules=rules)) for x in (stored, kept)]
     a, b = (reps.withColumn("on_day", F.coalesce("day", none)) for reps, _ in sides)
     on = ["sub", "on_day"]
-    pairs = same_day_rows(a, b, on, min(rules.same_day_similarity, rules.close_similarity, rules.strict_similarity))
+    # In small groups all rows meet, without their titles.
+    small, large = by_size(a, b, on)
+    pairs = met_rows(*small, on).select("a", "b")
+    if large:
+        pairs = pairs.union(same_day_rows(*large, on, min(rules.same_day_similarity, rules.close_similarity, rules.strict_similarity)))
     links = a.select(*on, F.explode("links").alias("link"), F.col("ordinal").alias("a")).join(b.select(*on, F.explode("links").alias("link"), F.col("ordinal").alias("b")), [*on, "link"]).select("a", "b")
-    found = confirmed(pairs.union(links).distinct(), a.drop("on_day"), rules, others=b.drop("on_day"))
+    found = looked_up(pairs.union(links), a.drop("on_day"), b.drop("on_day"), rules)
     found = written(found.groupBy("a").agg(F.min("b").alias("into")), "found")
     copies = sides[0][1].join(found, F.col("rep") == F.col("a")).select(F.col("ordinal").alias("twin"), "into")
     out = written(found.select(F.col("a").alias("twin"), "into").union(copies), "twins")

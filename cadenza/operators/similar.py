@@ -11,6 +11,9 @@ the i-th has exactly i such letters before it if it is the first that can be, wh
 Different titles of a group are compared once, however many rows have them; what meets is then bounded by
 lengths and by edits: letters that stand in no alignment are at least as many as edits are needed. Groups with few rows
 on the right need none of this: all their rows meet.
+
+Titles are most of what a row holds, so where few of those that meet are alike (pieces, rows of small groups) rows meet
+without them: by marks, lengths and counts of letters, which bound the ratio too. Whoever decides looks the titles up.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ SHORT = "*"
 #: Ratio from which on titles meet by pieces; below, pieces are as short as letter pairs.
 SURE_PIECES = 0.9
 
+#: Letters that are counted, and together: frequent ones, and digits, which few titles have.
+COUNTED = ("a", "b", "c", "d", "e", "f", "o0", "i1", "n2", "r3", "s4", "t5", "l6", "m7", "u8", "9")
+
 #: Rows of a group on the right up to which all rows of the group meet; a title has about as many meeting points.
 FEW = 50
 
@@ -95,6 +101,26 @@ def may_be_alike(a: Column, b: Column, least: float) -> Column:
     return (2 * F.least(F.length(a), F.length(b)) >= least * both - 1e-6) & (edits >= 0)
 
 
+def letter_counts(key: Column) -> Column:
+    """How often a title has the letters of each of the groups in COUNTED, in four bits each, 15 for more."""
+    without = lambda letters: reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), letters, key)
+    of = lambda letters: F.least(F.octet_length(key) - F.octet_length(without(letters)), F.lit(15)).cast("long")
+    return reduce(Column.bitwiseOR, (F.shiftleft(of(letters), 4 * i) for i, letters in enumerate(COUNTED)))
+
+
+def counted() -> dict[str, Column]:
+    """What titles are first compared by."""
+    return {"n": F.length("key"), "letters": letter_counts(F.col("key"))}
+
+
+def counts_allow(least: float) -> Column:
+    """Whether lengths and letter counts (a_n, a_letters, b_n, b_letters) leave it open that two titles have a sequence ratio of `least` or more: letters that one has more often stand in no alignment."""
+    both = F.col("a_n") + F.col("b_n")
+    one = lambda c, i: F.shiftrightunsigned(F.col(c), 4 * i).bitwiseAND(F.lit(15))
+    apart = reduce(Column.__add__, (F.abs(one("a_letters", i) - one("b_letters", i)) for i in range(16)))
+    return (2 * F.least("a_n", "b_n") >= least * both - 1e-6) & (apart <= _left_out(F.col("a_n"), F.col("b_n"), least))
+
+
 def _titles(rows: DataFrame, on: list[str], name: str) -> DataFrame:
     return rows.filter(F.col("key") != "").select(*on, F.col("key").alias(name)).distinct()
 
@@ -161,11 +187,58 @@ def rows_of(titles: DataFrame, left: DataFrame, right: DataFrame, on: list[str],
     return titles.join(one, [*on, "key_a"]).join(two, [*on, "key_b"]).select("a", "b", *(f"{s}_{c}" for c in more for s in "ab"))
 
 
+def met_counts(left: DataFrame, right: DataFrame, on: list[str], *more: str) -> DataFrame:
+    """All rows (with what is `counted`) of a group with one another, without their titles: (a, b), what `counts_allow` takes, further columns as a_... and b_...."""
+    one, two = (x.filter(F.col("key") != "").select(*on, F.col("ordinal").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "letters", *more))) for x, s in ((left, "a"), (right, "b")))
+    return one.join(two, on)
+
+
+def rows_by_pieces(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str, words: int = 2) -> DataFrame:
+    """(a, b): rows of a group whose titles have a piece in common and may be `least` alike (SURE_PIECES or more); further columns as a_... and b_....
+
+    Marks meet with a number of the title, its length and its letter counts. Two titles with one number only give more rows.
+    """
+    several = lambda rows: rows.filter((F.size(F.split("key", " ")) >= words) & (F.col("key") != ""))
+    one, two = (several(x).withColumn("title", F.hash(*on, "key")).withColumns({c: v for c, v in counted().items() if c not in x.columns}) for x in (left, right))
+    # At most as many numbers as the longest title has letters. Of a list that must not be empty Spark would make the marks three times.
+    lengths = sorted(n for (n,) in two.select("n").distinct().collect())
+    names = ["title", "n", "letters"]
+    points = [marks_looked_up(F.col("key"), least, lengths) if lengths else F.array().cast("array<long>"), piece_marks(F.col("key"), least)]
+    marks = [x.select(*(F.col(c).alias(f"{s}_{c}") for c in names), *on, F.explode_outer(p).alias("point")).select(F.when(F.col("point").isNotNull(), F.xxhash64(*on, "point")).alias("mark"), *(f"{s}_{c}" for c in names)) for x, p, s in zip((one, two), points, "ab", strict=True)]
+    met = written(marks[0].join(marks[1], "mark").filter(counts_allow(least)).drop("mark").distinct(), "met")
+    rows = [x.select(*on, F.col("ordinal").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in (*names, *more))) for x, s in ((one, "a"), (two, "b"))]
+    out = met.join(rows[0], [f"a_{c}" for c in names]).join(rows[1], [*on, *(f"b_{c}" for c in names)])
+    return out.select("a", "b", *(f"{s}_{c}" for c in more for s in "ab"))
+
+
 def similar_rows(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str, words: int = 2) -> DataFrame:
     """(a, b): rows of one group whose titles may be `least` alike."""
     small, large = by_size(left, right, on)
     out = met_rows(*small, on, *more).filter(_similar(least, words)).select("a", "b", *(f"{s}_{c}" for c in more for s in "ab"))
-    return out.union(rows_of(similar_titles(*large, on, least, words), *large, on, *more)) if large else out
+    return out.union(_in_large(*large, on, least, *more, words=words)) if large else out
+
+
+def _in_large(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str, words: int = 2) -> DataFrame:
+    if least >= SURE_PIECES:
+        return rows_by_pieces(left, right, on, least, *more, words=words)
+    return rows_of(similar_titles(left, right, on, least, words), left, right, on, *more)
+
+
+def near_rows(left: DataFrame, right: DataFrame, on: list[str], least: float, days: int | None = None, same_day: float = 1.0) -> DataFrame:
+    """(a, b): rows (with what is `counted`) of one group whose titles may be `least` alike, for a decision that looks them up: in small groups lengths and letters are compared only.
+
+    With `days` both have a `day`; they are at most so many days apart, and on one day all those of a small group and in a large one
+    those whose titles may be `same_day` alike, or are contained in one another, or equal. A row on the left may be in several groups.
+    """
+    more = [] if days is None else ["day"]
+    small, large = by_size(left, right, on)
+    met = met_counts(*small, on, *more)
+    near = F.lit(True) if days is None else F.abs(F.datediff("a_day", "b_day")) <= days
+    met = met.filter(near & counts_allow(least) if days is None else (F.col("a_day") == F.col("b_day")) | (near & counts_allow(least)))
+    if not large:
+        return met.select("a", "b")
+    out = met.select("a", "b").union(_in_large(*large, on, least, *more).filter(near).select("a", "b"))
+    return out if days is None else out.union(same_day_rows(*large, [*on, "day"], same_day))
 
 
 def same_day_rows(left: DataFrame, right: DataFrame, on: list[str], least: float, *more: str, words: int = 2) -> DataFrame:
@@ -178,13 +251,14 @@ def same_day_rows(left: DataFrame, right: DataFrame, on: list[str], least: float
     return out.union(rows_of(titles, *large, on, *more))
 
 
-def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that differ in what is compared, the first of each kind, written; and (rep, ordinal) of the others, their copies."""
+def representatives(rows: DataFrame, more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that differ in what is compared, the first of each kind, written with `more` columns; and (rep, ordinal) of the others, their copies."""
     names = [c for c in rows.columns if c != "ordinal"]
     sorted_lists = {c: F.array_sort(c) for c, kind in rows.dtypes if kind.startswith("array")}
     kinds = rows.withColumns(sorted_lists).select("ordinal", F.struct(*names).alias("kind"))
-    first = written(kinds.groupBy("kind").agg(F.min("ordinal").alias("rep"), F.count(F.lit(1)).alias("n")), "kinds")
-    several = first.filter("n > 1").select("kind", "rep")
+    first = kinds.groupBy("kind").agg(F.min("ordinal").alias("rep"), F.count(F.lit(1)).alias("copies")).select(F.col("rep").alias("ordinal"), "kind.*", "copies")
+    first = written(first.withColumns(more or {}), "kinds")
+    several = first.filter("copies > 1").select(F.struct(*names).alias("kind"), F.col("ordinal").alias("rep"))
     # Where all rows differ, nothing is shuffled to find copies.
     copies = rows.select(F.col("ordinal").alias("rep"), "ordinal").limit(0) if several.isEmpty() else kinds.join(several, "kind").filter("ordinal <> rep").select("rep", "ordinal")
-    return first.select(F.col("rep").alias("ordinal"), "kind.*"), copies
+    return first.drop("copies"), copies

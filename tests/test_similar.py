@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import reconcile, resolve, similar
-from cadenza.operators.components import connected_components
+from cadenza.operators.components import connected_components, written
 
 
 def titles(rng, n, roots=60):
@@ -192,3 +192,53 @@ def test_survivors_take_each_row_once(events):
     out = resolve.survivors(e, e.select("ordinal", (F.col("ordinal") % 2).alias("cluster")))
     assert "min_by" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.cluster, r.ordinal, r.n_members) for r in out.collect()) == [(0, 2, 1), (1, 1, 2)]
+
+
+def test_counts_of_letters_lose_no_pair(spark, monkeypatch):
+    """Rows that meet without their titles: all pairs that are alike enough are among them, in small groups and in large ones, by days too."""
+    import difflib
+
+    rng = random.Random(6)
+    some = [*(t.strip() for t in titles(rng, 300, roots=15)), "a b", "aaaaaaaaaaaaaaaaaaaaaaaaa b", "aaaaaaaaaaaaaaaaaaaaaaaa b", "é ü", "é u"]
+    rows = [(i, f"g{rng.randrange(6)}", dt.date(2024, 1, 1) + dt.timedelta(rng.choice([0, 0, 20, 60])), t) for i, t in enumerate(some)]
+    df = spark.createDataFrame(rows, "ordinal long, g string, day date, key string").withColumns(similar.counted())
+    ratio = {(i, j): difflib.SequenceMatcher(None, s, t).ratio() for i, g, _, s in rows for j, h, _, t in rows if g == h and " " in s and " " in t}
+    apart = lambda i, j: abs((rows[i][2] - rows[j][2]).days)
+    for few in (0, 10**6):
+        monkeypatch.setattr(similar.by_size, "__defaults__", (few,))
+        for least in (0.95, 0.85):
+            alike = {p for p, r in ratio.items() if r >= least}
+            assert alike <= {tuple(r) for r in similar.near_rows(df, df, ["g"], least).collect()} and len(alike) > 200
+        near = {p for p, r in ratio.items() if (r >= 0.85 and apart(*p) <= 31) or (r >= 0.75 and apart(*p) == 0)}
+        got = {tuple(r) for r in similar.near_rows(df, df, ["g"], 0.85, 31, 0.75).collect()}
+        assert near <= got and all(apart(*p) <= 31 for p in got)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().toList()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_what_was_shuffled_for_a_written_table_is_deleted(spark):
+    before = shuffle_files(spark)
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not shuffle_files(spark) - before
+    assert table.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_titles_are_not_shuffled_with_their_pieces(spark, events, no_link, tmp_path):
+    """Rows of one day in a large group and of one subdivision meet without their titles, which are shuffled once, to find copies."""
+    import hashlib
+
+    name = lambda i: "".join(hashlib.sha512(f"{i}/{k}".encode()).hexdigest() for k in range(3))
+    rows = [{"id": f"x{i}", "title": f"{name(i)[:150]} {name(i)[150:300]}", "day": "2024-03-01", "sub": f"S{i % 400}", "link": f"http://l/{i}"} for i in range(1200)]
+    new, stored = written_once(spark, events(*rows[:400]), tmp_path, "long-new"), written_once(spark, events(*rows[400:]), tmp_path, "long-stored")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written_by_stages():
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written_by_stages()
+    assert reconcile.matches(new, stored.withColumn("id", F.concat(F.lit("s"), "id")), no_link).count() == 0
+    assert written_by_stages() - before < 1.6 * sum(len(r["title"]) for r in rows)
